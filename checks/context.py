@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks import inputs
 from loglens.operators import alerts as A
 from loglens.operators import cluster, scoring, windows
+from loglens.operators import vectors as vectors_module
 from loglens.session import stage
 
 
@@ -76,3 +78,28 @@ class Inputs:
     def alerts(self) -> DataFrame:
         """Alerts with text clusters and labels."""
         return A.attach_labels(self.clustering[0])
+
+    @cached_property
+    def two_methods(self):
+        """Alerts clustered by text and by a vector column, with both sets of points."""
+        made = stage(A.make_alerts(self.lines, self.scores, drop_empty=True).drop("top_level"), "alerts")
+        vectors = self.table("embeddings").select(F.col("vec_id").alias("slot"), "embedding")
+        with_vector = made.withColumn("slot", F.col("window_id") % 100).join(vectors, "slot")
+        text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template")
+        dense, dense_points, unit = cluster.cluster_vectors(with_vector, "window_id", "embedding", eps=0.6)
+        both = text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(
+            dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id")
+        return both, (text_points, model.weights), (dense_points, vectors_module.dense_weights(unit))
+
+    @cached_property
+    def method_summary(self) -> DataFrame:
+        both, text, dense = self.two_methods
+        rows = []
+        for name, column, (points, weights) in [("TF-IDF + DBSCAN", "cluster_id_tfidf", text),
+                                                ("MiniLM + DBSCAN", "cluster_id_minilm", dense)]:
+            rows.append(
+                cluster.cluster_statistics(both, column)
+                .withColumn("silhouette", cluster.silhouette(points, weights).scalar())
+                .withColumn("method", F.lit(name))
+            )
+        return cluster.compare_methods(*rows)

@@ -24,10 +24,10 @@ def _z(c: str) -> str:
 
 def quantile_sql(source: str, level: str) -> str:
     """Linearly interpolated quantile at a computed level."""
-    return f"""SELECT max(CASE WHEN r = floor(at) THEN v END)
-  + (max(CASE WHEN r = ceil(at) THEN v END) - max(CASE WHEN r = floor(at) THEN v END)) * max(at - floor(at)) AS cut
+    return f"""SELECT max(CASE WHEN r = floor(pos) THEN v END)
+  + (max(CASE WHEN r = ceil(pos) THEN v END) - max(CASE WHEN r = floor(pos) THEN v END)) * max(pos - floor(pos)) AS cut
 FROM (SELECT anomaly_score AS v, row_number() OVER (ORDER BY anomaly_score) - 1 AS r FROM {source}),
-     (SELECT ({level}) * (count(*) - 1) AS at FROM {source})"""
+     (SELECT ({level}) * (count(*) - 1) AS pos FROM {source})"""
 
 
 def f1_sql(source: str, flag: str) -> str:
@@ -173,8 +173,29 @@ LEFT JOIN ({mode_sql('preferred', 'window_id', 'level', 'v')}) v USING (window_i
     **pair_ctes("vec", 0.6),
     **component_ctes("vec", "embeddings", "vec_id"),
 }
+CTES |= {
+    "bare2": (["bare_alerts", "preferred"], "SELECT * FROM bare_alerts WHERE window_id IN (SELECT window_id FROM preferred)"),
+    **tfidf_ctes("a2", "bare2", "window_id", "top_template"),
+    **pair_ctes("a2", 0.5),
+    **component_ctes("a2", "bare2", "window_id"),
+    "v2_w": (["bare2", "vec_w"], "SELECT b.window_id AS id, v.word, v.w FROM bare2 b JOIN vec_w v ON v.id = b.window_id % 100"),
+    **pair_ctes("v2", 0.6),
+    **component_ctes("v2", "bare2", "window_id"),
+    "two_ways": (["bare2", "a2_cl", "v2_cl"], """SELECT b.* EXCLUDE (top_level), t.cluster_id AS cluster_id_tfidf, v.cluster_id AS cluster_id_minilm
+  FROM bare2 b JOIN a2_cl t ON t.id = b.window_id JOIN v2_cl v ON v.id = b.window_id"""),
+    "tiered": (["bare_alerts", "logs"], """SELECT a.window_id, l.content, l.level, l.line_id, CASE WHEN l.template = a.top_template THEN 1
+  WHEN l.level IN ('FATAL','SEVERE','ERROR') THEN 2 END AS tier FROM bare_alerts a JOIN logs l
+  ON l.timestamp >= a.window_start AND l.timestamp < a.window_end"""),
+    "lowest": (["tiered"], """SELECT t.* FROM tiered t JOIN (SELECT window_id, min(tier) AS tier FROM tiered GROUP BY 1) m
+  ON m.window_id = t.window_id AND m.tier = t.tier"""),
+    "represented": (["bare_alerts", "lowest"], f"""SELECT a.*, coalesce(f.tier, 3) AS tier, coalesce(m.c, a.top_template) AS rep_content,
+  coalesce(f.level, 'UNKNOWN') AS rep_level FROM bare_alerts a
+  LEFT JOIN ({mode_sql('lowest', 'window_id', 'content', 'c')}) m USING (window_id)
+  LEFT JOIN (SELECT window_id, min(tier) AS tier, arg_min(level, line_id) AS level FROM lowest GROUP BY 1) f USING (window_id)"""),
+}
 # Rows of the text clusterings depend on the tables they read.
-for _name, _needs in [("al_tf", ["bare_alerts"]), ("al_w", ["bare_alerts"]), ("al_cl", ["bare_alerts"])]:
+for _name, _needs in [("al_tf", ["bare_alerts"]), ("al_w", ["bare_alerts"]), ("al_cl", ["bare_alerts"]),
+                      ("a2_tf", ["bare2"]), ("a2_w", ["bare2"]), ("a2_cl", ["bare2"]), ("v2_cl", ["bare2"])]:
     CTES[_name] = (_needs + CTES[_name][0], CTES[_name][1])
 
 
@@ -194,6 +215,27 @@ def silhouette_sql(weights: str, clusters: str) -> str:
         GROUP BY x.id, x.cluster_id, y.cluster_id) GROUP BY id)"""
 
 
+def dominant_sql(alerts: str, cluster: str) -> str:
+    """Dominant template per cluster and the commonest line carrying it, from the first of the
+    cluster's first five alerts that has such a line."""
+    return f"""SELECT d.{cluster}, d.t AS dominant_template, coalesce(h.content, d.t) AS rep_content
+FROM ({mode_sql(alerts, cluster, 'top_template', 't')}) d LEFT JOIN (
+  SELECT {cluster}, content FROM (SELECT e.{cluster}, e.place, l.content,
+      row_number() OVER (PARTITION BY e.{cluster} ORDER BY e.place, count(*) DESC, l.content) AS r
+    FROM (SELECT *, row_number() OVER (PARTITION BY {cluster} ORDER BY window_id) AS place FROM {alerts}) e
+    JOIN ({mode_sql(alerts, cluster, 'top_template', 't')}) m USING ({cluster})
+    JOIN logs l ON l.timestamp >= e.window_start AND l.timestamp < e.window_end AND l.template = m.t
+    WHERE e.place <= 5 GROUP BY e.{cluster}, e.place, l.content) WHERE r = 1) h USING ({cluster})"""
+
+
+def statistics_sql(rows: str, cluster: str) -> str:
+    return f"""SELECT count(*) AS total, count(DISTINCT {cluster}) FILTER ({cluster} >= 0) AS clusters,
+count(*) FILTER ({cluster} = -1) AS unique_rows,
+count(DISTINCT {cluster}) FILTER ({cluster} >= 0) + count(*) FILTER ({cluster} = -1) AS distinct_groups,
+round((1 - (count(DISTINCT {cluster}) FILTER ({cluster} >= 0) + count(*) FILTER ({cluster} = -1)) / count(*)) * 100, 1) AS noise_reduction_pct
+FROM {rows}"""
+
+
 def statement(body: str, *needs: str) -> str:
     """``WITH`` the needed tables, in dependency order, in front of ``body``."""
     order: list[str] = []

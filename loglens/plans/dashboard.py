@@ -116,7 +116,7 @@ def method_table(summary: DataFrame) -> DataFrame:
         "method", "clusters", "unique_rows", "distinct_groups",
         values.percent_text(F.col("noise_reduction_pct") / 100, 1).alias("noise_reduction"),
         F.round("silhouette", 4).alias("silhouette"),
-        F.when("winner", "x").otherwise("").alias("winner"),
+        F.when(F.col("winner"), "x").otherwise("").alias("winner"),
     )
 
 
