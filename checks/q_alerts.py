@@ -75,9 +75,9 @@ def _(x: Inputs):
 def _(x: Inputs):
     """Neighbours within 0.5 of every document with a vocabulary word, equal vectors included."""
     model = vectors.tfidf(x.table("documents"), "doc_id", "text")
-    groups = stage(neighbours.text_groups(model.weights, model.points, 0.5), "groups")
+    groups = neighbours.text_groups(model.weights, model.points, 0.5)
     counts = neighbours.neighbour_counts(groups, 0.5)
-    alive = groups.select("point", "copies").distinct().join(counts, "point", "left").select(
+    alive = groups.points.join(counts, "point", "left").select(
         "point", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("near"))
     by_text = model.members.join(alive, "point").select("text", "near")
     return x.table("documents").select("doc_id", "text").join(by_text, "text").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.values import reduction_pct
@@ -16,68 +16,68 @@ from loglens.session import stage
 def connected_components(edges: DataFrame) -> DataFrame:
     """(point, root) for every point with an edge, root being the smallest point reached.
 
-    Each round sends every vertex to its neighbour of smallest hash, follows that pointer once
-    more and contracts the edges; a chain shrinks by a constant factor per round, so rounds
-    grow with the logarithm of the graph. Tables are written each round, not kept as lineage.
+    Each round moves every vertex to its least neighbour, follows that pointer once more and
+    contracts the edges. "Least" is by id in the first round, which finishes stars at once,
+    and by a hash from then on, so that a long chain shrinks by a constant factor per round.
+    Every round writes its moves and its remaining edges; no lineage builds up.
     """
     live = stage(edges.where("a <> b").select("a", "b"), "edges")
-    labels = None
+    moves: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("to"))
-        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("to"))
-        step = both.groupBy("a").agg(F.min(rank).alias("near")).select(
-            F.col("a").alias("v"), F.least("near", own)["to"].alias("to")
-        )
-        step = stage(step, "hop")
+        by_id = not moves
+
+        def ranked(column: str, by_id: bool = by_id) -> Column:
+            key = F.col(column) if by_id else F.xxhash64(column)
+            return F.struct(key.alias("key"), F.col(column).alias("to"))
+
+        near = both.groupBy("a").agg(F.min(ranked("b")).alias("near"))
+        step = near.select(F.col("a").alias("v"), F.least("near", ranked("a"))["to"].alias("to"))
         ahead = step.select(F.col("v").alias("to"), F.col("to").alias("next"))
-        step = stage(spread_join(step, ahead, ["to"], by="v").select("v", F.col("next").alias("to")), "jump")
-        if labels is None:
-            labels = step.select(F.col("v").alias("point"), F.col("to").alias("rep"))
-        else:
-            moved = spread_join(labels, step.select(F.col("v").alias("rep"), "to"), ["rep"], by="point", how="left")
-            labels = stage(moved.select("point", F.coalesce("to", "rep").alias("rep")), "labels")
-        left = spread_join(live, step.select(F.col("v").alias("a"), F.col("to").alias("a2")), ["a"], by="b")
-        right = spread_join(left, step.select(F.col("v").alias("b"), F.col("to").alias("b2")), ["b"], by="a")
+        jump = stage(spread_join(step, ahead, ["to"], by="v").select("v", F.col("next").alias("to")), "moves")
+        moves.append(jump)
+        left = spread_join(live, jump.select(F.col("v").alias("a"), F.col("to").alias("a2")), ["a"], by="b")
+        right = spread_join(left, jump.select(F.col("v").alias("b"), F.col("to").alias("b2")), ["b"], by="a")
         live = stage(
             right.where("a2 <> b2")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(),
             "edges",
         )
-    if labels is None:
+    if not moves:
         return edges.select(F.col("a").alias("point"), F.col("b").alias("root")).limit(0)
+    labels = moves[0].select(F.col("v").alias("point"), F.col("to").alias("rep"))
+    for jump in moves[1:]:
+        moved = spread_join(labels, jump.select(F.col("v").alias("rep"), "to"), ["rep"], by="point", how="left")
+        labels = moved.select("point", F.coalesce("to", "rep").alias("rep"))
     roots = labels.groupBy("rep").agg(F.min("point").alias("root"))
     return spread_join(labels, roots, ["rep"], by="point").select("point", "root")
 
 
-def dbscan(points: DataFrame, groups: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
-    """(point, cluster_id) for every point; -1 is noise, ids follow the first core row.
+def dbscan(points: DataFrame, groups: neighbours.Groups, eps: float, min_samples: int = 2) -> DataFrame:
+    """(point, copies, cluster_id) for every point; -1 is noise, ids follow the first core row.
 
     A point is core if it, its copies and its neighbours make ``min_samples`` rows. Only
     vectors of non-zero length appear in ``groups``; a zero vector is noise whatever its copies.
     With ``min_samples <= 2`` any point with a neighbour is core, so counting is skipped.
     """
-    groups = stage(groups, "groups")
-    placed = groups.select("point", "copies").distinct()
     if min_samples <= 2:
         core_groups = groups
-        alone = placed.where(F.col("copies") >= min_samples).select("point", F.col("point").alias("root"))
+        alone = groups.points.where(F.col("copies") >= min_samples).select("point", F.col("point").alias("root"))
     else:
         counts = neighbours.neighbour_counts(groups, eps)
         core = stage(
-            placed.join(counts, "point", "left")
+            groups.points.join(counts, "point", "left")
             .where(F.col("copies") + F.coalesce("near", F.lit(0)) >= min_samples).select("point"),
             "core",
         )
-        core_groups = groups.join(core, "point")
+        core_groups = groups.only(core)
         alone = core.select("point", F.col("point").alias("root"))
     linked = connected_components(neighbours.component_edges(core_groups, eps))
     roots = stage(
         alone.unionByName(linked).groupBy("point").agg(F.min("root").alias("root")), "roots"
     )
     if min_samples > 2:
-        border = neighbours.lowest_core_label(groups, roots, eps)
-        roots = stage(roots.unionByName(border), "roots")
+        roots = stage(roots.unionByName(neighbours.lowest_core_label(groups, roots, eps)), "roots")
     numbered = dense_ids(roots, "root", "cluster_id")
     placed_roots = spread_join(roots, numbered, ["root"], by="point").select("point", "cluster_id")
     return points.select("point", "copies").join(placed_roots, "point", "left").select(

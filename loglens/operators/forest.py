@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglens.session import python_width
+
 TREES = 200
 SAMPLE = 256
 SEED = 42
@@ -85,7 +87,8 @@ def fit_isolation_forest(features: DataFrame, ids: DataFrame, trees: int = TREES
         x[at, on] = part["x"].to_numpy()
         return _grow(x, list(names), int(part["tree"].iat[0]), seed)
 
-    return rows.groupBy("tree").applyInPandas(fit, MODEL_SCHEMA)
+    spread = rows.repartition(python_width(features.sparkSession), "tree")
+    return spread.groupBy("tree").applyInPandas(fit, MODEL_SCHEMA)
 
 
 def score_windows(features: DataFrame, model: DataFrame) -> DataFrame:

@@ -11,50 +11,79 @@ star of its local component), never the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglens.session import python_width, stage
+
 #: Vectors per block; a task compares at most two blocks.
 BLOCK = 1024
 _SLACK = 1e-6
 _DIGITS = 9
 
 
-def text_groups(weights: DataFrame, points: DataFrame, eps: float) -> DataFrame:
-    """(gid, point, copies, idx, w, mark): each text vector in the group of every word of its prefix.
+@dataclass(frozen=True)
+class Groups:
+    """Where vectors meet. ``vectors`` (point, copies, idx, w, mark, gids) lists each vector
+    once with the groups it visits; sparse vectors have ``idx``, dense ones an empty one."""
+    vectors: DataFrame
+
+    @property
+    def points(self) -> DataFrame:
+        return self.vectors.select("point", "copies")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.vectors.select(F.explode("gids").alias("gid"), "point", "copies", "idx", "w", "mark")
+
+    def only(self, points: DataFrame) -> Groups:
+        return Groups(self.vectors.join(points.select("point"), "point", "left_semi"))
+
 
-    Words are ordered rare first. With ``t = 1 - eps``, the words from which the remaining part
-    of a unit vector is shorter than ``t`` cannot alone reach a product of ``t``, so near
-    vectors share a word of both prefixes. ``mark`` is the prefix length.
+def text_groups(weights: DataFrame, points: DataFrame, eps: float) -> Groups:
+    """Groups for sparse unit vectors (point, idx, w), ``idx`` counting rare words first.
+
+    With ``t = 1 - eps``, the words from which the remaining part of a unit vector is shorter
+    than ``t`` cannot alone reach a product of ``t``, so near vectors share a word of both
+    prefixes and meet in that word's group; ``mark`` is the prefix length. If the words are so
+    common that these groups hold more pairs than there are altogether, one group for all is
+    the cheaper exact route and is taken instead.
     """
+    if not 0.0 <= eps < 1.0:
+        raise ValueError("eps must be in [0, 1): vectors without a common word are at distance 1")
     rest = F.sum(F.col("w") * F.col("w")).over(
         Window.partitionBy("point").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     )
     limit = max(1.0 - eps - _SLACK, 0.0) ** 2
-    packed = (
+    packed = stage(
         weights.withColumn("lead", (rest >= limit).cast("int"))
         .groupBy("point").agg(F.array_sort(F.collect_list(F.struct("idx", "w", "lead"))).alias("e"))
         .join(points.select("point", "copies"), "point")
         .select(
             "point", "copies", F.col("e.idx").alias("idx"), F.col("e.w").alias("w"),
             F.aggregate("e.lead", F.lit(0), lambda a, x: a + x).alias("mark"),
-        )
+        ),
+        "prefixes",
     )
-    return packed.select(F.explode(F.slice("idx", F.lit(1), F.col("mark"))).alias("gid"), "*")
+    prefix = F.slice("idx", F.lit(1), F.col("mark"))
+    sizes = packed.select(F.explode(prefix).alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    by_word = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    everyone = F.array(F.lit(0))
+    return Groups(packed.withColumn("gids", prefix if by_word < float(packed.count()) ** 2 else everyone))
 
 
-def dense_groups(points: DataFrame, eps: float, rows: int | None = None) -> DataFrame:
-    """(gid, point, copies, idx, w, mark) for dense unit vectors; ``mark`` is the home cell.
+def dense_groups(points: DataFrame, eps: float) -> Groups:
+    """Groups for dense unit vectors (point, copies, vec); ``mark`` is the home cell.
 
     Pivots are at most 256 of the vectors. A vector goes to its nearest pivot's cell and, as a
     guest, to each lower-numbered cell that may hold a partner: angle(x, pivot) <= angle(x,
     home) + 2 * angle(eps). A pair therefore meets in the lower of its two home cells.
     """
-    count = rows if rows is not None else points.count()
-    wanted = min(256, max(1, -(-count // (2 * BLOCK))))
+    wanted = min(256, max(1, -(-points.count() // (2 * BLOCK))))
     chosen = points.orderBy(F.xxhash64("point"), "point").limit(wanted).select("vec").collect()
     pivots = np.array([r["vec"] for r in chosen], dtype=float).reshape(len(chosen), -1)
     reach = 2 * np.arccos(np.clip(1.0 - eps, -1.0, 1.0)) + 1e-6
@@ -68,123 +97,138 @@ def dense_groups(points: DataFrame, eps: float, rows: int | None = None) -> Data
             near = angle <= angle.min(axis=1, keepdims=True) + reach
             near &= np.arange(len(pivots))[None, :] <= home[:, None]
             batch["mark"] = home
-            batch["cells"] = [np.flatnonzero(row) for row in near]
-            yield batch[["point", "copies", "vec", "mark", "cells"]]
+            batch["gids"] = [np.flatnonzero(row) for row in near]
+            yield batch[["point", "copies", "vec", "mark", "gids"]]
 
     placed = points.select("point", "copies", "vec").mapInPandas(
-        place, "point bigint, copies bigint, vec array<double>, mark int, cells array<int>"
+        place, "point bigint, copies bigint, vec array<double>, mark int, gids array<int>"
     )
     no_index = F.array().cast("array<int>")
-    return placed.select(
-        F.explode("cells").alias("gid"), "point", "copies", no_index.alias("idx"), F.col("vec").alias("w"), "mark"
-    )
+    return Groups(stage(
+        placed.select("point", "copies", no_index.alias("idx"), F.col("vec").alias("w"), "mark", "gids"), "cells"))
 
 
-def _block_pairs(groups: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame) -> DataFrame:
     """Repeat every member for each block pair of its group: (gid, i, j, block, ...).
 
     There are as many size rows as groups (vocabulary size or pivot count, both bounded)."""
-    sizes = groups.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cut = groups.join(F.broadcast(sizes), "gid").withColumn(
+    sizes = rows.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cut = rows.join(F.broadcast(sizes), "gid").withColumn(
         "block", F.pmod(F.xxhash64("gid", "point"), F.col("blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return cut.withColumn("other", other).select(
+    paired = cut.withColumn("other", other).select(
         "*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
+    return paired.repartition(python_width(rows.sparkSession), "gid", "i", "j")
 
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    """Vectors of a block; sparse ones are laid out over the words that occur in the block."""
+def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
     weights = rows["w"].to_numpy()
-    if len(rows) == 0 or len(rows["idx"].iat[0]) == 0:
-        return np.vstack(weights)
-    columns = np.concatenate(rows["idx"].to_numpy())
-    lines = np.repeat(np.arange(len(rows)), rows["idx"].map(len).to_numpy())
-    out = np.zeros((len(rows), int(columns.max()) + 1))
-    out[lines, columns] = np.concatenate(weights)
+    if width == 0:
+        return np.vstack(weights) if len(rows) else np.zeros((0, 1))
+    out = np.zeros((len(rows), width))
+    lines = np.repeat(np.arange(len(rows)), [len(i) for i in rows["idx"]])
+    out[lines, np.concatenate(rows["idx"].to_numpy())] = np.concatenate(weights)
     return out
 
 
-def _near(rows: pd.DataFrame, eps: float) -> np.ndarray:
-    """Boolean matrix of near pairs inside one task's rows, the diagonal excluded."""
-    matrix = _matrix(rows)
-    near = np.round(matrix @ matrix.T, _DIGITS) >= round(1.0 - eps, _DIGITS)
-    np.fill_diagonal(near, False)
-    return near
-
-
-def _owned(rows: pd.DataFrame) -> np.ndarray:
-    """Pairs this task has to count, so that a pair meeting in several groups counts once."""
-    block = rows["block"].to_numpy()
-    gid, first, last = (int(rows[c].iat[0]) for c in ("gid", "i", "j"))
-    mine = np.ones((len(rows), len(rows)), dtype=bool)
-    if first != last:
-        mine = block[:, None] != block[None, :]
-    mark = rows["mark"].to_numpy()
-    if len(rows["idx"].iat[0]) == 0:
-        guest = mark != gid
-        return mine & ~(guest[:, None] & guest[None, :])
-    lower = np.zeros((len(rows), max(gid, 1)), dtype=np.float32)
-    for at, (idx, lead) in enumerate(zip(rows["idx"], mark)):
-        ahead = np.asarray(idx[:lead])
-        lower[at, ahead[ahead < gid]] = 1.0
-    return mine & (lower @ lower.T == 0)
-
-
-def _stars(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+class _Task:
+    """One block pair: the positions of both sides and the matrix of near pairs between them."""
+
+    def __init__(self, rows: pd.DataFrame, eps: float):
+        self.rows = rows
+        first, last = int(rows["i"].iat[0]), int(rows["j"].iat[0])
+        block = rows["block"].to_numpy()
+        self.same = first == last
+        self.left = np.flatnonzero(block == first)
+        self.right = self.left if self.same else np.flatnonzero(block == last)
+        lengths = [i[-1] + 1 if len(i) else 0 for i in rows["idx"]]
+        width = int(max(lengths))
+        a = _matrix(rows.iloc[self.left], width)
+        b = a if self.same else _matrix(rows.iloc[self.right], width)
+        shared = a @ b.T if len(a) and len(b) else np.zeros((len(a), len(b)))
+        self.near = np.round(shared, _DIGITS) >= round(1.0 - eps, _DIGITS)
+        if self.same:
+            np.fill_diagonal(self.near, False)
+
+    def owned(self) -> np.ndarray:
+        """Pairs this task has to count, so that a pair meeting in several groups counts once."""
+        gid, mark = int(self.rows["gid"].iat[0]), self.rows["mark"].to_numpy()
+        if all(len(i) == 0 for i in self.rows["idx"]):
+            guest = mark != gid
+            return ~(guest[self.left][:, None] & guest[self.right][None, :])
+        lower = np.zeros((len(self.rows), max(gid, 1)), dtype=np.float32)
+        for at, (idx, lead) in enumerate(zip(self.rows["idx"], mark)):
+            ahead = np.asarray(idx[:lead])
+            lower[at, ahead[ahead < gid]] = 1.0
+        return lower[self.left] @ lower[self.right].T == 0
+
+    def least(self, label: np.ndarray, none: int) -> np.ndarray:
+        """Smallest label among the near partners of each row."""
+        best = np.full(len(label), none, dtype=label.dtype)
+        if self.near.size:
+            best[self.left] = np.where(self.near, label[self.right][None, :], none).min(axis=1)
+            if not self.same:
+                best[self.right] = np.where(self.near, label[self.left][:, None], none).min(axis=0)
+        return best
+
+    def counts(self) -> np.ndarray:
+        hits, copies = self.near & self.owned(), self.rows["copies"].to_numpy()
+        out = np.zeros(len(self.rows), dtype=np.int64)
+        out[self.left] = hits @ copies[self.right]
+        if not self.same:
+            out[self.right] = hits.T @ copies[self.left]
+        return out
+
+
+def _stars(task: _Task, ids: np.ndarray) -> np.ndarray:
     """Smallest id of each row's connected component, by label spreading and jumping."""
     order = np.argsort(ids)
     label = np.empty(len(ids), dtype=np.int64)
     label[order] = np.arange(len(ids))
-    by_rank = order
     while True:
-        best = np.where(near, label[None, :], len(ids)).min(axis=1, initial=len(ids))
-        best = np.minimum(label, best)
-        best = np.minimum(best, best[by_rank[best]])
+        best = np.minimum(label, task.least(label, len(ids)))
+        best = np.minimum(best, best[order[best]])
         if (best == label).all():
-            return ids[by_rank[label]]
+            return ids[order[label]]
         label = best
 
 
-def neighbour_counts(groups: DataFrame, eps: float) -> DataFrame:
+def neighbour_counts(groups: Groups, eps: float) -> DataFrame:
     """(point, near): rows within ``eps`` of each point, its own copies not included."""
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        hits = _near(rows, eps) & _owned(rows)
-        return pd.DataFrame({"point": rows["point"], "near": hits @ rows["copies"].to_numpy()})
+        return pd.DataFrame({"point": rows["point"], "near": _Task(rows, eps).counts()})
 
-    part = _block_pairs(groups).groupBy("gid", "i", "j").applyInPandas(count, "point bigint, near bigint")
+    part = _block_pairs(groups.rows).groupBy("gid", "i", "j").applyInPandas(count, "point bigint, near bigint")
     return part.groupBy("point").agg(F.sum("near").alias("near"))
 
 
-def component_edges(groups: DataFrame, eps: float) -> DataFrame:
+def component_edges(groups: Groups, eps: float) -> DataFrame:
     """(a, b): stars that connect the same points as all near pairs do."""
     def connect(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["point"].to_numpy()
-        root = _stars(_near(rows, eps), ids)
+        root = _stars(_Task(rows, eps), ids)
         return pd.DataFrame({"a": ids, "b": root})[ids != root]
 
-    return (
-        _block_pairs(groups).groupBy("gid", "i", "j").applyInPandas(connect, "a bigint, b bigint").distinct()
-    )
+    part = _block_pairs(groups.rows).groupBy("gid", "i", "j").applyInPandas(connect, "a bigint, b bigint")
+    return part.distinct()
 
 
-def lowest_core_label(groups: DataFrame, labels: DataFrame, eps: float) -> DataFrame:
+def lowest_core_label(groups: Groups, labels: DataFrame, eps: float) -> DataFrame:
     """(point, root): for points that are not core, the lowest label among their core neighbours.
 
     ``labels`` holds (point, root) of the core points."""
-    tagged = groups.join(labels.select("point", "root"), "point", "left").withColumn(
-        "root", F.coalesce("root", F.lit(-1))
+    top = np.iinfo(np.int64).max
+    tagged = groups.rows.join(labels.select("point", "root"), "point", "left").withColumn(
+        "root", F.coalesce("root", F.lit(int(top)))
     )
 
     def attach(rows: pd.DataFrame) -> pd.DataFrame:
         root = rows["root"].to_numpy()
-        core = root >= 0
-        top = np.iinfo(np.int64).max
-        best = np.where(_near(rows, eps) & core[None, :], root[None, :], top).min(axis=1, initial=top)
-        keep = ~core & (best < top)
+        best = _Task(rows, eps).least(root, top)
+        keep = (root == top) & (best < top)
         return pd.DataFrame({"point": rows["point"].to_numpy()[keep], "root": best[keep]})
 
     part = _block_pairs(tagged).groupBy("gid", "i", "j").applyInPandas(attach, "point bigint, root bigint")
     return part.groupBy("point").agg(F.min("root").alias("root"))
-

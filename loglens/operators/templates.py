@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loglens.functions import text
 from loglens.operators.joins import spread_join
 from loglens.operators.ranking import dense_ids
-from loglens.session import stage
+from loglens.session import python_width, stage
 
 # Miner parameters.
 SIMILARITY = 0.3
@@ -26,6 +26,7 @@ MAX_CHILDREN = 100
 WILDCARD = "<*>"
 #: Most patterns merged one by one in a leaf.
 LEAF_LIMIT = 4000
+_OUTPUT_ROWS = 5000
 
 
 def mask_templates(lines: DataFrame) -> DataFrame:
@@ -110,23 +111,25 @@ def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_childre
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Leaves arrive one after the other; only the current one is held."""
-        leaf, rows = None, []
-
-        def done() -> pd.DataFrame:
-            return pd.DataFrame(_merge_leaf(rows, similarity), columns=["pattern", "cluster_line", "template"])
-
+        leaf, rows, out = None, [], []
         for batch in batches:
-            for key, part in batch.groupby("leaf", sort=False):
+            for key, pattern, line in zip(batch["leaf"], batch["pattern"], batch["first_line"]):
                 if key != leaf and rows:
-                    yield done()
+                    out.extend(_merge_leaf(rows, similarity))
                     rows = []
                 leaf = key
-                rows.extend(zip(part["pattern"], part["first_line"]))
+                rows.append((pattern, line))
+            if len(out) >= _OUTPUT_ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         if rows:
-            yield done()
+            out.extend(_merge_leaf(rows, similarity))
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
+    columns = ["pattern", "cluster_line", "template"]
     merged = stage(
-        leaves.select("leaf", "pattern", "first_line").repartition("leaf")
+        leaves.select("leaf", "pattern", "first_line").repartition(python_width(lines.sparkSession), "leaf")
         .sortWithinPartitions("leaf", "first_line")
         .mapInPandas(merge, "pattern string, cluster_line bigint, template string"),
         "templates",

@@ -57,3 +57,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def python_width(spark: SparkSession) -> int:
+    """Partitions for CPU-bound Python work. Its input is small in bytes, so adaptive
+    execution would merge it into few tasks if the number were left open."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
