@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +10,26 @@ from pyspark.sql import functions as F
 
 from checks import inputs
 from loglens.operators import alerts as A
-from loglens.operators import cluster, scoring, windows
-from loglens.operators import vectors as vectors_module
+from loglens.operators import cluster, scoring, vectors, windows
 from loglens.session import stage
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Inputs:
-    """Every member reads the given tables; nothing is kept between checks."""
+    """Every member is derived from the given tables. The stage outputs (scores, alerts) are
+    written once per session and data set and then reused, as ``plans.stages`` does."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = stage(build(), name)
+        return _STAGED[key]
+
     def table(self, name: str) -> DataFrame:
         return inputs.table(self.spark, self.sf_dir, name)
 
@@ -58,42 +68,51 @@ class Inputs:
 
     @cached_property
     def confirmed(self) -> DataFrame:
-        return scoring.confirm(scoring.predict(stage(self.scored, "scored")))
+        """Raw predictions with the evidence filter's opinion."""
+        return scoring.confirm(scoring.predict(self.stage("scored", lambda: self.scored)))
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Final scores, written once as the stages do."""
-        return stage(scoring.apply_gate(self.confirmed), "scores")
+        return self.stage("scores", lambda: scoring.apply_gate(self.confirmed))
+
+    def make_alerts(self, drop_empty: bool = False) -> DataFrame:
+        return A.make_alerts(self.lines, self.scores, drop_empty)
 
     @cached_property
-    def alerts_unclustered(self) -> DataFrame:
-        return A.make_alerts(self.lines, self.scores)
+    def bare_alerts(self) -> DataFrame:
+        """Alerts before clustering."""
+        return self.stage("bare_alerts", self.make_alerts)
+
+    def cluster_alerts(self) -> DataFrame:
+        return cluster.cluster_texts(self.bare_alerts, "window_id", "top_template")[0]
 
     @cached_property
-    def clustering(self):
-        made = stage(self.alerts_unclustered, "alerts")
-        return cluster.cluster_texts(made, "window_id", "top_template")
+    def placed(self) -> DataFrame:
+        """Alerts with cluster ids."""
+        return self.stage("placed", self.cluster_alerts)
 
     @cached_property
     def alerts(self) -> DataFrame:
         """Alerts with text clusters and labels."""
-        return A.attach_labels(self.clustering[0])
+        return self.stage("alerts", lambda: A.attach_labels(self.placed))
 
-    @cached_property
-    def two_methods(self):
+    def cluster_both_ways(self):
         """Alerts clustered by text and by a vector column, with both sets of points."""
-        made = stage(A.make_alerts(self.lines, self.scores, drop_empty=True).drop("top_level"), "alerts")
-        vectors = self.table("embeddings").select(F.col("vec_id").alias("slot"), "embedding")
-        with_vector = made.withColumn("slot", F.col("window_id") % 100).join(vectors, "slot")
+        made = self.stage("full_alerts", lambda: self.make_alerts(drop_empty=True).drop("top_level"))
+        slots = self.table("embeddings").select(F.col("vec_id").alias("slot"), "embedding")
+        with_vector = made.withColumn("slot", F.col("window_id") % 100).join(slots, "slot")
         text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template")
         dense, dense_points, unit = cluster.cluster_vectors(with_vector, "window_id", "embedding", eps=0.6)
         both = text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(
             dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id")
-        return both, (text_points, model.weights), (dense_points, vectors_module.dense_weights(unit))
+        return both, (text_points, model.weights), (dense_points, vectors.dense_weights(unit))
 
     @cached_property
-    def method_summary(self) -> DataFrame:
-        both, text, dense = self.two_methods
+    def two_methods(self) -> DataFrame:
+        return self.stage("two_methods", lambda: self.cluster_both_ways()[0])
+
+    def compare_methods(self) -> DataFrame:
+        both, text, dense = self.cluster_both_ways()
         rows = []
         for name, column, (points, weights) in [("TF-IDF + DBSCAN", "cluster_id_tfidf", text),
                                                 ("MiniLM + DBSCAN", "cluster_id_minilm", dense)]:
@@ -103,3 +122,7 @@ class Inputs:
                 .withColumn("method", F.lit(name))
             )
         return cluster.compare_methods(*rows)
+
+    @cached_property
+    def method_summary(self) -> DataFrame:
+        return self.stage("method_summary", self.compare_methods)

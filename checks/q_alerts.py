@@ -48,7 +48,7 @@ def _(x: Inputs):
 
 @check("C4_cluster_labels", "SELECT window_id, cluster_id, cluster_label FROM alerts", "alerts")
 def _(x: Inputs):
-    return x.alerts.select("window_id", "cluster_id", "cluster_label")
+    return A.attach_labels(x.placed).select("window_id", "cluster_id", "cluster_label")
 
 
 @check("C5_top_window_lines", """SELECT window_id, window_start, round(anomaly_score, 3) AS anomaly_score, anomaly_count, line_id, level, node, template
@@ -62,7 +62,7 @@ def _(x: Inputs):
 
 @check("C6_representative_lines", "SELECT window_id, tier, rep_content, rep_level FROM represented", "represented")
 def _(x: Inputs):
-    return A.alert_lines(x.lines, x.alerts_unclustered).select("window_id", "tier", "rep_content", "rep_level")
+    return A.alert_lines(x.lines, x.bare_alerts).select("window_id", "tier", "rep_content", "rep_level")
 
 
 @check("C7_dominant_lines", dominant_sql("alerts", "cluster_id"), "alerts", "logs")
@@ -89,12 +89,12 @@ def _(x: Inputs):
 
 @check("I11_make_alerts", "SELECT * FROM bare_alerts", "bare_alerts")
 def _(x: Inputs):
-    return x.alerts_unclustered
+    return x.make_alerts()
 
 
 @check("I12_make_alerts_drop_empty", "SELECT * FROM bare2", "bare2")
 def _(x: Inputs):
-    return A.make_alerts(x.lines, x.scores, drop_empty=True)
+    return x.make_alerts(drop_empty=True)
 
 
 @check("H5_severity_band", """SELECT window_id, CASE WHEN anomaly_score >= p95 THEN 'CRITICAL' WHEN anomaly_score >= p85 THEN 'HIGH'
@@ -134,7 +134,7 @@ def _(x: Inputs):
 
 @check("I15b_dbscan_alerts", "SELECT window_id, cluster_id FROM placed", "placed")
 def _(x: Inputs):
-    return x.clustering[0].select("window_id", "cluster_id")
+    return x.cluster_alerts().select("window_id", "cluster_id")
 
 
 @check("I15c_dbscan_min_samples")
@@ -158,7 +158,7 @@ def _(x: Inputs):
 
 @check("I17_cluster_statistics", statistics_sql("placed", "cluster_id"), "placed")
 def _(x: Inputs):
-    return cluster.cluster_statistics(x.clustering[0])
+    return cluster.cluster_statistics(x.placed)
 
 
 @check("I17b_document_statistics", statistics_sql("doc_cl", "cluster_id"), "doc_cl")
@@ -181,7 +181,7 @@ def _(x: Inputs):
 
 @check("I19_cluster_label", "SELECT cluster_id, cluster_label FROM labels", "labels")
 def _(x: Inputs):
-    return A.cluster_labels(x.clustering[0])
+    return A.cluster_labels(x.placed)
 
 
 @check("I19b_own_noise_labels", """SELECT d.doc_id AS window_id, c.cluster_id, CASE WHEN c.cluster_id = -1 THEN 'Unique: ' || left(d.text, 40)
@@ -208,7 +208,7 @@ _NEEDS = ("two_ways", "a2_w", "v2_w", "a2_cl", "v2_cl")
 
 @check("I20_method_comparison", f"SELECT * FROM (WITH m AS ({_METHODS}) {_SUMMARY})", *_NEEDS)
 def _(x: Inputs):
-    return x.method_summary
+    return x.compare_methods()
 
 
 @check("G3_comparison_table", f"""SELECT method, clusters, unique_rows, distinct_groups, printf('%.1f%%', noise_reduction_pct) AS noise_reduction,
@@ -238,7 +238,7 @@ def _(x: Inputs):
         pick("clusters", "Mini").alias("minilm_clusters"), pick("unique_rows", "Mini").alias("minilm_unique"))
     path = scratch_path(x.spark, "comparison")
     documents.write_json_doc(doc, path)
-    total = x.two_methods[0].agg(F.count(F.lit(1)))
+    total = x.two_methods.agg(F.count(F.lit(1)))
     return endpoints.clustering_comparison(documents.read_json_doc(x.spark, path), total, (0.5, 0.6))
 
 
@@ -253,7 +253,7 @@ count(DISTINCT cluster_id) FILTER (cluster_id >= 0) AS clusters, count(*) FILTER
 CASE WHEN total_alerts > 0 THEN round((1 - (clusters + unique_alerts) / total_alerts) * 100, 1) ELSE 0 END AS noise_reduction_pct
 FROM ({_SUMMARY_SQL})""", "placed")
 def _(x: Inputs):
-    return endpoints.alert_summary(x.clustering[0])
+    return endpoints.alert_summary(x.placed)
 
 
 @check("D15_noise_reduction", """SELECT level, CASE WHEN count(*) > 0 THEN round((1 - count(DISTINCT template) / count(*)) * 100, 1) ELSE 0 END AS pct
@@ -285,12 +285,12 @@ def _(x: Inputs):
 def _(x: Inputs):
     from loglens.operators.ranking import value_counts
 
-    return value_counts(x.alerts_unclustered, "severity")
+    return value_counts(x.bare_alerts, "severity")
 
 
 @check("D33_cluster_severities", "SELECT cluster_id, severity, count(*) AS n FROM placed GROUP BY 1, 2", "placed")
 def _(x: Inputs):
-    return x.clustering[0].groupBy("cluster_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return x.placed.groupBy("cluster_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check("F4_alerts_page", """SELECT window_start, window_end, round(a.anomaly_score, 4) AS anomaly_score, severity, top_template, cluster_id,
@@ -302,12 +302,12 @@ def _(x: Inputs):
 
 @check("F4b_alerts_total", "SELECT count(*) AS total FROM bare_alerts WHERE anomaly_score >= 0.2 AND severity = 'LOW'", "bare_alerts")
 def _(x: Inputs):
-    return endpoints.alerts_total(x.alerts_unclustered, "low", 0.2)
+    return endpoints.alerts_total(x.bare_alerts, "low", 0.2)
 
 
 @check("B15_severity_filter", "SELECT window_id FROM bare_alerts WHERE severity = 'MEDIUM'", "bare_alerts")
 def _(x: Inputs):
-    return x.alerts_unclustered.where(filters.severity_is("medium")).select("window_id")
+    return x.bare_alerts.where(filters.severity_is("medium")).select("window_id")
 
 
 @check("F9_sort_inside_cluster", """SELECT cluster_id, window_id, row_number() OVER (PARTITION BY cluster_id ORDER BY anomaly_score DESC, window_id) AS place
@@ -316,7 +316,7 @@ def _(x: Inputs):
     from pyspark.sql import Window
 
     order = Window.partitionBy("cluster_id").orderBy(F.desc("anomaly_score"), "window_id")
-    return x.clustering[0].select("cluster_id", "window_id", F.row_number().over(order).cast("bigint").alias("place"))
+    return x.placed.select("cluster_id", "window_id", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @check("F6b_top_windows_captioned", """SELECT window_id, severity, round(anomaly_score, 3) AS score, anomaly_count, total_logs,
@@ -336,7 +336,7 @@ _DAYS = f"SELECT window_id // 24 AS day, {_BANDS} FROM bare_alerts GROUP BY 1"
 
 def _days(x: Inputs):
     s = F.col("severity")
-    return x.alerts_unclustered.groupBy(F.floor(F.col("window_id") / 24).alias("day")).agg(
+    return x.bare_alerts.groupBy(F.floor(F.col("window_id") / 24).alias("day")).agg(
         *[F.count_if(s == name).alias(short) for name, short in [("CRITICAL", "c"), ("HIGH", "h"), ("MEDIUM", "m"), ("LOW", "l")]])
 
 
@@ -357,7 +357,7 @@ r.severity, round(r.anomaly_score, 3) AS score, r.anomaly_count AS anomaly_lines
 CASE WHEN length(r.rep_content) > 100 THEN left(r.rep_content, 100) || '...' ELSE r.rep_content END AS error_content
 FROM represented r JOIN placed p USING (window_id)""", "represented", "placed")
 def _(x: Inputs):
-    return A.alert_table(x.lines, x.clustering[0])
+    return A.alert_table(x.lines, x.placed)
 
 
 def _headers_sql(alerts: str, cid: str) -> str:
@@ -376,16 +376,16 @@ def _(x: Inputs):
 
 @check("I21c_headers_by_vectors", _headers_sql("two_ways", "cluster_id_minilm"), "two_ways", "logs")
 def _(x: Inputs):
-    return dashboard.cluster_headers(x.lines, x.two_methods[0], "cluster_id_minilm")
+    return dashboard.cluster_headers(x.lines, x.two_methods, "cluster_id_minilm")
 
 
 @check("I21d_relabelled", f"""SELECT b.window_id, b.cluster_id_minilm, m.t AS cluster_label_view FROM two_ways b
 JOIN ({mode_sql('two_ways', 'cluster_id_minilm', 'top_template', 't')}) m USING (cluster_id_minilm)""", "two_ways")
 def _(x: Inputs):
-    return dashboard.relabelled(x.two_methods[0], "cluster_id_minilm").select(
+    return dashboard.relabelled(x.two_methods, "cluster_id_minilm").select(
         "window_id", "cluster_id_minilm", "cluster_label_view")
 
 
 @check("H2b_label_cut", "SELECT window_id, left(top_template, 50) AS short FROM bare_alerts", "bare_alerts")
 def _(x: Inputs):
-    return x.alerts_unclustered.select("window_id", text.truncate(F.col("top_template"), 50).alias("short"))
+    return x.bare_alerts.select("window_id", text.truncate(F.col("top_template"), 50).alias("short"))

@@ -216,7 +216,7 @@ def _(x: Inputs):
 
 @check("I8_predict", "SELECT window_id, anomaly_score, predicted FROM flagged", "flagged")
 def _(x: Inputs):
-    return scoring.predict(stage(x.scored, "scored")).select("window_id", "anomaly_score", "predicted")
+    return scoring.predict(x.stage("scored", lambda: x.scored)).select("window_id", "anomaly_score", "predicted")
 
 
 @check("I9_evidence_filter", "SELECT window_id, predicted, confirmed FROM confirmed", "confirmed")
@@ -289,7 +289,7 @@ def _(x: Inputs):
 
 @check("D13b_quantile_at_data_level", "SELECT round(cut, 9) AS quantile FROM cut", "cut")
 def _(x: Inputs):
-    scored = stage(x.scored, "scored")
+    scored = x.stage("scored", lambda: x.scored)
     level = F.lit(1.0) - scoring.contamination(scored).scalar()
     return ranking.quantile_at(scored, "anomaly_score", level).select(F.round("quantile", 9).alias("quantile"))
 

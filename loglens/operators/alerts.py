@@ -62,7 +62,8 @@ def second_cells(lines: DataFrame, *columns: str) -> DataFrame:
 def window_tops(lines: DataFrame, windows: DataFrame, inclusive_end: bool = False) -> DataFrame:
     """Most frequent template and level per window, anomalous lines going first."""
     cells = second_cells(lines, "template", "level", "is_anomaly")
-    inside = cells.join(windows.select("window_id", "window_end"), "window_id").where(_before_end(inclusive_end))
+    ends = windows.select("window_id", "window_end")
+    inside = spread_join(cells, ends, ["window_id"], by="timestamp").where(_before_end(inclusive_end))
     counts = inside.groupBy("window_id", "template", "level", "is_anomaly").agg(F.sum("n").alias("n"))
     return _mode(counts, "template").join(_mode(counts, "level"), "window_id")
 
@@ -125,8 +126,9 @@ def cluster_labels(alerts: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 
 def attach_labels(alerts: DataFrame, per_row_noise: bool = False, cluster: str = "cluster_id") -> DataFrame:
     """Add ``cluster_label``; optionally each noise alert gets a label of its own. There is
-    one label row per cluster and no size bound on it, so the planner picks the join."""
-    labelled = alerts.join(cluster_labels(alerts, cluster), cluster, "left")
+    one label row per cluster and no size bound on it, so the planner picks the join; a cluster
+    holding most alerts is spread over several tasks."""
+    labelled = spread_join(alerts, cluster_labels(alerts, cluster), [cluster], by="window_id", how="left")
     if per_row_noise:
         own = F.concat(F.lit("Unique: "), text.truncate(F.col("top_template"), 40))
         labelled = labelled.withColumn(

@@ -93,7 +93,7 @@ def cluster_texts(rows: DataFrame, row_id: str, text: str, eps: float = 0.5, min
     model = vectors.tfidf(rows, row_id, text)
     groups = neighbours.text_groups(model.weights, model.points, eps)
     found = stage(dbscan(model.points, groups, eps, min_samples), "clusters")
-    by_text = model.members.join(found.select("point", "cluster_id"), "point").select("text", "cluster_id")
+    by_text = spread_join(model.members, found.select("point", "cluster_id"), ["point"], by="text").drop("point")
     keyed = rows.withColumn("text", F.coalesce(F.col(text), F.lit("unknown")))
     if text == "text":
         return spread_join(keyed, by_text, ["text"], by=row_id), found, model

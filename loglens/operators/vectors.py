@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.functions.text import words
+from loglens.operators.joins import spread_join
 from loglens.session import stage
 
 
@@ -70,7 +71,7 @@ def tfidf(rows: DataFrame, row_id: str, text: str, max_features: int = 500) -> T
         "point", "idx", (F.col("tf") * (F.log((1 + n_rows) / (1 + F.col("df"))) + 1)).alias("w")
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("point")))
-    members = signed.join(points.select("sig", "point"), "sig").select("text", "point")
+    members = spread_join(signed, points.select("sig", "point"), ["sig"], by="doc").select("text", "point")
     return TextVectors(
         vocab,
         raw.select("point", "idx", (F.col("w") / norm).alias("w")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loglens.functions import text, values
 from loglens.operators import filters
 from loglens.operators.alerts import dominant_lines, with_severity
+from loglens.operators.joins import spread_join
 from loglens.operators.ranking import mode_of
 
 
@@ -107,7 +108,7 @@ def relabelled(alerts: DataFrame, cluster: str) -> DataFrame:
     counts = alerts.groupBy(cluster, "top_template").agg(F.count(F.lit(1)).alias("n"))
     labels = mode_of(counts, [cluster], "top_template").select(
         cluster, F.col("top_template").alias("cluster_label_view"))
-    return alerts.join(labels, cluster, "left")
+    return spread_join(alerts, labels, [cluster], by="window_id", how="left")
 
 
 def method_table(summary: DataFrame) -> DataFrame:
