@@ -125,8 +125,10 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
     weights = rows["w"].to_numpy()
+    if len(rows) == 0:
+        return np.zeros((0, max(width, 1)))
     if width == 0:
-        return np.vstack(weights) if len(rows) else np.zeros((0, 1))
+        return np.vstack(weights)
     out = np.zeros((len(rows), width))
     lines = np.repeat(np.arange(len(rows)), [len(i) for i in rows["idx"]])
     out[lines, np.concatenate(rows["idx"].to_numpy())] = np.concatenate(weights)
