@@ -15,6 +15,7 @@ from loglens.session import stage
 
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_CLUSTERED: dict[tuple[str, str, str], tuple] = {}
 
 
 class Inputs:
@@ -96,23 +97,29 @@ class Inputs:
         """Alerts with text clusters and labels."""
         return self.stage("alerts", lambda: A.attach_labels(self.placed))
 
-    def cluster_both_ways(self):
-        """Alerts clustered by text and by a vector column, with both sets of points."""
-        made = self.stage("full_alerts", lambda: self.make_alerts(drop_empty=True).drop("top_level"))
-        slots = self.table("embeddings").select(F.col("vec_id").alias("slot"), "embedding")
-        with_vector = made.withColumn("slot", F.col("window_id") % 100).join(slots, "slot")
-        text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template")
-        dense, dense_points, unit = cluster.cluster_vectors(with_vector, "window_id", "embedding", eps=0.6)
-        both = text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(
-            dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id")
-        return both, (text_points, model.weights), (dense_points, vectors.dense_weights(unit))
-
     @cached_property
+    def both_ways(self) -> tuple[DataFrame, tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+        """Alerts clustered by text and by a vector column, with the points of both (whose
+        copies sit in written tables); clustered once per session and data set."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "both_ways")
+        if key not in _CLUSTERED:
+            made = self.stage("full_alerts", lambda: self.make_alerts(drop_empty=True).drop("top_level"))
+            slots = self.table("embeddings").select(F.col("vec_id").alias("slot"), "embedding")
+            with_vector = made.withColumn("slot", F.col("window_id") % 100).join(slots, "slot")
+            text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template")
+            dense, dense_points, unit = cluster.cluster_vectors(with_vector, "window_id", "embedding", eps=0.6)
+            both = text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(
+                dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id")
+            _CLUSTERED[key] = (stage(both, "both"), (text_points, model.weights),
+                               (dense_points, vectors.dense_weights(unit)))
+        return _CLUSTERED[key]
+
+    @property
     def two_methods(self) -> DataFrame:
-        return self.stage("two_methods", lambda: self.cluster_both_ways()[0])
+        return self.both_ways[0]
 
     def compare_methods(self) -> DataFrame:
-        both, text, dense = self.cluster_both_ways()
+        both, text, dense = self.both_ways
         rows = []
         for name, column, (points, weights) in [("TF-IDF + DBSCAN", "cluster_id_tfidf", text),
                                                 ("MiniLM + DBSCAN", "cluster_id_minilm", dense)]:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as white space in the log format. ``(?U)`` makes the class
-# Unicode-aware; the four separators U+001C..U+001F are not in Java's class.
-SPACE = r"[\s\x1c-\x1f]"
+# The white space characters of the log format (all of Unicode's, and the four
+# separators U+001C..U+001F), as a character class and as a plain list.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES = "".join(chr(c) for c in [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+])
 
 
 def strip(text: Column) -> Column:
-    """Remove white space at both ends (``trim`` would remove plain blanks only)."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    """Remove white space at both ends."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def truncate(text: Column, length: int) -> Column:
@@ -27,7 +31,7 @@ def ellipsize(text: Column, length: int) -> Column:
 def clean_caption(text: Column, length: int = 65) -> Column:
     """Drop hexadecimal constants, squeeze blanks, cut."""
     no_hex = F.regexp_replace(text, "0x[0-9a-fA-F]+", "")
-    return truncate(strip(F.regexp_replace(no_hex, rf"(?U){SPACE}+", " ")), length)
+    return truncate(strip(F.regexp_replace(no_hex, SPACE + "+", " ")), length)
 
 
 def words(text: Column) -> Column:
@@ -36,8 +40,9 @@ def words(text: Column) -> Column:
 
 
 def mask_digits(text: Column) -> Column:
-    """Replace every blank-separated token that holds a digit by a wildcard."""
-    return F.regexp_replace(text, r"\S*[0-9]\S*", "<*>")
+    """Replace every blank-separated token that holds a digit by a wildcard. Matching starts
+    at token starts only, so a long token without digits is scanned once."""
+    return F.regexp_replace(text, r"(?<!\S)\S*?[0-9]\S*", "<*>")
 
 
 def tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions.values import reduction_pct
 from loglens.operators import neighbours, vectors
-from loglens.operators.joins import spread_join
+from loglens.operators.joins import hot_keys, spread_join
 from loglens.operators.ranking import dense_ids
 from loglens.schemas import NOISE
 from loglens.session import stage
@@ -79,7 +79,8 @@ def dbscan(points: DataFrame, groups: neighbours.Groups, eps: float, min_samples
     if min_samples > 2:
         roots = stage(roots.unionByName(neighbours.lowest_core_label(groups, roots, eps)), "roots")
     numbered = dense_ids(roots, "root", "cluster_id")
-    placed_roots = spread_join(roots, numbered, ["root"], by="point").select("point", "cluster_id")
+    crowded = hot_keys(numbered, ["root"], "n")
+    placed_roots = spread_join(roots, numbered, ["root"], by="point", hot=crowded).select("point", "cluster_id")
     return points.select("point", "copies").join(placed_roots, "point", "left").select(
         "point", "copies", F.coalesce(F.col("cluster_id").cast("int"), F.lit(NOISE)).alias("cluster_id")
     )
@@ -93,11 +94,14 @@ def cluster_texts(rows: DataFrame, row_id: str, text: str, eps: float = 0.5, min
     model = vectors.tfidf(rows, row_id, text)
     groups = neighbours.text_groups(model.weights, model.points, eps)
     found = stage(dbscan(model.points, groups, eps, min_samples), "clusters")
-    by_text = spread_join(model.members, found.select("point", "cluster_id"), ["point"], by="text").drop("point")
-    keyed = rows.withColumn("text", F.coalesce(F.col(text), F.lit("unknown")))
-    if text == "text":
-        return spread_join(keyed, by_text, ["text"], by=row_id), found, model
-    return spread_join(keyed, by_text, ["text"], by=row_id).drop("text"), found, model
+    ids = found.select("point", "cluster_id")
+    by_text = spread_join(model.members, ids, ["point"], by="text", hot=model.hot_points).drop("point")
+    hot = hot_keys(model.members, ["text"], "copies")
+    keyed = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("unknown")))
+    joined = spread_join(
+        keyed, by_text.select(F.col("text").alias("_text"), "cluster_id"), ["_text"], by=row_id,
+        hot=hot.select(F.col("text").alias("_text")))
+    return joined.drop("_text"), found, model
 
 
 def cluster_vectors(rows: DataFrame, row_id: str, vector: str, eps: float = 0.4, min_samples: int = 2
@@ -108,7 +112,9 @@ def cluster_vectors(rows: DataFrame, row_id: str, vector: str, eps: float = 0.4,
     found = stage(dbscan(points, neighbours.dense_groups(nonzero, eps), eps, min_samples), "clusters")
     keyed = vectors.unit_rows(rows, row_id, vector)
     by_vector = points.select("vec", "point").join(found.select("point", "cluster_id"), "point")
-    return spread_join(keyed, by_vector.select("vec", "cluster_id"), ["vec"], by=row_id).drop("vec"), found, points
+    joined = spread_join(
+        keyed, by_vector.select("vec", "cluster_id"), ["vec"], by=row_id, hot=hot_keys(points, ["vec"], "copies"))
+    return joined.drop("vec"), found, points
 
 
 def silhouette(found: DataFrame, weights: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loglens.functions import text
 from loglens.schemas import NO_NODE, VALID_LEVELS
 
-_GAP = rf"(?U){text.SPACE}+"
+_GAP = text.SPACE + "+"
 
 
 def _field(parts: Column, position: int) -> Column:

@@ -83,11 +83,13 @@ def dense_ids(values: DataFrame, key: str, out: str, start: int = 0) -> DataFram
 
     The keys are range-partitioned and written once with their partition number, so that the
     numbering cannot move if a task is repeated; offsets come from one row per partition.
+    Column ``n`` counts the rows of each key.
     """
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stage(
-        values.select(key).distinct().repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()),
+        values.groupBy(key).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, key)
+        .withColumn("part", F.spark_partition_id()),
         "ids",
     )
     # One row per partition: bounded by the shuffle width.
@@ -97,7 +99,7 @@ def dense_ids(values: DataFrame, key: str, out: str, start: int = 0) -> DataFram
     )
     place = F.row_number().over(Window.partitionBy("part").orderBy(key))
     return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select(
-        key, (F.col("offset") + F.col("place") - 1 + start).alias(out)
+        key, (F.col("offset") + F.col("place") - 1 + start).alias(out), "n"
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.functions import text
-from loglens.operators.joins import spread_join
+from loglens.operators.joins import hot_keys, spread_join
 from loglens.operators.ranking import dense_ids
 from loglens.session import python_width, stage
 
@@ -33,11 +33,12 @@ def mask_templates(lines: DataFrame) -> DataFrame:
     """Add ``template`` (digit-bearing tokens masked) and ``event_id`` (its rank from 1)."""
     masked = lines.withColumn("template", text.mask_digits(F.col("content")))
     ids = dense_ids(masked, "template", "event_id", start=1)
-    return spread_join(masked, ids, ["template"], by="line_id")
+    hot = hot_keys(ids, ["template"], "n")
+    return spread_join(masked, ids.drop("n"), ["template"], by="line_id", hot=hot)
 
 
 def _patterns(lines: DataFrame) -> DataFrame:
-    pattern = text.mask_digits(F.regexp_replace(text.strip(F.col("content")), rf"(?U){text.SPACE}+", " "))
+    pattern = text.mask_digits(F.regexp_replace(text.strip(F.col("content")), text.SPACE + "+", " "))
     return lines.select("line_id", pattern.alias("pattern"))
 
 
@@ -106,7 +107,8 @@ def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_childre
                    leaf_limit: int = LEAF_LIMIT) -> DataFrame:
     """(line_id, event_id, template) for every line; ids count from 1 by first appearance."""
     keyed = _patterns(lines)
-    patterns = stage(keyed.groupBy("pattern").agg(F.min("line_id").alias("first_line")), "patterns")
+    patterns = stage(
+        keyed.groupBy("pattern").agg(F.min("line_id").alias("first_line"), F.count(F.lit(1)).alias("n")), "patterns")
     leaves = _leaves(patterns, max_children, leaf_limit)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,8 +137,11 @@ def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_childre
         "templates",
     )
     ids = dense_ids(merged, "cluster_line", "event_id", start=1)
-    table = spread_join(merged, ids, ["cluster_line"], by="pattern").select("pattern", "event_id", "template")
-    return spread_join(keyed, table, ["pattern"], by="line_id").select("line_id", "event_id", "template")
+    crowded = hot_keys(ids, ["cluster_line"], "n")
+    table = spread_join(merged, ids, ["cluster_line"], by="pattern", hot=crowded).select(
+        "pattern", "event_id", "template")
+    hot = hot_keys(patterns, ["pattern"], "n")
+    return spread_join(keyed, table, ["pattern"], by="line_id", hot=hot).select("line_id", "event_id", "template")
 
 
 def with_mined_templates(parsed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.functions.text import words
-from loglens.operators.joins import spread_join
+from loglens.operators.joins import hot_keys, spread_join
 from loglens.session import stage
 
 
@@ -22,7 +22,8 @@ class TextVectors:
     vocabulary: DataFrame  # word, idx, df, n        (at most max_features rows, rare words first)
     weights: DataFrame     # point, idx, w           (unit length per point)
     points: DataFrame      # point, copies           (points without vocabulary words included)
-    members: DataFrame     # text, point
+    members: DataFrame     # text, copies, point
+    hot_points: DataFrame  # point                   (points with a large share of the rows)
 
 
 def distinct_texts(rows: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -71,12 +72,14 @@ def tfidf(rows: DataFrame, row_id: str, text: str, max_features: int = 500) -> T
         "point", "idx", (F.col("tf") * (F.log((1 + n_rows) / (1 + F.col("df"))) + 1)).alias("w")
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("point")))
-    members = spread_join(signed, points.select("sig", "point"), ["sig"], by="doc").select("text", "point")
+    hot = hot_keys(points, ["sig", "point"], "copies")
+    members = spread_join(signed, points.select("sig", "point"), ["sig"], by="doc", hot=hot.select("sig"))
     return TextVectors(
         vocab,
         raw.select("point", "idx", (F.col("w") / norm).alias("w")),
         points.select("point", "copies"),
-        members,
+        members.select("text", "copies", "point"),
+        hot.select("point"),
     )
 
 

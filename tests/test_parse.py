@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from loglens.functions import text
 from loglens.operators import parse
 from loglens.sources.raw import numbered_lines, read_raw_log
 
@@ -17,6 +19,7 @@ GOLDEN = [
     ("- 99999999999999999999 d n t n2 RAS K INFO a", "reject"),
     ("- 1 d n t n2 RAS K INFO a", "full"),
     ("  - 1 d n t n2 RAS K INFO a  b \t", "full"),
+    ("\u3000- 1 d n t n2\u00a0RAS K INFO\u2003a\x1c", "full"),
 ]
 
 
@@ -38,11 +41,20 @@ def test_golden_fields(lines):
     assert (rows[3].level, rows[3].content) == ("WARN", "y")
     assert rows[4].level == "WARNING" and rows[4].content == "z z"
     assert rows[12].content == "a  b"
+    assert rows[13].content == "a"
+
+
+def test_white_space_is_that_of_python(spark):
+    chars = [chr(c) for c in range(1, 0x3100)]
+    df = spark.createDataFrame([(ord(c), f"{c}x{c}", f"a{c}b") for c in chars], "c int, s string, t string")
+    got = df.select("c", (F.length(text.strip(F.col("s"))) == 1).alias("s"),
+                    (F.size(F.split("t", text.SPACE)) == 2).alias("t")).collect()
+    assert {r.c for r in got if r.s} == {r.c for r in got if r.t} == {ord(c) for c in chars if c.isspace()}
 
 
 def test_report_and_bad_levels(lines):
     report = parse.parse_report(lines).first()
-    assert (report.total_parsed, report.skipped) == (7, 5)
+    assert (report.total_parsed, report.skipped) == (8, 5)
     # A short line also has ten tokens; the listing then shows its first content word as level.
     bad = parse.bad_level_lines(lines).collect()
     assert [(r.line_num, r.captured_level) for r in bad] == [(1, "ciod:"), (8, "DEBUG")]
