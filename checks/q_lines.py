@@ -255,6 +255,12 @@ def _(x: Inputs):
 _PAGE = "line_id, date, node, level, is_anomaly, template, content"
 
 
+@check("F1_sort_by_time", "SELECT timestamp, line_id, level FROM logs ORDER BY timestamp, line_id", "logs")
+def _(x: Inputs):
+    """Only as an explicit output: windowing itself needs no order."""
+    return x.logs.orderBy("timestamp", "line_id").select("timestamp", "line_id", "level")
+
+
 @check("F2_logs_page", f"""SELECT {_PAGE} FROM logs WHERE level = 'SEVERE' AND content ILIKE '%error on shard%'
 ORDER BY line_id LIMIT 100 OFFSET 40""", "logs")
 def _(x: Inputs):

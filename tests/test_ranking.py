@@ -39,3 +39,19 @@ def test_page_limits(spark):
         except ValueError:
             continue
         raise AssertionError("limit accepted")
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir, tmp_path, capsys):
+    from checks import inputs
+    from loglens.schemas import PARSED
+    from loglens.sources import tables
+
+    path = str(tmp_path / "parsed")
+    tables.write_table(inputs.logs(spark, sf_dir), path)
+    parsed = tables.read_table(spark, path, PARSED)
+    endpoints.logs_total(parsed, level="FATAL", anomaly_only=True).explain()
+    plan = capsys.readouterr().out
+    assert "EqualTo(level,FATAL)" in plan and "EqualTo(is_anomaly,1)" in plan
+    assert "ReadSchema: struct<is_anomaly:int,level:string>" in plan
+    endpoints.logs_page(parsed, level="FATAL").explain()
+    assert "TakeOrderedAndProject" in capsys.readouterr().out
