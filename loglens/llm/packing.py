@@ -15,9 +15,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import ChainMap
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -30,56 +32,90 @@ SEQUENCE, SEPARATOR = 4096, 1
 #: Open sequences of a shard, and pieces that a shard packs. Both bound memory, not the result.
 OPEN, SHARD_PIECES = 1024, 40_000
 #: Words whose ids a worker keeps; the memory of ids starts anew when it is full.
-_KNOWN, _LONG_WORD = 200_000, 64
+_KNOWN, _LONG_WORD = 1_000_000, 64
+#: New words encoded at once, and characters of the texts that are split at once.
+_AT_ONCE, _GROUP = 500, 1_000_000
 #: Python's ``split`` cuts at these, the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 PIECES = "length int, start bigint, piece int, ids_crc32 bigint"
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+class WordEncoder:
     """Encodes texts to ids, each four bytes, little end first.
 
     The vocabulary never joins text across white space, so words are encoded by themselves and
-    their ids are kept; a last comma or full stop after letters is a token of its own.
+    their ids are kept; a last comma or full stop after letters is a token of its own. New words of
+    letters alone are encoded many at a time: each ends with the only token that ends a word.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def plain(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self.plain([",", "."])))
 
-    ends = dict(zip(",.", plain([",", "."])))
+    def plain(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
         out = []
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                out.extend(plain([text]))
+        for at in range(0, len(words), _AT_ONCE):
+            some = words[at : at + _AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) != len(some):  # the two libraries see different letters
+                out.extend(self.plain(some))
                 continue
-            words = (text.lower() if text.isascii() else text).split()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                if len(known) + len(new) > _KNOWN:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                bare = {w: w[:-1] if w[-1] in ends and w[:-1].isalpha() else w for w in new}
-                roots = list(dict.fromkeys(bare.values()))
-                ids = dict(zip(roots, plain(roots)))
-                here = {w: ids[b] if len(b) == len(w) else ids[b] + ends[w[-1]] for w, b in bare.items()}
-                known.update((w, x) for w, x in here.items() if len(w) <= _LONG_WORD)
-                if any(len(w) > _LONG_WORD for w in new):
-                    out.append(b"".join(known[w] if w in known else here[w] for w in words))
-                    continue
-            out.append(b"".join(map(known.__getitem__, words)))
+            packed = ids.tobytes()
+            out.extend(packed[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))
         return out
 
-    return encode
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Keep the ids of new words; those of very long ones are only returned."""
+        bare = {w: w[:-1] if w[-1] in self.marks and w[:-1].isalpha() else w for w in words}
+        roots = set(bare.values())
+        simple = [w for w in roots if w.isalpha()]
+        other = [w for w in roots if not w.isalpha()]
+        ids = dict(zip(simple, self.letters(simple)))
+        ids.update(zip(other, self.plain(other)))
+        found = {w: ids[b] if len(b) == len(w) else ids[b] + self.marks[w[-1]] for w, b in bare.items()}
+        long = {w: found.pop(w) for w in words if len(w) > _LONG_WORD}
+        self.known.update(found)
+        return long
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _ODD_SPACE.search(t) else (t.lower() if t.isascii() else t).split() for t in texts]
+        new = set().union(*[w for w in split if w]).difference(self.known)
+        if len(self.known) + len(new) > _KNOWN:
+            self.known.clear()
+            new = set().union(*[w for w in split if w])
+        long = self.learn(new)
+        ids = ChainMap(self.known, long) if long else self.known
+        return [self.plain([t])[0] if w is None else b"".join(map(ids.__getitem__, w)) for t, w in zip(texts, split)]
+
+    def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, read in groups of bounded size."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= _GROUP:
+                yield from self.encode(group)
+                group, size = [], 0
+        yield from self.encode(group)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text",
@@ -89,11 +125,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     end, step = separator.to_bytes(4, "little"), 4 * sequence
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_encoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
             rows = []
-            for key, value in zip(batch["doc_id"], batch["text"]):
-                ids = encode([value or ""])[0] + end
+            for key, ids in zip(batch["doc_id"], encoder.stream(t or "" for t in batch["text"])):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((key, len(part) // 4, at // 4, k, zlib.crc32(part)))

@@ -64,7 +64,7 @@ def whole(texts):
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="abÉ ,.'sS1\n\t\x1ć̱Hİ", max_size=80)))
 def test_words_alone_give_the_ids_of_the_text(text):
-    ids = packing.word_encoder(P.path("word_bpe_49k.json"))([text])[0]
+    ids = packing.word_encoder(P.path("word_bpe_49k.json")).encode([text])[0]
     assert np.frombuffer(ids, dtype="<u4").tolist() == whole([text])[0]
 
 
