@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import bpe, packing
+from loglens.llm import bpe, chat, fingerprint, language, packing, rules, secret_scan, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,11 +27,41 @@ def query(name: str, source: str = "documents", sql: str | None = None):
     return register
 
 
+@query("op2_lempel_ziv_fingerprint")
+def op2(docs: DataFrame) -> DataFrame:
+    return fingerprint.with_edits(docs)
+
+
+@query("op3_hierarchical_language")
+def op3(docs: DataFrame) -> DataFrame:
+    return language.identified(docs, language.fit(docs))
+
+
+@query("op4_weak_label_quality")
+def op4(docs: DataFrame) -> DataFrame:
+    return weak_quality.scored(docs, weak_quality.fit(docs))
+
+
+@query("op5_quality_rules", sql=rules.sql())
+def op5(docs: DataFrame) -> DataFrame:
+    return rules.judged(docs)
+
+
+@query("op7_chat_prefix_targets", "conversations", sql=chat.SQL)
+def op7(turns: DataFrame) -> DataFrame:
+    return chat.digest(chat.examples(chat.with_marker_turns(turns)))
+
+
 @query("op8_byte_bpe")
 def op8(docs: DataFrame) -> DataFrame:
     return bpe.round_trip(docs)
 
 
+@query("op9_secret_scan")
+def op9(docs: DataFrame) -> DataFrame:
+    return secret_scan.scanned(docs)
+
+
 @query("op10_best_fit_packing")
 def op10(docs: DataFrame) -> DataFrame:
     return packing.packed_documents(docs)
