@@ -18,6 +18,7 @@ prediction ``und``; repeated rows are predicted once each; other columns are ign
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -96,11 +97,11 @@ def fit_machine(x: np.ndarray, sign: np.ndarray, penalty: float = PENALTY, steps
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     share = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(x.dtype)
     w = np.zeros(x.shape[1], dtype=x.dtype)
-    ahead, momentum, rate = w, 1.0, 1 / (4 + penalty)
+    pull, ahead, momentum, rate = share * sign, w, 1.0, 1 / (4 + penalty)
     for _ in range(steps):
         slack = np.maximum(0, 1 - sign * (x @ ahead))
-        new = ahead - rate * (penalty * ahead - 2 * x.T @ (share * sign * slack))
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        new = ahead - rate * (penalty * ahead - 2 * ((pull * slack) @ x))
+        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
     return w
 

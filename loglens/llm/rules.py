@@ -50,6 +50,7 @@ RULES = [
     Rule("words with letters", "n_letter_words", "n_words", 70, None),
     Rule("stop words", "n_stop_words", "n_words", 2, None),
     Rule("repeated lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("echoed words", "n_echoed_words", "n_words", None, 20),
     Rule("bullet lines", "n_bullet_lines", "n_lines", None, 90),
     Rule("ellipsis lines", "n_ellipsis_lines", "n_lines", None, 30),
 ]
@@ -90,6 +91,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         (F.length("text") - F.length(_without(F.col("text"), CAPITALS))).alias("n_capitals"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop_words"),
         F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).alias("n_letter_words"),
+        F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))).alias("n_echoed_words"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size(F.filter(trimmed, lambda s: F.substring(s, 1, 1).isin("-", "*", "•"))).alias("n_bullet_lines"),
@@ -152,6 +154,7 @@ m AS (SELECT w.doc_id, 1 AS one, len(words) AS n_words,
   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
   len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words,
   len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+  len(list_filter(list_zip(words, words[2:]), lambda x: x[1] = x[2])) AS n_echoed_words,
   len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   len(list_filter(lines, lambda x: ltrim(x)[1] IN ('-', '*', '•'))) AS n_bullet_lines,
   len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines,

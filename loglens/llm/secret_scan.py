@@ -187,11 +187,15 @@ def _listed(spans: Column) -> Column:
         ":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(rank: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["rank"] == rank))
+
+
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every document."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     found = found_spans(named, ["doc_id"], rate)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
+    count = [_count(k).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
     base = F.filter("spans", lambda s: s["rank"] < 3)
     return found.select("doc_id", *count, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 

@@ -2,8 +2,8 @@
 
 Overlapping heuristic labellers look at each whole text and say good, bad or nothing. Expectation
 maximisation over the counts of their vote patterns, taken from all documents, estimates how often
-each labeller is right about good and about bad texts, and so the probability that a text with a
-given pattern is good. These posterior labels train a linear scorer on hashed features, which then
+each labeller is right about good texts and about each kind of bad ones, and so the probability that
+a text with a given pattern is good. These posterior labels train a linear scorer on hashed features, which then
 scores every document.
 
 The pattern counts are at most 3 to the number of labellers rows. The scorer is fitted on a
@@ -16,6 +16,8 @@ are scored once each; a null id stays null; other columns are ignored by ``score
 
 from __future__ import annotations
 
+import math
+import operator
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 #: Texts of either class that the scorer learns from, about; hashed features; the fit's strength and steps.
 SAMPLE, FEATURES, PENALTY, STEPS = 2000, 4096, 1e-5, 200
 #: Documents with a lower score are rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 ROUNDS = 50
 SYMBOLS = "#*$%&|<>{}[]\\^~=_@"
 # Frequent function words of four languages.
@@ -50,6 +52,7 @@ class Measures(NamedTuple):
     function_words: float
     repeated_lines: float
     letters: float
+    echoes: float
 
 
 def measures(text: str) -> Measures:
@@ -62,7 +65,8 @@ def measures(text: str) -> Measures:
     return Measures(
         len(words), size / n, top / n, sum(map(text.count, SYMBOLS)) / n, (text.count("!") + text.count("?")) / n,
         sum(map(str.isupper, words)) / n, sum(map(FUNCTION_WORDS.__contains__, map(str.lower, words))) / n,
-        1 - len(set(lines)) / max(1, len(lines)), sum(map(str.isalpha, words)) / n)
+        1 - len(set(lines)) / max(1, len(lines)), sum(map(str.isalpha, words)) / n,
+        sum(map(operator.eq, words, words[1:])) / n)
 
 
 def _band(bad_below: float, good_from: float, good_to: float, bad_above: float) -> Callable[[float], int]:
@@ -72,7 +76,7 @@ def _band(bad_below: float, good_from: float, good_to: float, bad_above: float)
 _INF = float("inf")
 #: The labellers: a measure, and where it says bad (-1), good (1) or nothing (0).
 LABELLERS: list[tuple[str, Callable[[float], int]]] = [
-    ("words", _band(10, 30, _INF, _INF)),
+    ("words", _band(4, 30, _INF, _INF)),
     ("word_length", _band(2.2, 3.0, 9.0, 14.0)),
     ("top_share", _band(-1, 0, 0.15, 0.3)),
     ("symbols", _band(-1, 0, 0.05, 0.25)),
@@ -81,42 +85,58 @@ LABELLERS: list[tuple[str, Callable[[float], int]]] = [
     ("function_words", _band(0.01, 0.06, 0.7, 0.9)),
     ("repeated_lines", _band(-1, 0, 0.1, 0.35)),
     ("letters", _band(0.3, 0.6, 1, 2)),
+    ("echoes", _band(-1, 0, 0.05, 0.15)),
 ]
 
 
+#: Labellers that notice the same way of being bad.
+KINDS = [("words",), ("symbols",), ("shouted", "capitals"), ("top_share", "repeated_lines", "echoes"),
+         ("word_length", "function_words", "letters")]
+
+
 def votes(m: Measures) -> str:
     """One character for each labeller: ``-``, ``0`` or ``+``."""
     return "".join("-0+"[label(getattr(m, name)) + 1] for name, label in LABELLERS)
 
 
 class LabelModel(NamedTuple):
-    """Probability of good a priori, and of a right vote on good and bad texts, by labeller."""
+    """A latent kind for each text: good, or bad in one of several ways, since one way of being bad
+    says nothing about the others. ``prior`` has the share of each kind and ``said`` how often each
+    labeller says bad, nothing or good of a text of that kind; given the kind they are independent."""
 
-    prior: float
-    right_on_good: np.ndarray
-    right_on_bad: np.ndarray
+    prior: np.ndarray
+    said: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability of good for rows of votes (-1, 0, 1); the labellers are independent given
-        the class, and when they say nothing tells nothing."""
-        good = np.log(self.prior) + np.where(
-            patterns == 0, 0, np.where(patterns > 0, np.log(self.right_on_good), np.log(1 - self.right_on_good))).sum(axis=1)
-        bad = np.log(1 - self.prior) + np.where(
-            patterns == 0, 0, np.where(patterns < 0, np.log(self.right_on_bad), np.log(1 - self.right_on_bad))).sum(axis=1)
-        return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
+        """Probability of each kind for rows of votes (-1, 0, 1); the first is good."""
+        each = np.log(self.said)[:, np.arange(patterns.shape[1]), patterns + 1]
+        logs = np.log(self.prior) + each.sum(axis=2).T
+        odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    def accuracies(self) -> list[tuple[str, float, float]]:
+        """(labeller, chance that it says bad of a bad text, chance that it doesn't of a good one)."""
+        bad = self.prior[1:] / self.prior[1:].sum()
+        return [(name, float(bad @ self.said[1:, j, 0]), float(1 - self.said[0, j, 0]))
+                for j, (name, _) in enumerate(LABELLERS)]
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation, from the guess that a text is bad if any labeller says so. The
-    estimates are kept off 0 and 1 by one made-up vote each way."""
-    good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
+    """Expectation maximisation. At first a text is good if no labeller says bad, else shared among
+    the kinds of those that do. A few made-up votes keep the estimates off 0 and 1."""
+    kinds = np.zeros((len(patterns), 1 + len(KINDS)))
+    for k, names in enumerate(KINDS, 1):
+        own = [j for j, (name, _) in enumerate(LABELLERS) if name in names]
+        kinds[:, k] = (patterns[:, own] < 0).sum(axis=1)
+    kinds[:, 0] = kinds.sum(axis=1) == 0
+    kinds /= kinds.sum(axis=1, keepdims=True)
     for _ in range(rounds):
-        g, b = counts * good, counts * (1 - good)
+        weight = kinds * counts[:, None]
+        votes_by_kind = np.stack([weight.T @ (patterns == v) for v in (-1, 0, 1)], axis=2)
         model = LabelModel(
-            float((g.sum() + 1) / (counts.sum() + 2)),
-            ((patterns > 0).T @ g + 1) / ((patterns != 0).T @ g + 2),
-            ((patterns < 0).T @ b + 1) / ((patterns != 0).T @ b + 2))
-        good = model.posterior(patterns)
+            (weight.sum(axis=0) + 1) / (counts.sum() + weight.shape[1]),
+            (votes_by_kind + 0.1) / (weight.sum(axis=0)[:, None, None] + 0.3))
+        kinds = model.posterior(patterns)
     return model
 
 
@@ -172,13 +192,13 @@ def fit_scorer(x: np.ndarray, good: np.ndarray, penalty: float = PENALTY, steps:
     bias. Accelerated gradient steps from zero."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     share = good / max(1e-9, 2 * good.sum()) + (1 - good) / max(1e-9, 2 * (1 - good).sum())
-    share /= share.sum()
-    w = np.zeros(x.shape[1])
+    share, good = (share / share.sum()).astype(x.dtype), good.astype(x.dtype)
+    w = np.zeros(x.shape[1], dtype=x.dtype)
     ahead, momentum, rate = w, 1.0, 1.0
     for _ in range(steps):
         said = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
-        new = ahead - rate * (x.T @ (share * (said - good)) + penalty * ahead)
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        new = ahead - rate * ((share * (said - good)) @ x + penalty * ahead)
+        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         ahead, w, momentum = new + (momentum - 1) / following * (new - w), new, following
     return w
 
@@ -208,7 +228,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, width: int =
         return Model(None, None, width)
     patterns, counts = _decoded([r["votes"] for r in seen]), np.array([r["n"] for r in seen], dtype=float)
     labels = fit_labels(patterns, counts)
-    good = dict(zip((r["votes"] for r in seen), labels.posterior(patterns)))
+    good = dict(zip((r["votes"] for r in seen), labels.posterior(patterns)[:, 0].tolist()))
     n_good = sum(r["n"] for r in seen if good[r["votes"]] >= 0.5)
     shares = {True: min(1.0, sample / max(1, n_good)), False: min(1.0, sample / max(1, counts.sum() - n_good))}
     draw = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
