@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import bpe, chat, fingerprint, language, packing, rules, secret_scan, weak_quality
+from loglens.llm import bpe, chat, fingerprint, jaccard, language, packing, rules, secret_scan, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op5(docs: DataFrame) -> DataFrame:
     return rules.judged(docs)
 
 
+@query("op6_ngram_jaccard_join")
+def op6(docs: DataFrame) -> DataFrame:
+    return jaccard.components(docs)
+
+
 @query("op7_chat_prefix_targets", "conversations", sql=chat.SQL)
 def op7(turns: DataFrame) -> DataFrame:
     return chat.digest(chat.examples(chat.with_marker_turns(turns)))
