@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import bpe, chat, fingerprint, jaccard, language, packing, rules, secret_scan, weak_quality
+from loglens.llm import bpe, chat, fingerprint, jaccard, language, packing, rules, secret_scan, surrogates, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,11 @@ def query(name: str, source: str = "documents", sql: str | None = None):
     return register
 
 
+@query("op1_pii_surrogates")
+def op1(docs: DataFrame) -> DataFrame:
+    return surrogates.with_surrogates(docs.select("doc_id", "text"))
+
+
 @query("op2_lempel_ziv_fingerprint")
 def op2(docs: DataFrame) -> DataFrame:
     return fingerprint.with_edits(docs)
