@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ PART = 80
 SCREEN = 10
 #: Bits of the filter that spares sets without a chance the shuffle. What it lets through is joined.
 FILTER_BITS = 1 << 25
+#: Texts whose screen prefixes are read together.
+TOGETHER = 2000
 #: Counts of a shingle stop here: more frequent ones are ordered by their hash.
 HOT = 256
 #: Prefix levels that are weighed against each other.
@@ -92,10 +95,12 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     short form of it and its size."""
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            sets = [shingles(t) for t in batch]
-            keys = [set_key(s) if len(s) else None for s in sets]
-            short = pd.Series([_short(k) if k else 0 for k in keys], dtype="int64")
-            yield pd.DataFrame({"key": keys, "x": short, "n": [len(s) for s in sets]})
+            rows = []
+            for value in batch:
+                s = shingles(value)
+                key = set_key(s) if len(s) else None
+                rows.append((key, _short(key) if key else 0, len(s)))
+            yield pd.DataFrame(rows, columns=["key", "x", "n"])
 
     said = F.pandas_udf(read, "key binary, x bigint, n bigint")(F.col(text))
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), said.alias("s")).select(
@@ -110,7 +115,7 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _flat(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, owner, place among the owners of the shingle), ordered by shingle and owner."""
-    h = np.concatenate(list(sets.values())).view(np.int64)
+    h = np.concatenate(list(sets.values()))
     x = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
     order = np.lexsort((x, h))
     h, x = h[order], x[order]
@@ -118,6 +123,17 @@ def _flat(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, x, np.arange(len(h)) - np.repeat(starts, sizes)
 
 
+def _texts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[str | None]]:
+    """The first column, so many rows at a time: what is made of them is much larger."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.column(0).slice(at, rows).to_pylist()
+
+
+def _rows(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns.values()], list(columns))
+
+
 def _by_shingle(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Rows of one partition, ordered by ``h``, as (h, x, credit, seen) with whole runs of equal
     ``h``. A run longer than ``most`` comes in parts, each behind the first ``most`` rows of the run
@@ -143,24 +159,24 @@ def _by_shingle(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np
 def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(x, credit): how many shingles of its screen prefix a text has in common with others.
 
-    Inside a batch equal sets count once, and a shingle of several texts is sent for two of them
+    Among texts read together equal sets count once, and a shingle of several texts is sent for two of them
     only; what the others have in such shingles is added up and sent as credit, so no shingle is
     hot. Credit may be counted again at the borders of batches, never too low.
     """
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _texts(batches, TOGETHER):
             prefixes: dict[int, np.ndarray] = {}
-            for value in batch["text"]:
+            for value in texts:
                 s = shingles(value)
                 if len(s):
-                    prefixes[_short(set_key(s))] = s[: len(s) - least_common(len(s)) + 1 + len(s) // SCREEN]
+                    prefixes[_short(set_key(s))] = s.view(np.int64)[: len(s) - least_common(len(s)) + 1 + len(s) // SCREEN]
             if not prefixes:
                 continue
             h, x, place = _flat(prefixes)
             sent = place < 2
-            yield pd.DataFrame({"h": h[sent], "x": x[sent], "credit": np.int64(0)})
+            yield _rows(h=h[sent], x=x[sent], credit=np.zeros(sent.sum(), dtype=np.int64))
             met, times = np.unique(x[~sent], return_counts=True)
-            yield pd.DataFrame({"h": met, "x": met, "credit": times})
+            yield _rows(h=met, x=met, credit=times)
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for h, x, credit, _ in _by_shingle(batches, 2):
@@ -172,7 +188,7 @@ def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
             found, times = np.unique(x2[several], return_counts=True)
             yield pd.DataFrame({"x": np.concatenate([found, x[given]]), "credit": np.concatenate([times, credit[given]])})
 
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(read, "h bigint, x bigint, credit bigint")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(read, "h bigint, x bigint, credit bigint")
     met = rows.repartition(width, "h").sortWithinPartitions("h", "x").mapInPandas(detect, "x bigint, credit bigint")
     return met.groupBy("x").agg(F.sum("credit").alias("credit"))
 
@@ -211,18 +227,20 @@ def _candidate_sets(docs: DataFrame, signed: DataFrame, text: str, width: int) -
     passed = stage(sizes.join(credits, "x").where(F.col("credit") >= need).select("x", "key", "n"), "passed")
     chance = Filter(passed, "x")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = {}
-            for value in batch["text"]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _texts(batches, TOGETHER // 4):
+            found: dict[bytes, np.ndarray] = {}
+            for value in texts:
                 s = shingles(value)
-                if len(s):
-                    key = set_key(s)
-                    if key not in found and chance.may_hold(np.array([_short(key)])).all():
-                        found[key] = s.tobytes()
-            yield pd.DataFrame({"key": list(found), "items": list(found.values())}, dtype=object)
-
-    every = docs.select(F.col(text).alias("text")).mapInPandas(read, "key binary, items binary")
+                key = set_key(s) if len(s) else None
+                if key and key not in found and chance.may_hold(np.array([_short(key)]))[0]:
+                    found[key] = s.view(np.int64)
+            ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
+            flat = np.concatenate([*found.values(), np.empty(0, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), type=pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["key", "items"])
+
+    every = docs.select(F.col(text).alias("text")).mapInArrow(read, "key binary, items array<bigint>")
     chosen = every.join(passed.select("key", "n"), "key").dropDuplicates(["key"])
     return stage(chosen.select(F.monotonically_increasing_id().alias("v"), "key", "n", "items"), "sets")
 
@@ -230,17 +248,16 @@ def _candidate_sets(docs: DataFrame, signed: DataFrame, text: str, width: int) -
 def _counted(sets: DataFrame, width: int) -> DataFrame:
     """(v, h, df) for every shingle that several sets have; counts stop at ``HOT``.
 
-    Where ``HOT`` sets of one batch have a shingle its count is settled: that many are sent for it,
-    and the others go straight to the result.
+    Where ``HOT`` sets read together have a shingle its count is settled: that many are sent for
+    it, and the others go straight to the result.
     """
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                h, x, place = _flat({v: np.frombuffer(b, dtype=np.uint64) for v, b in zip(part["v"], part["items"])})
+            for at in range(0, batch.num_rows, TOGETHER // 4):
+                v, items = (c.slice(at, TOGETHER // 4) for c in batch.columns)
+                h, x, place = _flat({k: one.values.to_numpy() for k, one in zip(v.to_pylist(), items)})
                 settled = place >= HOT
-                deal = np.where(settled, x, h)
-                yield pd.DataFrame({"deal": deal, "h": h, "x": x, "credit": np.where(settled, HOT, 0)})
+                yield _rows(deal=np.where(settled, x, h), h=h, x=x, credit=np.where(settled, HOT, 0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for h, x, credit, seen in _by_shingle(batches, HOT):
@@ -248,7 +265,7 @@ def _counted(sets: DataFrame, width: int) -> DataFrame:
             df = np.maximum(np.minimum(np.repeat(sizes, sizes), HOT), credit)
             yield pd.DataFrame({"v": x, "h": h, "df": df})[(df > 1) & (np.arange(len(h)) >= seen)]
 
-    rows = sets.select("v", "items").mapInPandas(read, "deal bigint, h bigint, x bigint, credit bigint")
+    rows = sets.select("v", "items").mapInArrow(read, "deal bigint, h bigint, x bigint, credit bigint")
     return rows.repartition(width, "deal").drop("deal").sortWithinPartitions("h", "x").mapInPandas(
         count, "v bigint, h bigint, df bigint")
 
@@ -326,21 +343,11 @@ def _sizes_fit(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, linked) by whole sets. Each pair carries one of its sets to the other."""
-    def links(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for one, two in zip(a, b):
-            one, two = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
-            if len(one) > len(two):
-                one, two = two, one
-            at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-            common = int((two[at] == one).sum())
-            out.append(100 * common >= PART * (len(one) + len(two) - common))
-        return pd.Series(out, dtype=bool)
-
     items = sets.select("v", "items")
     one = pairs.join(items.select(F.col("v").alias("b"), F.col("items").alias("items_b")), "b")
     two = one.join(items.select(F.col("v").alias("a"), F.col("items").alias("items_a")), "a")
-    return two.select("a", "b", F.pandas_udf(links, "boolean")("items_a", "items_b").alias("linked"))
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    return two.select("a", "b", (100 * common >= PART * (F.size("items_a") + F.size("items_b") - common)).alias("linked"))
 
 
 def links(sets: DataFrame, width: int) -> DataFrame:

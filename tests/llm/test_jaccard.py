@@ -75,6 +75,7 @@ def test_all_pairs(spark, monkeypatch, seed, hot):
 def test_small_batches_and_a_long_run(spark, monkeypatch):
     """One group of near copies over many Arrow batches, with counts that stop early."""
     monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "TOGETHER", 80)
     rng = random.Random(5)
     base = [f"b{rng.randrange(500)}" for _ in range(150)]
     rows = []
