@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +170,8 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         for batch in batches:
             batch["part"] = np.searchsorted(edges, batch["key"], side="right").astype(np.int32)
             batch["guest"] = False
+            # Compressed, as the shuffle moves and sorts every text.
+            batch["text"] = [zstandard.compress(t.encode(), 3) for t in batch["text"]]
             yield batch
             heads = batch[batch["key"].isin(firsts.keys())]
             keep = [k not in sent and not sent.add(k) for k in zip(heads["key"], heads["tie"])]
@@ -197,6 +200,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                     part, current, waiting, over = at, None, None, False
                 if over:
                     continue
+                text = zstandard.decompress(text).decode()
                 if current:
                     step(text)
                 if guest:
@@ -209,7 +213,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             yield made
 
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    dealt = named.mapInPandas(deal, "key bigint, none boolean, text string, tie bigint, part int, guest boolean")
+    dealt = named.mapInPandas(deal, "key bigint, none boolean, text binary, tie bigint, part int, guest boolean")
     return (
         dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("key"), "none", "tie")
         .mapInPandas(read, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
