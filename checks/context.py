@@ -104,8 +104,9 @@ class Inputs:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "both_ways")
         if key not in _CLUSTERED:
             made = self.stage("full_alerts", lambda: self.make_alerts(drop_empty=True).drop("top_level"))
-            slots = self.table("embeddings").select(F.col("vec_id").alias("slot"), "embedding")
-            with_vector = made.withColumn("slot", F.col("window_id") % 100).join(slots, "slot")
+            vectors_ = self.table("embeddings")
+            slots = vectors_.select(F.col("vec_id").alias("slot"), "embedding")
+            with_vector = made.withColumn("slot", F.col("window_id") % vectors_.count()).join(slots, "slot")
             text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template")
             dense, dense_points, unit = cluster.cluster_vectors(with_vector, "window_id", "embedding", eps=0.6)
             both = text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(

@@ -67,7 +67,7 @@ def _(x: Inputs):
 
     n = x.meta.agg(F.count(F.lit(1))).scalar()
     stats = windows.scaler_stats(x.features, n)
-    trees = forest.fit_isolation_forest(x.features, x.meta.select("window_id"), trees=20)
+    trees = forest.fit_isolation_forest(x.features, x.meta.select("window_id"))
     path = scratch_path(x.spark, "model")
     models.save_model(models.Model(trees, stats, stats.select("feature")), path)
     model = models.load_model(x.spark, path)

@@ -178,7 +178,7 @@ CTES |= {
     **tfidf_ctes("a2", "bare2", "window_id", "top_template"),
     **pair_ctes("a2", 0.5),
     **component_ctes("a2", "bare2", "window_id"),
-    "v2_w": (["bare2", "vec_w"], "SELECT b.window_id AS id, v.word, v.w FROM bare2 b JOIN vec_w v ON v.id = b.window_id % 100"),
+    "v2_w": (["bare2", "vec_w"], "SELECT b.window_id AS id, v.word, v.w FROM bare2 b JOIN vec_w v ON v.id = b.window_id % (SELECT count(*) FROM embeddings)"),
     **pair_ctes("v2", 0.6),
     **component_ctes("v2", "bare2", "window_id"),
     "two_ways": (["bare2", "a2_cl", "v2_cl"], """SELECT b.* EXCLUDE (top_level), t.cluster_id AS cluster_id_tfidf, v.cluster_id AS cluster_id_minilm

@@ -19,7 +19,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round moves every vertex to its least neighbour, follows that pointer once more and
     contracts the edges. "Least" is by id in the first round, which finishes stars at once,
     and by a hash from then on, so that a long chain shrinks by a constant factor per round.
-    Every round writes its moves and its remaining edges; no lineage builds up.
+    Every round writes its moves and its remaining edges; no lineage builds up. The joins have one
+    row per key on one side and nothing behind them that needs their keys together, so the planner
+    can split a crowded vertex.
     """
     live = stage(edges.where("a <> b").select("a", "b"), "edges")
     moves: list[DataFrame] = []
@@ -34,10 +36,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = both.groupBy("a").agg(F.min(ranked("b")).alias("near"))
         step = near.select(F.col("a").alias("v"), F.least("near", ranked("a"))["to"].alias("to"))
         ahead = step.select(F.col("v").alias("to"), F.col("to").alias("next"))
-        jump = stage(spread_join(step, ahead, ["to"], by="v").select("v", F.col("next").alias("to")), "moves")
+        jump = stage(step.join(ahead, "to").select("v", F.col("next").alias("to")), "moves")
         moves.append(jump)
-        left = spread_join(live, jump.select(F.col("v").alias("a"), F.col("to").alias("a2")), ["a"], by="b")
-        right = spread_join(left, jump.select(F.col("v").alias("b"), F.col("to").alias("b2")), ["b"], by="a")
+        left = live.join(jump.select(F.col("v").alias("a"), F.col("to").alias("a2")), "a")
+        right = left.join(jump.select(F.col("v").alias("b"), F.col("to").alias("b2")), "b")
         live = stage(
             right.where("a2 <> b2")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(),
@@ -47,10 +49,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("point"), F.col("b").alias("root")).limit(0)
     labels = moves[0].select(F.col("v").alias("point"), F.col("to").alias("rep"))
     for jump in moves[1:]:
-        moved = spread_join(labels, jump.select(F.col("v").alias("rep"), "to"), ["rep"], by="point", how="left")
+        moved = labels.join(jump.select(F.col("v").alias("rep"), "to"), "rep", "left")
         labels = moved.select("point", F.coalesce("to", "rep").alias("rep"))
     roots = labels.groupBy("rep").agg(F.min("point").alias("root"))
-    return spread_join(labels, roots, ["rep"], by="point").select("point", "root")
+    return labels.join(roots, "rep").select("point", "root")
 
 
 def dbscan(points: DataFrame, groups: neighbours.Groups, eps: float, min_samples: int = 2) -> DataFrame:

@@ -115,9 +115,8 @@ def score_windows(features: DataFrame, model: DataFrame) -> DataFrame:
             for start in range(0, len(batch), step):
                 part = batch.iloc[start:start + step]
                 x = np.zeros((len(part), max(1, len(names))))
-                for r, cells in enumerate(part["cells"]):
-                    for cell in cells:
-                        x[r, place[cell["feature"]]] = cell["x"]
+                rows = np.repeat(np.arange(len(part)), part["places"].map(len))
+                x[rows, np.concatenate(part["places"].to_list())] = np.concatenate(part["xs"].to_list())
                 each, total = np.arange(len(part)), np.zeros(len(part))
                 for feature, cut, left, right, path, deepest in trees:
                     at = np.zeros(len(part), dtype=int)
@@ -129,13 +128,13 @@ def score_windows(features: DataFrame, model: DataFrame) -> DataFrame:
                     "anomaly_score": 2.0 ** (-(total / len(trees)) / expected),
                 })
 
-    # A window has at most one cell per model feature.
-    used = features.where(F.col("feature").isin(names)) if len(names) <= 1000 else features.join(
-        F.broadcast(model.select("feature").distinct()), "feature", "left_semi")
-    cells = features.select("window_id").distinct().join(
-        used.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("cells")),
-        "window_id", "left",
-    ).select("window_id", F.coalesce("cells", F.array().cast("array<struct<feature:string,x:double>>")).alias("cells"))
+    # One row per feature of the model, which is bounded; a window has at most one cell for each.
+    known = model.sparkSession.createDataFrame(list(place.items()), "feature string, place int")
+    used = features.join(F.broadcast(known), "feature").groupBy("window_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "x"))).alias("cells"))
+    cells = features.select("window_id").distinct().join(used, "window_id", "left").select(
+        "window_id", F.coalesce("cells.place", F.array().cast("array<int>")).alias("places"),
+        F.coalesce("cells.x", F.array().cast("array<double>")).alias("xs"))
     return cells.mapInPandas(score, "window_id bigint, anomaly_score double")
 
 

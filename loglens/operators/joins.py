@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
-#: A key with more than this share of the rows is hot; there can be at most 256 of them.
+#: A key with more than this share of the rows is hot, or half of a task's even share if less.
 HOT_SHARE = 1 / 256
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str) -> DataFrame:
-    """Keys holding more than ``HOT_SHARE`` of all rows, from a table of counts per key."""
+    """Hot keys, from a table of counts per key: at most 256, or twice the shuffle's width."""
+    width = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = counts.agg(F.sum(n)).scalar()
-    return counts.where(F.col(n) > total * HOT_SHARE).select(*on)
+    return counts.where(F.col(n) > total * min(HOT_SHARE, 0.5 / width)).select(*on)
 
 
 def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner",
@@ -25,8 +26,8 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: s
     partitioning that puts the hot key into one task. When the planner sees that ``small`` is
     small enough it broadcasts it and nothing is shuffled.
 
-    Where ``small`` may be as large as ``big``, the caller passes the ``hot`` keys (at most
-    256, see ``hot_keys``) and only those are repeated.
+    Where ``small`` may be as large as ``big``, the caller passes the ``hot`` keys (few, see
+    ``hot_keys``) and only those are repeated.
     """
     last = F.lit(salts - 1)
     salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")

@@ -133,16 +133,16 @@ def parse_report(lines: DataFrame) -> DataFrame:
     )
 
 
-def bad_level_lines(lines: DataFrame, limit: int = 20, last_line: int = 4_500_000) -> DataFrame:
+def bad_level_lines(lines: DataFrame, limit: int = 20, last_line: int | None = None) -> DataFrame:
     """First lines with ten fields whose level is unknown, for diagnosis.
 
-    ``limit`` and ``last_line`` are the feature: the listing shows the first few offenders
-    up to a line number.
+    The listing shows the first ``limit`` offenders of the whole log, or up to ``last_line``.
     """
+    searched = lines if last_line is None else lines.where(F.col("line_id") <= last_line + 1)
     parts = F.col("parts")
     level = _field(parts, 8)
     return (
-        _split(lines.where(F.col("line_id") <= last_line + 1))
+        _split(searched)
         .where((F.size("parts") == 10) & _digits(_field(parts, 1)) & ~level.isin(VALID_LEVELS))
         .orderBy("line_id")
         .limit(limit)

@@ -2,17 +2,17 @@
 
 Mining works on distinct masked patterns. Patterns meet in a *leaf* (token count and first
 token) and are merged there in order of first appearance, so the result depends on the log
-alone. A leaf with too many patterns is split by further leading tokens until each part is of
-bounded size; as patterns are distinct this always ends.
+alone and not on its size: what a line adds never changes how earlier lines were merged. A leaf is
+read as a stream against an index of its templates; a task holds the templates of one leaf.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.functions import text
@@ -24,9 +24,6 @@ from loglens.session import python_width, stage
 SIMILARITY = 0.3
 MAX_CHILDREN = 100
 WILDCARD = "<*>"
-#: Most patterns merged one by one in a leaf.
-LEAF_LIMIT = 4000
-_OUTPUT_ROWS = 5000
 
 
 def mask_templates(lines: DataFrame) -> DataFrame:
@@ -37,13 +34,13 @@ def mask_templates(lines: DataFrame) -> DataFrame:
     return spread_join(masked, ids.drop("n"), ["template"], by="line_id", hot=hot)
 
 
-def _patterns(lines: DataFrame) -> DataFrame:
-    pattern = text.mask_digits(F.regexp_replace(text.strip(F.col("content")), text.SPACE + "+", " "))
-    return lines.select("line_id", pattern.alias("pattern"))
+def _pattern() -> Column:
+    return text.mask_digits(F.regexp_replace(text.strip(F.col("content")), text.SPACE + "+", " "))
 
 
-def _leaves(patterns: DataFrame, max_children: int, limit: int) -> DataFrame:
-    """Add ``leaf``; no leaf holds more than ``limit`` patterns."""
+def _leaves(patterns: DataFrame, max_children: int) -> DataFrame:
+    """Add ``leaf``: the token count and the first token, if that is among the first
+    ``max_children`` of its token count to appear; else a wildcard."""
     split = patterns.withColumn("tokens", text.tokens(F.col("pattern"))).withColumn("width", F.size("tokens"))
     heads = split.select("width", F.col("tokens")[0].alias("head"), "first_line")
     order = F.row_number().over(Window.partitionBy("width").orderBy("first_line"))
@@ -53,96 +50,85 @@ def _leaves(patterns: DataFrame, max_children: int, limit: int) -> DataFrame:
     )
     keyed = spread_join(split.withColumn("head", F.col("tokens")[0]), kept, ["width", "head"], by="pattern", how="left")
     head = F.when(F.col("own"), F.col("head")).otherwise(F.lit(WILDCARD))
-    leaves = stage(
-        keyed.select("pattern", "first_line", "tokens", "width", F.concat_ws(" ", F.col("width").cast("string"), head).alias("leaf")),
-        "leaves",
-    )
-    depth = 2
-    while True:
-        crowded = stage(
-            leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-            .select("leaf", F.lit(True).alias("crowded")),
-            "crowded",
-        )
-        if crowded.isEmpty():
-            return leaves
-        marked = spread_join(leaves, crowded, ["leaf"], by="pattern", how="left")
-        deeper = F.concat_ws(" ", "leaf", F.lit("/"), F.slice("tokens", 1, depth))
-        leaves = stage(
-            marked.withColumn("leaf", F.when(F.col("crowded"), deeper).otherwise(F.col("leaf"))).drop("crowded"),
-            "leaves",
-        )
-        depth *= 2
-
-
-def _merge_leaf(rows: list[tuple[str, int]], similarity: float) -> Iterator[tuple[str, int, str]]:
-    """(pattern, first line of its template, template) for one leaf, rows in first-line order."""
-    split = [pattern.split(" ") for pattern, _ in rows]
-    words: dict[str, int] = {WILDCARD: 0}
-    coded = np.array([[words.setdefault(t, len(words)) for t in tokens] for tokens in split])
-    names = list(words)
-    made = np.empty_like(coded)
-    owner, count = np.empty(len(rows), dtype=int), 0
-    for at, tokens in enumerate(coded):
-        known = made[:count]
-        same = ((known == tokens) & (known != 0)).sum(axis=1)
-        if count and same.max() >= similarity * len(tokens) - 1e-12:
-            wild = (known == 0).sum(axis=1)
-            best = int(np.lexsort((np.arange(count), -wild, -same))[0])
-            made[best][made[best] != tokens] = 0
+    return keyed.select("pattern", "first_line", F.concat_ws(" ", F.col("width").cast("string"), head).alias("leaf"))
+
+
+class _Leaf:
+    """The templates of one leaf, found by the tokens they have at a place."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.templates: list[list[str]] = []
+        self.first: list[int] = []
+        self.at: dict[tuple[int, str], set[int]] = {}
+
+    def add(self, pattern: str, line: int) -> int:
+        """The first line of the template that the pattern joins: the one with most equal tokens,
+        then most wildcards, then the oldest; a new one if too few are equal."""
+        tokens = pattern.split(" ")
+        same = Counter(k for place in enumerate(tokens) if place[1] != WILDCARD for k in self.at.get(place, ()))
+        if not same and self.similarity * len(tokens) <= 1e-12:
+            same = Counter(dict.fromkeys(range(len(self.templates)), 0))
+        best = max(same, key=lambda k: (same[k], self.templates[k].count(WILDCARD), -k), default=None)
+        if best is None or same[best] < self.similarity * len(tokens) - 1e-12:
+            best = len(self.templates)
+            self.templates.append(tokens)
+            self.first.append(line)
+            for place in enumerate(tokens):
+                self.at.setdefault(place, set()).add(best)
         else:
-            best = count
-            made[count] = tokens
-            count += 1
-        owner[at] = best
-    first: dict[int, int] = {}
-    for at, (_, line) in enumerate(rows):
-        first.setdefault(int(owner[at]), line)
-    for at, (pattern, _) in enumerate(rows):
-        which = int(owner[at])
-        yield pattern, first[which], " ".join(names[c] for c in made[which])
-
-
-def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN,
-                   leaf_limit: int = LEAF_LIMIT) -> DataFrame:
-    """(line_id, event_id, template) for every line; ids count from 1 by first appearance."""
-    keyed = _patterns(lines)
+            known = self.templates[best]
+            for place, token in enumerate(tokens):
+                if known[place] not in (token, WILDCARD):
+                    self.at[place, known[place]].discard(best)
+                    known[place] = WILDCARD
+        return self.first[best]
+
+    def rows(self) -> Iterator[tuple[None, int, str]]:
+        for line, tokens in zip(self.first, self.templates):
+            yield None, line, " ".join(tokens)
+
+
+def with_mined_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN) -> DataFrame:
+    """Add ``event_id`` and ``template`` to lines with a ``line_id`` and ``content``; ids count
+    from 1 by first appearance. Only distinct patterns are merged and joined back."""
+    keyed = lines.withColumn("_pattern", _pattern())
     patterns = stage(
-        keyed.groupBy("pattern").agg(F.min("line_id").alias("first_line"), F.count(F.lit(1)).alias("n")), "patterns")
-    leaves = _leaves(patterns, max_children, leaf_limit)
+        keyed.groupBy(F.col("_pattern").alias("pattern")).agg(
+            F.min("line_id").alias("first_line"), F.count(F.lit(1)).alias("n")), "patterns")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Leaves arrive one after the other; only the current one is held."""
-        leaf, rows, out = None, [], []
+        """Leaves arrive one after the other, patterns in order of first appearance. Rows are a
+        pattern's template, or, behind a leaf, a template's final form."""
+        name, leaf = None, _Leaf(similarity)
         for batch in batches:
+            out = []
             for key, pattern, line in zip(batch["leaf"], batch["pattern"], batch["first_line"]):
-                if key != leaf and rows:
-                    out.extend(_merge_leaf(rows, similarity))
-                    rows = []
-                leaf = key
-                rows.append((pattern, line))
-            if len(out) >= _OUTPUT_ROWS:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        if rows:
-            out.extend(_merge_leaf(rows, similarity))
-        if out:
+                if key != name:
+                    out.extend(leaf.rows())
+                    name, leaf = key, _Leaf(similarity)
+                out.append((pattern, leaf.add(pattern, line), None))
             yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(list(leaf.rows()), columns=columns)
 
     columns = ["pattern", "cluster_line", "template"]
     merged = stage(
-        leaves.select("leaf", "pattern", "first_line").repartition(python_width(lines.sparkSession), "leaf")
+        _leaves(patterns, max_children).repartition(python_width(lines.sparkSession), "leaf")
         .sortWithinPartitions("leaf", "first_line")
         .mapInPandas(merge, "pattern string, cluster_line bigint, template string"),
         "templates",
     )
-    ids = dense_ids(merged, "cluster_line", "event_id", start=1)
-    crowded = hot_keys(ids, ["cluster_line"], "n")
-    table = spread_join(merged, ids, ["cluster_line"], by="pattern", hot=crowded).select(
-        "pattern", "event_id", "template")
-    hot = hot_keys(patterns, ["pattern"], "n")
-    return spread_join(keyed, table, ["pattern"], by="line_id", hot=hot).select("line_id", "event_id", "template")
-
-
-def with_mined_templates(parsed: DataFrame) -> DataFrame:
-    return parsed.join(mine_templates(parsed.select("line_id", "content")), "line_id")
+    members = merged.where("pattern IS NOT NULL").select("pattern", "cluster_line")
+    ids = dense_ids(members, "cluster_line", "event_id", start=1)
+    named = ids.join(merged.where("pattern IS NULL").select("cluster_line", "template"), "cluster_line")
+    crowded = hot_keys(named, ["cluster_line"], "n")
+    table = spread_join(members, named.drop("n"), ["cluster_line"], by="pattern", hot=crowded).select(
+        F.col("pattern").alias("_pattern"), "event_id", "template")
+    hot = hot_keys(patterns, ["pattern"], "n").select(F.col("pattern").alias("_pattern"))
+    return spread_join(keyed, table, ["_pattern"], by="line_id", hot=hot).drop("_pattern")
+
+
+def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN) -> DataFrame:
+    """(line_id, event_id, template) for every line."""
+    return with_mined_templates(lines.select("line_id", "content"), similarity, max_children).select(
+        "line_id", "event_id", "template")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loglens.operators import alerts as A
 from loglens.operators import cluster, evaluate, forest, scoring, templates, windows
 from loglens.operators.parse import parse_lines
+from loglens.session import stage
 from loglens.sources import documents, models, tables
 from loglens.sources.raw import read_raw_log
 
@@ -28,11 +29,8 @@ class Paths:
 def ingest(spark: SparkSession, log: str, out: Paths, mine: bool = True, if_exists: str = "skip") -> DataFrame:
     """Raw log to the ``parsed`` table."""
     def build() -> DataFrame:
-        parsed = parse_lines(read_raw_log(spark, log))
-        if not mine:
-            return templates.mask_templates(parsed)
-        parsed = tables.materialize(spark, out.lines, lambda: parsed, if_exists)
-        return templates.with_mined_templates(parsed)
+        parsed = tables.materialize(spark, out.lines, lambda: parse_lines(read_raw_log(spark, log)), if_exists)
+        return templates.with_mined_templates(parsed) if mine else templates.mask_templates(parsed)
 
     tables.require(spark, log, "the log collector")
     return tables.materialize(spark, out.parsed, build, if_exists)
@@ -41,7 +39,7 @@ def ingest(spark: SparkSession, log: str, out: Paths, mine: bool = True, if_exis
 def measure(spark: SparkSession, out: Paths, if_exists: str = "skip") -> tuple[DataFrame, DataFrame]:
     """``features`` (one row per window) and ``features_long`` (event counts)."""
     parsed = tables.read_table(spark, tables.require(spark, out.parsed, "ingest"))
-    cells = windows.window_cells(parsed)
+    cells = stage(windows.window_cells(parsed), "cells")  # used twice; the log is scanned once
     meta = tables.materialize(spark, out.features, lambda: windows.window_meta(cells), if_exists)
     counts = tables.materialize(spark, out.features_long, lambda: windows.event_counts(cells), if_exists)
     return meta, counts

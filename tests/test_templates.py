@@ -39,15 +39,34 @@ def test_merging_and_first_seen_ids(spark):
     assert got[3] == (3, "open port gamma later on")
 
 
-def test_crowded_leaf_is_split(spark):
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
-    lines = spark.createDataFrame([(i, f"same {w} rest of it") for i, w in enumerate(words)],
-                                  "line_id bigint, content string")
-    whole = templates.mine_templates(lines)
-    assert whole.select("event_id").distinct().count() == 1
-    split = templates.mine_templates(lines, leaf_limit=10)
-    rows = lines.join(split, "line_id").collect()
-    assert len(rows) == 60 and all(_fits(r.content, r.template) for r in rows)
+def _letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+def test_a_crowded_leaf_is_one_template(spark):
+    """5,000 patterns of one leaf: the log and its first half get the same template and id."""
+    rows = [(i, f"same {_letters(i)} rest of it") for i in range(5000)]
+    whole = spark.createDataFrame(rows, "line_id bigint, content string")
+    expected = {(1, "same <*> rest of it")}
+    for lines in (whole, whole.where("line_id < 2500")):
+        mined = templates.mine_templates(lines)
+        assert {(r.event_id, r.template) for r in mined.select("event_id", "template").distinct().collect()} == expected
+        assert mined.count() == lines.count()
+
+
+def test_later_lines_keep_earlier_merges(spark):
+    """Lines that are alike before the log grows are alike afterwards, under the same ids."""
+    rows = [(i, f"{_letters(i % 7)} {_letters(i % 11)} {_letters(i % 5)} {_letters(i)} end") for i in range(600)]
+    lines = spark.createDataFrame(rows, "line_id bigint, content string")
+    ids = [{r.line_id: r.event_id for r in templates.mine_templates(df).collect()} for df in (lines.where("line_id < 300"), lines)]
+    assert all(ids[1][k] == v for k, v in ids[0].items())
+
+
+def test_mining_keeps_columns_and_reads_lines_once(spark):
+    lines = spark.createDataFrame([(0, "a 1", "x"), (1, "a 2", "y")], "line_id bigint, content string, node string")
+    out = templates.with_mined_templates(lines)
+    assert out.columns == ["line_id", "content", "node", "event_id", "template"]
+    assert sorted((r.line_id, r.node, r.template) for r in out.collect()) == [(0, "x", "a <*>"), (1, "y", "a <*>")]
 
 
 def test_few_first_tokens_keep_their_leaf(spark):
