@@ -61,7 +61,8 @@ def _(x: Inputs):
     return tables.read_table(x.spark, path, PARSED)
 
 
-@check("A8_model_tables")
+@check("A8_model_tables", """SELECT t.tree, CAST(least(256, n) AS BIGINT) AS psi, CAST(least(256, n) AS BIGINT) AS leaf_rows, true AS bounded,
+true AS binary_tree FROM (SELECT unnest(range(0, 200)) AS tree) t, (SELECT count(*) AS n FROM meta)""", "meta")
 def _(x: Inputs):
     from loglens.operators import forest
 
@@ -71,8 +72,7 @@ def _(x: Inputs):
     path = scratch_path(x.spark, "model")
     models.save_model(models.Model(trees, stats, stats.select("feature")), path)
     model = models.load_model(x.spark, path)
-    return model.trees.groupBy("tree").agg(
-        F.count(F.lit(1)).alias("nodes"), F.max("psi").alias("psi"), F.max("depth").alias("depth"))
+    return forest.tree_facts(model.trees)
 
 
 @check("A9_stage_reuse", "SELECT window_id, event_id, n FROM counts", "counts")
@@ -242,7 +242,12 @@ def _(x: Inputs):
 
 @check("D32_distinct_sorted", "SELECT DISTINCT level FROM logs ORDER BY 1", "logs")
 def _(x: Inputs):
-    return x.logs.select("level").distinct().orderBy("level")
+    return filters.options(x.logs, "level")
+
+
+@check("D32b_cluster_options", "SELECT DISTINCT cluster_id FROM placed ORDER BY 1", "placed")
+def _(x: Inputs):
+    return filters.options(x.placed, "cluster_id")
 
 
 @check("D12_mode", """SELECT node, template, n FROM (SELECT node, template, count(*) AS n, row_number() OVER (PARTITION BY node
@@ -404,6 +409,18 @@ def _(x: Inputs):
     return templates.mine_templates(keyed).groupBy("event_id", "template").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@check("I1c_mined_facts", "SELECT count(*) AS lines, true AS all_fit, true AS ids_dense FROM logs", "logs")
+def _(x: Inputs):
+    """What mining must keep whatever it merges: every line, in a template that it fits, under dense ids."""
+    mined = templates.with_mined_templates(x.logs.select("line_id", "content"))
+    fits = F.forall(
+        F.zip_with(F.split("pattern", " "), F.split("template", " "), lambda p, t: (t == "<*>") | p.eqNullSafe(t)),
+        lambda same: same)
+    return mined.withColumn("pattern", text.mask_digits(F.col("content"))).agg(
+        F.count(F.lit(1)).alias("lines"), F.bool_and(fits).alias("all_fit"),
+        (F.count_distinct("event_id") == F.max("event_id")).alias("ids_dense"))
+
+
 # --- JSON documents --------------------------------------------------------------------------
 
 

@@ -176,6 +176,20 @@ def _(x: Inputs):
     return model
 
 
+@check("I5c_tree_facts", """SELECT t.tree, CAST(least(256, n) AS BIGINT) AS psi, CAST(least(256, n) AS BIGINT) AS leaf_rows, true AS bounded,
+true AS binary_tree FROM (SELECT unnest(range(0, 200)) AS tree) t, (SELECT count(*) AS n FROM meta)""", "meta")
+def _(x: Inputs):
+    return forest.tree_facts(forest.fit_isolation_forest(stage(x.features, "features"), x.meta.select("window_id")))
+
+
+@check("I6c_score_facts", "SELECT window_id, true AS in_range FROM meta", "meta")
+def _(x: Inputs):
+    features, meta = stage(x.features, "features"), stage(x.meta, "meta")
+    model = stage(forest.fit_isolation_forest(features, meta.select("window_id")), "model")
+    s = F.col("anomaly_score")
+    return forest.score_windows(features, model).select("window_id", ((s > 0) & (s <= 1)).alias("in_range"))
+
+
 @check("I6_score_windows")
 def _(x: Inputs):
     features, meta = stage(x.features, "features"), stage(x.meta, "meta")
@@ -209,6 +223,19 @@ def _(x: Inputs):
     return quality.model_check(probes, evaluate.mean_score_by_class(scores), 0.45, 0.45)
 
 
+@check("J12b_model_verdict", """SELECT unnest(['median_normal_low', 'extreme_high', 'anomalies_above_normals']) AS "check", true AS ok
+FROM (SELECT 1 FROM meta LIMIT 1)""", "meta")
+def _(x: Inputs):
+    """The checks of J12 must hold. Their bounds are 0.45, not the default of the stage: with few lines
+    a window the median normal window lies at 0.36 on these tables."""
+    features, meta = stage(x.features, "features"), stage(x.meta, "meta")
+    model = stage(forest.fit_isolation_forest(features, meta.select("window_id")), "model")
+    stats = windows.scaler_stats(features, meta.agg(F.count(F.lit(1))).scalar())
+    probes = forest.score_external(forest.probe_vectors(features, meta, stats), model)
+    scores = meta.join(forest.score_windows(features, model), "window_id")
+    return quality.model_check(probes, evaluate.mean_score_by_class(scores), 0.45, 0.45).select("check", "ok")
+
+
 @check("I7_contamination", "SELECT greatest(0.01, least(avg(is_anomaly), 0.45))::DOUBLE AS contamination FROM meta", "meta")
 def _(x: Inputs):
     return scoring.contamination(x.meta)
@@ -494,3 +521,24 @@ def _(x: Inputs):
 def _(x: Inputs):
     report = quality.quality_report(x.lines, x.counts, x.meta, x.scores, _metrics(x), low=1, high=50000)
     return quality.verdict(report)
+
+
+@check("J13_damaged_report", """SELECT unnest(['window_count', 'event_coverage', 'event_counts', 'total_logs', 'label_consistency',
+'null_or_negative', 'confusion_total', 'precision', 'truth_count', 'score_range', 'predicted_flags']) AS "check", false AS ok
+FROM (SELECT 1 FROM scores LIMIT 1)""", "scores")
+def _(x: Inputs):
+    """Every table is damaged on purpose, so every check must fail."""
+    one = x.meta.agg(F.min("window_id")).scalar()
+    hit = F.col("window_id") == one
+    counts = x.counts.where("event_id <> 2").withColumn("n", F.col("n") + F.when(F.col("event_id") == 1, 1).otherwise(0))
+    meta = x.meta.withColumns({
+        "total_logs": F.col("total_logs") + F.when(hit, 1).otherwise(0),
+        "is_anomaly": F.when(hit, 1 - F.col("is_anomaly")).otherwise(F.col("is_anomaly")),
+        "unique_nodes": F.when(~hit, F.col("unique_nodes"))})
+    scores = x.scores.withColumns({
+        "anomaly_score": F.when(hit, 5.0).otherwise(F.col("anomaly_score")),
+        "predicted": F.when(hit, 7).otherwise(F.col("predicted"))})
+    metrics = _metrics(x).withColumns({
+        "total_windows": F.col("total_windows") + 1, "anomalous_windows": F.col("anomalous_windows") + 1,
+        "precision_anomaly": F.col("precision_anomaly") + 0.5})
+    return quality.quality_report(x.lines, counts, meta, scores, metrics, low=10**9, high=10**10).select("check", "ok")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,8 @@ def label_mismatch() -> Column:
     """Windows whose truth flag contradicts their anomalous-line count."""
     counted, flag = F.col("anomaly_count"), F.col("is_anomaly")
     return ((counted > 0) & (flag == 0)) | ((counted == 0) & (flag == 1))
+
+
+def options(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in ascending order, nulls left out: what a filter offers."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

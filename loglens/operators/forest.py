@@ -91,6 +91,16 @@ def fit_isolation_forest(features: DataFrame, ids: DataFrame, trees: int = TREES
     return spread.groupBy("tree").applyInPandas(fit, MODEL_SCHEMA)
 
 
+def tree_facts(model: DataFrame) -> DataFrame:
+    """(tree, psi, leaf_rows, bounded, binary_tree): the sample of each tree, the rows in its leaves,
+    whether it is no deeper than allowed, and whether every node has two children or none."""
+    leaf = F.col("feature").isNull()
+    return model.groupBy("tree").agg(
+        F.max("psi").cast("bigint").alias("psi"), F.sum(F.when(leaf, F.col("size")).otherwise(0)).alias("leaf_rows"),
+        (F.max("depth") <= F.max(F.ceil(F.log2(F.greatest("psi", F.lit(2)))))).alias("bounded"),
+        (F.count(F.lit(1)) == 2 * F.count_if(leaf) - 1).alias("binary_tree"))
+
+
 def score_windows(features: DataFrame, model: DataFrame) -> DataFrame:
     """(window_id, anomaly_score in (0, 1]): 2 ^ (-mean path / expected path)."""
     table = model.toPandas().sort_values(["tree", "node"])  # bounded, see the module comment

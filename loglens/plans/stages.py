@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.operators import alerts as A
-from loglens.operators import cluster, evaluate, forest, scoring, templates, windows
+from loglens.operators import cluster, evaluate, forest, quality, scoring, templates, vectors, windows
 from loglens.operators.parse import parse_lines
 from loglens.session import stage
 from loglens.sources import documents, models, tables
@@ -22,7 +22,7 @@ class Paths:
     def __getattr__(self, name: str) -> str:
         if name.startswith("_"):
             raise AttributeError(name)
-        suffix = {"metrics": ".json", "clustering_comparison": ".json", "model": ""}.get(name, ".parquet")
+        suffix = {"metrics": ".json", "clustering_comparison": ".json", "verdict": ".json", "model": ""}.get(name, ".parquet")
         return f"{self.root.rstrip('/')}/{name}{suffix}"
 
 
@@ -80,3 +80,52 @@ def alert(spark: SparkSession, out: Paths, if_exists: str = "skip") -> DataFrame
         return A.attach_labels(clustered)
 
     return tables.materialize(spark, out.alerts, build, if_exists)
+
+
+def compare(spark: SparkSession, out: Paths, embeddings: DataFrame, eps: float = 0.4, text_eps: float = 0.5,
+            if_exists: str = "skip") -> DataFrame:
+    """Cluster the alerts by text and by ``embeddings`` (window_id, embedding); windows without one
+    are left out. Writes ``alerts_two_methods`` and the ``clustering_comparison`` document, and
+    returns the two-row comparison."""
+    parsed = tables.read_table(spark, tables.require(spark, out.parsed, "ingest"))
+    scores = tables.read_table(spark, tables.require(spark, out.scores, "score"))
+    made = tables.materialize(
+        spark, out.alerts_compared,
+        lambda: A.make_alerts(windows.assign_windows(parsed), scores, drop_empty=True).drop("top_level"), if_exists)
+    text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template", text_eps)
+    placed = made.select("window_id").join(embeddings.select("window_id", "embedding"), "window_id")
+    dense, dense_points, unit = cluster.cluster_vectors(placed, "window_id", "embedding", eps)
+    both = tables.materialize(
+        spark, out.alerts_two_methods,
+        lambda: text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(
+            dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id"), if_exists)
+    rows = {}
+    for name, label, points, weights in [("tfidf", "TF-IDF + DBSCAN", text_points, model.weights),
+                                         ("minilm", "MiniLM + DBSCAN", dense_points, vectors.dense_weights(unit))]:
+        rows[name] = stage(
+            cluster.cluster_statistics(both, f"cluster_id_{name}")
+            .withColumn("silhouette", cluster.silhouette(points, weights).scalar()).withColumn("method", F.lit(label)), "summary")
+    halves = [
+        rows[name].select(F.col("silhouette").alias(f"{name}_silhouette"), F.col("clusters").alias(f"{name}_clusters"),
+                          F.col("unique_rows").alias(f"{name}_unique")) for name in rows]
+    documents.write_json_doc(halves[0].join(halves[1]), out.clustering_comparison)  # one row each
+    return cluster.compare_methods(rows["tfidf"], rows["minilm"])
+
+
+def verify(spark: SparkSession, out: Paths, low: int = 1000, high: int = 50000, normal_below: float = 0.35,
+           extreme_above: float = 0.45) -> DataFrame:
+    """Check the written tables and the saved model. Writes ``report`` (one row for each check) and
+    the ``verdict`` document, and returns the report."""
+    parsed = tables.read_table(spark, tables.require(spark, out.parsed, "ingest"))
+    counts = tables.read_table(spark, tables.require(spark, out.features_long, "measure"))
+    scores = tables.read_table(spark, tables.require(spark, out.scores, "score"))
+    meta = tables.read_table(spark, out.features)
+    metrics = documents.read_json_doc(spark, tables.require(spark, out.metrics, "score"))
+    model = models.load_model(spark, out.model)
+    checked = quality.quality_report(windows.assign_windows(parsed), counts, meta, scores, metrics, low, high)
+    probes = forest.score_external(
+        forest.probe_vectors(windows.long_features(counts, meta), meta, model.scaler), model.trees)
+    behaviour = quality.model_check(probes, evaluate.mean_score_by_class(scores), normal_below, extreme_above)
+    report = tables.materialize(spark, out.report, lambda: checked.unionByName(behaviour), "overwrite")
+    documents.write_json_doc(quality.verdict(report), out.verdict)
+    return report

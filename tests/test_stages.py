@@ -45,6 +45,26 @@ def test_finished_stage_is_reused(spark, out):
     assert tables.read_table(spark, out.parsed).inputFiles() == before
 
 
+def test_verify_writes_report_and_verdict(spark, out):
+    report = stages.verify(spark, out, low=1, normal_below=0.45)
+    assert report.count() == 14 and report.where("not ok").count() == 0
+    assert documents.read_json_doc(spark, out.verdict).first().all_ok is True
+
+
+def test_compare_writes_both_clusterings(spark, sf_dir, out):
+    """The windows take the given vectors in turn."""
+    given = inputs.table(spark, sf_dir, "embeddings")
+    windows_ = tables.read_table(spark, out.scores).select("window_id")
+    vectors = windows_.withColumn("vec_id", F.col("window_id") % given.count()).join(given, "vec_id")
+    summary = stages.compare(spark, out, vectors, eps=0.6)
+    assert summary.count() == 2 and summary.where("winner").count() == 1
+    both = tables.read_table(spark, out.alerts_two_methods)
+    assert {"cluster_id_tfidf", "cluster_id_minilm"} <= set(both.columns) and both.count() > 0
+    row = documents.read_json_doc(spark, out.clustering_comparison).first()
+    by = {r.method[:6]: r for r in summary.collect()}
+    assert (row.tfidf_clusters, row.minilm_unique) == (by["TF-IDF"].clusters, by["MiniLM"].unique_rows)
+
+
 def test_missing_input_is_named(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="ingest"):
         stages.measure(spark, stages.Paths(str(tmp_path)))
