@@ -295,8 +295,8 @@ def choose_level(n: int, counts: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(sets: DataFrame, counted: DataFrame, width: int) -> DataFrame:
-    """(h, v, n, least, level): the prefix of every set at its level; ``least`` is the first level
-    whose prefix has the shingle."""
+    """(h, v, n, common, least, level): the prefix of every set at its level; ``common`` counts the
+    shingles that other sets have, ``least`` is the first level whose prefix has this one."""
     sizes = sets.select("v", F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("df"), "n")
     rows = counted.withColumn("n", F.lit(0).cast("bigint")).unionByName(sizes)
 
@@ -323,11 +323,12 @@ def _prefixes(sets: DataFrame, counted: DataFrame, width: int) -> DataFrame:
             if level:
                 alone = size - (b - a - 1)
                 first = np.maximum(1, np.arange(taken) + alone - (size - least_common(size)) + 1)
-                out.append(pd.DataFrame({"h": h[a + 1 : a + 1 + taken], "v": v[a], "n": size, "least": first, "level": level}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["h", "v", "n", "least", "level"], dtype="int64")
+                out.append(pd.DataFrame({"h": h[a + 1 : a + 1 + taken], "v": v[a], "n": size, "common": b - a - 1,
+                                         "least": first, "level": level}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["h", "v", "n", "common", "least", "level"], dtype="int64")
 
     return rows.repartition(width, "v").sortWithinPartitions("v", F.col("n") == 0, "df", "h").mapInPandas(
-        cut, "h bigint, v bigint, n bigint, least bigint, level bigint")
+        cut, "h bigint, v bigint, n bigint, common bigint, least bigint, level bigint")
 
 
 def _matching(pairs: DataFrame) -> DataFrame:
@@ -337,8 +338,9 @@ def _matching(pairs: DataFrame) -> DataFrame:
         "times >= level").select("a", "b")
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return (100 * F.col(a) >= PART * F.col(b)) & (100 * F.col(b) >= PART * F.col(a))
+def _may_link(n: str, common: str, other_n: str, other_common: str) -> Column:
+    """Whether the sets can share enough: all that either shares with anyone, at most."""
+    return (100 + PART) * F.least(common, other_common) >= PART * (F.col(n) + F.col(other_n))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -353,14 +355,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(sets: DataFrame, width: int) -> DataFrame:
     """(a, b): enough links between the sets to connect all that are linked, each verified."""
     prefixes = stage(_prefixes(sets, _counted(sets, width), width), "prefixes")
-    # A leader for each shingle and size class: the set of least number. Sizes that may link are in
-    # one class or in neighbours; across classes the second round looks.
+    # A leader for each shingle and size class: the set with the least share of shingles of its own,
+    # which of a text and its edited copies is the text. Sizes that may link are in one class or in
+    # neighbours; across classes the second round looks.
     classed = prefixes.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PART)))
-    led = classed.groupBy("h", "size").agg(F.min(F.struct("v", "n", "least", "level")).alias("first"))
-    by_leader = classed.join(led, ["h", "size"]).where((F.col("v") > F.col("first.v")) & _sizes_fit("n", "first.n"))
+    share = (1 - F.col("common") / F.col("n")).alias("share")
+    led = classed.groupBy("h", "size").agg(F.min(F.struct(share, "v", "n", "common", "least", "level")).alias("first"))
+    by_leader = classed.join(led, ["h", "size"]).where(
+        (F.col("v") != F.col("first.v")) & _may_link("n", "common", "first.n", "first.common"))
     first = _matching(by_leader.select(
-        F.col("first.v").alias("a"), F.col("v").alias("b"), F.least("level", "first.level").alias("level"),
-        F.greatest("least", "first.least").alias("least")))
+        F.least("v", "first.v").alias("a"), F.greatest("v", "first.v").alias("b"),
+        F.least("level", "first.level").alias("level"), F.greatest("least", "first.least").alias("least")))
     tried = stage(_verified(first, sets), "tried")
     placed = connected_components(tried.where("linked").select("a", "b"))
     roots = prefixes.join(placed.select(F.col("point").alias("v"), "root"), "v", "left").withColumn(
@@ -372,9 +377,9 @@ def links(sets: DataFrame, width: int) -> DataFrame:
         F.max_by("root", F.struct("times", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     open_ = rooted.join(largest, "h")
     few = open_.where("root <> largest").select(
-        "h", *[F.col(c).alias(f"{c}_b") for c in ("v", "n", "least", "level", "root")])
+        "h", *[F.col(c).alias(f"{c}_b") for c in ("v", "n", "common", "least", "level", "root")])
     met = open_.join(few, "h").where(
-        (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("largest")) | (F.col("v") < F.col("v_b"))) & _sizes_fit("n", "n_b"))
+        (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("largest")) | (F.col("v") < F.col("v_b"))) & _may_link("n", "common", "n_b", "common_b"))
     second = _matching(met.select(
         F.least("v", "v_b").alias("a"), F.greatest("v", "v_b").alias("b"), F.least("level", "level_b").alias("level"),
         F.greatest("least", "least_b").alias("least")))
