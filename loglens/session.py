@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -25,7 +28,23 @@ def get_session(
         builder = builder.master(master)
     for key, value in {**_SETTINGS, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context, for those that don't have it installed.
+
+    For a session that was not made by ``get_session``.
+    """
+    context = spark.sparkContext
+    if any(name.endswith("/loglens.zip") for name in context.listFiles):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(SparkFiles.getRootDirectory(), "packed")
+    os.makedirs(place, exist_ok=True)
+    context.addPyFile(shutil.make_archive(os.path.join(place, "loglens"), "zip", os.path.dirname(package), "loglens"))
 
 
 def shared_dir(spark: SparkSession) -> str:
