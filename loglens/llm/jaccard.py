@@ -12,9 +12,10 @@ shingles. The join uses this three times; no step drops a link:
    rare first, and lengthens its prefix as long as that lowers the estimated cost of its candidates
    (pairs that the prefix's counts let expect, and verifications among those with ``m`` matches).
 3. *Candidates.* Per shingle and size class every document is first held against one leader only.
-   Then only documents that are in different components meet, on the shingles they share, where
-   all but the largest component of a shingle are compared with everything. Pairs inside a
-   component are never listed: they can't change it.
+   There the lower of both levels says how many shingles must match. Then only documents that are
+   in different components meet, where all but the largest component of a shingle are compared
+   with everything, at level one on the prefix that the two sizes leave. Pairs inside a component
+   are never listed: they can't change it.
 
 Equal sets are handled once. Every candidate is verified on its whole sets. Sets hold 64-bit hashes.
 
@@ -295,8 +296,9 @@ def choose_level(n: int, counts: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(sets: DataFrame, counted: DataFrame, width: int) -> DataFrame:
-    """(h, v, n, common, least, level): the prefix of every set at its level; ``common`` counts the
-    shingles that other sets have, ``least`` is the first level whose prefix has this one."""
+    """(h, v, n, common, place, least, level): the prefix of every set at its level; ``common`` counts
+    the shingles that other sets have, ``place`` is that of this one in the set's order, from 0, and
+    ``least`` the first level whose prefix has it."""
     sizes = sets.select("v", F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("df"), "n")
     rows = counted.withColumn("n", F.lit(0).cast("bigint")).unionByName(sizes)
 
@@ -324,11 +326,12 @@ def _prefixes(sets: DataFrame, counted: DataFrame, width: int) -> DataFrame:
                 alone = size - (b - a - 1)
                 first = np.maximum(1, np.arange(taken) + alone - (size - least_common(size)) + 1)
                 out.append(pd.DataFrame({"h": h[a + 1 : a + 1 + taken], "v": v[a], "n": size, "common": b - a - 1,
-                                         "least": first, "level": level}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["h", "v", "n", "common", "least", "level"], dtype="int64")
+                                         "place": np.arange(taken) + alone, "least": first, "level": level}))
+        columns = ["h", "v", "n", "common", "place", "least", "level"]
+        return pd.concat(out) if out else pd.DataFrame(columns=columns, dtype="int64")
 
     return rows.repartition(width, "v").sortWithinPartitions("v", F.col("n") == 0, "df", "h").mapInPandas(
-        cut, "h bigint, v bigint, n bigint, common bigint, least bigint, level bigint")
+        cut, "h bigint, v bigint, n bigint, common bigint, place bigint, least bigint, level bigint")
 
 
 def _matching(pairs: DataFrame) -> DataFrame:
@@ -377,12 +380,14 @@ def links(sets: DataFrame, width: int) -> DataFrame:
         F.max_by("root", F.struct("times", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     open_ = rooted.join(largest, "h")
     few = open_.where("root <> largest").select(
-        "h", *[F.col(c).alias(f"{c}_b") for c in ("v", "n", "common", "least", "level", "root")])
+        "h", *[F.col(c).alias(f"{c}_b") for c in ("v", "n", "common", "place", "root")])
+    # At the first shingle that two sets have in common, both must have enough left from there on. So
+    # each linked pair meets on a prefix that is as short as its two sizes allow.
+    left = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
     met = open_.join(few, "h").where(
-        (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("largest")) | (F.col("v") < F.col("v_b"))) & _may_link("n", "common", "n_b", "common_b"))
-    second = _matching(met.select(
-        F.least("v", "v_b").alias("a"), F.greatest("v", "v_b").alias("b"), F.least("level", "level_b").alias("level"),
-        F.greatest("least", "least_b").alias("least")))
+        (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("largest")) | (F.col("v") < F.col("v_b"))) & _may_link("n", "common", "n_b", "common_b")
+        & ((100 + PART) * left >= PART * (F.col("n") + F.col("n_b"))))
+    second = met.select(F.least("v", "v_b").alias("a"), F.greatest("v", "v_b").alias("b")).distinct()
     again = second.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     return stage(tried.where("linked").select("a", "b").unionByName(
         _verified(again, sets).where("linked").select("a", "b")), "links")
