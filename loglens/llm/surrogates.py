@@ -1,9 +1,10 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own kind.
 
-Detected are e-mail addresses, telephone and card numbers, social security numbers, IP addresses
+Detected are e-mail addresses, telephone numbers (behind + or 00, or in national forms with
+separators: North American, Spanish, or behind a trunk 0) and card numbers, social security numbers, IP addresses
 and names of persons (behind a title, or starting with a known given name). A replacement depends on
 the key and the entity alone, and keeps the entity's form: e-mail addresses keep the shape, script
-and case of each character and the top-level domain; numbers keep their punctuation, country code,
+and case of each character and the top-level domain; numbers keep their punctuation, country code or trunk 0,
 network digit and check digit; private addresses stay private; names keep gender, script and case.
 
 Entities are compared in a normal form, so that spellings of one entity share a replacement
@@ -54,13 +55,26 @@ _GIVEN_NAMES = "|".join(form for names in GIVEN.values() for n in names for form
 _TITLES = "|".join(t for titles in TITLES.values() for t in titles)
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)"
+_S = r"[ ./\u00a0\u2011-]"
+#: With a country code: 10 digits after +1; 7 to 15 digits in any grouping; shorter ones with a separator.
+PHONE = (rf"(?<![\w+])\+(?:1{_S}?(?:\(\d{{3}}\)|\d{{3}}){_S}?\d{{3}}{_S}?\d{{4}}(?!\d)|\d{{1,3}}{_S}?\(\d{{1,5}}\)(?:{_S}?\d){{4,11}}(?!\d)"
+         rf"|\d(?:{_S}?\d){{6,14}}(?!\d)|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,4}}(?!\d))")
+#: Without: North American and Spanish groups, a trunk 0 (no date), and 00 for the plus.
+_NO_DIGIT = r"(?<![\w+]|\d[./-])"
+AMERICAN = (rf"{_NO_DIGIT}(?:1[ .-])?(?:\(\d{{3}}\)[ .-]?\d{{3}}[ .-]?\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}"
+            r"|[2-9]\d\d[ /-][2-9]\d\d[ -]\d{4})(?!\d|[.-]\d)")
+SPANISH = rf"{_NO_DIGIT}[6-9]\d(?:\d[ .-]\d\d|[ .-]\d{{3}})(?:[ .-]\d\d){{2}}(?!\d|[.-]\d)"
+TRUNK = (rf"{_NO_DIGIT}(?!\d\d[./ -]\d\d[./ -]\d{{4}}(?!\d)|\d\d[./-]\d\d[./-]\d\d(?!\d|[./-]\d))"
+         rf"(?:\(0[1-9]\d{{0,4}}\){_S}?|(?=(?:\d{_S}?){{9}})0[1-9]\d{{0,4}}{_S})\d(?:{_S}?\d){{4,9}}(?!\d)")
+DOUBLE_0 = rf"{_NO_DIGIT}00[1-9]\d{{0,2}}{_S}(?:\(0\))?\d(?:{_S}?\d){{5,11}}(?!\d)"
+#: Country codes by their length.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\d-])"
 PERSON = (rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN_NAMES}) {_NAME})")
 #: The first that matches at a place counts.
-PII = "|".join([EMAIL, PHONE, IP, SSN, CARD, PERSON])
+PII = "|".join([EMAIL, PHONE, IP, SSN, CARD, AMERICAN, SPANISH, DOUBLE_0, TRUNK, PERSON])
 
 
 def has_pii(text: Column) -> Column:
@@ -83,6 +97,11 @@ def parts(found: Column) -> Column:
         return F.array(F.struct(F.lit(kind).alias("kind"), norm.alias("norm"), found.alias("raw")))
 
     digits = F.regexp_replace(found, r"\D", "")
+    # A number with its country code; "0" stands for an unknown one behind a trunk 0.
+    called = F.regexp_replace(F.regexp_replace(found, r"\(0\)", ""), r"^00|\D", "")
+    national = (F.when(found.rlike(f"^(?:{AMERICAN})$"), F.concat(F.lit("1 1"), F.substring(digits, -10, 10)))
+                .when(found.rlike(f"^(?:{SPANISH})$"), F.concat(F.lit("34 34"), digits))
+                .when(~found.startswith("00"), F.concat(F.lit("0 "), digits)))
     words = F.split(found, " ")
     first, last = _bare(words[0]), F.element_at(words, -1)
     titled = _any_of(first, [t for titles in TITLES.values() for t in titles])
@@ -103,10 +122,12 @@ def parts(found: Column) -> Column:
     ), lambda p: p.isNotNull())
     return (
         F.when(found.contains("@"), one("email", F.lower(found)))
-        .when(found.startswith("+"), one("phone", F.concat(F.regexp_extract(found, r"^\+(\d{1,3})", 1), F.lit(" "), digits)))
+        .when(found.startswith("+"), one("phone", F.concat(F.regexp_extract(called, _COUNTRY, 1), F.lit(" "), called)))
         .when(found.rlike(f"^{IP}$"), one("ip", found))
         .when(found.rlike(f"^{SSN}$"), one("ssn", digits))
-        .when(found.rlike(r"^\d"), one("card", digits))
+        .when(found.rlike(f"^(?:{CARD})$"), one("card", digits))
+        .when(found.rlike(r"^[\d(]"), one("phone", F.coalesce(
+            national, F.concat(F.regexp_extract(called, _COUNTRY, 1), F.lit(" "), called))))
         .otherwise(person))
 
 
@@ -195,15 +216,19 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
     return reduce(DataFrame.unionByName, taken)
 
 
-def _in_form(raw: Column, kind: Column, made: Column) -> Column:
-    """A candidate written as the original is: its punctuation or its case."""
+def _in_form(raw: Column, kind: Column, made: Column, norm: Column) -> Column:
+    """A candidate written as the original is: its punctuation or its case. Of a telephone number the
+    country code is left out where the original has none, and ``(0)`` and a leading 00 stay."""
     number = F.substring_index(made, " ", -1)
+    held = F.when((kind == "phone") & raw.rlike(r"^(?:\+|00)"), F.regexp_replace(
+        F.regexp_replace(raw, r"\(0\)", "(_)"), "^00", "__")).otherwise(raw)
+    left_out = F.length(F.substring_index(norm, " ", -1)) - F.length(F.regexp_replace(held, r"\D", ""))
     numbers = F.aggregate(
-        F.split(raw, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        F.split(held, ""), F.struct(F.lit("").alias("out"), (left_out + 1).alias("at")),
         lambda a, c: F.when(c.rlike(r"\d"), F.struct(
             F.concat(a["out"], F.substring(number, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-        lambda a: a["out"])
+        lambda a: F.translate(a["out"], "_", "0"))
     cased = (F.when(raw == F.upper(raw), F.upper(made)).when(raw == F.lower(raw), made)
              .when(kind == "email", made).otherwise(F.array_join(F.transform(F.split(made, "-"), lambda w: F.initcap(w)), "-")))
     return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "ip", made).otherwise(cased)
@@ -225,7 +250,7 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
         .select("_pii_key", "i", "j", "part.*"))
     known = stage(assigned(split.where("kind IS NOT NULL"), key), "pii_assigned")
     written = split.join(known, ["kind", "norm"], "left").withColumn(
-        "made", F.coalesce(_in_form(F.col("raw"), F.col("kind"), F.col("candidate")), F.col("raw")))
+        "made", F.coalesce(_in_form(F.col("raw"), F.col("kind"), F.col("candidate"), F.col("norm")), F.col("raw")))
     whole = written.groupBy("_pii_key", "i").agg(F.sort_array(F.collect_list(F.struct("j", "made"))).alias("p")).select(
         "_pii_key", "i", F.array_join(F.transform("p", lambda p: p["made"]), " ").alias("made"))
     by_text = whole.groupBy("_pii_key").agg(F.sort_array(F.collect_list(F.struct("i", "made"))).alias("_pii_made"))

@@ -35,6 +35,35 @@ def test_forms_and_coreference(spark):
     assert out[6:] == ["plain 12 text", None, ""]
 
 
+PHONES = [
+    "+14155552671", "+33123456789", "+49 30 12345678", "+91 98765 43210", "(212) 555-0123", "212-555-0123", "212.555.0123",
+    "1-212-555-0123", "+44 (0)20 7946 0958", "0044 20 7946 0958", "030 12345678", "(030) 1234567", "0171/1234567", "01 23 45 67 89",
+    "612 34 56 78", "91 234 56 78", "+1 22 33"]
+
+
+def test_telephone_forms(spark):
+    out = replaced(spark, [f"call {p}, now" for p in PHONES])
+    shape = lambda t: re.sub(r"\d", "9", t)
+    for p, o in zip(PHONES, out):
+        assert o != f"call {p}, now" and shape(o) == shape(f"call {p}, now"), (p, o)
+    assert out[0].startswith("call +1") and out[1].startswith("call +33") and "(0)20" not in out[8] and "+44 (0)" in out[8]
+    assert out[10].startswith("call 0") and out[9].startswith("call 0044")
+
+
+def test_telephone_coreference(spark):
+    out = replaced(spark, ["+12125550123 (212) 555-0123 1-212-555-0123 212.555.0123", "+44 (0)20 7946 0958;+442079460958;0044 20 7946 0958"])
+    a, b, c, d = re.fullmatch(r"\+1(\d{10}) (\(\d{3}\) \d{3}-\d{4}) 1-([\d-]{12}) ([\d.]{12})", out[0]).groups()
+    assert a != "2125550123" and {re.sub(r"\D", "", x) for x in (b, c, d)} == {a}
+    x, y, z = (re.sub(r"\D", "", t.replace("(0)", "")) for t in out[1].split(";"))
+    assert x == y == z[2:] != "442079460958"
+
+
+@pytest.mark.parametrize("text", [
+    "2024-01-15 10:20:30", "01.02.2024 15:42", "05/06/24 12:30", "08.30 09.45", "12 345 678", "v1.212.555.0123.4", "0306406152"])
+def test_numbers_that_are_no_telephone_stay(spark, text):
+    assert replaced(spark, [text]) == [text]
+
+
 def test_key_decides(spark):
     text = ["a.b@c.org +1 (407) 555-7710"]
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, key="other")
