@@ -2,10 +2,12 @@
 
 Detected are e-mail addresses, telephone numbers (behind + or 00, or in national forms with
 separators: North American, Spanish, or behind a trunk 0) and card numbers, social security numbers, IP addresses
-and names of persons (behind a title, or starting with a known given name). A replacement depends on
+and names of persons (behind a title, or starting with a known given name; a name runs over initials,
+particles and capitalised words, six at most, up to the surname, its last word). A replacement depends on
 the key and the entity alone, and keeps the entity's form: e-mail addresses keep the shape, script
 and case of each character and the top-level domain; numbers keep their punctuation, country code or trunk 0,
-network digit and check digit; private addresses stay private; names keep gender, script and case.
+network digit and check digit; private addresses stay private; names keep gender, script,
+case and particles, and initials are shifted in the alphabet.
 
 Entities are compared in a normal form, so that spellings of one entity share a replacement
 (coreference), in all documents: letters without case, numbers without punctuation, and each part of
@@ -21,6 +23,7 @@ starts with ``_pii`` may be among them); an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,12 +51,19 @@ SURNAMES = {
 }
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CYRILLIC, _GREEK, _ACCENTED = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "áâàäåçéêèëíîìïñóôòöúûùü"
+#: The kind of initials, which are shifted in the alphabet by the key and not drawn.
+INITIAL = "initial"
 #: Rounds in which names are drawn from the lists alone; then two or more are joined.
 SINGLE_ROUNDS = 4
 
 _GIVEN_NAMES = "|".join(form for names in GIVEN.values() for n in names for form in (n, n.upper()))
 _TITLES = "|".join(t for titles in TITLES.values() for t in titles)
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = r"(?:[dl]['’])?\p{Lu}[\p{L}'’-]+"
+_INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}(?= )"
+_PARTICLE = (r"d[aeiou]|de l[ae]s?|de los|del|dell[ao]|dalla|degli|dei|d[aeo]s|l[ae]|von|van|(?:von|van) (?:de[nrm]?|het)|von und zu|zu|ter|ten"
+             rf"|a[fv]|bin|ibn|ben|el|al|y(?! (?:{_TITLES}|{_GIVEN_NAMES})(?!\p{{L}}))")
+#: What may stand before the last word of a name, which is the surname.
+_BEFORE = rf"(?:(?:{_NAME}|{_INITIAL}|{_PARTICLE}) ){{0,6}}"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 _S = r"[ ./\u00a0\u2011-]"
 #: With a country code: 10 digits after +1; 7 to 15 digits in any grouping; shorter ones with a separator.
@@ -72,11 +82,20 @@ _COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\d-])"
-PERSON = (rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN_NAMES}) {_NAME})")
+PERSON = (rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? ){{1,3}}|(?:{_GIVEN_NAMES})(?:-{_NAME})? ){_BEFORE}{_NAME}")
 #: The first that matches at a place counts.
 PII = "|".join([EMAIL, PHONE, IP, SSN, CARD, AMERICAN, SPANISH, DOUBLE_0, TRUNK, PERSON])
 
 
+def _shifted(raw: Column, key: str) -> Column:
+    """Initials as other letters of their script, the same for the same letter."""
+    before = after = ""
+    for letters in (_UPPER, "".join(sorted(set(_CYRILLIC.upper())))):
+        by = 1 + int(hashlib.sha256(key.encode()).hexdigest(), 16) % (len(letters) - 1)
+        before, after = before + letters, after + letters[by:] + letters[:by]
+    return F.translate(raw, before, after)
+
+
 def has_pii(text: Column) -> Column:
     """Whether a text holds an entity; most texts are settled by two cheap looks."""
     near = text.contains("@") | text.rlike(r"\d[ .()-]{0,2}\d") | text.rlike(rf"\b(?:{_TITLES}|{_GIVEN_NAMES})\b")
@@ -103,23 +122,32 @@ def parts(found: Column) -> Column:
                 .when(found.rlike(f"^(?:{SPANISH})$"), F.concat(F.lit("34 34"), digits))
                 .when(~found.startswith("00"), F.concat(F.lit("0 "), digits)))
     words = F.split(found, " ")
-    first, last = _bare(words[0]), F.element_at(words, -1)
-    titled = _any_of(first, [t for titles in TITLES.values() for t in titles])
-    given = F.when(titled & (F.size(words) == 3), words[1]).when(~titled, words[0])
-    known_f = _any_of(given, GIVEN["latin f"] + GIVEN["cyrillic f"])
-    known_m = _any_of(given, GIVEN["latin m"] + GIVEN["cyrillic m"])
-    gender = (F.when(_any_of(first, TITLES["f"]), "f").when(_any_of(first, TITLES["m"]), "m")
-              .when(known_f, "f").when(known_m, "m").when(last.rlike("(?:ова|ева|ина|ая)$"), "f").otherwise("m"))
-    script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    titles = [t for held in TITLES.values() for t in held]
+    count = F.size(words)
+    head = F.size(F.filter(words, lambda w, i: (i < count - 1) & _any_of(_bare(w), titles)))
+    names = F.slice(words, head + 1, count)
+    initial = lambda w: w.rlike(r"^(?:\p{Lu}|(?:\p{Lu}\.-?)+)$")
+    whole = lambda w: w.rlike(r"\p{Lu}") & ~initial(w)
+    known = lambda w, *which: _any_of(F.substring_index(w, "-", 1), [n for k in which for n in GIVEN[k]])
+    begins = whole(names[0]) & ((head == 0) | (F.size(F.filter(names, whole)) > 1))
+    titled = lambda which: (head > 0) & F.exists(F.slice(words, 1, head), lambda w: _any_of(_bare(w), TITLES[which]))
+    last = F.element_at(words, -1)
+    gender = (F.when(titled("f"), "f").when(titled("m"), "m").when(begins & known(names[0], "latin f", "cyrillic f"), "f")
+              .when(begins & known(names[0], "latin m", "cyrillic m"), "m").when(last.rlike("(?:ова|ева|ина|ая)$"), "f").otherwise("m"))
     nothing = F.lit(None).cast("string")
-    person = F.filter(F.array(
-        F.when(titled, F.struct(nothing.alias("kind"), nothing.alias("norm"), words[0].alias("raw"))),
-        F.when(given.isNotNull(), F.struct(
-            F.concat(F.lit("given "), script(given), F.lit(" "), gender).alias("kind"), F.lower(given).alias("norm"), given.alias("raw"))),
-        F.struct(
-            F.when(last.rlike(r"\p{IsCyrillic}"), F.concat(F.lit("surname cyrillic "), gender)).otherwise("surname latin n").alias("kind"),
-            F.lower(last).alias("norm"), last.alias("raw")),
-    ), lambda p: p.isNotNull())
+
+    def part(kind: Column, norm: Column, raw: Column) -> Column:
+        return F.struct(kind.alias("kind"), norm.alias("norm"), raw.alias("raw"))
+
+    def named(word: Column, i: Column) -> Column:
+        cyrillic = word.rlike(r"\p{IsCyrillic}")
+        given = ((i == 0) & begins) | ((i < F.size(names) - 1) & known(word, *GIVEN))
+        kind = (F.when(~word.rlike(r"\p{Lu}"), nothing).when(initial(word), INITIAL)
+                .when(given, F.concat(F.lit("given "), F.when(cyrillic, "cyrillic ").otherwise("latin "), gender))
+                .when(cyrillic, F.concat(F.lit("surname cyrillic "), gender)).otherwise("surname latin n"))
+        return part(kind, F.when(kind.isNotNull(), F.lower(word)), word)
+
+    person = F.concat(F.transform(F.slice(words, 1, head), lambda w: part(nothing, nothing, w)), F.transform(names, named))
     return (
         F.when(found.contains("@"), one("email", F.lower(found)))
         .when(found.startswith("+"), one("phone", F.concat(F.regexp_extract(called, _COUNTRY, 1), F.lit(" "), called)))
@@ -248,9 +276,9 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
         listed.select("_pii_key", F.posexplode("found").alias("i", "one"))
         .select("_pii_key", "i", F.posexplode(parts(F.col("one"))).alias("j", "part"))
         .select("_pii_key", "i", "j", "part.*"))
-    known = stage(assigned(split.where("kind IS NOT NULL"), key), "pii_assigned")
+    known = stage(assigned(split.where(F.col("kind") != INITIAL), key), "pii_assigned")
     written = split.join(known, ["kind", "norm"], "left").withColumn(
-        "made", F.coalesce(_in_form(F.col("raw"), F.col("kind"), F.col("candidate"), F.col("norm")), F.col("raw")))
+        "made", F.when(F.col("kind") == INITIAL, _shifted(F.col("raw"), key)).otherwise(F.coalesce(_in_form(F.col("raw"), F.col("kind"), F.col("candidate"), F.col("norm")), F.col("raw"))))
     whole = written.groupBy("_pii_key", "i").agg(F.sort_array(F.collect_list(F.struct("j", "made"))).alias("p")).select(
         "_pii_key", "i", F.array_join(F.transform("p", lambda p: p["made"]), " ").alias("made"))
     by_text = whole.groupBy("_pii_key").agg(F.sort_array(F.collect_list(F.struct("i", "made"))).alias("_pii_made"))

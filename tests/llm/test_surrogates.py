@@ -64,6 +64,24 @@ def test_numbers_that_are_no_telephone_stay(spark, text):
     assert replaced(spark, [text]) == [text]
 
 
+def test_long_names(spark):
+    out = replaced(spark, [
+        "saw Anna Maria Schmidt there; Mr John Paul Jones came; Mr Carlos de la Cruz sat; Mary J. Watson ran; Carlos de la Cruz slept; "
+        "Dr. J.R. Keller wrote; Herr Dr. Weber von der Heide; Anna Schmidt left; Mr Jones, Ms Watson y Anna Cruz.",
+        "Carlos Cruz y Laura Schmidt bailan"])
+    w = r"([A-Z][a-z]+)"
+    found = re.fullmatch(
+        rf"saw {w} {w} {w} there; Mr {w} {w} {w} came; Mr {w} de la {w} sat; {w} ([A-Z])\. {w} ran; {w} de la {w} slept; "
+        rf"Dr\. ([A-Z])\.([A-Z])\. {w} wrote; Herr Dr\. {w} von der {w}; {w} {w} left; Mr {w}, Ms {w} y {w} {w}\.", out[0])
+    assert found, out[0]
+    g = found.groups()
+    assert not {"Schmidt", "Jones", "Cruz", "Watson", "Keller", "Weber", "Heide", "Paul", "Maria"} & set(g)
+    schmidt, jones, cruz, watson = g[2], g[5], g[7], g[10]
+    assert len({schmidt, jones, cruz, watson}) == 4 and g[9] != "J" and g[13] == g[9] and g[14] != "R"
+    assert (g[12], g[19], g[20], g[21], g[23]) == (cruz, schmidt, jones, watson, cruz) and g[0] == g[18] and g[6] == g[11]
+    assert re.fullmatch(rf"{w} {cruz} y {w} {schmidt} bailan", out[1])
+
+
 def test_key_decides(spark):
     text = ["a.b@c.org +1 (407) 555-7710"]
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, key="other")
