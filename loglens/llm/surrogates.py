@@ -13,8 +13,11 @@ Entities are compared in a normal form, so that spellings of one entity share a
 (coreference), in all documents: letters without case, numbers without punctuation, and each part of
 a name by itself. Replacements of different entities differ, and none is an entity of the corpus:
 in rounds, candidates are checked against each other, the accepted ones and the originals, and the
-losers draw again; after a few rounds names are drawn from pairs of names, so a round always exists
-in which all can win.
+losers draw again. After a few rounds the space grows, so that a form with few values can't run out:
+names are joined from two or more, e-mail addresses and telephone numbers get more characters, and
+addresses of 192.168.0.0/16 and 172.16.0.0/12 come from 10.0.0.0/8 (in the end from all addresses).
+What is left after ``MOST_ROUNDS`` rounds is an error; only full spaces of card and social security
+numbers or of all IP addresses could come to that.
 
 Everything is built-in expressions. Defined cases: a null text stays null; texts without an entity
 are returned as they are; repeated rows are a row each; columns of ``docs`` are kept (no name that
@@ -55,6 +58,8 @@ _CYRILLIC, _GREEK, _ACCENTED = "абвгдежзиклмнопрстуфхцчш
 INITIAL = "initial"
 #: Rounds in which names are drawn from the lists alone; then two or more are joined.
 SINGLE_ROUNDS = 4
+#: Rounds after which an address may leave its private or loopback range, and those that end in an error.
+RANGE_ROUNDS, MOST_ROUNDS = 12, 100
 
 _GIVEN_NAMES = "|".join(form for names in GIVEN.values() for n in names for form in (n, n.upper()))
 _TITLES = "|".join(t for titles in TITLES.values() for t in titles)
@@ -187,19 +192,26 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
             F.when(c.rlike("[a-z]"), letter(_LOWER, byte(hashed, i))).when(c.rlike("[A-Z]"), letter(_UPPER, byte(hashed, i)))
             .when(c.rlike(r"\d"), letter(_DIGITS, byte(hashed, i))).when(c.rlike(r"\p{IsCyrillic}"), letter(_CYRILLIC, byte(hashed, i)))
             .when(c.rlike(r"\p{IsGreek}"), letter(_GREEK, byte(hashed, i))).when(c.rlike(r"\p{IsLatin}"), letter(_ACCENTED, byte(hashed, i)))
-            .otherwise(c))), "")
+            .when(c.rlike(r"[\p{L}\p{N}]"), letter(_LOWER, byte(hashed, i))).otherwise(c))), "")
+
+    def longer(letters: str) -> Column:
+        """More characters in each round after the first few: a form with few values can't run out."""
+        return F.concat(F.lit(""), *[letter(letters, byte("_pii_hash", F.lit(63 - i % 64))) for i in range(max(0, attempt - SINGLE_ROUNDS + 1))])
 
     norm = F.col("norm")
     host, top = F.substring_index(norm, "@", -1), F.substring_index(norm, ".", -1)
     email = F.concat(
-        shaped(F.substring_index(norm, "@", 1), "_pii_hash"), F.lit("@"),
+        shaped(F.substring_index(norm, "@", 1), "_pii_hash"), longer(_LOWER), F.lit("@"),
         shaped(F.substring(host, F.lit(1), F.length(host) - F.length(top) - 1), "_pii_host"), F.lit("."), top)
     country = F.substring_index(norm, " ", 1)
     number = F.substring_index(norm, " ", -1)
-    phone = F.concat(country, F.lit(" "), country, shaped(F.substring(number, F.length(country) + 1, F.length(number)), "_pii_hash"))
+    phone = F.concat(country, F.lit(" "), country, shaped(F.substring(number, F.length(country) + 1, F.length(number)), "_pii_hash"), longer(_DIGITS))
     octets = F.split(norm, r"\.")
     private = F.when(octets[0].isin("10", "127"), 1).when((octets[0] == "192") & (octets[1] == "168"), 2).when(
         (octets[0] == "172") & octets[1].try_cast("int").between(16, 31), 2).otherwise(0)
+    if attempt >= SINGLE_ROUNDS:  # the small private ranges may be full: 10.0.0.0/8 is private too
+        octets = F.when(private == 2, F.array(F.lit("10"), *[F.get(octets, i) for i in (1, 2, 3)])).otherwise(octets)
+        private = F.least(private, F.lit(1 if attempt < RANGE_ROUNDS else 0))
     ip = F.array_join(F.transform(octets, lambda o, i: F.when(i < private, o).otherwise(
         (byte("_pii_hash", i) % 254 + 1).cast("string"))), ".")
     body = F.concat(F.substring(norm, 1, 1), shaped(F.substring(norm, F.lit(2), F.length(norm) - 2), "_pii_hash"))
@@ -230,6 +242,8 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
     taken: list[DataFrame] = []
     attempt = 0
     while not left.isEmpty():
+        if attempt == MOST_ROUNDS:
+            raise RuntimeError(f"no surrogates are left for {[r['kind'] for r in left.select('kind').distinct().collect()]}")
         drawn = candidates(left, key, attempt)
         first = drawn.groupBy("kind", "candidate").agg(F.min("norm").alias("norm"))
         free = first.join(originals.select("kind", F.col("norm").alias("candidate")), ["kind", "candidate"], "left_anti")
@@ -256,7 +270,7 @@ def _in_form(raw: Column, kind: Column, made: Column, norm: Column) -> Column:
         lambda a, c: F.when(c.rlike(r"\d"), F.struct(
             F.concat(a["out"], F.substring(number, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-        lambda a: F.translate(a["out"], "_", "0"))
+        lambda a: F.concat(F.translate(a["out"], "_", "0"), F.substring(number, a["at"], F.length(number))))
     cased = (F.when(raw == F.upper(raw), F.upper(made)).when(raw == F.lower(raw), made)
              .when(kind == "email", made).otherwise(F.array_join(F.transform(F.split(made, "-"), lambda w: F.initcap(w)), "-")))
     return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "ip", made).otherwise(cased)

@@ -94,6 +94,25 @@ def test_crowded_names_stay_distinct(spark):
     assert len({t.lower() for t in out}) == len(names) and not set(out) & set(names)
 
 
+def test_full_forms_find_a_way_out(spark):
+    """All values of a form are originals: the space must widen."""
+    hosts = spark.range(254 * 254).selectExpr("'ip' AS kind", "concat('192.168.', id div 254 + 1, '.', id % 254 + 1) AS norm")
+    phones = spark.range(10_000).selectExpr("'phone' AS kind", "concat('7 7', lpad(id, 4, '0')) AS norm")
+    mails = spark.range(676).selectExpr("'email' AS kind", "concat(char(97 + id div 26), '@', char(97 + id % 26), '.com') AS norm")
+    odd = spark.createDataFrame([("email", "日本@例.jp")], "kind string, norm string")
+    got = S.assigned(hosts.unionByName(phones).unionByName(mails).unionByName(odd)).toPandas()
+    assert len(got) == 254 * 254 + 10_000 + 676 + 1 and not got.duplicated(["kind", "candidate"]).any()
+    assert not set(got["candidate"]) & set(got["norm"])
+    assert got[got["kind"] == "ip"]["candidate"].str.match(r"10\.|192\.168\.").all()
+    assert got[got["kind"] == "phone"]["candidate"].str.match(r"7 7\d{5,}").all()
+
+
+def test_longer_numbers_keep_their_form(spark):
+    row = spark.createDataFrame([("+7 11 22", "phone", "7 7334455", "7 71122")], "raw string, kind string, made string, norm string")
+    made = S._in_form(*[row[c] for c in row.columns])
+    assert row.select(made.alias("m")).first().m == "+7 33 4455"
+
+
 def test_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
