@@ -86,7 +86,10 @@ DOUBLE_0 = rf"{_NO_DIGIT}00[1-9]\d{{0,2}}{_S}(?:\(0\))?\d(?:{_S}?\d){{5,11}}(?!\
 _COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\d-])"
+#: Unseparated: every run of 16 digits; other lengths behind a prefix that has cards of that length.
+CARD = (r"(?<![\d-])(?:\d{16}|4\d{12}(?:\d{6})?|3(?:0[0-59]|[689]\d)\d{11}|3[47]\d{13}|(?:6(?:011|4[4-9]\d|5\d\d|2\d\d)|35(?:2[89]|[3-8]\d))\d{13,15}"
+        r"|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15}"
+        r"|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|3\d{3}[ -]\d{6}[ -]\d{4,5})(?![\d-])")
 PERSON = (rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? ){{1,3}}|(?:{_GIVEN_NAMES})(?:-{_NAME})? ){_BEFORE}{_NAME}")
 #: The first that matches at a place counts.
 PII = "|".join([EMAIL, PHONE, IP, SSN, CARD, AMERICAN, SPANISH, DOUBLE_0, TRUNK, PERSON])

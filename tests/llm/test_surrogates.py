@@ -82,6 +82,17 @@ def test_long_names(spark):
     assert re.fullmatch(rf"{w} {cruz} y {w} {schmidt} bailan", out[1])
 
 
+def test_cards_of_other_lengths(spark):
+    kept = "at 1700000000000 and 1700000000000000000, order 98765432101234"
+    out = replaced(spark, [kept, "3782 822463 10005; 378282246310005", "30569309025904 3056 930902 5904", "4222222222222"])
+    assert out[0] == kept
+    a, b = re.fullmatch(r"(3\d{3} \d{6} \d{5}); (\d{15})", out[1]).groups()
+    assert a.replace(" ", "") == b != "378282246310005"
+    a, b = re.fullmatch(r"(3\d{13}) (3\d{3} \d{6} \d{4})", out[2]).groups()
+    assert b.replace(" ", "") == a != "30569309025904"
+    assert re.fullmatch(r"4\d{12}", out[3]) and out[3] != "4222222222222"
+
+
 def test_key_decides(spark):
     text = ["a.b@c.org +1 (407) 555-7710"]
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, key="other")
