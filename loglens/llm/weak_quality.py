@@ -222,15 +222,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, width: int =
             yield pd.Series([votes(measures(t)) for t in batch], dtype=object)
 
     # At most 3 ** len(LABELLERS) rows.
-    seen = texts.select(F.pandas_udf(vote, "string")("text").alias("votes")).groupBy("votes").agg(
-        F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
+    seen = texts.select(F.pandas_udf(vote, "string")("text").alias("votes"), F.xxhash64("text").alias("hash")).groupBy(
+        "votes").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("different")).orderBy("votes").collect()
     if not seen:
         return Model(None, None, width)
     patterns, counts = _decoded([r["votes"] for r in seen]), np.array([r["n"] for r in seen], dtype=float)
     labels = fit_labels(patterns, counts)
     good = dict(zip((r["votes"] for r in seen), labels.posterior(patterns)[:, 0].tolist()))
-    n_good = sum(r["n"] for r in seen if good[r["votes"]] >= 0.5)
-    shares = {True: min(1.0, sample / max(1, n_good)), False: min(1.0, sample / max(1, counts.sum() - n_good))}
+    # The sample is of different texts, so copies must not lower its share.
+    different = {k: sum(r["different"] for r in seen if (good[r["votes"]] >= 0.5) == k) for k in (True, False)}
+    shares = {k: min(1.0, sample / max(1, n)) for k, n in different.items()}
     draw = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

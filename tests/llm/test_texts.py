@@ -118,6 +118,23 @@ def test_quality_follows_labels(spark, sf_dir):
     assert np.mean(good) > 0.93 and np.mean(bad) < 0.2
 
 
+def test_copies_leave_the_samples_full(spark):
+    """A text with many copies must not keep the others of its class or language out of the sample."""
+    rng = np.random.default_rng(3)
+    common = {"en": "the of and to in is that house water people".split(), "de": "der die und das nicht haus wasser leute ist mit".split()}
+    prose = {k: [" ".join(rng.choice(w, 60)) + f" {k}" + "ab"[i % 2] * (1 + i // 2 % 9) for i in range(60)] for k, w in common.items()}
+    junk = [" ".join(rng.choice(["#$%", "&|<", "{}[", "~=_", "@@"], 40)) + f" {i}" for i in range(60)]
+    rows = [(t, "en") for t in junk] + [(junk[0], "en")] * 6000 + [(t, "de") for t in prose["de"]] + [(t, "en") for t in prose["en"]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = weak_quality.fit(docs, sample=40)
+    scores = {r.doc_id: r.score for r in weak_quality.scored(docs.where("doc_id < 60 OR doc_id >= 6060"), model).collect()}
+    assert max(scores[i] for i in range(60)) < weak_quality.LEAST_SCORE < min(s for i, s in scores.items() if i >= 6060)
+    texts = [(t, "de") for t in prose["de"]] + [(t, "en") for t in prose["en"]] + [(prose["en"][0], "en")] * 6000
+    spoken = spark.createDataFrame([(3 * i, *r) for i, r in enumerate(texts)], "doc_id bigint, text string, lang string")
+    found = language.identified(spoken.where("doc_id < 360"), language.fit(spoken, sample=20)).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id < 180 else "en") for r in found)
+
+
 def test_label_model_finds_accuracies():
     """Votes drawn from known accuracies: the estimates and the posterior find them again."""
     rng = np.random.default_rng(3)
