@@ -42,21 +42,29 @@ def examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.coalesce(text, F.lit("")).alias("text"))
     whole = named.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     marked = whole.select("conv_id", F.transform("turns", lambda t: F.struct(
-        F.concat(F.lit(OPEN), escape(t.role), F.lit(BREAK)).alias("head"), escape(t.text).alias("body"),
-        (t.role == TRAINED).alias("trained"))).alias("turns"))
-    places = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get("turns", i).trained)
-    tail = F.when(F.element_at("turns", -1).trained, F.array().cast("array<int>")).otherwise(F.array(F.size("turns")))
-    dealt = marked.select("conv_id", "turns", F.posexplode(F.concat(places, tail)).alias("example", "at"))
-    target = F.get("turns", F.col("at"))
-    context = F.array_join(
-        F.transform(F.slice("turns", 1, F.col("at")), lambda t: F.concat(t.head, t.body, F.lit(END))), "")
-    cut = dealt.select("conv_id", "example", "at", F.size("turns").alias("n"), target.alias("target"), context.alias("context"))
-    answer = F.coalesce(F.concat(F.col("target.head"), F.col("target.body"), F.lit(END)), F.lit(""))
-    return cut.select(
-        "conv_id", "example", (F.col("at") >= F.col("n") - 1).alias("whole"),
-        F.concat("context", answer).alias("formatted"),
-        (F.length("context") + F.coalesce(F.length("target.head"), F.lit(0))).alias("loss_start"),
-        F.coalesce(F.length("target.body"), F.lit(0)).alias("loss_length"))
+        F.concat(F.lit(OPEN), escape(t.role), F.lit(BREAK), escape(t.text), F.lit(END)).alias("piece"),
+        F.length(escape(t.text)).alias("body"), (t.role == TRAINED).alias("trained"))).alias("turns"))
+    # An example is a beginning of the conversation's text, so its row carries numbers and no turns.
+    def spot(end: Column, body: Column, last: Column) -> Column:
+        return F.array(F.struct(end.alias("upto"), (end - len(END) - body).alias("loss_start"), body.alias("loss_length"), last.alias("whole")))
+
+    def after(a: Column, t: Column) -> Column:
+        end, left = a.end + F.length(t.piece), a.left - 1
+        return F.struct(F.when(t.trained, F.concat(a.out, spot(end, t.body, left == 0))).otherwise(a.out).alias("out"),
+                        end.alias("end"), left.alias("left"))
+
+    held = "array<struct<upto:int,loss_start:int,loss_length:int,whole:boolean>>"
+    begin = F.struct(F.array().cast(held).alias("out"), F.lit(0).alias("end"), F.size("turns").alias("left"))
+    flat = marked.select(
+        "conv_id", F.array_join(F.transform("turns", lambda t: t.piece), "").alias("all"),
+        F.aggregate("turns", begin, after).alias("made"), F.element_at("turns", -1).trained.alias("answered"))
+    tail = F.array(F.struct(
+        F.col("made.end").alias("upto"), F.col("made.end").alias("loss_start"), F.lit(0).alias("loss_length"), F.lit(True).alias("whole")))
+    dealt = flat.select("conv_id", "all", F.posexplode(
+        F.when(F.col("answered"), F.col("made.out")).otherwise(F.concat("made.out", tail))).alias("example", "at"))
+    return dealt.select(
+        "conv_id", "example", "at.whole", F.substring(F.col("all"), F.lit(1), F.col("at.upto")).alias("formatted"),
+        "at.loss_start", "at.loss_length")
 
 
 def read_turns(formatted: Column) -> Column:

@@ -45,6 +45,20 @@ def test_examples_have_one_target(spark):
     assert chat.digest(chat.examples(spark.createDataFrame([], SCHEMA))).collect() == []
 
 
+def test_examples_carry_no_turns(spark):
+    """Rows of examples hold the text of their conversation, not an array of its turns, and are right for a long one."""
+    turns = spark.range(600).selectExpr(
+        "CAST(NULL AS bigint) AS conv_id", "id AS turn", "if(id % 2 = 1, 'assistant', 'user') AS role", "concat('t', id, repeat('é🙂', 20)) AS text")
+    made = chat.examples(turns)
+    rows = sorted(made.collect(), key=lambda r: r.example)
+    assert [r.example for r in rows] == list(range(300)) and [r.whole for r in rows] == [False] * 299 + [True]
+    for r in rows:
+        assert r.formatted[r.loss_start :][: r.loss_length] == f"t{2 * r.example + 1}" + "é🙂" * 20 and r.formatted.count(chat.END) == 2 * r.example + 2
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate posexplode\(.*?\), \[([^\]]*)\]", plan)
+    assert carried and "turns" not in carried[0]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="<|\\>imend_start sep", max_size=40), min_size=20, max_size=40))
 def test_escape_is_reversible(spark, texts):
