@@ -25,8 +25,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and token pairs that a worker remembers; each memory starts anew when it is full.
-_PIECES, _PAIRS, _LONG_PIECE = 200_000, 1_000_000, 64
+from loglens.llm.memory import claim
+
+#: Bytes of pieces and of token pairs that a worker remembers, at most; each memory starts anew when it
+#: is full. An entry counts its text and what Python's objects take beside it.
+_PIECES, _PAIRS, _LONG_PIECE = 32 << 20, 24 << 20, 64
+_PIECE_BYTES, _PAIR_BYTES = 200, 100
+#: Bytes of a piece whose tokens are looked up at once.
+_WINDOW = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +40,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class _Starts:
+    """The tokens that start at each place of a piece, shortest first, found window by window: only the
+    window that is read is held."""
+
+    def __init__(self, found, text: bytes, longest: int):
+        self.found, self.text, self.longest, self.first, self.held = found, text, longest, 0, []
+
+    def at(self, place: int) -> list[tuple[int, int]]:
+        if not self.first <= place < self.first + len(self.held):
+            self.first = place // _WINDOW * _WINDOW
+            some = self.text[self.first : self.first + _WINDOW + self.longest]
+            self.held = [[] for _ in some[:_WINDOW]]
+            for last, (rank, length) in self.found.iter(some.decode("latin-1")):
+                if last - length + 1 < len(self.held):
+                    self.held[last - length + 1].append((rank, length))
+        return self.held[place - self.first]
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
@@ -41,6 +65,7 @@ class Codec:
 
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.longest = max(map(len, ranks), default=1)
         self.split = regex.compile(pattern).findall
         self.split_ascii = _ascii_split(pattern)
         self.found = ahocorasick.Automaton()
@@ -48,7 +73,13 @@ class Codec:
             self.found.add_word(token.decode("latin-1"), (rank, len(token)))
         self.found.make_automaton()
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known_bytes = 0
+        self.pairs: dict[int, bool] = {}
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.known_bytes = 0
+        self.pairs.clear()
 
     def merged(self, text: bytes) -> list[int]:
         """By the merges themselves, for two tokens: the pair of least rank is joined, the first
@@ -64,10 +95,10 @@ class Codec:
         return [self.ranks[p] for p in parts]
 
     def agree(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         said = self.pairs.get(key)
         if said is None:
-            if len(self.pairs) >= _PAIRS:
+            if len(self.pairs) * _PAIR_BYTES >= _PAIRS:
                 self.pairs.clear()
             said = self.pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return said
@@ -79,17 +110,15 @@ class Codec:
         whole = self.ranks.get(text)
         if whole is not None:
             return [whole]
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]
-        for last, (rank, length) in self.found.iter(text.decode("latin-1")):
-            starts[last - length + 1].append((rank, length))
+        starts = _Starts(self.found, text, self.longest)
         n = len(text)
         dead = bytearray(n + 1)
         # The place, and how many of its tokens, shortest first, are still to be tried.
         ids: list[int] = []
         places: list[tuple[int, int]] = []
-        at, left = 0, len(starts[0])
+        at, left = 0, len(starts.at(0))
         while at < n:
-            here = starts[at]
+            here = starts.at(at)
             while left:
                 left -= 1
                 rank, length = here[left]
@@ -97,7 +126,7 @@ class Codec:
                     ids.append(rank)
                     places.append((at, left))
                     at += length
-                    left = len(starts[at]) if at < n else 0
+                    left = len(starts.at(at)) if at < n else 0
                     break
             else:
                 if not ids:
@@ -121,9 +150,11 @@ class Codec:
             if ids is None:
                 ids = np.array(self.piece(part.encode()), dtype="<u4").tobytes()
                 if len(part) <= _LONG_PIECE:
-                    if len(known) >= _PIECES:
+                    if self.known_bytes >= _PIECES:
                         known.clear()
+                        self.known_bytes = 0
                     known[part] = ids
+                    self.known_bytes += _PIECE_BYTES + len(part)
             out.append(ids)
         return b"".join(out)
 
@@ -151,6 +182,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = codec(path, pattern)
+        claim("bpe", known.forget)
         for batch in texts:
             yield pd.Series([known.encode(t or "") for t in batch], dtype=object)
 
@@ -164,6 +196,7 @@ def decoded(tokens: DataFrame, path: str | None = None, pattern: str = public_to
 
     def decode(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = codec(path, pattern)
+        claim("bpe", known.forget)
         for batch in column:
             yield pd.Series([known.decode(x) for x in batch], dtype=object)
 
@@ -172,8 +205,19 @@ def decoded(tokens: DataFrame, path: str | None = None, pattern: str = public_to
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every document."""
-    both = decoded(encoded(docs, path, pattern, doc_id, text), path, pattern)
-    return both.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every document. One pass, so that a task needs
+    one worker: texts are encoded, and what comes out is decoded."""
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = codec(path, pattern)
+        claim("bpe", known.forget)
+        for batch in texts:
+            rows = []
+            for value in batch:
+                ids = known.encode(value or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(known.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    said = F.pandas_udf(both, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")(F.col(text))
+    return docs.select(F.col(doc_id).alias("doc_id"), said.alias("said")).select("doc_id", "said.*")

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.memory import claim
+
 #: Hashes in a fingerprint, of 32 bits each.
 SIZE = 128
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -106,6 +108,7 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(doc_id, fingerprint) of every whole text; a narrow pass."""
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("fingerprint")
         for batch in texts:
             yield pd.Series([written(minima(t or "", Parser().feed(t or "", 0)[0], size)) for t in batch], dtype=object)
 
@@ -166,6 +169,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Add ``part``; copy the first row of a range, once in a task if it is repeated."""
+        claim("fingerprint")
         sent: set[tuple[int, int]] = set()
         for batch in batches:
             batch["part"] = np.searchsorted(edges, batch["key"], side="right").astype(np.int32)
@@ -181,6 +185,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by range, in descending order of ids, and the guests of a range last."""
+        claim("fingerprint")
         part, current, waiting, over = None, None, None, True
 
         def step(following: str) -> None:

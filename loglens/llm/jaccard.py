@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.memory import claim
 from loglens.operators.cluster import connected_components
 from loglens.session import stage
 
@@ -95,6 +96,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """(doc_id, tie, key, x, n): a hash of the text, the identity of its set (null if empty), a
     short form of it and its size."""
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("jaccard")
         for batch in texts:
             rows = []
             for value in batch:
@@ -165,6 +167,7 @@ def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
     hot. Credit may be counted again at the borders of batches, never too low.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for texts in _texts(batches, TOGETHER):
             prefixes: dict[int, np.ndarray] = {}
             for value in texts:
@@ -180,6 +183,7 @@ def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
             yield _rows(h=met, x=met, credit=times)
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard")
         for h, x, credit, _ in _by_shingle(batches, 2):
             given = credit > 0
             h2, x2 = h[~given], x[~given]
@@ -229,6 +233,7 @@ def _candidate_sets(docs: DataFrame, signed: DataFrame, text: str, width: int) -
     chance = Filter(passed, "x")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for texts in _texts(batches, TOGETHER // 4):
             found: dict[bytes, np.ndarray] = {}
             for value in texts:
@@ -253,6 +258,7 @@ def _counted(sets: DataFrame, width: int) -> DataFrame:
     it, and the others go straight to the result.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER // 4):
                 v, items = (c.slice(at, TOGETHER // 4) for c in batch.columns)
@@ -261,6 +267,7 @@ def _counted(sets: DataFrame, width: int) -> DataFrame:
                 yield _rows(deal=np.where(settled, x, h), h=h, x=x, credit=np.where(settled, HOT, 0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard")
         for h, x, credit, seen in _by_shingle(batches, HOT):
             _, sizes = _runs(h)
             df = np.maximum(np.minimum(np.repeat(sizes, sizes), HOT), credit)
@@ -304,6 +311,7 @@ def _prefixes(sets: DataFrame, counted: DataFrame, width: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a set come together, its size first and then its shingles, rare first."""
+        claim("jaccard")
         held = None
         for batch in batches:
             now = [batch[c].to_numpy() for c in ("v", "h", "df", "n")]

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.memory import claim
+
 UNKNOWN = "und"
 #: Documents of each language that machines learn from, about; features; the fit's strength and steps.
 SAMPLE, FEATURES, PENALTY, STEPS = 800, 4096, 1e-4, 150
@@ -140,6 +142,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each machine that learns from the document."""
+        claim("language")
         for batch in batches:
             rows = []
             for key, value, name, general in zip(batch["doc_id"], batch["text"], batch["lang"], batch["families"]):
@@ -194,6 +197,7 @@ def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the machines, not the corpus
 
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language")
         for batch in texts:
             rows = []
             for value in batch:
@@ -211,6 +215,7 @@ def kept(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("language")
         for batch in texts:
             found = (features(value or "", sent.value.width) for value in batch)
             yield pd.Series([x is not None and predict(sent.value, x)[1] >= least for x in found], dtype=bool)

@@ -25,14 +25,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.memory import claim
 from loglens.session import stage
 
 #: Places in a sequence, and the id that ends each document.
 SEQUENCE, SEPARATOR = 4096, 1
 #: Open sequences of a shard, and pieces that a shard packs. Both bound memory, not the result.
 OPEN, SHARD_PIECES = 1024, 40_000
-#: Words whose ids a worker keeps; the memory of ids starts anew when it is full.
-_KNOWN, _LONG_WORD = 1_000_000, 64
+#: Bytes of words and ids that a worker keeps, at most; the memory starts anew when it is full. An entry
+#: counts its text and what Python's objects take beside it.
+_KNOWN, _LONG_WORD, _WORD_BYTES = 112 << 20, 64, 240
 #: New words encoded at once, and characters of the texts that are split at once.
 _AT_ONCE, _GROUP = 500, 1_000_000
 #: Python's ``split`` cuts at these, the tokenizer doesn't.
@@ -53,13 +55,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that may hold a token of the library's own list are encoded whole.
+        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]), re.IGNORECASE)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         self.marks = dict(zip(",.", self.plain([",", "."])))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known_bytes = 0
+
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
@@ -89,13 +98,14 @@ class WordEncoder:
         found = {w: ids[b] if len(b) == len(w) else ids[b] + self.marks[w[-1]] for w, b in bare.items()}
         long = {w: found.pop(w) for w in words if len(w) > _LONG_WORD}
         self.known.update(found)
+        self.known_bytes += len(found) * _WORD_BYTES
         return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else (t.lower() if t.isascii() else t).split() for t in texts]
+        split = [None if self.whole.search(t) else (t.lower() if t.isascii() else t).split() for t in texts]
         new = set().union(*[w for w in split if w]).difference(self.known)
-        if len(self.known) + len(new) > _KNOWN:
-            self.known.clear()
+        if self.known_bytes + len(new) * _WORD_BYTES > _KNOWN:
+            self.forget()
             new = set().union(*[w for w in split if w])
         long = self.learn(new)
         ids = ChainMap(self.known, long) if long else self.known
@@ -126,6 +136,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = word_encoder(path)
+        claim("packing", encoder.forget)
         for batch in batches:
             rows = []
             for key, ids in zip(batch["doc_id"], encoder.stream(t or "" for t in batch["text"])):

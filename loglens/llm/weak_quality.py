@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.memory import claim
+
 #: Texts of either class that the scorer learns from, about; hashed features; the fit's strength and steps.
 SAMPLE, FEATURES, PENALTY, STEPS = 2000, 4096, 1e-5, 200
 #: Documents with a lower score are rejected.
@@ -218,6 +220,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, width: int =
     texts = docs.select(F.coalesce(text, F.lit("")).alias("text"))
 
     def vote(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("quality")
         for batch in column:
             yield pd.Series([votes(measures(t)) for t in batch], dtype=object)
 
@@ -235,6 +238,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, width: int =
     draw = F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("quality")
         for batch in batches:
             rows = []
             for value, at in zip(batch["text"], batch["draw"]):
@@ -270,6 +274,7 @@ def _scores(model: Model, spark):
     sent = spark.sparkContext.broadcast(model)  # one weight for each hashed feature
 
     def read(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("quality")
         for batch in column:
             yield pd.Series([_score(sent.value, t or "") for t in batch], dtype=float)
 

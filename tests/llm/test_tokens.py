@@ -14,7 +14,8 @@ from loglens.llm import bpe, packing
 
 TEXTS = [
     None, "", " ", "a", "Hello, world.", "x" * 5000, "ab" * 3000 + " tail", "  \n\n\t two   spaces \r\n",
-    "don't 'S we'LL it's", "ÉÈ café H̱ İ Σας ß", "<|endoftext|> <|startoftext|>", "a\x1cb\x1d c",
+    "don't 'S we'LL it's", "ÉÈ café H̱ İ Σας ß", "<|endoftext|> <|startoftext|>",
+    "Hello <|endoftext|> wor<|startoftext|>ld", "a<|EndOfText|>b <|ENDOFTEXT|>", "<|endoftext|" + " |>", "a\x1cb\x1d c",
     "日本語のテキスト 한국어 עברית 🙂🙃", "1234 12.5 0x9f ### !!,. a.b,c. end.", " nbsp wide\u0085next", "z" * 200 + ",",
     "!" * 3000, "​‍﻿", "word " * 9000,
 ]
@@ -57,7 +58,6 @@ def test_bpe_on_any_text(text):
 def whole(texts):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     return [x.ids for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -111,3 +111,38 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.packed_documents(none).collect() == []
     assert bpe.round_trip(none).collect() == []
+
+
+def test_very_long_piece():
+    """A piece of a million characters: its tokens are looked up window by window."""
+    for text in ("a" * 1_000_000, "abcdefgh" * 50_000, "thequickbrown" * 30_000):
+        ids = CODEC.encode(text)
+        assert CODEC.decode(ids) == text.encode()
+    text = "thequickbrown" * 3000 + "é" * 3000
+    assert np.frombuffer(CODEC.encode(text), dtype="<u4").tolist() == OWN.encode_ordinary(text)
+
+
+def test_memories_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECES", 100_000)
+    monkeypatch.setattr(bpe, "_PAIRS", 50_000)
+    monkeypatch.setattr(packing, "_KNOWN", 100_000)
+    words = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    own = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        text = " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(300))
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == OWN.encode_ordinary(text)
+        assert np.frombuffer(words.encode([text])[0], dtype="<u4").tolist() == whole([text])[0]
+        assert own.known_bytes <= 100_000 + 300 and len(own.pairs) * 100 <= 50_000 + 100 and len(words.known) <= 700
+
+
+def test_one_operator_holds_memory_at_a_time():
+    from loglens.llm import memory
+    held = {"a": [1], "b": [1]}
+    memory.claim("a", held["a"].clear)
+    memory.claim("a", held["a"].clear)
+    assert held == {"a": [1], "b": [1]}
+    memory.claim("b", held["b"].clear)
+    assert held == {"a": [], "b": [1]}
+    memory.claim("c")
+    assert held == {"a": [], "b": []}
