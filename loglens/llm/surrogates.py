@@ -19,7 +19,8 @@ addresses of 192.168.0.0/16 and 172.16.0.0/12 come from 10.0.0.0/8 (in the end f
 What is left after ``MOST_ROUNDS`` rounds is an error; only full spaces of card and social security
 numbers or of all IP addresses could come to that.
 
-Everything is built-in expressions. Defined cases: a null text stays null; texts without an entity
+Everything is built-in expressions. Defined cases: a null text stays null; domains of any number of
+labels and names with any number of initials are one entity; texts without an entity
 are returned as they are; repeated rows are a row each; columns of ``docs`` are kept (no name that
 starts with ``_pii`` may be among them); an empty table gives no rows.
 """
@@ -64,12 +65,13 @@ RANGE_ROUNDS, MOST_ROUNDS = 12, 100
 _GIVEN_NAMES = "|".join(form for names in GIVEN.values() for n in names for form in (n, n.upper()))
 _TITLES = "|".join(t for titles in TITLES.values() for t in titles)
 _NAME = r"(?:[dl]['’])?\p{Lu}[\p{L}'’-]+"
-_INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}(?= )"
+# Possessive groups run in a loop; others take a stack frame for each repetition.
+_INITIAL = r"(?:\p{Lu}\.-?)++|\p{Lu}(?= )"
 _PARTICLE = (r"d[aeiou]|de l[ae]s?|de los|del|dell[ao]|dalla|degli|dei|d[aeo]s|l[ae]|von|van|(?:von|van) (?:de[nrm]?|het)|von und zu|zu|ter|ten"
              rf"|a[fv]|bin|ibn|ben|el|al|y(?! (?:{_TITLES}|{_GIVEN_NAMES})(?!\p{{L}}))")
 #: What may stand before the last word of a name, which is the surname.
 _BEFORE = rf"(?:(?:{_NAME}|{_INITIAL}|{_PARTICLE}) ){{0,6}}"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)++"
 _S = r"[ ./\u00a0\u2011-]"
 #: With a country code: 10 digits after +1; 7 to 15 digits in any grouping; shorter ones with a separator.
 PHONE = (rf"(?<![\w+])\+(?:1{_S}?(?:\(\d{{3}}\)|\d{{3}}){_S}?\d{{3}}{_S}?\d{{4}}(?!\d)|\d{{1,3}}{_S}?\(\d{{1,5}}\)(?:{_S}?\d){{4,11}}(?!\d)"
@@ -134,7 +136,7 @@ def parts(found: Column) -> Column:
     count = F.size(words)
     head = F.size(F.filter(words, lambda w, i: (i < count - 1) & _any_of(_bare(w), titles)))
     names = F.slice(words, head + 1, count)
-    initial = lambda w: w.rlike(r"^(?:\p{Lu}|(?:\p{Lu}\.-?)+)$")
+    initial = lambda w: w.rlike(r"^(?:\p{Lu}|(?:\p{Lu}\.-?)++)$")
     whole = lambda w: w.rlike(r"\p{Lu}") & ~initial(w)
     known = lambda w, *which: _any_of(F.substring_index(w, "-", 1), [n for k in which for n in GIVEN[k]])
     begins = whole(names[0]) & ((head == 0) | (F.size(F.filter(names, whole)) > 1))

@@ -152,3 +152,13 @@ def test_rows_and_columns(spark):
 @pytest.mark.parametrize("text", ["1.2.3.4.5", "1234-5678", "@", "a@b", "x" * 100_000 + "@", "1" * 50])
 def test_lookalikes_stay(spark, text):
     assert replaced(spark, [text]) == [text]
+
+
+def test_long_runs_do_not_use_up_the_stack(spark):
+    texts = ["x@" + "a-" * 50_000 + ".b", "1." * 100_000, "+1" + " 2" * 100_000, "Mr " * 50_000,
+             "Mr " + "von " * 50_000 + "Berg", "A.-" * 100_000 + " Anna B.C. Smith", "x@" + "a." * 100_000 + "com",
+             "Anna " + "A." * 100_000 + " Smith"]
+    out = replaced(spark, texts)
+    assert out[6].count(".") == 100_000 and out[6].endswith(".com") and not out[6].startswith("x@a.")
+    assert not out[7].startswith("Anna") and not out[7].endswith("Smith")
+    assert not out[5].endswith("Smith") and out[1] == texts[1]
