@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import bpe, chat, fingerprint, jaccard, language, packing, rules, secret_scan, surrogates, weak_quality
+from loglens.llm import bpe, chat, fingerprint, jaccard, language, packing, rules, secret_scan, simhash, surrogates, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op9(docs: DataFrame) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(docs: DataFrame) -> DataFrame:
     return packing.packed_documents(docs)
+
+
+@query("op13_simhash_dedup")
+def op13(docs: DataFrame) -> DataFrame:
+    return simhash.components(docs)
