@@ -29,7 +29,7 @@ from loglens.llm.memory import claim
 
 #: Bytes of pieces and of token pairs that a worker remembers, at most; each memory starts anew when it
 #: is full. An entry counts its text and what Python's objects take beside it.
-_PIECES, _PAIRS, _LONG_PIECE = 32 << 20, 24 << 20, 64
+_PIECES, _PAIRS, _LONG_PIECE = 64 << 20, 64 << 20, 64
 _PIECE_BYTES, _PAIR_BYTES = 200, 100
 #: Bytes of a piece whose tokens are looked up at once.
 _WINDOW = 4096
@@ -110,15 +110,21 @@ class Codec:
         whole = self.ranks.get(text)
         if whole is not None:
             return [whole]
-        starts = _Starts(self.found, text, self.longest)
         n = len(text)
+        if n <= _WINDOW:
+            starts: list[list[tuple[int, int]]] = [[] for _ in text]
+            for last, (rank, length) in self.found.iter(text.decode("latin-1")):
+                starts[last - length + 1].append((rank, length))
+            starts_at = starts.__getitem__
+        else:
+            starts_at = _Starts(self.found, text, self.longest).at
         dead = bytearray(n + 1)
         # The place, and how many of its tokens, shortest first, are still to be tried.
         ids: list[int] = []
         places: list[tuple[int, int]] = []
-        at, left = 0, len(starts.at(0))
+        at, left = 0, len(starts_at(0))
         while at < n:
-            here = starts.at(at)
+            here = starts_at(at)
             while left:
                 left -= 1
                 rank, length = here[left]
@@ -126,7 +132,7 @@ class Codec:
                     ids.append(rank)
                     places.append((at, left))
                     at += length
-                    left = len(starts.at(at)) if at < n else 0
+                    left = len(starts_at(at)) if at < n else 0
                     break
             else:
                 if not ids:
