@@ -89,12 +89,13 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Keep the ids of new words; those of very long ones are only returned."""
-        bare = {w: w[:-1] if w[-1] in self.marks and w[:-1].isalpha() else w for w in words}
+        # In lower case: a capital I with a dot becomes a letter and a mark.
+        bare = {w: w[:-1] if w[-1] in self.marks and w[:-1].lower().isalpha() else w for w in words}
         roots = set(bare.values())
-        simple = [w for w in roots if w.isalpha()]
-        other = [w for w in roots if not w.isalpha()]
+        simple = [w for w in roots if w.lower().isalpha()]
+        other = roots.difference(simple)
         ids = dict(zip(simple, self.letters(simple)))
-        ids.update(zip(other, self.plain(other)))
+        ids.update(zip(other, self.plain(list(other))))
         found = {w: ids[b] if len(b) == len(w) else ids[b] + self.marks[w[-1]] for w, b in bare.items()}
         long = {w: found.pop(w) for w in words if len(w) > _LONG_WORD}
         self.known.update(found)
