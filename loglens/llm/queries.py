@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import bpe, chat, fingerprint, jaccard, language, packing, prefix_trie, rules, secret_scan, simhash, surrogates, weak_quality
+from loglens.llm import bpe, chat, fingerprint, hard_negatives, jaccard, language, packing, prefix_trie, rules, secret_scan, simhash, surrogates, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,11 @@ def op10(docs: DataFrame) -> DataFrame:
     return packing.packed_documents(docs)
 
 
+@query("op11_hard_negatives", "embeddings", sql=hard_negatives.SQL)
+def op11(vectors: DataFrame) -> DataFrame:
+    return hard_negatives.mined(vectors)
+
+
 @query("op12_prefix_trie", "conversations")
 def op12(turns: DataFrame) -> DataFrame:
     return prefix_trie.nodes(turns)
