@@ -261,10 +261,10 @@ def mined(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", la
 SQL = f"""
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)) AS v
+         list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
          list_inner_product(a.v, b.v)::BIGINT AS score
