@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.schemas import DENSE_FEATURES, META_COLUMNS, RATIO_LEVELS, WINDOW_SECONDS
-
-
-def _whole(value: Column, unit: int) -> Column:
-    """Floor division in integers."""
-    return ((value - F.pmod(value, F.lit(unit))) / unit).cast("bigint")
+from loglens.operators import panes
+from loglens.operators.panes import whole as _whole
+from loglens.schemas import DENSE_FEATURES, META_COLUMNS, WINDOW_SECONDS
 
 
 def time_range(parsed: DataFrame) -> DataFrame:
@@ -44,26 +41,10 @@ def window_cells(parsed: DataFrame, width: int = WINDOW_SECONDS, step: int | Non
     """Counts per (window, event id) and per (window, node) in one pass over the lines.
 
     Both groupings are partially aggregated before the only line-level shuffle, so even an
-    hour holding most of the log shuffles no more than its templates and nodes per task.
+    hour holding most of the log shuffles no more than its templates and nodes per task. Windows
+    that overlap are merged from panes; lines are not repeated.
     """
-    level = F.col("level")
-    return (
-        assign_windows(parsed, width, step)
-        .groupingSets(
-            [[F.col("window_id"), F.col("event_id")], [F.col("window_id"), F.col("node")]],
-            F.col("window_id"), F.col("event_id"), F.col("node"),
-        )
-        .agg(
-            (F.grouping("event_id") == 0).alias("by_event"),
-            F.count(F.lit(1)).alias("n"),
-            F.min("timestamp").alias("first_ts"),
-            F.max("timestamp").alias("last_ts"),
-            F.sum("is_anomaly").alias("anomalous"),
-            F.count_if(level.isin(RATIO_LEVELS)).alias("errors"),
-            F.count_if(level == "FATAL").alias("fatal"),
-            F.count_if(level == "SEVERE").alias("severe"),
-        )
-    )
+    return panes.window_cells(parsed, width, step)
 
 
 def event_counts(cells: DataFrame) -> DataFrame:
