@@ -17,7 +17,8 @@ or text is an empty one; repeated rows are turns of their own; rows without a co
 no conversation and are left out; a conversation without turns is a member of the root; ``%`` is
 the remainder with the sign of the id; other columns are ignored; an empty table has no nodes.
 A conversation travels as one row of 24 bytes a turn, and its texts don't, so one of a million turns takes
-24 MB. The ids that end at one node are hashed in one task, as a SHA-256 can't be split, but as a stream.
+24 MB. The ids that end at one node are sorted and written out in parallel; their SHA-256, which can't be
+split, is taken in one task as a stream.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from loglens.session import stage
 GROUP, HEADS = 5, 9
 #: Conversations of a range, about.
 RANGE = 20_000
+#: Ids in a text that is hashed at once.
+CHUNK = 1000
 _DIGEST = 16
 NODE = ("kind tinyint, path bigint, depth bigint, key binary, parent_key binary, conv_id bigint, parent_conv_id bigint, "
         "n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, size bigint, ends_sha256 string")
@@ -206,19 +209,33 @@ def _forests(convs: DataFrame, parts: int) -> DataFrame:
 
 
 def _ends(rows: DataFrame, width: int) -> DataFrame:
-    """(key, ends_sha256) of nodes on a border at which conversations end."""
+    """(key, ends_sha256) of nodes on a border at which conversations end. Sorted ranges of the ids are written
+    out in parallel, ``CHUNK`` at most in a text; a node's task hashes its texts as they come."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("trie")
+        for batch in batches:
+            keys, ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            a = 0
+            for b in range(1, len(keys) + 1):
+                if b == len(keys) or keys[b] != keys[a] or b - a == CHUNK:
+                    out.append((keys[a], ids[a], ",".join(map(str, ids[a:b]))))
+                    a = b
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.string()))],
+                ["key", "first", "ids"])
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("trie")
         now, held = None, None
         for batch in batches:
-            keys, ids, done = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for key, conv in zip(keys, ids):
+            done = []
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if key == now:
-                    held.update(b",%d" % conv)
+                    held.update(b"," + ids.as_py().encode())
                 else:
                     if held:
                         done.append((now, held.hexdigest()))
-                    now, held = key, hashlib.sha256(b"%d" % conv)
+                    now, held = key, hashlib.sha256(ids.as_py().encode())
             yield made(done)
         if held:
             yield made([(now, held.hexdigest())])
@@ -227,8 +244,11 @@ def _ends(rows: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in done], pa.binary()), pa.array([h for _, h in done], pa.string())], ["key", "ends_sha256"])
 
-    return rows.where(F.col("kind") == END).select("key", "conv_id").repartition(width, "key").sortWithinPartitions(
-        "key", "conv_id").mapInArrow(digest, "key binary, ends_sha256 string")
+    ends = rows.where(F.col("kind") == END).select("key", "conv_id")
+    texts = ends.repartitionByRange(width, "key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(
+        write, "key binary, first bigint, ids string")
+    return texts.repartition(width, "key").sortWithinPartitions("key", "first").select("key", "ids").mapInArrow(
+        digest, "key binary, ends_sha256 string")
 
 
 def _merged(rows: DataFrame, width: int) -> DataFrame:

@@ -73,7 +73,8 @@ def test_random_conversations(spark, seed, in_range):
     assert got(spark, rows, in_range=in_range) == brute(rows)
 
 
-def test_group_of_copies_crosses_ranges(spark):
+def test_group_of_copies_crosses_ranges(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "CHUNK", 7)
     rows = [(5 * c, k, "user", t) for c in range(500) for k, t in enumerate("same old story".split() + ["tail"] * (c % 97 == 0))]
     assert got(spark, rows, in_range=10) == brute(rows)
 
