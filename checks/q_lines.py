@@ -10,7 +10,7 @@ from loglens.functions import text, values
 from loglens.operators import filters, parse, ranking, templates, windows
 from loglens.plans import dashboard, endpoints
 from loglens.schemas import PARSED
-from loglens.session import scratch_path
+from loglens.session import scratch_path, stage
 from loglens.sources import datasets, documents, models, raw, tables
 
 # --- A: sources and sinks ----------------------------------------------------------------
@@ -395,8 +395,15 @@ def _(x: Inputs):
     return templates.mask_templates(parse.parse_lines(x.raw)).select("line_id", "template", "event_id")
 
 
-@check("I1_mine_templates")
+@check("I1_mine_templates", """SELECT * FROM (WITH t AS (SELECT line_id, string_split(regexp_replace(content, '\\S*[0-9]\\S*', '<*>', 'g'), ' ') AS w FROM logs),
+leaf AS (SELECT len(w) AS n, w[1] AS head, min(line_id) AS first_line FROM t GROUP BY 1, 2),
+spots AS (SELECT n, head, place, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS word FROM
+  (SELECT len(w) AS n, w[1] AS head, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM t) GROUP BY 1, 2, 3),
+named AS (SELECT n, head, string_agg(word, ' ' ORDER BY place) AS template FROM spots GROUP BY 1, 2),
+ids AS (SELECT n, head, dense_rank() OVER (ORDER BY first_line) AS event_id FROM leaf)
+SELECT line_id, event_id, template FROM t JOIN named ON named.n = len(w) AND named.head = w[1] JOIN ids ON ids.n = len(w) AND ids.head = w[1])""", "logs")
 def _(x: Inputs):
+    """Four of six tokens of a leaf's patterns are equal, so every leaf becomes one template."""
     return templates.mine_templates(x.logs.select("line_id", "content"))
 
 
@@ -421,6 +428,47 @@ def _(x: Inputs):
         (F.count_distinct("event_id") == F.max("event_id")).alias("ids_dense"))
 
 
+def _prose(x: Inputs):
+    """Every line of every document, numbered by document and place."""
+    return x.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "content")).where(
+        text.strip(F.col("content")) != "").select((F.col("doc_id") * 1_000_000 + F.col("at")).alias("line_id"), "content")
+
+
+@check("I1d_mined_in_steps", "SELECT count(*) AS lines, true AS same FROM logs", "logs")
+def _(x: Inputs):
+    """Mining the first third, then the rest against the stored templates, gives what mining at once gives."""
+    lines = x.logs.select("line_id", "content")
+    cut, path = lines.agg(F.max("line_id")).first()[0] // 3, scratch_path(x.spark, "mined")
+    templates.extend(templates.Mined.nothing(x.spark), lines.where(F.col("line_id") <= cut))[1].save(path)
+    known = templates.extend(templates.Mined.load(x.spark, path), lines.where(F.col("line_id") > cut))[1]
+    return _agreement(templates.with_stored_templates(known, lines), templates.with_mined_templates(lines))
+
+
+def _agreement(one, other):
+    pair = one.join(other.select("line_id", F.col("event_id").alias("id2"), F.col("template").alias("template2")), "line_id", "full")
+    same = F.col("event_id").eqNullSafe(F.col("id2")) & F.col("template").eqNullSafe(F.col("template2"))
+    return pair.agg(F.count(F.lit(1)).alias("lines"), F.bool_and(same).alias("same"))
+
+
+_PROSE_LINES = """(SELECT unnest(string_split(text, chr(10))) AS content FROM documents)
+WHERE regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''"""
+
+
+@check("I1e_mined_prose_facts", f"SELECT count(*) AS lines, true AS all_fit, true AS ids_dense, true AS same FROM {_PROSE_LINES}")
+def _(x: Inputs):
+    """Prose in parts of 4,096 patterns: what mining must keep whatever it merges, and the same result in two steps."""
+    lines = _prose(x)
+    cut = F.lit(lines.agg(F.max("line_id")).first()[0] // 2)
+    whole = stage(templates.with_mined_templates(lines, part_size=4096), "mined")
+    half = templates.extend(templates.Mined.nothing(x.spark), lines.where(F.col("line_id") <= cut), part_size=4096)[1]
+    known = templates.extend(half, lines.where(F.col("line_id") > cut), part_size=4096)[1]
+    squeezed = text.mask_digits(F.regexp_replace(text.strip(F.col("content")), text.SPACE + "+", " "))
+    fits = F.forall(F.zip_with(F.split(squeezed, " "), F.split("template", " "), lambda p, t: (t == "<*>") | p.eqNullSafe(t)), lambda same: same)
+    facts = whole.agg(F.count(F.lit(1)).alias("lines"), F.bool_and(fits).alias("all_fit"),
+                      (F.count_distinct("event_id") == F.max("event_id")).alias("ids_dense"))
+    return facts.join(_agreement(templates.with_stored_templates(known, lines), whole).select("same"))  # one row each
+
+
 # --- JSON documents --------------------------------------------------------------------------
 
 

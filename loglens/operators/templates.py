@@ -1,29 +1,41 @@
 """Message templates: the masking rule, and mining by token similarity.
 
-Mining works on distinct masked patterns. Patterns meet in a *leaf* (token count and first
-token) and are merged there in order of first appearance, so the result depends on the log
-alone and not on its size: what a line adds never changes how earlier lines were merged. A leaf is
-read as a stream against an index of its templates; a task holds the templates of one leaf.
+Mining works on distinct masked patterns, numbered by first appearance. Patterns meet in a *leaf* (token
+count and first token). A leaf is mined in *parts* of consecutive patterns, each by itself: a
+pattern joins the template with most equal tokens, or founds one. A part's templates are a summary that
+merges: their tokens by place, where different ones become a wildcard. The founders of all parts of a leaf
+are then merged in order of appearance by the same rule, founders of one part never with each
+other, and the members follow their founder. So a leaf of one part is mined as one stream, a larger
+one by several tasks, and what a line adds never changes how earlier lines were merged.
+
+That makes the result extensible. ``Mined`` holds the known patterns, the templates, and the state of the
+part that is still open; ``extend`` mines the patterns that are new and gives what mining the old and the
+new lines together would give, without reading the old lines.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglens.functions import text
 from loglens.operators.joins import hot_keys, spread_join
 from loglens.operators.ranking import dense_ids
 from loglens.session import python_width, stage
+from loglens.sources.tables import read_table, require, write_table
 
 # Miner parameters.
 SIMILARITY = 0.3
 MAX_CHILDREN = 100
 WILDCARD = "<*>"
+#: Patterns of a part; the parts of a leaf are mined in parallel.
+PART = 1 << 16
 
 
 def mask_templates(lines: DataFrame) -> DataFrame:
@@ -35,100 +47,274 @@ def mask_templates(lines: DataFrame) -> DataFrame:
 
 
 def _pattern() -> Column:
-    return text.mask_digits(F.regexp_replace(text.strip(F.col("content")), text.SPACE + "+", " "))
+    """Null contents are empty ones."""
+    return text.mask_digits(F.regexp_replace(text.strip(F.coalesce("content", F.lit(""))), text.SPACE + "+", " "))
+
+
+@dataclass(frozen=True)
+class Mined:
+    """Templates of a log, and what it takes to go on with its next lines."""
+
+    #: (pattern, line): every known pattern and the first line of its template.
+    patterns: DataFrame
+    #: (width, head, first_line): first tokens that have a leaf of their own.
+    heads: DataFrame
+    #: (leaf, part, founder, line, tokens): templates of the part that is open.
+    open: DataFrame
+    #: (leaf, line, tokens, last_part, template): templates as founders left them, and in their final form.
+    templates: DataFrame
+
+    SCHEMAS = {
+        "patterns": "pattern string, line bigint", "heads": "width int, head string, first_line bigint",
+        "open": "leaf string, part bigint, founder bigint, line bigint, tokens string",
+        "templates": "leaf string, line bigint, tokens string, last_part bigint, template string"}
+
+    @classmethod
+    def nothing(cls, spark: SparkSession) -> Mined:
+        return cls(*[spark.createDataFrame([], cls.SCHEMAS[f.name]) for f in fields(cls)])
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Mined:
+        require(spark, f"{path}/templates", "template mining")
+        return cls(*[read_table(spark, f"{path}/{f.name}") for f in fields(cls)])
 
-def _leaves(patterns: DataFrame, max_children: int) -> DataFrame:
-    """Add ``leaf``: the token count and the first token, if that is among the first
-    ``max_children`` of its token count to appear; else a wildcard."""
-    split = patterns.withColumn("tokens", text.tokens(F.col("pattern"))).withColumn("width", F.size("tokens"))
-    heads = split.select("width", F.col("tokens")[0].alias("head"), "first_line")
+    def save(self, path: str) -> None:
+        for f in fields(self):
+            write_table(getattr(self, f.name), f"{path}/{f.name}")
+
+    def event_ids(self) -> DataFrame:
+        """(line, event_id, template): ids count from 1 by first appearance, so they stay as the log grows."""
+        ids = dense_ids(self.templates.select("line"), "line", "event_id", start=1).drop("n")
+        return ids.join(self.templates.select("line", "template"), "line")
+
+
+def _heads(patterns: DataFrame, known: DataFrame, max_children: int) -> DataFrame:
+    """First tokens with a leaf of their own: the first ``max_children`` of a token count, less the wildcard's."""
+    seen = patterns.where(F.col("head") != WILDCARD).select("width", "head", "first_line").unionByName(known)
     order = F.row_number().over(Window.partitionBy("width").orderBy("first_line"))
-    kept = (
-        heads.where(F.col("head") != WILDCARD).groupBy("width", "head").agg(F.min("first_line").alias("first_line"))
-        .withColumn("place", order).where(F.col("place") < max_children).select("width", "head", F.lit(True).alias("own"))
-    )
-    keyed = spread_join(split.withColumn("head", F.col("tokens")[0]), kept, ["width", "head"], by="pattern", how="left")
+    return seen.groupBy("width", "head").agg(F.min("first_line").alias("first_line")).withColumn("place", order).where(
+        F.col("place") < max_children).drop("place")
+
+
+def _leaves(patterns: DataFrame, heads: DataFrame) -> DataFrame:
+    """Add ``leaf``: the token count and the first token, if that has a leaf of its own, else a wildcard."""
+    own = heads.select("width", "head", F.lit(True).alias("own"))
+    keyed = spread_join(patterns, own, ["width", "head"], by="pattern", how="left")
     head = F.when(F.col("own"), F.col("head")).otherwise(F.lit(WILDCARD))
-    return keyed.select("pattern", "first_line", F.concat_ws(" ", F.col("width").cast("string"), head).alias("leaf"))
+    return keyed.withColumn("leaf", F.concat_ws(" ", F.col("width").cast("string"), head)).drop("own", "width", "head")
+
+
+def merge_tokens(a: list[str], b: list[str]) -> list[str]:
+    return [x if x == y else WILDCARD for x, y in zip(a, b)]
 
 
 class _Leaf:
-    """The templates of one leaf, found by the tokens they have at a place."""
+    """Templates of one token count, found by the rare tokens that they have at a place."""
 
     def __init__(self, similarity: float):
         self.similarity = similarity
         self.templates: list[list[str]] = []
-        self.first: list[int] = []
+        self.line: list[int] = []
+        self.part: list[int] = []
         self.at: dict[tuple[int, str], set[int]] = {}
 
-    def add(self, pattern: str, line: int) -> int:
-        """The first line of the template that the pattern joins: the one with most equal tokens,
-        then most wildcards, then the oldest; a new one if too few are equal."""
-        tokens = pattern.split(" ")
-        same = Counter(k for place in enumerate(tokens) if place[1] != WILDCARD for k in self.at.get(place, ()))
-        if not same and self.similarity * len(tokens) <= 1e-12:
-            same = Counter(dict.fromkeys(range(len(self.templates)), 0))
+    def put(self, tokens: list[str], line: int, part: int = -1) -> int:
+        for place in enumerate(tokens):
+            self.at.setdefault(place, set()).add(len(self.templates))
+        self.templates.append(tokens)
+        self.line.append(line)
+        self.part.append(part)
+        return len(self.templates) - 1
+
+    def _equal(self, tokens: list[str]) -> dict[int, int]:
+        """Equal tokens of every template that has enough of them."""
+        least = math.ceil(self.similarity * len(tokens) - 1e-12)
+        if least <= 0:
+            return {k: sum(a == b != WILDCARD for a, b in zip(tokens, t)) for k, t in enumerate(self.templates)}
+        held = sorted((self.at.get(place, ()) for place in enumerate(tokens) if place[1] != WILDCARD), key=len)
+        # A template with enough equal tokens has one of these; the most common ones are only asked.
+        rare = len(held) - least + 1
+        if rare <= 0:
+            return {}
+        same = Counter(k for some in held[:rare] for k in some)
+        for some in held[rare:]:
+            for k in same.keys() & some if len(some) < len(same) else [k for k in same if k in some]:
+                same[k] += 1
+        return {k: n for k, n in same.items() if n >= least}
+
+    def add(self, tokens: list[str], line: int, part: int | None = None) -> int:
+        """The template that the tokens join: the one with most equal tokens, then most wildcards, then the
+        oldest, but none of the same ``part``; a new one if too few are equal."""
+        same = self._equal(tokens)
+        if part is not None:
+            same = {k: n for k, n in same.items() if self.part[k] != part}
         best = max(same, key=lambda k: (same[k], self.templates[k].count(WILDCARD), -k), default=None)
-        if best is None or same[best] < self.similarity * len(tokens) - 1e-12:
-            best = len(self.templates)
-            self.templates.append(tokens)
-            self.first.append(line)
-            for place in enumerate(tokens):
-                self.at.setdefault(place, set()).add(best)
-        else:
-            known = self.templates[best]
-            for place, token in enumerate(tokens):
-                if known[place] not in (token, WILDCARD):
-                    self.at[place, known[place]].discard(best)
-                    known[place] = WILDCARD
-        return self.first[best]
-
-    def rows(self) -> Iterator[tuple[None, int, str]]:
-        for line, tokens in zip(self.first, self.templates):
-            yield None, line, " ".join(tokens)
-
-
-def with_mined_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """Add ``event_id`` and ``template`` to lines with a ``line_id`` and ``content``; ids count
-    from 1 by first appearance. Only distinct patterns are merged and joined back."""
-    keyed = lines.withColumn("_pattern", _pattern())
-    patterns = stage(
-        keyed.groupBy(F.col("_pattern").alias("pattern")).agg(
-            F.min("line_id").alias("first_line"), F.count(F.lit(1)).alias("n")), "patterns")
+        if best is None:
+            return self.put(tokens, line, -1 if part is None else part)
+        known = self.templates[best]
+        for place, token in enumerate(tokens):
+            if known[place] not in (token, WILDCARD):
+                self.at[place, known[place]].discard(best)
+                known[place] = WILDCARD
+        if part is not None:
+            self.part[best] = part
+        return best
+
+
+def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Rows (leaf, part, fresh, first_line, tokens, line): patterns, and before them the templates known in an
+    open part. Gives (kind 'member', tokens, founder) for each pattern and, behind a part, (kind 'template', leaf,
+    part, founder, line, first, tokens): ``first`` is how the founder looked, ``line`` the template it is known to be in."""
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, leaf, first, line = None, None, [], []
+
+        def done() -> list[tuple]:
+            if now is None:
+                return []
+            return [("template", *now, leaf.line[k], line[k], first[k], " ".join(t)) for k, t in enumerate(leaf.templates)]
+
+        for batch in batches:
+            out = []
+            for key, part, fresh, at, tokens, known in zip(*(batch[c] for c in ("leaf", "part", "fresh", "first_line", "tokens", "line"))):
+                if (key, part) != now:
+                    out.extend(done())
+                    now, leaf, first, line = (key, part), _Leaf(similarity), [], []
+                split = tokens.split(" ")
+                k = leaf.add(split, at) if fresh else leaf.put(split, at)
+                if k == len(first):
+                    first.append(tokens if fresh else None)
+                    line.append(None if fresh else known)
+                if fresh:
+                    out.append(("member", key, part, leaf.line[k], None, None, tokens))
+            yield frame(out)
+        yield frame(done())
 
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["kind", "leaf", "part", "founder", "line", "first", "tokens"])
+        return made.astype({"part": "Int64", "founder": "Int64", "line": "Int64"})
+
+    return rows.repartition(width, "leaf", "part").sortWithinPartitions("leaf", "part", "fresh", "first_line").mapInPandas(
+        mine, "kind string, leaf string, part bigint, founder bigint, line bigint, first string, tokens string")
+
+
+def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Rows (leaf, fresh, order, part, founder, line, first, tokens, template): known templates and then the templates
+    of parts in order of their founders. Gives (kind 'founder', founder, line) and, behind a leaf, (kind 'template', leaf,
+    line, tokens, part, template)."""
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Leaves arrive one after the other, patterns in order of first appearance. Rows are a
-        pattern's template, or, behind a leaf, a template's final form."""
-        name, leaf = None, _Leaf(similarity)
+        now, leaf, final, at = None, None, [], {}
+
+        def done() -> list[tuple]:
+            if now is None:
+                return []
+            return [("template", now, leaf.part[k], None, leaf.line[k], " ".join(t), " ".join(final[k])) for k, t in enumerate(leaf.templates)]
+
         for batch in batches:
             out = []
-            for key, pattern, line in zip(batch["leaf"], batch["pattern"], batch["first_line"]):
-                if key != name:
-                    out.extend(leaf.rows())
-                    name, leaf = key, _Leaf(similarity)
-                out.append((pattern, leaf.add(pattern, line), None))
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(list(leaf.rows()), columns=columns)
-
-    columns = ["pattern", "cluster_line", "template"]
-    merged = stage(
-        _leaves(patterns, max_children).repartition(python_width(lines.sparkSession), "leaf")
-        .sortWithinPartitions("leaf", "first_line")
-        .mapInPandas(merge, "pattern string, cluster_line bigint, template string"),
-        "templates",
-    )
-    members = merged.where("pattern IS NOT NULL").select("pattern", "cluster_line")
-    ids = dense_ids(members, "cluster_line", "event_id", start=1)
-    named = ids.join(merged.where("pattern IS NULL").select("cluster_line", "template"), "cluster_line")
-    crowded = hot_keys(named, ["cluster_line"], "n")
-    table = spread_join(members, named.drop("n"), ["cluster_line"], by="pattern", hot=crowded).select(
+            for key, fresh, part, founder, line, first, tokens, template in zip(
+                    *(batch[c] for c in ("leaf", "fresh", "part", "founder", "line", "first", "tokens", "template"))):
+                if key != now:
+                    out.extend(done())
+                    now, leaf, final, at = key, _Leaf(similarity), [], {}
+                if not fresh:  # a template of the table
+                    at[line] = leaf.put(tokens.split(" "), line, part)
+                    final.append(template.split(" "))
+                    continue
+                summary = tokens.split(" ")
+                if first is None:  # known to be in a template, and perhaps more general now
+                    k = at[line]
+                else:
+                    k = leaf.add(first.split(" "), founder, part)
+                    if k == len(final):
+                        final.append(summary)
+                        at[founder] = k
+                    out.append(("founder", key, None, founder, leaf.line[k], None, None))
+                final[k] = merge_tokens(final[k], summary)
+            yield frame(out)
+        yield frame(done())
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["kind", "leaf", "part", "founder", "line", "tokens", "template"])
+        return made.astype({"part": "Int64", "founder": "Int64", "line": "Int64"})
+
+    return rows.repartition(width, "leaf").sortWithinPartitions("leaf", "fresh", "first_line").mapInPandas(
+        merge, "kind string, leaf string, part bigint, founder bigint, line bigint, tokens string, template string")
+
+
+def _patterns(keyed: DataFrame) -> DataFrame:
+    return stage(keyed.groupBy(F.col("_pattern").alias("pattern")).agg(
+        F.min("line_id").alias("first_line"), F.count(F.lit(1)).alias("n")), "patterns")
+
+
+def _extended(known: Mined, patterns: DataFrame, similarity: float, max_children: int, part_size: int) -> Mined:
+    """``known`` with the patterns that are new to it."""
+    width = python_width(patterns.sparkSession)
+    before = known.patterns.count()
+    new = patterns.select("pattern", "first_line").join(known.patterns, "pattern", "left_anti")
+    numbered = dense_ids(new, "first_line", "rank", start=before).drop("n")
+    split = stage(new.join(numbered, "first_line").withColumn("words", text.tokens(F.col("pattern"))).select(
+        "pattern", "first_line", F.floor(F.col("rank") / part_size).alias("part"), F.size("words").alias("width"), F.col("words")[0].alias("head")), "numbered")
+    heads = stage(_heads(split, known.heads, max_children), "heads")
+    fresh = _leaves(split, heads).select(
+        "leaf", "part", F.lit(True).alias("fresh"), "first_line", F.col("pattern").alias("tokens"), F.lit(None).cast("bigint").alias("line"))
+    held = known.open.select("leaf", "part", F.lit(False).alias("fresh"), F.col("founder").alias("first_line"), "tokens", "line")
+    parts = stage(_mine_parts(fresh.unionByName(held), similarity, width), "parts")
+    made = parts.where("kind = 'template'")
+    table = known.templates.select(
+        "leaf", F.lit(False).alias("fresh"), F.col("line").alias("first_line"), F.col("last_part").alias("part"),
+        F.lit(None).cast("bigint").alias("founder"), "line", F.lit(None).cast("string").alias("first"), "tokens", "template")
+    added = made.select(
+        "leaf", F.lit(True).alias("fresh"), F.col("founder").alias("first_line"), "part", "founder", "line", "first", "tokens",
+        F.lit(None).cast("string").alias("template"))
+    merged = stage(_merge_parts(table.unionByName(added), similarity, width), "merged")
+    founders = merged.where("kind = 'founder'").select("founder", "line").unionByName(known.open.select("founder", "line"))
+    members = parts.where("kind = 'member'").select(F.col("tokens").alias("pattern"), "founder")
+    counts = members.groupBy("founder").agg(F.count(F.lit(1)).alias("n"))
+    placed = spread_join(members, founders, ["founder"], by="pattern", hot=hot_keys(counts, ["founder"], "n"))
+    patterns_ = stage(known.patterns.unionByName(placed.select("pattern", "line")), "known")
+    # A part is open until it has all its patterns.
+    current = patterns_.count() // part_size
+    open_ = made.where(F.col("part") == current).drop("line").join(founders, "founder")
+    return Mined(
+        patterns_, heads, stage(open_.select("leaf", "part", "founder", "line", "tokens"), "open"),
+        stage(merged.where("kind = 'template'").select("leaf", "line", "tokens", F.col("part").alias("last_part"), "template"), "templates"))
+
+
+def extend(known: Mined, lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN,
+           part_size: int = PART) -> tuple[DataFrame, Mined]:
+    """Lines behind those that ``known`` was mined from (their ``line_id`` is larger): the lines with ``event_id``
+    and ``template``, and the extended templates. Mining in steps gives what mining at once gives, with the
+    same parameters; lines of earlier steps take their final template from ``with_stored_templates``."""
+    keyed = lines.withColumn("_pattern", _pattern())
+    patterns = _patterns(keyed)
+    grown = _extended(known, patterns, similarity, max_children, part_size)
+    return _named(keyed, patterns, grown), grown
+
+
+def _named(keyed: DataFrame, patterns: DataFrame, known: Mined) -> DataFrame:
+    held = known.patterns.join(patterns.select("pattern", "n"), "pattern")
+    counts = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    table = spread_join(held, known.event_ids(), ["line"], by="pattern", hot=hot_keys(counts, ["line"], "n")).select(
         F.col("pattern").alias("_pattern"), "event_id", "template")
     hot = hot_keys(patterns, ["pattern"], "n").select(F.col("pattern").alias("_pattern"))
-    return spread_join(keyed, table, ["_pattern"], by="line_id", hot=hot).drop("_pattern")
+    return spread_join(keyed, table, ["_pattern"], by="line_id", how="left", hot=hot).drop("_pattern")
+
+
+def with_stored_templates(known: Mined, lines: DataFrame) -> DataFrame:
+    """Add ``event_id`` and ``template`` from the table; null where a line's pattern is new to it."""
+    keyed = lines.withColumn("_pattern", _pattern())
+    return _named(keyed, _patterns(keyed), known)
+
+
+def with_mined_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN,
+                         part_size: int = PART) -> DataFrame:
+    """Add ``event_id`` and ``template`` to lines with a ``line_id`` and ``content``; ids count
+    from 1 by first appearance. Only distinct patterns are merged and joined back."""
+    return extend(Mined.nothing(lines.sparkSession), lines, similarity, max_children, part_size)[0]
 
 
-def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN) -> DataFrame:
+def mine_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN,
+                   part_size: int = PART) -> DataFrame:
     """(line_id, event_id, template) for every line."""
-    return with_mined_templates(lines.select("line_id", "content"), similarity, max_children).select(
+    return with_mined_templates(lines.select("line_id", "content"), similarity, max_children, part_size).select(
         "line_id", "event_id", "template")

@@ -73,3 +73,75 @@ def test_few_first_tokens_keep_their_leaf(spark):
     lines = spark.createDataFrame([(i, f"head{chr(97 + i)} x y") for i in range(6)], "line_id bigint, content string")
     assert templates.mine_templates(lines).select("event_id").distinct().count() == 6
     assert templates.mine_templates(lines, max_children=3).select("event_id").distinct().count() == 3
+
+
+def _mixed(n):
+    """Lines of few templates, some with many values, and some of a kind of their own."""
+    return [(i, [f"load {_letters(i)} from disk {_letters(i % 7)}", f"load all from net {_letters(i % 5)}", f"stop {_letters(i % 40)} {i}",
+                 f"{_letters(i % 9)} {_letters(i % 13)} {_letters(i % 4)} odd", f"load {_letters(i % 3)} to disk now"][i * i % 5])
+            for i in range(n)]
+
+
+def test_parts_of_a_leaf_merge(spark):
+    """A leaf in parts of 50 patterns: several tasks, the templates of one stream, whatever the partitions."""
+    lines = spark.createDataFrame([(i, f"same {_letters(i)} rest of it") for i in range(2000)], "line_id bigint, content string")
+    got = templates.mine_templates(lines, part_size=50)
+    assert {(r.event_id, r.template) for r in got.select("event_id", "template").distinct().collect()} == {(1, "same <*> rest of it")}
+    assert got.count() == 2000
+    mixed = spark.createDataFrame(_mixed(1500), "line_id bigint, content string")
+    one = _mined(templates.mine_templates(mixed, part_size=64))
+    assert one == _mined(templates.mine_templates(mixed.repartition(5).orderBy(F.desc("line_id")), part_size=64))
+    whole = {t for _, _, t in _mined(templates.mine_templates(mixed))}
+    assert {t for _, _, t in one} & whole >= {"load <*> from <*> <*>"} & whole
+    assert all(_fits(c.replace(str(i), "<*>"), t) for (i, c), (_, _, t) in zip(_mixed(1500), one))
+
+
+def test_later_lines_keep_merges_of_parts(spark):
+    mixed = spark.createDataFrame(_mixed(1500), "line_id bigint, content string")
+    some, every = (_mined(templates.mine_templates(df, part_size=64)) for df in (mixed.where("line_id < 777"), mixed))
+    assert [(k, e) for k, e, _ in some] == [(k, e) for k, e, _ in every[:777]]
+
+
+def _steps(spark, lines, cuts, path, **more):
+    """Mine lines in steps against a saved table."""
+    known = templates.Mined.nothing(spark)
+    df = spark.createDataFrame(lines, "line_id bigint, content string")
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+        new, known = templates.extend(known, df.where(f"line_id >= {a} AND line_id < {b}"), **more)
+        assert new.where("event_id IS NULL").count() == 0
+        known.save(f"{path}/{k}")
+        known = templates.Mined.load(spark, f"{path}/{k}")
+    return _mined(templates.with_stored_templates(known, df).select("line_id", "event_id", "template"))
+
+
+def test_mining_in_steps_equals_mining_at_once(spark, tmp_path):
+    lines = _mixed(900)
+    df = spark.createDataFrame(lines, "line_id bigint, content string")
+    for name, cuts, part in (("a", [300], 1 << 16), ("b", [1, 130, 131, 600], 64)):
+        assert _steps(spark, lines, cuts, str(tmp_path / name), part_size=part) == _mined(templates.mine_templates(df, part_size=part))
+
+
+def test_few_leaves_in_steps(spark, tmp_path):
+    lines = [(i, f"head{chr(97 + i % 9)} x {_letters(i)}") for i in range(60)]
+    df = spark.createDataFrame(lines, "line_id bigint, content string")
+    assert _steps(spark, lines, [10, 30], str(tmp_path / "t"), max_children=4, part_size=16) == _mined(
+        templates.mine_templates(df, max_children=4, part_size=16))
+
+
+def test_stored_templates_leave_new_patterns_open(spark):
+    _, known = templates.extend(templates.Mined.nothing(spark), spark.createDataFrame([(0, "a b 1")], "line_id bigint, content string"))
+    got = templates.with_stored_templates(known, spark.createDataFrame([(5, "a  b 2"), (6, "other"), (7, None)], "line_id bigint, content string"))
+    assert sorted((r.line_id, r.event_id, r.template) for r in got.collect()) == [(5, 1, "a b <*>"), (6, None, None), (7, None, None)]
+
+
+def test_rare_tokens_find_what_all_tokens_find():
+    """The index against a comparison with every template."""
+    import random
+
+    draw = random.Random(4)
+    leaf = templates._Leaf(0.3)
+    for i in range(1500):
+        tokens = [draw.choice("abcdefghij"[: 2 + place]) if draw.random() < 0.9 else templates.WILDCARD for place in range(8)]
+        want = {k: n for k, t in enumerate(leaf.templates) if (n := sum(x == y != templates.WILDCARD for x, y in zip(tokens, t))) >= 2.4}
+        assert leaf._equal(tokens) == want
+        leaf.add(tokens, i) if i % 3 else leaf.put(tokens, i)
