@@ -14,7 +14,8 @@ shingles. The join uses this three times; no step drops a link:
 3. *Candidates.* Per shingle and size class every document is first held against one leader only.
    There the lower of both levels says how many shingles must match. Then only documents that are
    in different components meet, where all but the largest component of a shingle are compared
-   with everything, at level one on the prefix that the two sizes leave. Pairs inside a component
+   with everything, on the prefix that the two sizes leave; what meets has to match as often in its
+   prefixes as the lower level says before whole sets are compared. Pairs inside a component
    are never listed: they can't change it.
 
 Equal sets are handled once. Every candidate is verified on its whole sets. Sets hold 64-bit hashes.
@@ -35,12 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.components import connected
 from loglens.llm.memory import claim
-from loglens.operators.cluster import connected_components
+from loglens.operators.joins import hot_keys, spread_join
 from loglens.session import stage
 
 WIDTH = 5
@@ -48,10 +51,11 @@ WIDTH = 5
 PART = 80
 #: The screen's level is 1 + n // SCREEN; a partner's set may be a fifth smaller, hence its demand.
 SCREEN = 10
-#: Bits of the filter that spares sets without a chance the shuffle. What it lets through is joined.
-FILTER_BITS = 1 << 25
-#: Texts whose screen prefixes are read together.
-TOGETHER = 2000
+#: Bits of the filter that spares sets without a chance the shuffle: for each key, and at most (32 MB). What it
+#: lets through is joined.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 28
+#: Texts whose screen prefixes are read together, at most, and their characters; shingles of sets that are counted together.
+TOGETHER, TOGETHER_CHARS, TOGETHER_SHINGLES = 2000, 4_000_000, 500_000
 #: Counts of a shingle stop here: more frequent ones are ordered by their hash.
 HOT = 256
 #: Prefix levels that are weighed against each other.
@@ -126,11 +130,24 @@ def _flat(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, x, np.arange(len(h)) - np.repeat(starts, sizes)
 
 
+def _slices(weights: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into runs of at most ``rows`` that weigh ``most`` or less, or are one row."""
+    a = held = 0
+    for b, weight in enumerate(weights):
+        if b > a and (b - a == rows or held + weight > most):
+            yield a, b
+            a, held = b, 0
+        held += weight
+    if a < len(weights):
+        yield a, len(weights)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[str | None]]:
-    """The first column, so many rows at a time: what is made of them is much larger."""
+    """The first column, so many rows and characters at a time: what is made of them is much larger."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.column(0).slice(at, rows).to_pylist()
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(0)), 0).to_pylist()
+        for a, b in _slices(sizes, rows, TOGETHER_CHARS):
+            yield batch.column(0).slice(a, b - a).to_pylist()
 
 
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
@@ -199,24 +216,35 @@ def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 class Filter:
-    """A Bloom filter of random 64-bit keys: at most ``FILTER_BITS`` bits, however many keys."""
+    """A Bloom filter of random 64-bit keys, as large as their number asks for up to ``FILTER_BITS`` bits. It is
+    made in pieces by the tasks; the driver puts the pieces together."""
 
-    _SHIFTS = (0, 20, 39)
+    _SHIFTS, _PIECE = (0, 18, 36), 1 << 17
 
     def __init__(self, keys: DataFrame, column: str):
-        places = [F.shiftrightunsigned(column, k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in self._SHIFTS]
-        words = keys.select(F.explode(F.array(*places)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("held"))
-        found = words.collect()  # at most FILTER_BITS / 32 rows
-        held = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-        held[[r["word"] for r in found]] = [r["held"] for r in found]
-        self.sent = keys.sparkSession.sparkContext.broadcast(held)
+        wanted = max(self._PIECE, FILTER_SHARE * keys.count())
+        self.bits = min(FILTER_BITS, 1 << (wanted - 1).bit_length())
+        size = self._PIECE
+
+        def fill(rows: pd.DataFrame) -> pd.DataFrame:
+            held = np.zeros(size, dtype=np.uint8)
+            held[rows["bit"].to_numpy()] = 1
+            return pd.DataFrame({"piece": rows["piece"].iloc[:1], "held": [np.packbits(held, bitorder="little").tobytes()]})
+
+        places = [F.shiftrightunsigned(column, k).bitwiseAND(F.lit(self.bits - 1)) for k in self._SHIFTS]
+        bits = keys.select(F.explode(F.array(*places)).alias("bit")).select(
+            F.shiftright("bit", size.bit_length() - 1).alias("piece"), F.col("bit").bitwiseAND(F.lit(size - 1)).alias("bit")).distinct()
+        held = np.zeros(self.bits // 8, dtype=np.uint8)
+        for r in bits.groupBy("piece").applyInPandas(fill, "piece bigint, held binary").collect():
+            at = r["piece"] * size // 8
+            held[at : at + size // 8] = np.frombuffer(r["held"], dtype=np.uint8)
+        self.sent = keys.sparkSession.sparkContext.broadcast(held.view("<u4"))
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         held, keys = self.sent.value, keys.view(np.uint64)
         out = np.ones(len(keys), dtype=bool)
         for shift in self._SHIFTS:
-            bit = (keys >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
+            bit = (keys >> np.uint64(shift)) & np.uint64(self.bits - 1)
             out &= (held[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 == 1
         return out
 
@@ -225,9 +253,9 @@ class Filter:
 
 
 def _candidate_sets(docs: DataFrame, signed: DataFrame, text: str, width: int) -> DataFrame:
-    """(v, key, n, items): the sets that pass the screen, each once, numbered."""
+    """(v, key, n, items): the sets that pass the screen, each once, numbered. ``signed`` has each set once."""
     credits = _screen_credits(docs, text, width)
-    sizes = signed.where("n > 0").select("x", "key", "n").distinct()
+    sizes = signed.select("x", "key", "n")
     need = 1 + F.floor(F.col("n") * PART / (100 * SCREEN))
     passed = stage(sizes.join(credits, "x").where(F.col("credit") >= need).select("x", "key", "n"), "passed")
     chance = Filter(passed, "x")
@@ -260,8 +288,9 @@ def _counted(sets: DataFrame, width: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER // 4):
-                v, items = (c.slice(at, TOGETHER // 4) for c in batch.columns)
+            sizes = pa.compute.list_value_length(batch.column(1)).to_pylist()
+            for a, b in _slices(sizes, TOGETHER // 4, TOGETHER_SHINGLES):
+                v, items = (c.slice(a, b - a) for c in batch.columns)
                 h, x, place = _flat({k: one.values.to_numpy() for k, one in zip(v.to_pylist(), items)})
                 settled = place >= HOT
                 yield _rows(deal=np.where(settled, x, h), h=h, x=x, credit=np.where(settled, HOT, 0))
@@ -349,6 +378,18 @@ def _matching(pairs: DataFrame) -> DataFrame:
         "times >= level").select("a", "b")
 
 
+def _matching_prefixes(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(a, b) of pairs whose prefixes match often enough for the lower of their levels. A pair carries its prefixes."""
+    tokens = stage(prefixes.groupBy("v").agg(
+        F.max("level").alias("level"), F.collect_list(F.struct("h", "least")).alias("tokens")), "prefix_tokens")
+    both = pairs.select("a", "b")
+    for end in ("a", "b"):
+        both = both.join(tokens.select(F.col("v").alias(end), F.col("level").alias(f"level_{end}"), F.col("tokens").alias(f"tokens_{end}")), end)
+    level = F.least("level_a", "level_b")
+    held = [F.transform(F.filter(f"tokens_{end}", lambda t: t["least"] <= level), lambda t: t["h"]) for end in ("a", "b")]
+    return both.where(F.size(F.array_intersect(*held)) >= level).select("a", "b")
+
+
 def _may_link(n: str, common: str, other_n: str, other_common: str) -> Column:
     """Whether the sets can share enough: all that either shares with anyone, at most."""
     return (100 + PART) * F.least(common, other_common) >= PART * (F.col(n) + F.col(other_n))
@@ -378,7 +419,7 @@ def links(sets: DataFrame, width: int) -> DataFrame:
         F.least("v", "first.v").alias("a"), F.greatest("v", "first.v").alias("b"),
         F.least("level", "first.level").alias("level"), F.greatest("least", "first.least").alias("least")))
     tried = stage(_verified(first, sets), "tried")
-    placed = connected_components(tried.where("linked").select("a", "b"))
+    placed = connected(tried.where("linked").select("a", "b"))
     roots = prefixes.join(placed.select(F.col("point").alias("v"), "root"), "v", "left").withColumn(
         "root", F.coalesce("root", "v"))
     rooted = stage(roots, "rooted")
@@ -396,7 +437,7 @@ def links(sets: DataFrame, width: int) -> DataFrame:
         (F.col("root") != F.col("root_b")) & ((F.col("root") == F.col("largest")) | (F.col("v") < F.col("v_b"))) & _may_link("n", "common", "n_b", "common_b")
         & ((100 + PART) * left >= PART * (F.col("n") + F.col("n_b"))))
     second = met.select(F.least("v", "v_b").alias("a"), F.greatest("v", "v_b").alias("b")).distinct()
-    again = second.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    again = _matching_prefixes(second.join(tried.select("a", "b"), ["a", "b"], "left_anti"), prefixes)
     return stage(tried.where("linked").select("a", "b").unionByName(
         _verified(again, sets).where("linked").select("a", "b")), "links")
 
@@ -405,20 +446,26 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, tie, n, label): equal labels in a component; null for empty sets. A written table."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = stage(signatures(docs, doc_id, text), "signatures")
-    sets = _candidate_sets(docs, signed, text, width)
-    found = connected_components(links(sets, width))
+    different = stage(signed.where("n > 0").groupBy("x", "key", "n").agg(F.count(F.lit(1)).alias("copies")), "different")
+    sets = _candidate_sets(docs, different, text, width)
+    found = connected(links(sets, width))
     names = sets.select("v", "key")
-    roots = found.join(names.select(F.col("v").alias("point"), "key"), "point").join(
-        names.select(F.col("v").alias("root"), F.col("key").alias("label")), "root").select("key", "label")
-    return stage(signed.join(roots, "key", "left").select(
+    counts = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    labels = names.select(F.col("v").alias("root"), F.col("key").alias("label"))
+    roots = spread_join(found.join(names.select(F.col("v").alias("point"), "key"), "point"), labels, ["root"], by="point",
+                        hot=hot_keys(counts, ["root"], "n")).select("key", "label")
+    copied = hot_keys(different.select("key", "copies"), ["key"], "copies")
+    return stage(spread_join(signed, roots, ["key"], by="doc_id", how="left", hot=copied).select(
         "doc_id", "tie", "n", F.coalesce("label", "key").alias("label")), "labelled")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document."""
     rows = _labelled(docs, doc_id, text)
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select(
+    least = stage(rows.where("label IS NOT NULL").groupBy("label").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
+    named = spread_join(rows, least.select("label", "least"), ["label"], by="doc_id", how="left", hot=hot_keys(least, ["label"], "rows"))
+    return named.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -427,15 +474,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of every component: the least id, by a hash of the text among equal
     ids. Only rows that may be of a component of several are moved."""
     rows = _labelled(docs, doc_id, text).where("label IS NOT NULL")
-    groups = rows.groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "tie")).alias("kept")).where("rows > 1").drop("rows")
-    crowded = stage(rows.join(groups, "label").select(
+    groups = stage(rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "tie")).alias("kept")).where("rows > 1"), "groups")
+    crowded = stage(spread_join(rows, groups.drop("rows"), ["label"], by="doc_id", hot=hot_keys(groups, ["label"], "rows")).select(
         F.xxhash64("doc_id", "tie").alias("row"),
         (F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.tie") == F.col("tie"))).alias("stays")).distinct(), "crowded")
     chance = Filter(crowded, "row")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(doc_id), F.xxhash64(text))).withColumn("_met", chance.column(F.col("_row")))
-    met = keyed.where("_met").join(crowded.withColumnRenamed("row", "_row"), "_row", "left")
+    # A document's own columns stay in a struct, so they can have any name.
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(doc_id), F.xxhash64(text)).alias("row"))
+    keyed = keyed.withColumn("met", chance.column(F.col("row")))
+    met = keyed.where("met").join(crowded, "row", "left")
     # Rows of a component of several that stay are alike in id and text if there is more than one.
-    single = met.where("stays IS NULL").select(*docs.columns)
-    first = met.where("stays").dropDuplicates(["_row"]).select(*docs.columns)
-    return keyed.where("NOT _met").select(*docs.columns).unionByName(single).unionByName(first)
+    single = met.where("stays IS NULL").select("doc.*")
+    first = met.where("stays").dropDuplicates(["row"]).select("doc.*")
+    return keyed.where("NOT met").select("doc.*").unionByName(single).unionByName(first)

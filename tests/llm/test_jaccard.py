@@ -140,3 +140,57 @@ def test_levels_never_exclude_a_partner():
         level = min(p[0] for p in prefixes)
         both = [t for t in prefixes[0][1] if t in prefixes[1][1] and max(p[1][t] for p in prefixes) <= level]
         assert len(both) >= level
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f", "x", 1, None, 2.5), (2, "a b c d e f", "y", 2, "m", 2.5), (3, "other", None, 3, "n", None)]
+    names = "doc_id bigint, text string, stays string, row int, met string, doc double"
+    got = jaccard.one_of_each(spark.createDataFrame(rows, names))
+    assert got.columns == ["doc_id", "text", "stays", "row", "met", "doc"]
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+def test_slices_are_bounded():
+    assert list(jaccard._slices([1, 1, 1, 5, 9, 1], 2, 6)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    assert list(jaccard._slices([], 2, 6)) == [] and list(jaccard._slices([99], 2, 6)) == [(0, 1)]
+
+
+def test_near_misses_stay_apart_and_links_are_kept(spark):
+    """Copies with few or too many changed words around one text, and a second text's copies."""
+    import random
+
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(120):
+        words = list(base)
+        for at in draw.sample(range(200), 5 if k % 3 else 2):
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(map(int, jaccard.shingles(t))) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in jaccard.components(df).collect()}
+    assert got == {k: find(k) for k in range(len(sets))} and 1 < len(set(got.values())) < 120
+
+
+def test_filter_grows_with_its_keys(spark):
+    import numpy as np
+
+    keys = spark.range(60_000).selectExpr("xxhash64(id) AS x")
+    chance = jaccard.Filter(keys, "x")
+    held = np.array([r.x for r in keys.collect()], dtype=np.int64)
+    assert chance.bits == 1 << 20 and chance.may_hold(held).all()
+    other = np.array([r.x for r in spark.range(1_000_000, 1_020_000).selectExpr("xxhash64(id) AS x").collect()], dtype=np.int64)
+    assert chance.may_hold(other).mean() < 0.02
