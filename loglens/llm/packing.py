@@ -34,7 +34,7 @@ SEQUENCE, SEPARATOR = 4096, 1
 OPEN, SHARD_PIECES = 1024, 40_000
 #: Bytes of words and ids that a worker keeps, at most; the memory starts anew when it is full. An entry
 #: counts its text and what Python's objects take beside it.
-_KNOWN, _LONG_WORD, _WORD_BYTES = 112 << 20, 64, 240
+_KNOWN, _LONG_WORD, _WORD_BYTES = 160 << 20, 64, 240
 #: New words encoded at once, and characters of the texts that are split at once.
 _AT_ONCE, _GROUP = 500, 1_000_000
 #: Python's ``split`` cuts at these, the tokenizer doesn't.
@@ -55,9 +55,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Texts that may hold a token of the library's own list are encoded whole.
-        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]), re.IGNORECASE)
+        #: Texts that hold a token of the library's own list are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -103,7 +102,8 @@ class WordEncoder:
         return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.whole.search(t) else (t.lower() if t.isascii() else t).split() for t in texts]
+        whole = [any(a in t for a in self.added) or _ODD_SPACE.search(t) for t in texts]
+        split = [None if w else (t.lower() if t.isascii() else t).split() for t, w in zip(texts, whole)]
         new = set().union(*[w for w in split if w]).difference(self.known)
         if self.known_bytes + len(new) * _WORD_BYTES > _KNOWN:
             self.forget()
