@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.values import reduction_pct
-from loglens.operators import neighbours, vectors
+from loglens.operators import celltree, neighbours, vectors
 from loglens.operators.joins import hot_keys, spread_join
 from loglens.operators.ranking import dense_ids
 from loglens.schemas import NOISE
@@ -119,35 +121,68 @@ def cluster_vectors(rows: DataFrame, row_id: str, vector: str, eps: float = 0.4,
     return joined.drop("vec"), found, points
 
 
+def _centres(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Means of the clusters as vectors (id, a, idx, w); ``a`` is the cluster as well."""
+    mean = sums.join(sizes, "cluster_id").select("cluster_id", "idx", (F.col("s") / F.col("size")).alias("w"))
+    return mean.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e")).select(
+        F.col("cluster_id").cast("bigint").alias("id"), F.col("cluster_id").cast("bigint").alias("a"),
+        F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
+
+
+def _best_centre(tree: celltree.Tree, places: DataFrame) -> DataFrame:
+    """(point, best): the largest product of a point with the mean of a cluster other than its own."""
+    schema, width = "point bigint, best double", tree.width
+
+    def start(held: pa.RecordBatch):
+        centres, names = celltree.matrix(held, width), held["id"].to_numpy()
+
+        def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+            products = celltree.matrix(batch, width) @ centres.T
+            products[batch["a"].to_numpy()[:, None] == names[None, :]] = -np.inf
+            best = products.max(axis=1)
+            known = np.isfinite(best)
+            return celltree.record(schema, batch["id"].to_numpy()[known], best[known])
+
+        return visit, None
+
+    return celltree.meet(tree.leaves, places, schema, start).groupBy("point").agg(F.max("best").alias("best"))
+
+
+def nearest_other(points: DataFrame, sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(point, best) for vectors (id, a, idx, w), ``a`` being the cluster. The means of the clusters are kept in a
+    tree; a point goes to the most promising leaf first, and then only where more than what it found there can be."""
+    tree = celltree.build(_centres(sums, sizes))
+    if not tree.levels:
+        return _best_centre(tree, celltree.visits(tree, points.withColumn("low", F.lit(float("-inf")))))
+    asked = points.withColumn("low", F.lit(0.0))
+    seeds = stage(_best_centre(tree, celltree.visits(tree, asked, greedy=True)), "seeds")
+    raised = points.join(seeds.select(F.col("point").alias("id"), "best"), "id", "left").withColumn(
+        "low", F.coalesce("best", F.lit(float("-inf")))).drop("best")
+    return _best_centre(tree, celltree.visits(tree, raised))
+
+
 def silhouette(found: DataFrame, weights: DataFrame) -> DataFrame:
     """One row: mean cosine silhouette of clustered rows, noise left out; 0 unless there are two
-    clusters and two rows. Distances to a cluster come from the sum of its vectors, so no pair
-    is formed."""
-    kept = found.where(F.col("cluster_id") != NOISE)
+    clusters and two rows. Distances to a cluster come from the sum of its vectors, and the nearest
+    other cluster from a search over the clusters' means, so neither pairs of points nor all pairs of
+    a point and a cluster are formed."""
+    kept = stage(found.where(F.col("cluster_id") != NOISE).select("point", "copies", "cluster_id"), "clustered")
     own = weights.join(kept, "point")
-    sums = own.groupBy("cluster_id", "idx").agg(F.sum(F.col("w") * F.col("copies")).alias("s"))
-    sizes = kept.groupBy("cluster_id").agg(F.sum("copies").alias("size"))
+    sums = stage(own.groupBy("cluster_id", "idx").agg(F.sum(F.col("w") * F.col("copies")).alias("s")), "sums")
+    sizes = stage(kept.groupBy("cluster_id").agg(F.sum("copies").alias("size")), "sizes")
     k = sizes.agg(F.count(F.lit(1))).scalar()
-    other = sums.join(sizes, "cluster_id").select(
-        F.col("cluster_id").alias("other"), F.col("size").alias("other_size"), "idx", "s"
-    )
     dots = (
-        spread_join(own.select("point", "copies", "cluster_id", "idx", "w"), other, ["idx"], by="point", salts=8)
-        .groupBy("point", "copies", "cluster_id", "other", "other_size")
-        .agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
-    )
-    mine = F.col("other") == F.col("cluster_id")
-    far = 1 - F.col("dot") / F.col("other_size")
-    per_point = dots.groupBy("point", "copies").agg(
-        F.max(F.when(mine, F.col("other_size"))).alias("size"),
-        F.max(F.when(mine, F.col("dot"))).alias("own_dot"),
-        F.min(F.when(~mine, far)).alias("nearest"),
-        F.count_if(~mine).alias("met"),
+        spread_join(own.select("point", "cluster_id", "idx", "w"), sums, ["cluster_id", "idx"], by="point", salts=8)
+        .groupBy("point").agg(F.sum(F.col("w") * F.col("s")).alias("own_dot"))
     )
+    packed = stage(own.groupBy("point").agg(
+        F.max("cluster_id").cast("bigint").alias("a"), F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e")).select(
+        F.col("point").alias("id"), "a", F.col("e.idx").alias("idx"), F.col("e.w").alias("w")), "clustered_vectors")
+    best = nearest_other(packed, sums, sizes)
+    sized = spread_join(kept, sizes, ["cluster_id"], by="point", salts=8)
+    per_point = sized.join(dots, "point").join(best, "point", "left")
     a = (F.col("size") - F.col("own_dot")) / F.nullif(F.col("size") - 1, F.lit(0))
-    # A cluster that shares no dimension with the point is at distance 1.
-    b = F.when(F.col("met") < F.col("k") - 1, F.least(F.coalesce("nearest", F.lit(1.0)), F.lit(1.0))).otherwise(
-        F.col("nearest"))
+    b = 1 - F.col("best")
     value = F.when(F.col("size") == 1, 0.0).otherwise(
         F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0)))
     mean = F.sum(value * F.col("copies")) / F.nullif(F.sum("copies"), F.lit(0))

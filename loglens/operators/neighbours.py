@@ -1,236 +1,143 @@
 """Near pairs under cosine distance, without listing all pairs.
 
-Vectors are routed to *groups* such that two vectors within the distance always meet in at
-least one group: text vectors by the rare leading words that a near partner must share
-(prefix filtering), dense vectors by the pivot cells within reach (triangle inequality on
-angles). A group is cut into blocks of bounded size and compared block against block with one
-matrix product per task; what leaves a task is one row per vector (its neighbour count, or a
-star of its local component), never the pairs.
+Unit vectors are kept in a tree of cells (``celltree``). A vector visits the leaves in which a partner may be,
+by bounds on their largest weights and their extent; there it meets the leaf's vectors in one matrix
+product per batch. What leaves a task is a count, a label or a star for each vector, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.session import python_width, stage
+from loglens.operators import celltree
+from loglens.session import stage
 
-#: Vectors per block; a task compares at most two blocks.
-BLOCK = 1024
-_SLACK = 1e-6
 _DIGITS = 9
 
 
 @dataclass(frozen=True)
 class Groups:
-    """Where vectors meet. ``vectors`` (point, copies, idx, w, mark, gids) lists each vector
-    once with the groups it visits; sparse vectors have ``idx``, dense ones an empty one."""
-    vectors: DataFrame
+    """Where vectors meet. ``members`` (cell, id, a, idx, w) has each vector in its leaf, ``a`` its copies;
+    ``visits`` has a row for each leaf that a vector may have a partner in."""
 
-    @property
-    def points(self) -> DataFrame:
-        return self.vectors.select("point", "copies")
+    members: DataFrame
+    visits: DataFrame
+    width: int
 
     @property
-    def rows(self) -> DataFrame:
-        return self.vectors.select(F.explode("gids").alias("gid"), "point", "copies", "idx", "w", "mark")
+    def points(self) -> DataFrame:
+        return self.members.select(F.col("id").alias("point"), F.col("a").alias("copies"))
 
     def only(self, points: DataFrame) -> Groups:
-        return Groups(self.vectors.join(points.select("point"), "point", "left_semi"))
+        kept = points.select(F.col("point").alias("id"))
+        return Groups(self.members.join(kept, "id", "left_semi"), self.visits.join(kept, "id", "left_semi"), self.width)
+
+    def pairs_computed(self) -> int:
+        """Products that the visits stand for."""
+        sizes = self.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return self.visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).join(sizes, "cell").agg(
+            F.coalesce(F.sum(F.col("n") * F.col("v")), F.lit(0))).first()[0]
+
+
+def _groups(items: DataFrame, eps: float) -> Groups:
+    tree = celltree.build(items)
+    low = F.lit(round(1.0 - eps, _DIGITS))
+    return Groups(tree.leaves, celltree.visits(tree, items.withColumn("low", low)), tree.width)
 
 
 def text_groups(weights: DataFrame, points: DataFrame, eps: float) -> Groups:
-    """Groups for sparse unit vectors (point, idx, w), ``idx`` counting rare words first.
-
-    With ``t = 1 - eps``, the words from which the remaining part of a unit vector is shorter
-    than ``t`` cannot alone reach a product of ``t``, so near vectors share a word of both
-    prefixes and meet in that word's group; ``mark`` is the prefix length. If the words are so
-    common that these groups hold more pairs than there are altogether, one group for all is
-    the cheaper exact route and is taken instead.
-    """
+    """Groups for sparse unit vectors (point, idx, w) and their points (point, copies)."""
     if not 0.0 <= eps < 1.0:
         raise ValueError("eps must be in [0, 1): vectors without a common word are at distance 1")
-    rest = F.sum(F.col("w") * F.col("w")).over(
-        Window.partitionBy("point").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    limit = max(1.0 - eps - _SLACK, 0.0) ** 2
-    packed = stage(
-        weights.withColumn("lead", (rest >= limit).cast("int"))
-        .groupBy("point").agg(F.array_sort(F.collect_list(F.struct("idx", "w", "lead"))).alias("e"))
-        .join(points.select("point", "copies"), "point")
-        .select(
-            "point", "copies", F.col("e.idx").alias("idx"), F.col("e.w").alias("w"),
-            F.aggregate("e.lead", F.lit(0), lambda a, x: a + x).alias("mark"),
-        ),
-        "prefixes",
-    )
-    prefix = F.slice("idx", F.lit(1), F.col("mark"))
-    sizes = packed.select(F.explode(prefix).alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
-    by_word = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    everyone = F.array(F.lit(0))
-    return Groups(packed.withColumn("gids", prefix if by_word < float(packed.count()) ** 2 else everyone))
+    packed = weights.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("e"))
+    items = stage(packed.join(points.select("point", "copies"), "point").select(
+        F.col("point").alias("id"), F.col("copies").alias("a"), F.col("e.idx").alias("idx"), F.col("e.w").alias("w")), "items")
+    return _groups(items, eps)
 
 
 def dense_groups(points: DataFrame, eps: float) -> Groups:
-    """Groups for dense unit vectors (point, copies, vec); ``mark`` is the home cell.
-
-    Pivots are at most 256 of the vectors. A vector goes to its nearest pivot's cell and, as a
-    guest, to each lower-numbered cell that may hold a partner: angle(x, pivot) <= angle(x,
-    home) + 2 * angle(eps). A pair therefore meets in the lower of its two home cells.
-    """
-    wanted = min(256, max(1, -(-points.count() // (2 * BLOCK))))
-    chosen = points.orderBy(F.xxhash64("point"), "point").limit(wanted).select("vec").collect()
-    pivots = np.array([r["vec"] for r in chosen], dtype=float).reshape(len(chosen), -1)
-    reach = 2 * np.arccos(np.clip(1.0 - eps, -1.0, 1.0)) + 1e-6
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            angle = np.arccos(np.clip(np.vstack(batch["vec"].to_numpy()) @ pivots.T, -1.0, 1.0))
-            home = angle.argmin(axis=1)
-            near = angle <= angle.min(axis=1, keepdims=True) + reach
-            near &= np.arange(len(pivots))[None, :] <= home[:, None]
-            batch["mark"] = home
-            batch["gids"] = [np.flatnonzero(row) for row in near]
-            yield batch[["point", "copies", "vec", "mark", "gids"]]
-
-    placed = points.select("point", "copies", "vec").mapInPandas(
-        place, "point bigint, copies bigint, vec array<double>, mark int, gids array<int>"
-    )
-    no_index = F.array().cast("array<int>")
-    return Groups(stage(
-        placed.select("point", "copies", no_index.alias("idx"), F.col("vec").alias("w"), "mark", "gids"), "cells"))
-
-
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Repeat every member for each block pair of its group: (gid, i, j, block, ...).
-
-    There are as many size rows as groups (vocabulary size or pivot count, both bounded)."""
-    sizes = rows.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cut = rows.join(F.broadcast(sizes), "gid").withColumn(
-        "block", F.pmod(F.xxhash64("gid", "point"), F.col("blocks")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = cut.withColumn("other", other).select(
-        "*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    return paired.repartition(python_width(rows.sparkSession), "gid", "i", "j")
-
-
-def _matrix(rows: pd.DataFrame, width: int) -> np.ndarray:
-    weights = rows["w"].to_numpy()
-    if len(rows) == 0:
-        return np.zeros((0, max(width, 1)))
-    if width == 0:
-        return np.vstack(weights)
-    out = np.zeros((len(rows), width))
-    lines = np.repeat(np.arange(len(rows)), [len(i) for i in rows["idx"]])
-    out[lines, np.concatenate(rows["idx"].to_numpy())] = np.concatenate(weights)
-    return out
-
-
-class _Task:
-    """One block pair: the positions of both sides and the matrix of near pairs between them."""
-
-    def __init__(self, rows: pd.DataFrame, eps: float):
-        self.rows = rows
-        first, last = int(rows["i"].iat[0]), int(rows["j"].iat[0])
-        block = rows["block"].to_numpy()
-        self.same = first == last
-        self.left = np.flatnonzero(block == first)
-        self.right = self.left if self.same else np.flatnonzero(block == last)
-        lengths = [i[-1] + 1 if len(i) else 0 for i in rows["idx"]]
-        width = int(max(lengths))
-        a = _matrix(rows.iloc[self.left], width)
-        b = a if self.same else _matrix(rows.iloc[self.right], width)
-        shared = a @ b.T if len(a) and len(b) else np.zeros((len(a), len(b)))
-        self.near = np.round(shared, _DIGITS) >= round(1.0 - eps, _DIGITS)
-        if self.same:
-            np.fill_diagonal(self.near, False)
-
-    def owned(self) -> np.ndarray:
-        """Pairs this task has to count, so that a pair meeting in several groups counts once."""
-        gid, mark = int(self.rows["gid"].iat[0]), self.rows["mark"].to_numpy()
-        if all(len(i) == 0 for i in self.rows["idx"]):
-            guest = mark != gid
-            return ~(guest[self.left][:, None] & guest[self.right][None, :])
-        lower = np.zeros((len(self.rows), max(gid, 1)), dtype=np.float32)
-        for at, (idx, lead) in enumerate(zip(self.rows["idx"], mark)):
-            ahead = np.asarray(idx[:lead])
-            lower[at, ahead[ahead < gid]] = 1.0
-        return lower[self.left] @ lower[self.right].T == 0
-
-    def least(self, label: np.ndarray, none: int) -> np.ndarray:
-        """Smallest label among the near partners of each row."""
-        best = np.full(len(label), none, dtype=label.dtype)
-        if self.near.size:
-            best[self.left] = np.where(self.near, label[self.right][None, :], none).min(axis=1)
-            if not self.same:
-                best[self.right] = np.where(self.near, label[self.left][:, None], none).min(axis=0)
-        return best
-
-    def counts(self) -> np.ndarray:
-        hits, copies = self.near & self.owned(), self.rows["copies"].to_numpy()
-        out = np.zeros(len(self.rows), dtype=np.int64)
-        out[self.left] = hits @ copies[self.right]
-        if not self.same:
-            out[self.right] = hits.T @ copies[self.left]
-        return out
-
-
-def _stars(task: _Task, ids: np.ndarray) -> np.ndarray:
-    """Smallest id of each row's connected component, by label spreading and jumping."""
-    order = np.argsort(ids)
-    label = np.empty(len(ids), dtype=np.int64)
-    label[order] = np.arange(len(ids))
-    while True:
-        best = np.minimum(label, task.least(label, len(ids)))
-        best = np.minimum(best, best[order[best]])
-        if (best == label).all():
-            return ids[order[label]]
-        label = best
+    """Groups for dense unit vectors (point, copies, vec)."""
+    return _groups(points.select(
+        F.col("point").alias("id"), F.col("copies").alias("a"), F.array().cast("array<int>").alias("idx"), F.col("vec").alias("w")), eps)
+
+
+def _near(x: np.ndarray, ids: np.ndarray, members: np.ndarray, names: np.ndarray, eps: float) -> np.ndarray:
+    near = np.round(x @ members.T, _DIGITS) >= round(1.0 - eps, _DIGITS)
+    return near & (ids[:, None] != names[None, :])
 
 
 def neighbour_counts(groups: Groups, eps: float) -> DataFrame:
     """(point, near): rows within ``eps`` of each point, its own copies not included."""
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"point": rows["point"], "near": _Task(rows, eps).counts()})
+    schema, width = "point bigint, near bigint", groups.width
+
+    def start(held: pa.RecordBatch):
+        members, names, copies = celltree.matrix(held, width), held["id"].to_numpy(), held["a"].to_numpy()
+
+        def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch["id"].to_numpy()
+            return celltree.record(schema, ids, _near(celltree.matrix(batch, width), ids, members, names, eps) @ copies)
 
-    part = _block_pairs(groups.rows).groupBy("gid", "i", "j").applyInPandas(count, "point bigint, near bigint")
-    return part.groupBy("point").agg(F.sum("near").alias("near"))
+        return visit, None
+
+    return celltree.meet(groups.members, groups.visits, schema, start).groupBy("point").agg(F.sum("near").alias("near"))
 
 
 def component_edges(groups: Groups, eps: float) -> DataFrame:
     """(a, b): stars that connect the same points as all near pairs do."""
-    def connect(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["point"].to_numpy()
-        root = _stars(_Task(rows, eps), ids)
-        return pd.DataFrame({"a": ids, "b": root})[ids != root]
+    schema, width = "a bigint, b bigint", groups.width
+
+    def start(held: pa.RecordBatch):
+        members, names = celltree.matrix(held, width), held["id"].to_numpy()
+        root = np.arange(len(names))  # members with a common partner are one component
+
+        def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal root
+            ids = batch["id"].to_numpy()
+            near = _near(celltree.matrix(batch, width), ids, members, names, eps)
+            met = near.any(axis=1)
+            first = near.argmax(axis=1)
+            while True:  # the least root among a visitor's partners spreads to all of them
+                least = np.where(near, root[None, :], len(root)).min(axis=1, initial=len(root))
+                spread = np.minimum(root, np.where(near, least[:, None], len(root)).min(axis=0, initial=len(root)))
+                spread = np.minimum(spread, spread[root])
+                if (spread == root).all():
+                    break
+                root = spread
+            return celltree.record(schema, ids[met], names[first[met]])
+
+        def end() -> pa.RecordBatch:
+            moved = root != np.arange(len(root))
+            return celltree.record(schema, names[moved], names[root[moved]])
+
+        return visit, end
 
-    part = _block_pairs(groups.rows).groupBy("gid", "i", "j").applyInPandas(connect, "a bigint, b bigint")
-    return part.distinct()
+    return celltree.meet(groups.members, groups.visits, schema, start).distinct()
 
 
 def lowest_core_label(groups: Groups, labels: DataFrame, eps: float) -> DataFrame:
     """(point, root): for points that are not core, the lowest label among their core neighbours.
 
     ``labels`` holds (point, root) of the core points."""
-    top = np.iinfo(np.int64).max
-    tagged = groups.rows.join(labels.select("point", "root"), "point", "left").withColumn(
-        "root", F.coalesce("root", F.lit(int(top)))
-    )
-
-    def attach(rows: pd.DataFrame) -> pd.DataFrame:
-        root = rows["root"].to_numpy()
-        best = _Task(rows, eps).least(root, top)
-        keep = (root == top) & (best < top)
-        return pd.DataFrame({"point": rows["point"].to_numpy()[keep], "root": best[keep]})
-
-    part = _block_pairs(tagged).groupBy("gid", "i", "j").applyInPandas(attach, "point bigint, root bigint")
-    return part.groupBy("point").agg(F.min("root").alias("root"))
+    schema, width = "point bigint, root bigint", groups.width
+    named = labels.select(F.col("point").alias("id"), F.col("root").alias("label"))
+    core = groups.members.join(named, "id").withColumn("a", F.col("label")).drop("label")
+    border = groups.visits.join(named, "id", "left_anti")
+    none = np.iinfo(np.int64).max
+
+    def start(held: pa.RecordBatch):
+        members, names, label = celltree.matrix(held, width), held["id"].to_numpy(), held["a"].to_numpy()
+
+        def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch["id"].to_numpy()
+            near = _near(celltree.matrix(batch, width), ids, members, names, eps)
+            best = np.where(near, label[None, :], none).min(axis=1)
+            return celltree.record(schema, ids[best < none], best[best < none])
+
+        return visit, None
+
+    return celltree.meet(core, border, schema, start).groupBy("point").agg(F.min("root").alias("root"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loglens.operators import cluster, neighbours, vectors
+from loglens.operators import celltree, cluster, neighbours, vectors
 
 
 def _dbscan(x: np.ndarray, eps: float, min_samples: int) -> list[int]:
@@ -57,9 +57,9 @@ def texts():
 
 
 @pytest.mark.parametrize("min_samples", [2, 4, 7])
-@pytest.mark.parametrize("block", [1024, 5])
-def test_text_clusters_match_the_textbook(spark, texts, monkeypatch, min_samples, block):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
+@pytest.mark.parametrize("leaf", [1024, 5])
+def test_text_clusters_match_the_textbook(spark, texts, monkeypatch, min_samples, leaf):
+    monkeypatch.setattr(celltree, "LEAF", leaf)
     rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     found, _, _ = cluster.cluster_texts(rows, "id", "text", eps=0.4, min_samples=min_samples)
     got = {r.id: r.cluster_id for r in found.collect()}
@@ -68,10 +68,10 @@ def test_text_clusters_match_the_textbook(spark, texts, monkeypatch, min_samples
     assert [got[i] for i in core_like] == want
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_vector_clusters_match_the_textbook(spark, monkeypatch, block):
-    """A small block also means many pivots, so cells, guests and block pairs all occur."""
-    monkeypatch.setattr(neighbours, "BLOCK", block)
+@pytest.mark.parametrize("leaf", [1024, 8])
+def test_vector_clusters_match_the_textbook(spark, monkeypatch, leaf):
+    """A small leaf means several levels of cells."""
+    monkeypatch.setattr(celltree, "LEAF", leaf)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
     x = np.vstack([centres[i % 6] + rng.normal(scale=0.35, size=8) for i in range(90)] + [np.zeros(8), np.zeros(8)])
@@ -84,9 +84,9 @@ def test_vector_clusters_match_the_textbook(spark, monkeypatch, block):
         assert [r.cluster_id for r in found.orderBy("id").collect()] == _dbscan(unit, 0.06, min_samples)
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_each_pair_counts_once(spark, texts, monkeypatch, block):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
+@pytest.mark.parametrize("leaf", [1024, 8])
+def test_each_pair_counts_once(spark, texts, monkeypatch, leaf):
+    monkeypatch.setattr(celltree, "LEAF", leaf)
     rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     model = vectors.tfidf(rows, "id", "text")
     x = _tfidf(texts)
