@@ -9,7 +9,7 @@ from checks.registry import check
 from checks.sql import dominant_sql, mode_sql, silhouette_sql, statistics_sql
 from loglens.functions import text, values
 from loglens.operators import alerts as A
-from loglens.operators import cluster, filters, neighbours, vectors
+from loglens.operators import cluster, filters, neighbours, ranking, vectors
 from loglens.plans import dashboard, endpoints
 from loglens.session import scratch_path, stage
 from loglens.sources import documents
@@ -290,7 +290,7 @@ def _(x: Inputs):
 
 @check("D33_cluster_severities", "SELECT cluster_id, severity, count(*) AS n FROM placed GROUP BY 1, 2", "placed")
 def _(x: Inputs):
-    return x.placed.groupBy("cluster_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return A.cluster_severities(x.placed)
 
 
 @check("F4_alerts_page", """SELECT window_start, window_end, round(a.anomaly_score, 4) AS anomaly_score, severity, top_template, cluster_id,
@@ -313,10 +313,7 @@ def _(x: Inputs):
 @check("F9_sort_inside_cluster", """SELECT cluster_id, window_id, row_number() OVER (PARTITION BY cluster_id ORDER BY anomaly_score DESC, window_id) AS place
 FROM placed""", "placed")
 def _(x: Inputs):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("anomaly_score"), "window_id")
-    return x.placed.select("cluster_id", "window_id", F.row_number().over(order).cast("bigint").alias("place"))
+    return ranking.places_in_groups(x.placed.select("cluster_id", "window_id", "anomaly_score"), "cluster_id", "anomaly_score", "window_id").drop("anomaly_score")
 
 
 @check("F6b_top_windows_captioned", """SELECT window_id, severity, round(anomaly_score, 3) AS score, anomaly_count, total_logs,

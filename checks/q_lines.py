@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.context import Inputs
 from checks.registry import check
 from loglens.functions import text, values
-from loglens.operators import filters, parse, ranking, templates, windows
+from loglens.operators import filters, parse, ranking, search_index, templates, windows
 from loglens.plans import dashboard, endpoints
 from loglens.schemas import PARSED
 from loglens.session import scratch_path, stage
@@ -82,7 +84,8 @@ def _(x: Inputs):
     return tables.materialize(x.spark, path, lambda: x.counts.limit(0), "skip")
 
 
-@check("A10_list_datasets")
+@check("A10_list_datasets", """SELECT 'logs' AS name, 'derived log table' AS description, 'ready' AS status,
+['alerts', 'metrics', 'parsed', 'scores'] AS files FROM (SELECT 1 FROM logs LIMIT 1)""", "logs")
 def _(x: Inputs):
     folder = scratch_path(x.spark, "dataset")
     tables.write_table(x.logs, f"{folder}/parsed.parquet")
@@ -263,7 +266,7 @@ _PAGE = "line_id, date, node, level, is_anomaly, template, content"
 @check("F1_sort_by_time", "SELECT timestamp, line_id, level FROM logs ORDER BY timestamp, line_id", "logs")
 def _(x: Inputs):
     """Only as an explicit output: windowing itself needs no order."""
-    return x.logs.orderBy("timestamp", "line_id").select("timestamp", "line_id", "level")
+    return ranking.in_time_order(x.logs).select("timestamp", "line_id", "level")
 
 
 @check("F2_logs_page", f"""SELECT {_PAGE} FROM logs WHERE level = 'SEVERE' AND content ILIKE '%error on shard%'
@@ -287,7 +290,42 @@ def _(x: Inputs):
 AND timestamp < 1704240000 ORDER BY line_id LIMIT 20""", "logs")
 def _(x: Inputs):
     rows = x.logs.where(filters.between_times(1704153600, 1704240000))
-    return rows.orderBy("line_id").limit(20).select("node", "level", "is_anomaly", "template", "content")
+    return ranking.head(rows, 20, "node", "level", "is_anomaly", "template", "content")
+
+
+@check("F2b_logs_deep_page", f"SELECT {_PAGE} FROM logs WHERE is_anomaly = 0 ORDER BY line_id LIMIT 1000 OFFSET 8000", "logs")
+def _(x: Inputs):
+    """By counting, as offsets from 20,000 on."""
+    rows = x.logs.where(filters.show("normal")).select(*_PAGE.split(", "))
+    return ranking._narrowed(rows, "line_id", 8000, 9000, small=500)
+
+
+_NEEDLES = ["error on shard c", "%b code 9_", "no such text", "de"]
+_PATTERNS = ["(click|view) on shard [ab] code 1[0-9]$", "shard (x|y)", "sign"]
+
+
+def _indexed(x: Inputs) -> search_index.Index:
+    path = scratch_path(x.spark, "searched")
+    tables.write_table(x.logs.repartitionByRange(16, "template", "line_id"), path)
+    index = search_index.Index(x.spark, path, scratch_path(x.spark, "search_index"))
+    index.refresh()
+    return index
+
+
+@check("B12i_indexed_substring", " UNION ALL ".join(
+    f"SELECT {k} AS needle, line_id, content FROM logs WHERE content ILIKE '%{n}%'" for k, n in enumerate(_NEEDLES)), "logs")
+def _(x: Inputs):
+    index = _indexed(x)
+    found = [index.substring(n).select(F.lit(k).alias("needle"), "line_id", "content") for k, n in enumerate(_NEEDLES)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@check("B13i_indexed_regex", " UNION ALL ".join(
+    f"SELECT {k} AS pattern, line_id, content FROM logs WHERE regexp_matches(content, '{p}', 'i')" for k, p in enumerate(_PATTERNS)), "logs")
+def _(x: Inputs):
+    index = _indexed(x)
+    found = [index.regex(p).select(F.lit(k).alias("pattern"), "line_id", "content") for k, p in enumerate(_PATTERNS)]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @check("F8_numbered_page", f"SELECT {_PAGE} FROM logs WHERE is_anomaly = 0 ORDER BY line_id LIMIT 500 OFFSET 2500", "logs")
@@ -347,7 +385,7 @@ round(avg(value), 1) AS r1 FROM (SELECT user_id AS event_id, value FROM events)
 def _(x: Inputs):
     mean = F.avg("value")
     return x.table("events").groupBy(F.col("user_id").alias("event_id")).agg(
-        *[F.round(mean, d).alias(f"r{d}") for d in (4, 3, 2, 1)])
+        *[values.rounded(mean, d).alias(f"r{d}") for d in (4, 3, 2, 1)])
 
 
 @check("H10_truth_text", "SELECT line_id, CASE is_anomaly WHEN 1 THEN 'Anomaly' ELSE 'Normal' END AS truth FROM logs", "logs")
@@ -359,8 +397,8 @@ def _(x: Inputs):
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def _(x: Inputs):
     joined = x.table("documents").select("doc_id").join(x.table("labels"), "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"),
-                         F.coalesce(F.col("toxic").cast("string"), F.lit("unknown")).alias("toxic"))
+    return joined.select("doc_id", values.or_default(F.col("quality"), 0).alias("quality"),
+                         values.or_default(F.col("toxic"), "unknown").alias("toxic"))
 
 
 @check("H12_words", """SELECT doc_id, count(w) AS n_words, count(DISTINCT w) AS n_distinct, min(w) AS first, max(w) AS last
@@ -375,7 +413,7 @@ def _(x: Inputs):
 
 @check("H13_upper_parameter", "SELECT line_id, level FROM logs WHERE level = upper('severe')", "logs")
 def _(x: Inputs):
-    return x.logs.where(F.col("level") == F.upper(F.lit("severe"))).select("line_id", "level")
+    return x.logs.where(filters.level_named("severe")).select("line_id", "level")
 
 
 @check("H14_number_text", r"""SELECT level, printf('%.2f%%', 100.0 * count(*) / (SELECT count(*) FROM logs)) AS share,

@@ -41,9 +41,7 @@ def _(x: Inputs):
 @check("E4_arg_max_row", """SELECT day, window_id, total_logs FROM (SELECT window_id // 24 AS day, window_id, total_logs,
 row_number() OVER (PARTITION BY window_id // 24 ORDER BY total_logs DESC, window_id) AS r FROM meta) WHERE r = 1""", "meta")
 def _(x: Inputs):
-    day = F.floor(F.col("window_id") / 24).alias("day")
-    best = F.min(F.struct((-F.col("total_logs")).alias("rank"), "window_id")).alias("best")
-    return x.meta.groupBy(day).agg(best).select("day", "best.window_id", (-F.col("best.rank")).alias("total_logs"))
+    return ranking.best_row(x.meta, {"day": F.floor(F.col("window_id") / 24)}, "total_logs", "window_id")
 
 
 @check("D1_event_counts", "SELECT * FROM counts", "counts")
@@ -220,20 +218,20 @@ def _(x: Inputs):
     stats = windows.scaler_stats(features, meta.agg(F.count(F.lit(1))).scalar())
     probes = forest.score_external(forest.probe_vectors(features, meta, stats), model)
     scores = meta.join(forest.score_windows(features, model), "window_id")
-    return quality.model_check(probes, evaluate.mean_score_by_class(scores), 0.45, 0.45)
+    return quality.model_check(probes, evaluate.mean_score_by_class(scores), 0.45, 0.40)
 
 
 @check("J12b_model_verdict", """SELECT unnest(['median_normal_low', 'extreme_high', 'anomalies_above_normals']) AS "check", true AS ok
 FROM (SELECT 1 FROM meta LIMIT 1)""", "meta")
 def _(x: Inputs):
-    """The checks of J12 must hold. Their bounds are 0.45, not the default of the stage: with few lines
+    """The checks of J12 must hold. The bound of normal windows is 0.45, not the default of the stage: with few lines
     a window the median normal window lies at 0.36 on these tables."""
     features, meta = stage(x.features, "features"), stage(x.meta, "meta")
     model = stage(forest.fit_isolation_forest(features, meta.select("window_id")), "model")
     stats = windows.scaler_stats(features, meta.agg(F.count(F.lit(1))).scalar())
     probes = forest.score_external(forest.probe_vectors(features, meta, stats), model)
     scores = meta.join(forest.score_windows(features, model), "window_id")
-    return quality.model_check(probes, evaluate.mean_score_by_class(scores), 0.45, 0.45).select("check", "ok")
+    return quality.model_check(probes, evaluate.mean_score_by_class(scores), 0.45, 0.40).select("check", "ok")
 
 
 @check("I7_contamination", "SELECT greatest(0.01, least(avg(is_anomaly), 0.45))::DOUBLE AS contamination FROM meta", "meta")

@@ -64,3 +64,18 @@ def percent_text(share: Column, digits: int) -> Column:
 
 def thousands_text(count: Column) -> Column:
     return F.format_number(count, 0)
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half up, as figures are shown."""
+    return F.round(value, digits)
+
+
+def or_default(value: Column, default) -> Column:
+    """A default for nulls; where it is a text, numbers become text as well."""
+    return F.coalesce(value.cast("string") if isinstance(default, str) else value, F.lit(default))
+
+
+def upper_parameter(value: str) -> Column:
+    """A parameter that is compared without case."""
+    return F.upper(F.lit(value))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.functions import text, values
+from loglens.operators import quantiles
 from loglens.operators.joins import spread_join
 from loglens.operators.ranking import mode_of
 from loglens.operators.scoring import one
@@ -77,9 +78,7 @@ def _mode(counts: DataFrame, value: str) -> DataFrame:
 def severity_cuts(scores: DataFrame) -> DataFrame:
     """The 0.95, 0.85 and 0.70 quantiles of the scores of predicted windows."""
     picked = scores.where("predicted = 1")
-    return picked.agg(*[
-        F.percentile("anomaly_score", F.lit(q)).alias(n) for n, q in [("p95", 0.95), ("p85", 0.85), ("p70", 0.70)]
-    ])
+    return quantiles.row(picked, "anomaly_score", {"p95": 0.95, "p85": 0.85, "p70": 0.70})
 
 
 def with_severity(windows: DataFrame, scores: DataFrame) -> DataFrame:
@@ -231,3 +230,8 @@ def top_windows_first_lines(lines: DataFrame, scores: DataFrame, windows: int =
         "window_id", "window_start", F.round("anomaly_score", 3).alias("anomaly_score"),
         "anomaly_count", "line_id", "level", "node", "template",
     )
+
+
+def cluster_severities(alerts: DataFrame) -> DataFrame:
+    """(cluster_id, severity, n): how many alerts of each severity a cluster has."""
+    return alerts.groupBy("cluster_id", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.values import ratio, truth_text
+from loglens.operators import quantiles as exact_quantiles
 from loglens.operators.ranking import running_sums
 
 
@@ -77,21 +78,18 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 
 def score_profile(scores: DataFrame) -> DataFrame:
     s = "anomaly_score"
+    cuts = exact_quantiles.exact(scores, s, [0.85, 0.90, 0.95])
     return scores.agg(
         F.min(s).alias("score_min"),
         F.max(s).alias("score_max"),
         F.avg(s).alias("score_mean"),
-        F.percentile(s, F.lit(0.85)).alias("score_p85"),
-        F.percentile(s, F.lit(0.90)).alias("score_p90"),
-        F.percentile(s, F.lit(0.95)).alias("score_p95"),
+        *[F.lit(cut).cast("double").alias(name) for name, cut in zip(("score_p85", "score_p90", "score_p95"), cuts)],
     )
 
 
 def quantiles(df: DataFrame, column: str, levels: dict[str, float], where: Column | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles. One value per window reaches the aggregate,
-    so its size follows the time span of the log, not its volume."""
-    rows = df if where is None else df.where(where)
-    return rows.agg(*[F.percentile(column, F.lit(q)).alias(name) for name, q in levels.items()])
+    """Exact, linearly interpolated quantiles as one row."""
+    return exact_quantiles.row(df if where is None else df.where(where), column, levels)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 80) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.functions import values
+
 
 def all_of(predicates: Iterable[Column | None]) -> Column:
     return reduce(lambda a, b: a & b, [p for p in predicates if p is not None], F.lit(True))
@@ -18,6 +20,11 @@ def level_is(level: str | None) -> Column | None:
     return F.col("level") == F.lit(level) if level else None
 
 
+def level_named(level: str | None) -> Column | None:
+    """A level in any case."""
+    return F.col("level") == values.upper_parameter(level) if level else None
+
+
 def level_in(levels: list[str] | None) -> Column | None:
     return F.col("level").isin(list(levels)) if levels else None
 
@@ -49,7 +56,7 @@ def min_score(score: float | None) -> Column | None:
 
 
 def severity_is(severity: str | None) -> Column | None:
-    return F.col("severity") == F.upper(F.lit(severity)) if severity else None
+    return F.col("severity") == values.upper_parameter(severity) if severity else None
 
 
 def between_times(start: int, end: int) -> Column:

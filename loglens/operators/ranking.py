@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglens.operators import quantiles
 from loglens.session import stage
 
 _SLICES = 1024
@@ -36,6 +37,40 @@ def first_by(df: DataFrame, keys: list[str], value: str, order: str) -> DataFram
     return df.groupBy(*keys).agg(F.min_by(value, order).alias(value))
 
 
+def best_row(df: DataFrame, keys: dict[str, Column], by: str, tie: str) -> DataFrame:
+    """(keys, tie, by) of the row with the largest ``by`` of each group, the smallest ``tie`` among equal ones. A minimum of
+    structs, so it is combined before the shuffle."""
+    best = F.min(F.struct((-F.col(by)).alias("rank"), F.col(tie).alias("tie"))).alias("best")
+    return df.groupBy(*[c.alias(name) for name, c in keys.items()]).agg(best).select(
+        *keys, F.col("best.tie").alias(tie), (-F.col("best.rank")).alias(by))
+
+
+def in_time_order(df: DataFrame) -> DataFrame:
+    """Lines by time; windows need no order, so this is for outputs only."""
+    return df.orderBy("timestamp", "line_id")
+
+
+def head(df: DataFrame, n: int, *columns: str, order: str = "line_id") -> DataFrame:
+    """The first rows in file order; each task keeps ``n`` of them."""
+    return df.orderBy(order).limit(n).select(*columns)
+
+
+def places_in_groups(df: DataFrame, key: str, by: str, tie: str) -> DataFrame:
+    """Add ``place``, from 1: by descending ``by`` and then ``tie`` inside each group. Rows are cut into ranges, so a group of
+    any size is ranked by many tasks; what earlier ranges hold of a group is added."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(key), F.desc(by), F.col(tie)]
+    ranged = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "places")
+    inside = F.row_number().over(Window.partitionBy("_part", key).orderBy(F.desc(by), tie))
+    # A row for each range that a group reaches into.
+    counts = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), before.alias("_before")).where("_before > 0")
+    local = ranged.withColumn("_place", inside)
+    met = local.join(offsets, local[key].eqNullSafe(offsets["_key"]) & (local["_part"] == offsets["_at"]), "left")
+    return met.select(*df.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("bigint").alias("place"))
+
+
 def top_n(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(n)
 
@@ -43,17 +78,18 @@ def top_n(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
 def running_sums(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
     """Per distinct ``value``: each sum, and its running total over all smaller-or-equal values.
 
-    Distinct values are aggregated first and cut into slices of the value range; running sums
-    inside a slice are windows per slice, and the offsets come from one row per slice.
+    Distinct values are aggregated first and cut into ranges with about as many of them each, so that
+    outliers don't matter; running sums inside a range are windows per range, and the offsets come
+    from one row per range. The ranges are written once, so they can't move if a task is repeated.
     """
-    low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
-    position = (F.col(value) - low) / F.nullif(high - low, F.lit(0.0)) * _SLICES
-    cells = (
-        df.groupBy(value).agg(*[c.alias(name) for name, c in sums.items()])
-        .withColumn("slice", F.coalesce(F.floor(position), F.lit(0)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = stage(
+        df.groupBy(value).agg(*[c.alias(name) for name, c in sums.items()]).repartitionByRange(parts, value)
+        .withColumn("slice", F.spark_partition_id()),
+        "slices",
     )
     inside = Window.partitionBy("slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    # At most _SLICES + 1 rows, whatever the data: safe in one task and safe to broadcast.
+    # One row per range: bounded by the shuffle width, safe in one task and safe to broadcast.
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cells.groupBy("slice").agg(*[F.sum(name).alias(name) for name in sums])
@@ -68,14 +104,9 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFram
 def quantile_at(df: DataFrame, value: str, q: Column) -> DataFrame:
     """One row, ``quantile``: the linearly interpolated quantile at a level that may itself
     be computed from data (the built-in takes literals only)."""
-    steps = running_sums(df.where(F.col(value).isNotNull()), value, {"rows": F.count(F.lit(1))})
-    total = df.agg(F.count(value)).scalar()
-    at = F.col("q") * (total - 1)
-    placed = steps.withColumn("q", q).withColumn("at", at)
-    lower = F.min(F.when(F.col("cum_rows") > F.floor("at"), F.col(value)))
-    upper = F.min(F.when(F.col("cum_rows") > F.ceil("at"), F.col(value)))
-    share = F.max(F.col("at") - F.floor("at"))
-    return placed.agg((lower + (upper - lower) * share).alias("quantile"))
+    level = df.sparkSession.range(1).select(q.alias("q")).first()["q"]
+    return quantiles.row(df, value, {"quantile": level}) if level is not None else df.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("quantile"))
 
 
 def dense_ids(values: DataFrame, key: str, out: str, start: int = 0) -> DataFrame:
@@ -103,10 +134,45 @@ def dense_ids(values: DataFrame, key: str, out: str, start: int = 0) -> DataFram
     )
 
 
+#: Offsets from which a page is found by counting; a shallow page keeps the first rows of each task.
+DEEP = 20_000
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def key_page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in order of ``key``, a unique whole number. Behind ``DEEP`` rows the
+    key range of the page is found by counting, so its cost doesn't grow with the offset."""
+    if offset < DEEP:
+        return page(df, [F.col(key)], limit, offset)
+    return _narrowed(df, key, offset, offset + limit)
+
+
+def ranked_page(df: DataFrame, by: str, tie: str, limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` by descending ``by``, then ``tie``, a unique whole number. Behind ``DEEP``
+    rows the value at the offset is selected first, and only rows from there on are sorted."""
+    order = [F.desc(by), F.col(tie)]
+    if offset < DEEP:
+        return page(df, order, limit, offset)
+    rows = df.where(F.col(by).isNotNull())
+    known = rows.count()
+    if offset >= known:  # nulls are last
+        return key_page(df.where(F.col(by).isNull()), tie, limit, offset - known)
+    first = quantiles.at_ranks(rows, by, [known - 1 - offset])[known - 1 - offset]
+    above = rows.where(F.col(by) > first).count()
+    equal = rows.where(F.col(by) == first)
+    inside = equal.count()
+    held = key_page(equal, tie, limit, offset - above)
+    short = offset - above + limit - inside
+    if short <= 0:
+        return held
+    # The page goes on behind the rows of equal value.
+    rest = page(df.where((F.col(by) < first) | F.col(by).isNull()), order, short)
+    return held.unionByName(rest).orderBy(*order)
+
+
 def keyset_page(df: DataFrame, key: str, after: int | None, limit: int) -> DataFrame:
     """The next page behind a known key: its cost does not grow with the page number."""
     rows = df if after is None else df.where(F.col(key) > F.lit(after))
@@ -125,13 +191,17 @@ def page_facts(df: DataFrame, page_number: int, size: int = 500) -> DataFrame:
 
 
 def numbered_page(df: DataFrame, key: str, page_number: int, size: int = 500, small: int = 100_000) -> DataFrame:
-    """Page ``page_number`` (from 1) of the rows in ``key`` order, ``key`` being a unique integer.
+    """Page ``page_number`` (from 1) of the rows in ``key`` order, ``key`` being a unique integer."""
+    return _narrowed(df, key, (page_number - 1) * size, page_number * size, small)
+
+
+def _narrowed(df: DataFrame, key: str, first: int, last: int, small: int = 100_000) -> DataFrame:
+    """Rows ``first`` to ``last`` in ``key`` order.
 
-    The key range holding the page is narrowed first by counting rows per slice (at most
+    The key range holding them is narrowed first by counting rows per slice (at most
     1,025 counts reach the driver per round; each round cuts the range about a thousandfold),
     so a deep page sorts a few rows instead of everything before it.
     """
-    first, last = (page_number - 1) * size, page_number * size
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return df.limit(0)
@@ -150,4 +220,4 @@ def numbered_page(df: DataFrame, key: str, page_number: int, size: int = 500, sm
         low, high, skipped = low + hit[0][0] * width, low + (hit[-1][0] + 1) * width - 1, hit[0][1]
         if width == 1 or sum(h[2] for h in hit) <= small or len(counts) == len(hit):
             rows = df.where(F.col(key).between(low, high))
-            return rows.orderBy(key).offset(first - skipped).limit(size)
+            return rows.orderBy(key).offset(first - skipped).limit(last - first)

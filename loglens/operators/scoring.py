@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.values import clamp
+from loglens.operators import quantiles
 from loglens.operators.evaluate import class_report, confusion
 from loglens.operators.ranking import quantile_at
 from loglens.schemas import DENSE_FEATURES
@@ -51,7 +52,7 @@ def predict(scored: DataFrame, share: float | None = None) -> DataFrame:
 
 def confirm(predicted: DataFrame) -> DataFrame:
     """Keep a prediction only with evidence: an error level in the window, or a very high score."""
-    p95 = predicted.agg(F.percentile("anomaly_score", F.lit(0.95))).scalar()
+    p95 = F.lit(quantiles.exact(predicted, "anomaly_score", [0.95])[0])
     evidence = (
         (F.col("fatal_count") > 0)
         | (F.col("severe_count") > 0)

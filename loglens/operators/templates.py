@@ -28,7 +28,8 @@ from loglens.functions import text
 from loglens.operators.joins import hot_keys, spread_join
 from loglens.operators.ranking import dense_ids
 from loglens.session import python_width, stage
-from loglens.sources.tables import read_table, require, write_table
+from loglens.sources import commits
+from loglens.sources.tables import read_table, require
 
 # Miner parameters.
 SIMILARITY = 0.3
@@ -75,12 +76,16 @@ class Mined:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Mined:
-        require(spark, f"{path}/templates", "template mining")
-        return cls(*[read_table(spark, f"{path}/{f.name}") for f in fields(cls)])
+        place = commits.current(spark, require(spark, path, "template mining"))
+        return cls(*[read_table(spark, f"{place}/{f.name}") for f in fields(cls)])
 
     def save(self, path: str) -> None:
-        for f in fields(self):
-            write_table(getattr(self, f.name), f"{path}/{f.name}")
+        """A new version of all tables, which appear together."""
+        def write(place: str) -> None:
+            for f in fields(self):
+                getattr(self, f.name).write.parquet(f"{place}/{f.name}")
+
+        commits.publish(self.templates.sparkSession, path, write)
 
     def event_ids(self) -> DataFrame:
         """(line, event_id, template): ids count from 1 by first appearance, so they stay as the log grows."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions import text, values
-from loglens.operators import filters
+from loglens.operators import filters, quantiles
 from loglens.operators.alerts import dominant_lines, with_severity
 from loglens.operators.joins import spread_join
 from loglens.operators.ranking import mode_of
@@ -53,8 +53,7 @@ def view_stats(view: DataFrame) -> DataFrame:
 
 def timeline(scores: DataFrame, threshold: float | None = None) -> DataFrame:
     """Score over time; ``flagged`` at or above the threshold (default: the 0.90 quantile)."""
-    limit = F.lit(threshold) if threshold is not None else scores.agg(
-        F.percentile("anomaly_score", F.lit(0.90))).scalar()
+    limit = F.lit(threshold if threshold is not None else quantiles.exact(scores, "anomaly_score", [0.90])[0])
     return scores.select(
         values.epoch_text(F.col("window_start")).alias("window_dt"), "window_start", "anomaly_score",
         (F.col("anomaly_score") >= limit).alias("flagged"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions.values import reduction_pct
 from loglens.operators import filters
-from loglens.operators.ranking import page
+from loglens.operators.ranking import key_page, page, ranked_page
 from loglens.operators.scoring import one
 from loglens.schemas import NOISE
 
@@ -58,7 +58,7 @@ def logs_page(parsed: DataFrame, level: str | None = None, anomaly_only: bool =
     _bounded("limit", limit, 1, 1000)
     _bounded("offset", offset, 0, None)
     rows = parsed.where(_log_filter(level, anomaly_only, search)).select(*_LOG_COLUMNS)
-    return page(rows, [F.col("line_id")], limit, offset)
+    return key_page(rows, "line_id", limit, offset)
 
 
 def logs_total(parsed: DataFrame, level: str | None = None, anomaly_only: bool = False,
@@ -70,7 +70,7 @@ def anomalies_page(scores: DataFrame, min_score: float = 0.0, limit: int = 50, o
     _bounded("limit", limit, 1, 500)
     _bounded("offset", offset, 0, None)
     rows = scores.where(filters.all_of([F.col("predicted") == 1, filters.min_score(min_score)]))
-    best = page(rows, [F.desc("anomaly_score"), F.col("window_start")], limit, offset)
+    best = ranked_page(rows, "anomaly_score", "window_start", limit, offset)
     return best.select(
         "window_start", "window_end", F.round("anomaly_score", 4).alias("anomaly_score"), "predicted",
         F.col("is_anomaly").alias("ground_truth"), "total_logs", "anomaly_count",
@@ -90,8 +90,7 @@ def alerts_page(alerts: DataFrame, severity: str | None = None, min_score: float
                 offset: int = 0) -> DataFrame:
     _bounded("limit", limit, 1, 500)
     _bounded("offset", offset, 0, None)
-    best = page(alerts.where(_alert_filter(severity, min_score)),
-                [F.desc("anomaly_score"), F.col("window_start")], limit, offset)
+    best = ranked_page(alerts.where(_alert_filter(severity, min_score)), "anomaly_score", "window_start", limit, offset)
     return best.select(
         "window_start", "window_end", F.round("anomaly_score", 4).alias("anomaly_score"), "severity",
         "top_template", "cluster_id", "cluster_label", "anomaly_count", "total_logs",

@@ -29,19 +29,19 @@ class Paths:
 def ingest(spark: SparkSession, log: str, out: Paths, mine: bool = True, if_exists: str = "skip") -> DataFrame:
     """Raw log to the ``parsed`` table."""
     def build() -> DataFrame:
-        parsed = tables.materialize(spark, out.lines, lambda: parse_lines(read_raw_log(spark, log)), if_exists)
+        parsed = tables.materialize(spark, out.lines, lambda: parse_lines(read_raw_log(spark, log)), if_exists, [log])
         return templates.with_mined_templates(parsed) if mine else templates.mask_templates(parsed)
 
     tables.require(spark, log, "the log collector")
-    return tables.materialize(spark, out.parsed, build, if_exists)
+    return tables.materialize(spark, out.parsed, build, if_exists, [log], {"mine": mine})
 
 
 def measure(spark: SparkSession, out: Paths, if_exists: str = "skip") -> tuple[DataFrame, DataFrame]:
     """``features`` (one row per window) and ``features_long`` (event counts)."""
     parsed = tables.read_table(spark, tables.require(spark, out.parsed, "ingest"))
     cells = stage(windows.window_cells(parsed), "cells")  # used twice; the log is scanned once
-    meta = tables.materialize(spark, out.features, lambda: windows.window_meta(cells), if_exists)
-    counts = tables.materialize(spark, out.features_long, lambda: windows.event_counts(cells), if_exists)
+    meta = tables.materialize(spark, out.features, lambda: windows.window_meta(cells), if_exists, [out.parsed])
+    counts = tables.materialize(spark, out.features_long, lambda: windows.event_counts(cells), if_exists, [out.parsed])
     return meta, counts
 
 
@@ -62,7 +62,7 @@ def score(spark: SparkSession, out: Paths, dataset: str, if_exists: str = "skip"
         scored = tables.materialize(spark, out.scored, lambda: scored, "overwrite")
         return scoring.apply_gate(scoring.confirm(scoring.predict(scored, share)))
 
-    scores = tables.materialize(spark, out.scores, build, if_exists)
+    scores = tables.materialize(spark, out.scores, build, if_exists, [out.features, out.features_long], {"share": share})
     documents.write_json_doc(evaluate.metrics_document(scores, dataset), out.metrics)
     return scores
 
@@ -79,7 +79,7 @@ def alert(spark: SparkSession, out: Paths, if_exists: str = "skip") -> DataFrame
         clustered, _, _ = cluster.cluster_texts(made, "window_id", "top_template")
         return A.attach_labels(clustered)
 
-    return tables.materialize(spark, out.alerts, build, if_exists)
+    return tables.materialize(spark, out.alerts, build, if_exists, [out.parsed, out.scores])
 
 
 def compare(spark: SparkSession, out: Paths, embeddings: DataFrame, eps: float = 0.4, text_eps: float = 0.5,
@@ -91,14 +91,17 @@ def compare(spark: SparkSession, out: Paths, embeddings: DataFrame, eps: float =
     scores = tables.read_table(spark, tables.require(spark, out.scores, "score"))
     made = tables.materialize(
         spark, out.alerts_compared,
-        lambda: A.make_alerts(windows.assign_windows(parsed), scores, drop_empty=True).drop("top_level"), if_exists)
+        lambda: A.make_alerts(windows.assign_windows(parsed), scores, drop_empty=True).drop("top_level"), if_exists,
+        [out.parsed, out.scores])
     text, text_points, model = cluster.cluster_texts(made, "window_id", "top_template", text_eps)
     placed = made.select("window_id").join(embeddings.select("window_id", "embedding"), "window_id")
     dense, dense_points, unit = cluster.cluster_vectors(placed, "window_id", "embedding", eps)
     both = tables.materialize(
         spark, out.alerts_two_methods,
         lambda: text.withColumnRenamed("cluster_id", "cluster_id_tfidf").join(
-            dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id"), if_exists)
+            dense.withColumnRenamed("cluster_id", "cluster_id_minilm"), "window_id"), if_exists,
+        [out.alerts_compared], {"eps": eps, "text_eps": text_eps, "embeddings": embeddings.agg(
+            F.bit_xor(F.xxhash64("window_id", "embedding"))).first()[0]})
     rows = {}
     for name, label, points, weights in [("tfidf", "TF-IDF + DBSCAN", text_points, model.weights),
                                          ("minilm", "MiniLM + DBSCAN", dense_points, vectors.dense_weights(unit))]:
@@ -113,7 +116,7 @@ def compare(spark: SparkSession, out: Paths, embeddings: DataFrame, eps: float =
 
 
 def verify(spark: SparkSession, out: Paths, low: int = 1000, high: int = 50000, normal_below: float = 0.35,
-           extreme_above: float = 0.45) -> DataFrame:
+           extreme_above: float = 0.40) -> DataFrame:
     """Check the written tables and the saved model. Writes ``report`` (one row for each check) and
     the ``verdict`` document, and returns the report."""
     parsed = tables.read_table(spark, tables.require(spark, out.parsed, "ingest"))

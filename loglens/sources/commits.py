@@ -6,11 +6,18 @@ record, and a writer that dies leaves nothing but parts that no record names.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import uuid
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import SparkSession
 
+#: Versions of a path that are kept: the current one, and the one that readers may still be at.
+KEPT = 2
+
 
 def _place(spark: SparkSession, *parts: str):
     """File system and path, on whatever store the path names."""
@@ -77,3 +84,69 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
         if not name.startswith((".", "_")):
             found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
     return sorted(found)
+
+
+# --- versions of a table or document ---------------------------------------------------------
+
+
+def _records(path: str) -> str:
+    return f"{path.rstrip('/')}/_versions"
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], made_from: dict | None = None) -> None:
+    """``write`` a new version of what lies at ``path``; it counts once its record is there, so a writer that dies
+    leaves the old version readable. ``made_from`` is kept in the record."""
+    folder = _records(path)
+    files, target = _place(spark, folder)
+    files.mkdirs(target)
+    held = numbers(spark, folder)
+    number = held[-1] + 1 if held else 0
+    data = f"v-{number:06d}-{uuid.uuid4().hex[:8]}"
+    write(f"{path.rstrip('/')}/{data}")
+    if not put_once(spark, folder, number, {"data": data, "made_from": made_from}):
+        raise RuntimeError(f"another writer has published version {number} of {path}")
+    for old in held[: len(held) + 1 - KEPT]:
+        remove(spark, f"{path.rstrip('/')}/{get(spark, folder, old)['data']}")
+        remove(spark, f"{folder}/{old:012d}.json")
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """Where the current version of a path lies: the path itself if it has no versions, None if nothing is there
+    or no version is finished."""
+    files, target = _place(spark, path)
+    if not files.exists(target):
+        return None
+    folder = _records(path)
+    files, target = _place(spark, folder)
+    if not files.exists(target):
+        return path
+    found = last(spark, folder)
+    return f"{path.rstrip('/')}/{found[1]['data']}" if found else None
+
+
+def made_from(spark: SparkSession, path: str) -> dict | None:
+    found = last(spark, _records(path))
+    return found[1]["made_from"] if found else None
+
+
+@cache
+def code_version() -> str:
+    """A hash of this package's source."""
+    root, digest = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), hashlib.sha256()
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(f for f in folders if f not in ("__pycache__", "llm"))
+        for name in sorted(n for n in names if n.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as source:
+                digest.update(name.encode() + source.read())
+    return digest.hexdigest()[:16]
+
+
+def manifest(spark: SparkSession, inputs: list[str], parameters: dict | None = None) -> dict:
+    """What an output is made from: the state of its input paths, parameters and code."""
+    def state(path: str) -> str:
+        at = current(spark, path)
+        if at != path:
+            return str(at)
+        return hashlib.sha256(json.dumps(listing(spark, path)).encode()).hexdigest()[:16]
+
+    return {"inputs": {p: state(p) for p in inputs}, "parameters": json.loads(json.dumps(parameters or {})), "code": code_version()}

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.sources.tables import read_table, require, write_table
+from loglens.sources import commits
+from loglens.sources.tables import read_table, require
 
 
 @dataclass(frozen=True)
@@ -17,10 +18,14 @@ class Model:
 
 
 def save_model(model: Model, path: str) -> None:
-    for name in ("trees", "scaler", "features"):
-        write_table(getattr(model, name), f"{path}/{name}")
+    """A new version of all three tables, which appear together."""
+    def write(place: str) -> None:
+        for name in ("trees", "scaler", "features"):
+            getattr(model, name).write.parquet(f"{place}/{name}")
+
+    commits.publish(model.trees.sparkSession, path, write)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    require(spark, f"{path}/trees", "the model stage")
-    return Model(*[read_table(spark, f"{path}/{name}") for name in ("trees", "scaler", "features")])
+    place = commits.current(spark, require(spark, path, "the model stage"))
+    return Model(*[read_table(spark, f"{place}/{name}") for name in ("trees", "scaler", "features")])

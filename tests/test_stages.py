@@ -39,10 +39,62 @@ def test_alerts_cover_predicted_windows(spark, out):
     assert endpoints.alert_summary(alerts).first().total_alerts == alerts.count()
 
 
-def test_finished_stage_is_reused(spark, out):
-    before = tables.read_table(spark, out.parsed).inputFiles()
-    stages.ingest(spark, out.root, out)
-    assert tables.read_table(spark, out.parsed).inputFiles() == before
+def test_finished_stage_is_reused(spark, sf_dir, tmp_path):
+    """As long as its input, its parameters and the code are the same."""
+    log, paths = str(tmp_path / "raw"), stages.Paths(str(tmp_path / "out"))
+    lines = inputs.raw_lines(spark, sf_dir)
+    lines.where("line_id < 100").select("value").write.text(log)
+
+    def files():
+        return tables.read_table(spark, paths.parsed).inputFiles()
+
+    stages.ingest(spark, log, paths, mine=False)
+    stages.measure(spark, paths)
+    first, features = files(), tables.read_table(spark, paths.features).inputFiles()
+    stages.ingest(spark, log, paths, mine=False)
+    stages.measure(spark, paths)
+    assert files() == first and tables.read_table(spark, paths.features).inputFiles() == features
+    stages.ingest(spark, log, paths)
+    assert files() != first
+    lines.where("line_id BETWEEN 100 AND 150").select("value").write.mode("append").text(log)
+    second = files()
+    count = tables.read_table(spark, paths.parsed).count()
+    stages.ingest(spark, log, paths)
+    assert files() != second and tables.read_table(spark, paths.parsed).count() > count
+    stages.measure(spark, paths)
+    assert tables.read_table(spark, paths.features).inputFiles() != features
+
+
+def test_a_killed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.write_table(spark.range(3).toDF("x"), path)
+    broken = spark.range(5).select(F.raise_error(F.lit("killed")).alias("x"))
+    with pytest.raises(Exception, match="killed"):
+        tables.write_table(broken, path)
+    assert tables.read_table(spark, path).count() == 3
+    tables.write_table(spark.range(7).toDF("x"), path)
+    tables.write_table(spark.range(8).toDF("x"), path)
+    assert tables.read_table(spark, path).count() == 8
+    with pytest.raises(Exception, match="killed"):
+        tables.materialize(spark, str(tmp_path / "new"), lambda: broken)
+    with pytest.raises(FileNotFoundError):
+        tables.require(spark, str(tmp_path / "new"), "the stage")
+    assert tables.materialize(spark, str(tmp_path / "new"), lambda: spark.range(2)).count() == 2
+
+
+def test_old_versions_go(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "table")
+    for k in range(5):
+        tables.write_table(spark.range(k).toDF("x"), path)
+    assert len([n for n in os.listdir(path) if n.startswith("v-")]) == 2 and tables.read_table(spark, path).count() == 4
+
+
+def test_plain_tables_are_read_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(4).write.parquet(path)
+    assert tables.read_table(spark, tables.require(spark, path, "x")).count() == 4
 
 
 def test_verify_writes_report_and_verdict(spark, out):
