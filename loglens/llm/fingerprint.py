@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,53 +136,48 @@ def edited_pair(text: str, following: str, size: int) -> tuple[str, np.ndarray,
     return edited, minima(text, ends + rest, size), minima(edited, ends + changed, size)
 
 
-def _ranges(ids: DataFrame, parts: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
-    """Cuts of the ids into about ``parts`` ranges, ascending; and for the greatest id of every
-    range the range and the one before it in descending order (before the first, the last). Both
-    are as long as the shuffle is wide."""
-    shares = [k / parts for k in range(1, parts)] or [0.5]
-    cuts = sorted(set(ids.agg(F.percentile_approx("key", shares, max(10_000, 10 * parts)).alias("q")).first()["q"] or []))
-    firsts = ids.groupBy(_part(cuts)("key").alias("part")).agg(F.max("key").alias("first")).orderBy(F.desc("part")).collect()
-    return cuts, {r["first"]: (r["part"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)}
-
-
-def _part(cuts: list[int]):
-    edges = np.array(cuts, dtype=np.int64)
-    return F.pandas_udf(lambda key: pd.Series(np.searchsorted(edges, key, side="right")), "int")
+def _firsts(rows: DataFrame, parts: int) -> list[tuple[int, bool, int]]:
+    """Where ``parts`` ranges of about as many documents begin, ascending; as long as the shuffle is wide. Rows of
+    one id are in several ranges if there are many. The order is by descending id, and by the hash of the text among
+    equal ones."""
+    ranged = rows.select(F.bitwise_not("key").alias("o0"), F.col("none").alias("o1"), F.col("tie").alias("o2")).repartitionByRange(parts, "o0", "o1", "o2")
+    found = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("o0", "o1", "o2")).alias("first")).collect()
+    return sorted(tuple(r["first"]) for r in found)
 
 
 def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE,
                parts: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    The ids are whole numbers. Texts are dealt by ranges of descending id and sorted there, which
-    moves each text once; the first text of every range is sent to the range before it as well (of
-    the first range, to the last), so that each range sees what follows its last text. A task holds
-    three texts at a time.
+    The ids are whole numbers. Texts are dealt by ranges of descending id and hash of the text and sorted
+    there, which moves each text once; the first text of every range is sent to the range before it as
+    well (of the first range, to the last), so that each range sees what follows its last text. A task
+    is one range and holds three texts at a time.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = F.lit(-(1 << 63))
     named = docs.select(
         F.coalesce(F.col(doc_id).cast("bigint"), least).alias("key"), F.col(doc_id).isNull().alias("none"),
         F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    cuts, firsts = _ranges(named.select("key"), parts)
-    edges = np.array(cuts, dtype=np.int64)
+    firsts = _firsts(named, parts)
+    begins = set(firsts)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Add ``part``; copy the first row of a range, once in a task if it is repeated."""
+        """Add ``part``; copy the first row of a range for the one before, once in a task if it is repeated."""
         claim("fingerprint")
-        sent: set[tuple[int, int]] = set()
+        sent: set[int] = set()
         for batch in batches:
-            batch["part"] = np.searchsorted(edges, batch["key"], side="right").astype(np.int32)
+            order = list(zip((~batch["key"]).tolist(), batch["none"].tolist(), batch["tie"].tolist()))
+            at = [bisect_right(firsts, o) - 1 for o in order]
+            batch["part"] = np.array(at, dtype=np.int32)
             batch["guest"] = False
             # Compressed, as the shuffle moves and sorts every text.
             batch["text"] = [zstandard.compress(t.encode(), 3) for t in batch["text"]]
             yield batch
-            heads = batch[batch["key"].isin(firsts.keys())]
-            keep = [k not in sent and not sent.add(k) for k in zip(heads["key"], heads["tie"])]
-            heads = heads[keep]
+            keep = [o in begins and k not in sent and not sent.add(k) for o, k in zip(order, at)]
+            heads = batch[keep]
             if len(heads):
-                yield heads.assign(part=[np.int32(firsts[k][1]) for k in heads["key"]], guest=True)
+                yield heads.assign(part=((heads["part"] - 1) % len(firsts)).astype(np.int32), guest=True)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by range, in descending order of ids, and the guests of a range last."""
@@ -220,7 +216,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     dealt = named.mapInPandas(deal, "key bigint, none boolean, text binary, tie bigint, part int, guest boolean")
     return (
-        dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("key"), "none", "tie")
+        dealt.repartitionById(max(1, len(firsts)), F.col("part")).sortWithinPartitions("part", "guest", F.desc("key"), "none", "tie")
         .mapInPandas(read, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
                      "edited_fingerprint string, near_edited double, near_next double")
     )

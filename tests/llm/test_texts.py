@@ -73,6 +73,54 @@ def test_next_document(spark, sf_dir, parts):
     assert all(same.setdefault(text, got[key].fingerprint) == got[key].fingerprint for key, text in rows)
 
 
+def brute_fingerprint(text):
+    """Phrases of a dictionary that starts empty, each one known phrase and a letter; a rest that is known ends the text."""
+    phrases, now = set(), ""
+    for letter in text:
+        now += letter
+        if now not in phrases:
+            phrases.add(now)
+            now = ""
+    return phrases | ({now} if now else set())
+
+
+def test_likeness_row_by_row(spark, sf_dir):
+    """Fingerprints and likenesses of whole and edited texts, each made anew from the text alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 1")
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    got = {r.doc_id: r for r in fp.with_edits(docs, parts=5).collect()}
+
+    def least(text):
+        return fp.minima(text, fp.Parser().feed(text, 0)[0])
+
+    for (key, text), (_, following) in zip(rows, [*rows[1:], rows[0]]):
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        own, changed, other = least(text), least(edited), least(following)
+        r = got[key]
+        assert (r.fingerprint, r.edited_fingerprint) == (fp.written(own), fp.written(changed))
+        assert (r.near_edited, r.near_next) == (fp.likeness(own, changed), fp.likeness(own, other))
+
+
+def test_small_fingerprints_estimate_the_phrase_sets():
+    for a, b in (("abcabcabd", "abcabcabe"), ("aaaa bbbb", "aaaa bbbc"), ("x", "y"), ("the cat sat", "the cat sat")):
+        one, two = brute_fingerprint(a), brute_fingerprint(b)
+        made = [fp.minima(t, fp.Parser().feed(t, 0)[0]) for t in (a, b)]
+        assert fp.likeness(*made) == len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_many_rows_of_one_id_are_in_several_ranges(spark, nulls):
+    rows = [(None if nulls else 7, f"text {k % 150} of many") for k in range(600)] + [(k, f"other {k}") for k in range(100, 500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    firsts = fp._firsts(df.selectExpr("coalesce(doc_id, -9223372036854775808) AS key", "doc_id IS NULL AS none", "xxhash64(text) AS tie"), 8)
+    assert sum(f[0] == (~-(1 << 63) if nulls else ~7) for f in firsts) >= 4
+    got = fp.with_edits(df, parts=8).collect()
+    assert len(got) == len(rows)
+    # Behind the last of a run of equal rows comes another text, behind the others the same one.
+    held = [r for r in got if r.doc_id in (None, 7)]
+    assert len(held) == 600 and sum(r.near_next == 1 for r in held) == 450
+
+
 def test_fingerprint_cases(awkward, none, spark):
     got = fp.with_edits(awkward, parts=3).collect()
     assert len(got) == len(AWKWARD) and sum(r.doc_id is None for r in got) == 1
