@@ -137,7 +137,7 @@ def _(x: Inputs):
     return x.cluster_alerts().select("window_id", "cluster_id")
 
 
-@check("I15c_dbscan_min_samples")
+@check("I15c_dbscan_min_samples", "SELECT id AS doc_id, cluster_id FROM dm_cl", "dm_cl")
 def _(x: Inputs):
     """Core, border and noise points at a density threshold of 25."""
     rows, _, _ = cluster.cluster_texts(x.table("documents"), "doc_id", "text", eps=0.4, min_samples=25)

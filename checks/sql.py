@@ -76,6 +76,21 @@ def component_ctes(p: str, rows: str, row: str) -> dict[str, tuple[list[str], st
     }
 
 
+def dense_component_ctes(p: str, words: str, rows: str, row: str, eps: float, least: int) -> dict[str, tuple[list[str], str]]:
+    """Density clustering with a threshold: closure over core rows, border rows to the lowest cluster of a core neighbour."""
+    return {
+        f"{p}_pairs": ([words], f"SELECT x.id AS a, y.id AS b FROM {words} x JOIN {words} y ON x.word = y.word "
+                                f"AND x.id <> y.id GROUP BY 1, 2 HAVING round(sum(x.w * y.w), 9) >= {1 - eps}"),
+        f"{p}_core": ([f"{p}_pairs"], f"SELECT a AS id FROM {p}_pairs GROUP BY 1 HAVING count(*) + 1 >= {least}"),
+        f"{p}_reach": ([f"{p}_pairs", f"{p}_core"], f"SELECT id, id AS other FROM {p}_core UNION SELECT r.id, q.b FROM {p}_reach r "
+                                                    f"JOIN {p}_pairs q ON q.a = r.other WHERE q.b IN (SELECT id FROM {p}_core)"),
+        f"{p}_ids": ([f"{p}_reach"], f"SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cid FROM (SELECT id, min(other) AS root FROM {p}_reach GROUP BY 1)"),
+        f"{p}_cl": ([f"{p}_ids", f"{p}_pairs"],
+                    f"SELECT t.{row} AS id, CAST(coalesce(c.cid, n.cid, -1) AS INTEGER) AS cluster_id FROM {rows} t LEFT JOIN {p}_ids c ON c.id = t.{row} "
+                    f"LEFT JOIN (SELECT q.a AS id, min(i.cid) AS cid FROM {p}_pairs q JOIN {p}_ids i ON i.id = q.b GROUP BY 1) n ON n.id = t.{row}"),
+    }
+
+
 CTES: dict[str, tuple[list[str], str]] = {
     "base": ([], """SELECT event_id AS line_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
   CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, strftime(ts, '%Y.%m.%d') AS date,
@@ -170,6 +185,7 @@ LEFT JOIN ({mode_sql('preferred', 'window_id', 'level', 'v')}) v USING (window_i
     "vec_w": ([], """SELECT vec_id AS id, i AS word, CAST(embedding[i] AS DOUBLE) / len AS w FROM (SELECT *,
   sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS len FROM embeddings),
   LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i)"""),
+    **dense_component_ctes("dm", "doc_w", "documents", "doc_id", 0.4, 25),
     **pair_ctes("vec", 0.6),
     **component_ctes("vec", "embeddings", "vec_id"),
 }

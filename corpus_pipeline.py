@@ -3,6 +3,13 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. Between stages the documents are written as Parquet and read again, so a lost executor
 repeats work of one stage only.
+
+Defined cases: language ID drops null and empty texts and those without a letter, so no later stage has one;
+a row with a null id is a document like any other, is learned from by none of the classifiers' language machines
+and is left out of no stage; of documents with equal ids and different texts all stay that are not near copies;
+of repeated rows, as of all near copies, one stays; of a group it is the row of the least id, nulls last, and by a
+hash of the text among equal ids; columns beside those of ``documents`` are kept up to the last stage,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
