@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
 
 #: Bytes of pieces and of token pairs that a worker remembers, at most; each memory starts anew when it
 #: is full. An entry counts its text and what Python's objects take beside it.
@@ -191,6 +191,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
         claim("bpe", known.forget)
         for batch in texts:
             yield pd.Series([known.encode(t or "") for t in batch], dtype=object)
+        trim()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.pandas_udf(encode, "binary")(F.col(text)).alias("ids"))
 
@@ -205,6 +206,7 @@ def decoded(tokens: DataFrame, path: str | None = None, pattern: str = public_to
         claim("bpe", known.forget)
         for batch in column:
             yield pd.Series([known.decode(x) for x in batch], dtype=object)
+        trim()
 
     return tokens.withColumn("decoded", F.pandas_udf(decode, "binary")(F.col(ids)))
 
@@ -224,6 +226,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
                 ids = known.encode(value or "")
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(known.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     said = F.pandas_udf(both, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")(F.col(text))
     return docs.select(F.col(doc_id).alias("doc_id"), said.alias("said")).select("doc_id", "said.*")

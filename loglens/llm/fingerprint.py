@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
 
 #: Hashes in a fingerprint, of 32 bits each.
 SIZE = 128
@@ -112,6 +112,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         claim("fingerprint")
         for batch in texts:
             yield pd.Series([written(minima(t or "", Parser().feed(t or "", 0)[0], size)) for t in batch], dtype=object)
+        trim()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.pandas_udf(read, "string")(F.col(text)).alias("fingerprint"))
 
@@ -178,6 +179,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             heads = batch[keep]
             if len(heads):
                 yield heads.assign(part=((heads["part"] - 1) % len(firsts)).astype(np.int32), guest=True)
+        trim()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by range, in descending order of ids, and the guests of a range last."""
@@ -212,6 +214,7 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             made = pd.DataFrame(out, columns=columns)
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
+        trim()
 
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     dealt = named.mapInPandas(deal, "key bigint, none boolean, text binary, tie bigint, part int, guest boolean")

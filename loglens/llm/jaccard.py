@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.components import connected
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
 from loglens.operators.joins import hot_keys, spread_join
 from loglens.session import stage
 
@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 key = set_key(s) if len(s) else None
                 rows.append((key, _short(key) if key else 0, len(s)))
             yield pd.DataFrame(rows, columns=["key", "x", "n"])
+        trim()
 
     said = F.pandas_udf(read, "key binary, x bigint, n bigint")(F.col(text))
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), said.alias("s")).select(
@@ -198,6 +199,7 @@ def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
             yield _rows(h=h[sent], x=x[sent], credit=np.zeros(sent.sum(), dtype=np.int64))
             met, times = np.unique(x[~sent], return_counts=True)
             yield _rows(h=met, x=met, credit=times)
+        trim()
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("jaccard")
@@ -209,6 +211,7 @@ def _screen_credits(docs: DataFrame, text: str, width: int) -> DataFrame:
             several &= np.concatenate([[True], (h2[1:] != h2[:-1]) | (x2[1:] != x2[:-1])]) if len(h2) else True
             found, times = np.unique(x2[several], return_counts=True)
             yield pd.DataFrame({"x": np.concatenate([found, x[given]]), "credit": np.concatenate([times, credit[given]])})
+        trim()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(read, "h bigint, x bigint, credit bigint")
     met = rows.repartition(width, "h").sortWithinPartitions("h", "x").mapInPandas(detect, "x bigint, credit bigint")
@@ -273,6 +276,7 @@ def _candidate_sets(docs: DataFrame, signed: DataFrame, text: str, width: int) -
             flat = np.concatenate([*found.values(), np.empty(0, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), type=pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["key", "items"])
+        trim()
 
     every = docs.select(F.col(text).alias("text")).mapInArrow(read, "key binary, items array<bigint>")
     chosen = every.join(passed.select("key", "n"), "key").dropDuplicates(["key"])
@@ -294,6 +298,7 @@ def _counted(sets: DataFrame, width: int) -> DataFrame:
                 h, x, place = _flat({k: one.values.to_numpy() for k, one in zip(v.to_pylist(), items)})
                 settled = place >= HOT
                 yield _rows(deal=np.where(settled, x, h), h=h, x=x, credit=np.where(settled, HOT, 0))
+        trim()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim("jaccard")
@@ -301,6 +306,7 @@ def _counted(sets: DataFrame, width: int) -> DataFrame:
             _, sizes = _runs(h)
             df = np.maximum(np.minimum(np.repeat(sizes, sizes), HOT), credit)
             yield pd.DataFrame({"v": x, "h": h, "df": df})[(df > 1) & (np.arange(len(h)) >= seen)]
+        trim()
 
     rows = sets.select("v", "items").mapInArrow(read, "deal bigint, h bigint, x bigint, credit bigint")
     return rows.repartition(width, "deal").drop("deal").sortWithinPartitions("h", "x").mapInPandas(
@@ -352,6 +358,7 @@ def _prefixes(sets: DataFrame, counted: DataFrame, width: int) -> DataFrame:
                 yield chosen(*[c[:at] for c in now])
         if held is not None:
             yield chosen(*held)
+        trim()
 
     def chosen(v: np.ndarray, h: np.ndarray, df: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         starts, _ = _runs(v)

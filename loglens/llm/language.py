@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
 
 UNKNOWN = "und"
 #: Documents of each language that machines learn from, about; features; the fit's strength and steps.
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     rows += [(f, 1 if f == kinds[name] else -1, key, packed) for f in languages]
                 rows += [(f"{a} {b}", 1 if name == a else -1, key, packed) for a, b in pairs if name in (a, b)]
             yield pd.DataFrame(rows, columns=["machine", "sign", "doc_id", "x"]).astype({"doc_id": "int64"})
+        trim()
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "sign"])  # sums in the same order each time
@@ -204,6 +205,7 @@ def identified(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
                 x = features(value or "", sent.value.width)
                 rows.append((UNKNOWN, 0.0) if x is None else predict(sent.value, x))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        trim()
 
     said = F.pandas_udf(read, "lang_pred string, score double")(F.col(text))
     return docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), said.alias("said")).select(
@@ -219,5 +221,6 @@ def kept(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text: str =
         for batch in texts:
             found = (features(value or "", sent.value.width) for value in batch)
             yield pd.Series([x is not None and predict(sent.value, x)[1] >= least for x in found], dtype=bool)
+        trim()
 
     return docs.where(F.pandas_udf(read, "boolean")(F.col(text)))

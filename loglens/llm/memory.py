@@ -7,8 +7,11 @@ starts, and the memories of all others are emptied.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -18,3 +21,12 @@ def claim(owner: str, release: Callable[[], None] | None = None) -> None:
         _held.pop(name)()
     if release is not None:
         _held[owner] = release
+
+
+def trim() -> None:
+    """Give what a task has freed back to the system: idle workers stay for a while."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
 from loglens.session import stage
 
 #: Places in a sequence, and the id that ends each document.
@@ -34,7 +34,7 @@ SEQUENCE, SEPARATOR = 4096, 1
 OPEN, SHARD_PIECES = 1024, 40_000
 #: Bytes of words and ids that a worker keeps, at most; the memory starts anew when it is full. An entry
 #: counts its text and what Python's objects take beside it.
-_KNOWN, _LONG_WORD, _WORD_BYTES = 160 << 20, 64, 240
+_KNOWN, _LONG_WORD, _WORD_BYTES = 136 << 20, 64, 240
 #: New words encoded at once, and characters of the texts that are split at once.
 _AT_ONCE, _GROUP = 500, 1_000_000
 #: Python's ``split`` cuts at these, the tokenizer doesn't.
@@ -146,6 +146,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
                     part = ids[at : at + step]
                     rows.append((key, len(part) // 4, at // 4, k, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "length", "start", "piece", "ids_crc32"])
+        trim()
 
     # The id passes Python as text: pandas would turn a column of numbers with a null into floats.
     named = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loglens.llm import bpe, chat, fingerprint, hard_negatives, jaccard, language, packing, prefix_trie, rules, secret_scan, simhash, surrogates, weak_quality
 
+#: The key of the registered query, which is no secret.
+PII_KEY = "registered query"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -29,7 +31,7 @@ def query(name: str, source: str = "documents", sql: str | None = None):
 
 @query("op1_pii_surrogates")
 def op1(docs: DataFrame) -> DataFrame:
-    return surrogates.with_surrogates(docs.select("doc_id", "text"))
+    return surrogates.with_surrogates(docs.select("doc_id", "text"), PII_KEY)
 
 
 @query("op2_lempel_ziv_fingerprint")

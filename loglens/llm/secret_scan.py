@@ -9,7 +9,12 @@ p-values, times three, is the token's.
 
 Which tokens are declared not random is decided over all documents by the Benjamini-Hochberg rule,
 for each encoding and length class by itself, because long tokens depart more easily: at most a
-share ``RATE`` of the tokens that are dismissed is expected to be random. All others are reported.
+share ``RATE`` of the tokens that are dismissed is expected to be random. Of the others those are
+reported that are no identifiers either. Names are made of words, so their neighbouring letters mostly
+stay in one case and their digits together; under this second null hypothesis the classes of neighbours
+follow the fixed chances below, and a token's log likelihood ratio against random letters, which
+grows with its length, gives its p-value. The same rule decides: at most a share ``RATE`` of the reported
+tokens is expected to be such names. Hexadecimal tokens have no words and skip that.
 P-values are rounded up to a thousandth of a decade, so the rule needs one count for each value.
 
 Everything is built-in expressions. Defined cases: a null text is an empty one, without spans; a null
@@ -51,6 +56,26 @@ ALPHABETS = {
 }
 
 
+# Chances of the class that follows in a name (lower case, upper case, digit; a name of one case: letter,
+# digit), and the classes' shares of an alphabet.
+_NAMES = {"mixed": [[0.80, 0.15, 0.05], [0.80, 0.15, 0.05], [0.25, 0.25, 0.50]], "single": [[0.93, 0.07], [0.40, 0.60]]}
+_SHARES = {"mixed": [26 / 62, 26 / 62, 10 / 62], "single": [52 / 62, 10 / 62], "base32": [26 / 32, 6 / 32]}
+#: Neighbouring pairs aren't independent: their variance counts for more.
+_SPREAD = 1.5
+
+
+def _ratios(kind: str, shares: str) -> tuple[list[list[float]], float, float]:
+    """Log ratios of a name's chances to random ones, and their mean and variance in names."""
+    chances, parts = _NAMES[kind], _SHARES[shares]
+    ratio = [[math.log(p / q) for p, q in zip(row, parts)] for row in chances]
+    at = [1 / len(parts)] * len(parts)
+    for _ in range(100):  # how often each class occurs in names
+        at = [sum(a * row[j] for a, row in zip(at, chances)) for j in range(len(parts))]
+    mean = sum(a * p * r for a, row, found in zip(at, chances, ratio) for p, r in zip(row, found))
+    square = sum(a * p * r * r for a, row, found in zip(at, chances, ratio) for p, r in zip(row, found))
+    return ratio, mean, square - mean * mean
+
+
 def _pieces(text: Column, pattern: str, kind: str, value: int = 0) -> Column:
     """Matches of a pattern in order, each with the length of the text before it since the last."""
     between = F.split(text, pattern, -1)
@@ -119,6 +144,35 @@ def battery(tokens: DataFrame) -> DataFrame:
     return moved.withColumn("p", p).drop("_letters", "_alphabet", "_x", "_n", "_k", "_s", "_chi", "_steps")
 
 
+def as_names(tokens: DataFrame) -> DataFrame:
+    """Add ``p_name``, how well rows with a ``token`` and its ``encoding`` pass for names; null for hexadecimal ones."""
+    token = F.col("token")
+    letters = F.split(token, "")
+    both = token.rlike("[a-z]") & token.rlike("[A-Z]")
+
+    def scored(kind: str, shares: str) -> Column:
+        ratio, mean, variance = _ratios(kind, shares)
+        width = len(ratio)
+        classes = F.transform(letters, lambda c: (
+            F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2) if kind == "mixed"
+            else F.when(c.rlike("[A-Za-z]"), 0).when(c.rlike("[0-9]"), 1)).otherwise(-1))
+        table = F.array(*[F.lit(r) for row in ratio for r in row])
+        pairs = F.transform(F.slice(classes, 2, F.greatest(F.size(classes), F.lit(1))), lambda x, i: F.when(
+            (x >= 0) & (F.get(classes, i) >= 0), F.get(table, F.get(classes, i) * width + x)))
+        known = F.filter(pairs, lambda r: r.isNotNull())
+        n = F.greatest(F.size(known), F.lit(1)).cast("double")
+        total = F.aggregate(known, F.lit(0.0), lambda a, r: a + r)
+        return upper_tail((n * mean - total) / F.sqrt(n * variance * _SPREAD))
+
+    p = F.when(F.col("encoding") == "hex", F.lit(None).cast("double")).when(F.col("encoding") == "base32", scored("single", "base32")).when(
+        both, scored("mixed", "mixed")).otherwise(scored("single", "single"))
+    return tokens.withColumn("p_name", F.when(F.col("encoding").isNotNull(), p))
+
+
+def _level(p: str) -> Column:
+    return F.floor(F.least(-F.log10(F.greatest(p, F.lit(10.0**-_DECADES))), F.lit(float(_DECADES))) * _STEPS)
+
+
 def _class(width: Column) -> Column:
     out = F.lit(LENGTHS[0])
     for least in LENGTHS[1:]:
@@ -166,17 +220,20 @@ def found_spans(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFra
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     listed = placed.withColumn("rank", rank).withColumn(
         "encoding", F.when((rank == 3) & ~F.col("token").rlike(rf"^({HEX}|{ACCESS})$"), encoding(F.col("token"))))
-    tested = battery(listed).withColumn("length_class", _class(F.length("token"))).withColumn(
-        "level", F.floor(F.least(-F.log10(F.greatest("p", F.lit(10.0**-_DECADES))), F.lit(float(_DECADES))) * _STEPS))
+    tested = as_names(battery(listed)).withColumn("length_class", _class(F.length("token"))).withColumn(
+        "level", _level("p")).withColumn("name_level", _level("p_name"))
     good = (F.col("rank") == 0) & (F.length("value") >= LEAST_VALUE) | F.col("rank").isin(1, 2) | F.col("encoding").isNotNull()
     written = stage(
         tested.select("row", *keep, F.when(good, F.col("rank")).alias("rank"), "start", "end", "encoding",
-                      "length_class", "level"), "secret_tokens")
+                      "length_class", "level", "name_level"), "secret_tokens")
+    # At most 20 rows each: encodings times length classes.
     limits = thresholds(written.where("encoding IS NOT NULL"), rate)
-    # At most 20 rows: encodings times length classes.
-    judged = written.join(F.broadcast(limits), ["encoding", "length_class"], "left")
-    stays = F.col("rank").isNotNull() & (
-        F.col("encoding").isNull() | F.col("dismissed").isNull() | (F.col("level") < F.col("dismissed")))
+    names = thresholds(written.where("name_level IS NOT NULL").select("encoding", "length_class", F.col("name_level").alias("level")), rate)
+    judged = written.join(F.broadcast(limits), ["encoding", "length_class"], "left").join(
+        F.broadcast(names.withColumnRenamed("dismissed", "no_name")), ["encoding", "length_class"], "left")
+    random = (F.col("dismissed").isNull() | (F.col("level") < F.col("dismissed"))) & (
+        F.col("name_level").isNull() | F.coalesce(F.col("name_level") >= F.col("no_name"), F.lit(False)))
+    stays = F.col("rank").isNotNull() & (F.col("encoding").isNull() | random)
     span = F.when(stays, F.struct("start", "rank", "end"))
     return judged.groupBy("row", *keep).agg(F.sort_array(F.collect_list(span)).alias("spans"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.components import connected
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
 from loglens.operators.joins import hot_keys, spread_join
 from loglens.session import stage
 
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         claim("simhash")
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64))
+        trim()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.pandas_udf(read, "bigint")(F.col(text)).alias("fingerprint"))
 

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from loglens.session import stage
 
-KEY = "a key that the caller replaces"
 # Titles by gender, and given names and surnames by script and gender.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Госпожа"],
           "m": ["Mr", "Herr", "Monsieur", "Sr", "Господин"], "n": ["Dr", "Prof"]}
@@ -240,7 +239,7 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     return drawn.withColumn("candidate", made).drop("_pii_hash", "_pii_host")
 
 
-def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, candidate) for distinct (kind, norm): all candidates of a kind differ, and none
     is a norm of its kind. Each round reads written tables only."""
     left = originals = stage(entities.select("kind", "norm").distinct(), "pii_entities")
@@ -281,8 +280,9 @@ def _in_form(raw: Column, kind: Column, made: Column, norm: Column) -> Column:
     return F.when(kind.isin("phone", "ssn", "card"), numbers).when(kind == "ip", made).otherwise(cased)
 
 
-def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with the entities of ``text`` replaced, and ``pii_count``, how many there were.
+def with_surrogates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with the entities of ``text`` replaced, and ``pii_count``, how many there were. Who has the
+    ``key`` can tell which surrogate stands for a guessed entity, so it must be kept secret.
 
     Only texts with an entity are moved. Their entities are listed once for equal texts, by a hash.
     """

@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.memory import claim
+from loglens.llm.memory import claim, trim
+from loglens.llm.rules import STOP_WORDS
 
 #: Texts of either class that the scorer learns from, about; hashed features; the fit's strength and steps.
 SAMPLE, FEATURES, PENALTY, STEPS = 2000, 4096, 1e-5, 200
@@ -36,12 +37,7 @@ SAMPLE, FEATURES, PENALTY, STEPS = 2000, 4096, 1e-5, 200
 LEAST_SCORE = 0.3
 ROUNDS = 50
 SYMBOLS = "#*$%&|<>{}[]\\^~=_@"
-# Frequent function words of four languages.
-FUNCTION_WORDS = frozenset(
-    "the of and to in is that for it with as was on are by this from at or an be a "
-    "le la les de des du un une et en est que qui pour dans par sur au ou "
-    "der die das und den von zu mit dem ein eine ist im für auf nicht sich auch "
-    "el los las y del se por con para no su al lo como más es".split())
+FUNCTION_WORDS = frozenset(STOP_WORDS)
 
 
 class Measures(NamedTuple):
@@ -223,6 +219,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, width: int =
         claim("quality")
         for batch in column:
             yield pd.Series([votes(measures(t)) for t in batch], dtype=object)
+        trim()
 
     # At most 3 ** len(LABELLERS) rows.
     seen = texts.select(F.pandas_udf(vote, "string")("text").alias("votes"), F.xxhash64("text").alias("hash")).groupBy(
@@ -247,6 +244,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, width: int =
                 if at < shares[p >= 0.5]:
                     rows.append((0, p, features(value, width, m).astype("<f2").tobytes()))
             yield pd.DataFrame(rows, columns=["machine", "good", "x"]).astype({"machine": "int32", "good": "float64"})
+        trim()
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["good", "x"])  # sums in the same order each time
@@ -277,6 +275,7 @@ def _scores(model: Model, spark):
         claim("quality")
         for batch in column:
             yield pd.Series([_score(sent.value, t or "") for t in batch], dtype=float)
+        trim()
 
     return F.pandas_udf(read, "double")
 

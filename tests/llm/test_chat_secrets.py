@@ -159,3 +159,74 @@ def test_redaction(spark):
     assert sorted(r.text for r in got if r.doc_id == 1) == ["", "[SECRET] and [SECRET]", "[SECRET] and [SECRET]"]
     clean = {t for _, t in rows if not base(t)}
     assert {r.text for r in got if r.text is None or secret_scan.MASK not in r.text} == clean
+
+
+WORDS = ("get set user account balance file open close read write buffer size index max min retry count node link cache parity "
+         "error handler request response session manager factory builder stream parser value config default service client").split()
+
+
+def _names(n, rng):
+    """Identifiers in camel case with a number, and constants."""
+    out = []
+    while len(out) < n:
+        words = [rng.choice(WORDS) for _ in range(rng.randint(3, 7))]
+        number = str(rng.randint(1, 999))
+        name = words[0] + "".join(w.title() for w in words[1:]) if rng.random() < 0.8 else "".join(words).upper()
+        at = rng.choice([len(name), len(words[0])])
+        name = name[:at] + number + name[at:]
+        if 20 <= len(name) <= 60:
+            out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("names, secrets, recall", [(1000, 1000, 0.9), (1000, 50, 0.85)])
+def test_reported_tokens_are_mostly_secrets(spark, names, secrets, recall):
+    """Each of the two rules may cost some of the secrets, the rarer they are the more."""
+    rng = random.Random(9)
+    alphabet = secret_scan.ALPHABETS["base62"]
+    tokens = [(k, t, False) for k, t in enumerate(_names(names, rng))]
+    tokens += [(names + k, "".join(rng.choices(alphabet, k=rng.randint(24, 48))), True) for k in range(secrets)]
+    df = spark.createDataFrame([(k, f"x {t} y") for k, t, _ in tokens], "doc_id int, text string")
+    got = {r.doc_id for r in secret_scan.scanned(df).where("spans LIKE '%random%'").collect()}
+    right = sum(k in got for k, _, secret in tokens if secret)
+    assert right >= recall * secrets and len(got) - right <= 0.1 * len(got)
+
+
+def test_random_spans_against_brute_force(spark):
+    """Both tests and both decisions in plain Python on one class of tokens."""
+    import math
+
+    rng = random.Random(10)
+    alphabet = secret_scan.ALPHABETS["base62"]
+    tokens = [t for t in _names(300, rng) if 20 <= len(t) < 32 and not t.isupper()][:150]
+    tokens += ["".join(rng.choices(alphabet, k=rng.randint(20, 31))) for _ in range(150)]
+    tokens = [t for t in tokens if any(c.isdigit() for c in t) and any(c.islower() for c in t) and any(c.isupper() for c in t)]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    ratio, mean, variance = secret_scan._ratios("mixed", "mixed")
+
+    def p_random(t):
+        x, k = [alphabet.index(c) for c in t], 62
+        n = len(x)
+        chi = sum(x.count(v) ** 2 for v in set(x)) * k / n - n
+        cube = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+        above = [v > 30.5 for v in x]
+        turns = (sum(a != b for a, b in zip(above, above[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+        serial = sum((a - 30.5) * (b - 30.5) for a, b in zip(x, x[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+        return min(1, 3 * min(tail(cube), 2 * tail(abs(turns)), 2 * tail(abs(serial))))
+
+    def p_name(t):
+        c = [0 if v.islower() else 1 if v.isupper() else 2 for v in t]
+        total = sum(ratio[a][b] for a, b in zip(c, c[1:]))
+        return tail(((len(c) - 1) * mean - total) / math.sqrt((len(c) - 1) * variance * secret_scan._SPREAD))
+
+    def cut(values):
+        """The largest rejected p-value."""
+        ordered = sorted(values)
+        return max((p for i, p in enumerate(ordered, 1) if p <= 0.05 * i / len(ordered)), default=-1)
+
+    one, two = [p_random(t) for t in tokens], [p_name(t) for t in tokens]
+    want = {k for k in range(len(tokens)) if one[k] > cut(one) and two[k] <= cut(two)}
+    df = spark.createDataFrame([(k, f"{t} ") for k, t in enumerate(tokens)], "doc_id int, text string")
+    got = {r.doc_id for r in secret_scan.scanned(df).where("spans LIKE '%random%'").collect()}
+    close = {k for k in range(len(tokens)) if abs(one[k] - cut(one)) < 1e-3 or abs(two[k] - cut(two)) < 1e-3}
+    assert got - close == want - close and len(want - close) > 50

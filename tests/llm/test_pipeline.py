@@ -38,3 +38,33 @@ def test_stages(spark, sf_dir):
 def test_empty(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_awkward_documents(spark, sf_dir):
+    """Nulls, ties, repeated rows, long texts and columns whose names the operators use inside."""
+    from pyspark.sql import functions as F
+
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clash = ["stays", "row", "met", "doc", "label", "key", "_key", "score", "piece", "spans", "votes", "good", "x", "tie", "length"]
+    extra = [F.lit(k).alias(name) for k, name in enumerate(clash)]
+    texts = [r.text for r in given.where("lang = 'en'").orderBy(F.desc("n_chars")).limit(4).collect()]
+    rows = [(None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, "12 34 !!", None, None, 8),
+            (None, texts[0] + " and more", "en", "s", None), (9004, texts[1] + " twice here", "en", "s", 1),
+            (9004, texts[1] + " twice here", "en", "s", 1), (9005, texts[2], "en", "s", 1), (9005, texts[3] + " token = abcdefgh12345", "en", None, 1),
+            (9006, (texts[0] + " ") * 40, "en", "s", 1)]
+    docs = given.unionByName(spark.createDataFrame(rows, given.schema)).select("*", *extra)
+    columns = docs.columns
+    for name, function in corpus_pipeline.STAGES:
+        docs = stage(function(spark, docs, sf_dir), "awkward")
+        held = docs.collect()
+        if name == "best-fit packing":
+            assert any(r.doc_id is None for r in held) and all(r.offset + r.length <= 4096 for r in held)
+            break
+        assert docs.columns == columns
+        assert all(r[c] == k for r in held for k, c in enumerate(clash))
+        if name == "language ID":
+            assert not {9001, 9002, 9003} & {r.doc_id for r in held} and all(r.text for r in held)
+        if name == "n-gram Jaccard join":
+            assert sum(r.doc_id == 9004 for r in held) <= 1
+            want = {c for _, _, c in brute([(k, r.text) for k, r in enumerate(held)])}
+            assert len(want) == len(held)  # no two of what stays are near copies

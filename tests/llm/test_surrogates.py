@@ -9,9 +9,9 @@ from loglens.llm import surrogates as S
 EMAIL, IP, PHONE, CARD = r"[\w.+-]+@[\w.-]+\w", r"\b\d+\.\d+\.\d+\.\d+\b", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b\d{16}\b"
 
 
-def replaced(spark, texts, **more):
+def replaced(spark, texts, key="test key"):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    return [r.text for r in S.with_surrogates(df, **more).orderBy("doc_id").collect()]
+    return [r.text for r in S.with_surrogates(df, key).orderBy("doc_id").collect()]
 
 
 def test_forms_and_coreference(spark):
@@ -111,7 +111,7 @@ def test_full_forms_find_a_way_out(spark):
     phones = spark.range(10_000).selectExpr("'phone' AS kind", "concat('7 7', lpad(id, 4, '0')) AS norm")
     mails = spark.range(676).selectExpr("'email' AS kind", "concat(char(97 + id div 26), '@', char(97 + id % 26), '.com') AS norm")
     odd = spark.createDataFrame([("email", "日本@例.jp")], "kind string, norm string")
-    got = S.assigned(hosts.unionByName(phones).unionByName(mails).unionByName(odd)).toPandas()
+    got = S.assigned(hosts.unionByName(phones).unionByName(mails).unionByName(odd), "test key").toPandas()
     assert len(got) == 254 * 254 + 10_000 + 676 + 1 and not got.duplicated(["kind", "candidate"]).any()
     assert not set(got["candidate"]) & set(got["norm"])
     assert got[got["kind"] == "ip"]["candidate"].str.match(r"10\.|192\.168\.").all()
@@ -127,7 +127,7 @@ def test_longer_numbers_keep_their_form(spark):
 def test_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
-    after = {r.doc_id: r.text for r in S.with_surrogates(docs).collect()}
+    after = {r.doc_id: r.text for r in S.with_surrogates(docs, "test key").collect()}
     assert before.keys() == after.keys()
     forward, backward = {}, {}
     for key, text in before.items():
@@ -141,12 +141,12 @@ def test_corpus(spark, sf_dir):
 
 def test_rows_and_columns(spark):
     rows = [(1, "a@b.org", "x"), (1, "a@b.org", "x"), (None, "a@b.org", None), (2, None, "y")]
-    got = S.with_surrogates(spark.createDataFrame(rows, "doc_id int, text string, kind string")).collect()
+    got = S.with_surrogates(spark.createDataFrame(rows, "doc_id int, text string, kind string"), "test key").collect()
     assert sorted((r.doc_id is None, r.doc_id, r.kind, r.pii_count) for r in got if r.text) == [
         (False, 1, "x", 1), (False, 1, "x", 1), (True, None, None, 1)]
     assert len(got) == 4 and len({r.text for r in got}) == 2
     none = spark.createDataFrame([], "doc_id int, text string")
-    assert S.with_surrogates(none).collect() == []
+    assert S.with_surrogates(none, "test key").collect() == []
 
 
 @pytest.mark.parametrize("text", ["1.2.3.4.5", "1234-5678", "@", "a@b", "x" * 100_000 + "@", "1" * 50])
@@ -162,3 +162,20 @@ def test_long_runs_do_not_use_up_the_stack(spark):
     assert out[6].count(".") == 100_000 and out[6].endswith(".com") and not out[6].startswith("x@a.")
     assert not out[7].startswith("Anna") and not out[7].endswith("Smith")
     assert not out[5].endswith("Smith") and out[1] == texts[1]
+
+
+def test_names_and_security_numbers_stay_distinct(spark):
+    """Each surname and each number gets one replacement everywhere, no two the same, none that occurs in the corpus."""
+    import random
+
+    draw = random.Random(6)
+    surnames = [f"Q{a}{b}{c}" for a in "aeiou" for b in "lmnr" for c in "aeo"]
+    numbers = [f"{draw.randint(100, 899)}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}" for _ in range(60)]
+    rows = [(draw.choice(surnames), draw.choice(numbers)) for _ in range(400)]
+    out = replaced(spark, [f"Mr {name} has {number}." for name, number in rows])
+    forward, backward = {}, {}
+    for (name, number), text in zip(rows, out):
+        new_name, new_number = re.fullmatch(r"Mr (\S+) has (\d{3}-\d\d-\d{4})\.", text).groups()
+        for old, new in ((name, new_name), (number, new_number)):
+            assert forward.setdefault(old, new) == new and backward.setdefault(new, old) == old
+    assert not set(forward) & set(backward)

@@ -91,7 +91,7 @@ def test_likeness_row_by_row(spark, sf_dir):
     got = {r.doc_id: r for r in fp.with_edits(docs, parts=5).collect()}
 
     def least(text):
-        return fp.minima(text, fp.Parser().feed(text, 0)[0])
+        return fp.minima(text, fp.Parser().feed(text, 0)[0], fp.SIZE)
 
     for (key, text), (_, following) in zip(rows, [*rows[1:], rows[0]]):
         edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
@@ -104,7 +104,7 @@ def test_likeness_row_by_row(spark, sf_dir):
 def test_small_fingerprints_estimate_the_phrase_sets():
     for a, b in (("abcabcabd", "abcabcabe"), ("aaaa bbbb", "aaaa bbbc"), ("x", "y"), ("the cat sat", "the cat sat")):
         one, two = brute_fingerprint(a), brute_fingerprint(b)
-        made = [fp.minima(t, fp.Parser().feed(t, 0)[0]) for t in (a, b)]
+        made = [fp.minima(t, fp.Parser().feed(t, 0)[0], fp.SIZE) for t in (a, b)]
         assert fp.likeness(*made) == len(one & two) / len(one | two)
 
 
@@ -234,3 +234,55 @@ def test_rules_cases(awkward, none):
     assert rules.judged(awkward).count() == len(AWKWARD)
     assert rules.judged(none).collect() == []
     assert "Python" not in rules.judged(awkward)._jdf.queryExecution().toString()
+
+
+def test_label_model_against_brute_force():
+    """Expectation maximisation text by text and labeller by labeller."""
+    rng = np.random.default_rng(12)
+    n, labellers = 60, [name for name, _ in weak_quality.LABELLERS]
+    patterns = np.unique(rng.choice([-1, 0, 1], size=(n, len(labellers)), p=[0.2, 0.5, 0.3]), axis=0)
+    counts = rng.integers(1, 50, size=len(patterns)).astype(float)
+    model = weak_quality.fit_labels(patterns, counts, rounds=7)
+    kinds = 1 + len(weak_quality.KINDS)
+    share = []
+    for p in patterns:
+        bad = [sum(p[j] < 0 for j, name in enumerate(labellers) if name in names) for names in weak_quality.KINDS]
+        first = [float(not any(bad)), *map(float, bad)]
+        share.append([x / sum(first) for x in first])
+    for _ in range(7):
+        size = [sum(c * s[k] for c, s in zip(counts, share)) for k in range(kinds)]
+        prior = [(x + 1) / (sum(counts) + kinds) for x in size]
+        said = [[[(sum(c * s[k] for p, c, s in zip(patterns, counts, share) if p[j] == v) + 0.1) / (size[k] + 0.3)
+                  for v in (-1, 0, 1)] for j in range(len(labellers))] for k in range(kinds)]
+        share = []
+        for p in patterns:
+            odds = [prior[k] * np.prod([said[k][j][v + 1] for j, v in enumerate(p)]) for k in range(kinds)]
+            share.append([x / sum(odds) for x in odds])
+    assert np.allclose(model.prior, prior) and np.allclose(model.said, said) and np.allclose(model.posterior(patterns), share)
+
+
+def test_prediction_against_brute_force():
+    """Family by the largest margin, then a vote of the pairs within it, ties by the sum of margins."""
+    rng = np.random.default_rng(13)
+    languages = {"a": ["a1", "a2", "a3"], "b": ["b1"], "c": ["c1", "c2"]}
+    families = {f: rng.normal(size=9) for f in languages}
+    pairs = {(x, y): rng.normal(size=9) for held in languages.values() for i, x in enumerate(held) for y in held[i + 1 :]}
+    model = language.Model(families, pairs, languages, 8)
+    seen = set()
+    for _ in range(200):
+        x = rng.normal(size=8)
+        full = [*x, 1.0]
+        margin = {f: sum(a * b for a, b in zip(w, full)) for f, w in families.items()}
+        kind = max(margin, key=margin.get)
+        wins = {name: [0, 0.0] for name in languages[kind]}
+        for (one, two), w in pairs.items():
+            if one in wins:
+                m = sum(a * b for a, b in zip(w, full))
+                wins[one if m >= 0 else two][0] += 1
+                wins[one][1] += m
+                wins[two][1] -= m
+        best = max(wins, key=lambda name: tuple(wins[name]))
+        said, score = language.predict(model, x)
+        assert said == best and 0 <= score <= 1
+        seen.add(said)
+    assert len(seen) == 6
