@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from loglens.session import python_width, stage
 
 #: Vectors of a cell that isn't split, pivots of one that is, queries of a cell for each task, and levels at most.
-LEAF, FAN, VISITORS, DEEPEST = 1024, 16, 20_000, 24
+LEAF, FAN, VISITORS, DEEPEST = 4096, 32, 20_000, 24
+#: Queries that meet a cell together.
+TOGETHER = 1024
 _SLACK = 1e-6
 _VECTOR = "id bigint, a bigint, low double, idx array<int>, w array<double>"
 _BOUND = "cell string, r double, hi array<double>, lo array<double>"
@@ -83,8 +85,8 @@ def meet(held: DataFrame, visitors: DataFrame, schema: str, start: Callable, man
                     if going is None:
                         going = start(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
                         rows = []
-                    for c in range(a, b, LEAF):
-                        yield going[0](batch.slice(c, min(LEAF, b - c)))
+                    for c in range(a, b, TOGETHER):
+                        yield going[0](batch.slice(c, min(TOGETHER, b - c)))
         if going and going[1]:
             yield going[1]()
 
