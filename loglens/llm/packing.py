@@ -34,7 +34,7 @@ SEQUENCE, SEPARATOR = 4096, 1
 OPEN, SHARD_PIECES = 1024, 40_000
 #: Bytes of words and ids that a worker keeps, at most; the memory starts anew when it is full. An entry
 #: counts its text and what Python's objects take beside it.
-_KNOWN, _LONG_WORD, _WORD_BYTES = 136 << 20, 64, 240
+_KNOWN, _LONG_WORD, _WORD_BYTES = 176 << 20, 64, 240
 #: New words encoded at once, and characters of the texts that are split at once.
 _AT_ONCE, _GROUP = 500, 1_000_000
 #: Python's ``split`` cuts at these, the tokenizer doesn't.
@@ -42,6 +42,11 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 PIECES = "length int, start bigint, piece int, ids_crc32 bigint"
 
 
+def _letters_only(word: str) -> bool:
+    """Letters in lower case as well: a capital I with a dot becomes a letter and a mark."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha())
+
+
 class WordEncoder:
     """Encodes texts to ids, each four bytes, little end first.
 
@@ -77,7 +82,7 @@ class WordEncoder:
         out = []
         for at in range(0, len(words), _AT_ONCE):
             some = words[at : at + _AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
             if len(cuts) != len(some):  # the two libraries see different letters
                 out.extend(self.plain(some))
@@ -88,14 +93,16 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Keep the ids of new words; those of very long ones are only returned."""
-        # In lower case: a capital I with a dot becomes a letter and a mark.
-        bare = {w: w[:-1] if w[-1] in self.marks and w[:-1].lower().isalpha() else w for w in words}
-        roots = set(bare.values())
-        simple = [w for w in roots if w.lower().isalpha()]
-        other = roots.difference(simple)
-        ids = dict(zip(simple, self.letters(simple)))
-        ids.update(zip(other, self.plain(list(other))))
-        found = {w: ids[b] if len(b) == len(w) else ids[b] + self.marks[w[-1]] for w, b in bare.items()}
+        known, marks = self.known, self.marks
+        bare = {w: w[:-1] if w[-1] in marks and _letters_only(w[:-1]) else w for w in words}
+        # Many a word is known without its comma.
+        ids = {r: known[r] for r in set(bare.values()) if r in known}
+        new = set(bare.values()).difference(ids)
+        simple = [w for w in new if _letters_only(w)]
+        other = list(new.difference(simple))
+        ids.update(zip(simple, self.letters(simple)))
+        ids.update(zip(other, self.plain(other)))
+        found = {w: ids[b] if len(b) == len(w) else ids[b] + marks[w[-1]] for w, b in bare.items()}
         long = {w: found.pop(w) for w in words if len(w) > _LONG_WORD}
         self.known.update(found)
         self.known_bytes += len(found) * _WORD_BYTES
