@@ -66,11 +66,12 @@ def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
                 del brackets[r]
             else:
                 brackets[r] = _sketched(held, [r - below], inside)[0]
-                if brackets[r] == (low, high):  # only a few values, each of them frequent
-                    middle = low + (high - low) / 2
-                    upper = held.where(F.col("x") > middle).agg(F.count("x"), F.min("x")).first()
-                    lower = held.where(F.col("x") <= middle).agg(F.max("x")).first()[0]
-                    brackets[r] = (low, lower) if r - below < inside - upper[0] else (upper[1], high)
+                if brackets[r] == (low, high):  # most values are at its two ends
+                    ends = held.agg(F.count_if(F.col("x") == low).alias("low"), F.count_if(F.col("x") == high).alias("high"),
+                                    F.min(F.when(F.col("x") > low, F.col("x"))).alias("next"),
+                                    F.max(F.when(F.col("x") < high, F.col("x"))).alias("last")).first()
+                    at = r - below
+                    brackets[r] = (low, low) if at < ends["low"] else (high, high) if at >= inside - ends["high"] else (ends["next"], ends["last"])
         first = False
     return out
 

@@ -217,7 +217,7 @@ class Index:
             # A file without rows has no trigrams.
             whole = listed.join(made, "file", "left").select("file", F.coalesce("bits", F.lit(bytearray(BITS // 8))).alias("bits"))
         if known is not None:
-            kept = known.where(F.col("file").isin(now))
+            kept = known.join(self.spark.createDataFrame([(f,) for f in now], "file string"), "file", "left_semi")
             whole = kept if whole is None else kept.unionByName(whole)
         if whole is not None:
             write_table(stage(whole, "search_index"), self.path)

@@ -86,20 +86,33 @@ class Ingested:
     def _part(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(self._part_path(name, batch))
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str, behind: int = -1) -> DataFrame:
+        """Parts of committed batches behind one."""
         upto = self.state()["batch"]
-        if upto < 0:
+        if upto <= behind:
             return self.spark.createDataFrame([], schema)
         whole = self.spark.read.schema(f"{schema}, batch int").option("basePath", self._at(name))
-        return whole.parquet(self._at(name)).where(F.col("batch") <= upto).drop("batch")
+        return whole.parquet(self._at(name)).where((F.col("batch") > behind) & (F.col("batch") <= upto)).drop("batch")
 
     def lines(self) -> DataFrame:
         """Accepted lines of all committed batches with their masked template."""
         return self._read("parsed", _PARSED)
 
     def cells(self) -> DataFrame:
-        """The state: cells of one second, one for each batch that has lines in it."""
-        return self._read("cells", _CELLS)
+        """The state: cells of one second; those of one second and template or node merge."""
+        base = commits.current(self.spark, self._at("cells_base"))
+        if base is None:
+            return self._read("cells", _CELLS)
+        upto = commits.made_from(self.spark, self._at("cells_base"))["batch"]
+        return self.spark.read.schema(_CELLS).parquet(base).unionByName(self._read("cells", _CELLS, upto))
+
+    def compact(self) -> int:
+        """Merge the cells of all committed batches into one table, from which ``cells`` goes on, so that the state
+        grows with seconds and templates and not with batches; the last batch in it. Parts stay where they are."""
+        upto = self.state()["batch"]
+        merged = panes.merge_cells(self.cells(), "second", "template").select(*[f.split()[0] for f in _CELLS.split(", ")])
+        commits.publish(self.spark, self._at("cells_base"), lambda place: merged.write.parquet(place), {"batch": upto})
+        return upto
 
     def event_ids(self) -> DataFrame:
         """(template, event_id, n): templates numbered from 1 in their order, read from the state."""

@@ -83,6 +83,16 @@ def test_exact_quantiles_of_two_values(spark, monkeypatch):
     assert quantiles.at_ranks(df, "v", [0, 699, 700, 999]) == {0: 1.0, 699: 1.0, 700: 2.0, 999: 2.0}
 
 
+def test_exact_quantiles_between_two_frequent_values(spark, monkeypatch):
+    from loglens.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 2)
+    values = [1.0] * 400 + [1.5, 1.75, 1.8, 1.9] + [2.0] * 300 + [float("inf")] * 20 + [float("nan")] * 5
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = quantiles.at_ranks(df, "v", [0, 399, 400, 402, 404, 703, 704, 728])
+    assert got == {0: 1.0, 399: 1.0, 400: 1.5, 402: 1.8, 404: 2.0, 703: 2.0, 704: float("inf"), 728: float("inf")}
+
+
 def test_exact_quantiles_of_nothing(spark):
     from loglens.operators import quantiles
 

@@ -97,6 +97,21 @@ def test_repeated_and_broken_batches(spark, values, tmp_path, monkeypatch):
         out.add(blocks(spark, two), 7)
 
 
+def test_compacted_state_goes_on(spark, values, tmp_path):
+    folder, out = str(tmp_path / "in"), ingest.Ingested(spark, str(tmp_path / "out"))
+    paths = [write(folder, k, values[k * 200 : (k + 1) * 200]) for k in range(5)]
+    for k, path in enumerate(paths):
+        assert out.add(blocks(spark, path), k)
+        if k in (1, 2):
+            before = rows(out.window_features())
+            assert out.compact() == k and rows(out.window_features()) == before
+    parsed = batch_run(spark, folder)
+    assert rows(out.parsed()) == rows(parsed)
+    assert rows(out.window_features(3600, 1800).drop("final")) == rows(windows.window_features(parsed, 3600, 1800))
+    plain = out._read("cells", ingest._CELLS)
+    assert out.cells().count() <= plain.count()
+
+
 def test_nothing_yet(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     out = ingest.Ingested(spark, str(tmp_path / "out"))
