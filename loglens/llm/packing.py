@@ -109,8 +109,10 @@ class WordEncoder:
         return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in self.added) or _ODD_SPACE.search(t) for t in texts]
-        split = [None if w else (t.lower() if t.isascii() else t).split() for t, w in zip(texts, whole)]
+        # In lower case: a word that only looks like such a token must not become one.
+        lowered = [t.lower() if t.isascii() else t for t in texts]
+        whole = [any(a in low or a in t for a in self.added) or _ODD_SPACE.search(t) for t, low in zip(texts, lowered)]
+        split = [None if w else low.split() for low, w in zip(lowered, whole)]
         new = set().union(*[w for w in split if w]).difference(self.known)
         if self.known_bytes + len(new) * _WORD_BYTES > _KNOWN:
             self.forget()
