@@ -15,3 +15,9 @@ def test_area_of_one_class_is_undefined(spark, truth):
     scores = spark.createDataFrame([(0.2, truth, 0), (0.7, truth, 1)], _COLUMNS)
     area = evaluate.roc_auc(scores).first()["roc_auc"]
     assert math.isnan(area) if truth else area is None
+
+
+def test_document_of_one_class(spark):
+    scores = spark.createDataFrame([(0.2, 1, 0), (0.7, 1, 1)], _COLUMNS)
+    row = evaluate.metrics_document(scores, "logs").first()
+    assert math.isnan(row.roc_auc) and row.normal_windows == 0 and row.recall_anomaly == 0.5
