@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loglens.operators import celltree, cluster, neighbours
+from loglens.session import stage
 
 SCHEMA = "id bigint, a bigint, idx array<int>, w array<double>"
 
@@ -110,3 +111,30 @@ def test_silhouette_with_many_clusters(spark, monkeypatch):
         b = min(far[i][own == k].mean() for k in set(own) - {c})
         values.append((b - a) / max(a, b))
     assert abs(got - np.mean(values)) < 1e-8
+
+
+def test_spread_vectors_are_sent_once_for_each_block(spark, monkeypatch):
+    """Bounds exclude nothing among evenly spread vectors; what is written must not grow with the leaves then."""
+    monkeypatch.setattr(celltree, "LEAF", 16)
+    written = []
+
+    def counted(df, label):
+        out = stage(df, label)
+        written.append(out.count())
+        return out
+
+    for module in (celltree, neighbours):
+        monkeypatch.setattr(module, "stage", counted)
+    x = np.random.default_rng(6).normal(size=(800, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, 1, [float(v) for v in row]) for i, row in enumerate(x)], "point bigint, copies bigint, vec array<double>")
+    groups = neighbours.dense_groups(points, 0.6)
+    counts = {r.point: r.near for r in neighbours.neighbour_counts(groups, 0.6).collect()}
+    near = np.round(x @ x.T, 9) >= 0.4
+    assert counts == {i: near[i].sum() - 1 for i in range(800)}
+    assert groups.members.select("cell").distinct().count() > 50 and sum(written) < 20 * 800
+    links = cluster.connected_components(neighbours.component_edges(groups, 0.6)).collect()
+    reach = near.astype(float)
+    for _ in range(10):
+        reach = (reach @ reach > 0).astype(float)
+    assert {r.point: r.root for r in links} == {i: int(reach[i].argmax()) for i in range(800) if near[i].sum() > 1}
