@@ -16,9 +16,11 @@ new lines together would give, without reading the old lines.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,38 +116,87 @@ def merge_tokens(a: list[str], b: list[str]) -> list[str]:
 
 
 class _Leaf:
-    """Templates of one token count, found by the rare tokens that they have at a place."""
+    """Templates of one token count, found by the rare tokens that they have at a place.
+
+    Prose has millions of templates in a leaf, hardly any of them alike, so nothing here is an object for each template
+    or token but its text: tokens are compared by a number of 64 bits and then by text, and the templates with a token
+    at a place are a chain through ``after``, which starts in one of ``first``."""
 
     def __init__(self, similarity: float):
         self.similarity = similarity
-        self.templates: list[list[str]] = []
-        self.line: list[int] = []
-        self.part: list[int] = []
-        self.at: dict[tuple[int, str], set[int]] = {}
+        self.width = 0
+        self.salt: list[int] = []
+        self.texts: list[str] = []
+        self.line = array("q")
+        self.part = array("q")
+        #: At template * width + place: the token, 0 for a wildcard, and the next of the chain.
+        self.token, self.after = array("q"), array("i")
+        self.first, self.length = array("i", [-1]) * 64, array("i", [0]) * 64
+
+    @property
+    def templates(self) -> list[list[str]]:
+        return [t.split(" ") for t in self.texts]
+
+    @staticmethod
+    def _numbers(tokens: list[str]) -> list[int]:
+        return [0 if t == WILDCARD else hash(t) or 1 for t in tokens]
 
     def put(self, tokens: list[str], line: int, part: int = -1) -> int:
-        for place in enumerate(tokens):
-            self.at.setdefault(place, set()).add(len(self.templates))
-        self.templates.append(tokens)
+        k, self.width = len(self.texts), len(tokens)
+        self.texts.append(" ".join(tokens))
         self.line.append(line)
         self.part.append(part)
-        return len(self.templates) - 1
+        self.token.extend(self._numbers(tokens))
+        self.after.extend([-1] * self.width)
+        if len(self.salt) < self.width:
+            self.salt = [place * 0x9E3779B97F4A7C15 & (1 << 62) - 1 for place in range(self.width)]
+        if len(self.token) > len(self.first):  # chains are short as long as there are more of them than tokens
+            size = 2 * len(self.first)
+            while size < 2 * len(self.token):
+                size *= 2
+            self.first, self.length = array("i", [-1]) * size, array("i", [0]) * size
+            here = range(k + 1)
+        else:
+            here = range(k, k + 1)
+        first, length, after, mask = self.first, self.length, self.after, len(self.first) - 1
+        for one in here:
+            at = one * self.width
+            for token, salt in zip(self.token[at:at + self.width], self.salt):
+                if token:
+                    slot = (token ^ salt) & mask
+                    after[at] = first[slot]
+                    first[slot] = at
+                    length[slot] += 1
+                at += 1
+        return k
 
     def _equal(self, tokens: list[str]) -> dict[int, int]:
         """Equal tokens of every template that has enough of them."""
-        least = math.ceil(self.similarity * len(tokens) - 1e-12)
+        least, width = math.ceil(self.similarity * len(tokens) - 1e-12), len(tokens)
         if least <= 0:
-            return {k: sum(a == b != WILDCARD for a, b in zip(tokens, t)) for k, t in enumerate(self.templates)}
-        held = sorted((self.at.get(place, ()) for place in enumerate(tokens) if place[1] != WILDCARD), key=len)
+            return {k: sum(a == b != WILDCARD for a, b in zip(tokens, t.split(" "))) for k, t in enumerate(self.texts)}
+        numbers, known, after = self._numbers(tokens), self.token, self.after
+        length, mask = self.length, len(self.first) - 1
+        slots = [(token ^ salt) & mask for token, salt in zip(numbers, self.salt)]
+        held = sorted([(length[slot], place, slot) for place, slot in enumerate(slots) if numbers[place]])
         # A template with enough equal tokens has one of these; the most common ones are only asked.
         rare = len(held) - least + 1
         if rare <= 0:
             return {}
-        same = Counter(k for some in held[:rare] for k in some)
-        for some in held[rare:]:
-            for k in same.keys() & some if len(some) < len(same) else [k for k in same if k in some]:
-                same[k] += 1
-        return {k: n for k, n in same.items() if n >= least}
+        same: Counter = Counter()
+        for _, place, slot in held[:rare]:
+            at, token = self.first[slot], numbers[place]
+            while at >= 0:
+                if known[at] == token and at % width == place:  # others share the chain or became wildcards
+                    same[at // width] += 1
+                at = after[at]
+        for _, place, _ in held[rare:]:
+            for k in same:
+                if known[k * width + place] == numbers[place]:
+                    same[k] += 1
+        enough = [k for k, n in same.items() if n >= least]
+        exact = {k: sum(a == b != WILDCARD for a, b in zip(tokens, self.texts[k].split(" "))) for k in enough}
+        return {k: n for k, n in exact.items() if n >= least}
 
     def add(self, tokens: list[str], line: int, part: int | None = None) -> int:
         """The template that the tokens join: the one with most equal tokens, then most wildcards, then the
@@ -153,18 +204,31 @@ class _Leaf:
         same = self._equal(tokens)
         if part is not None:
             same = {k: n for k, n in same.items() if self.part[k] != part}
-        best = max(same, key=lambda k: (same[k], self.templates[k].count(WILDCARD), -k), default=None)
+        most = max(same.values(), default=0)
+        best = max((k for k in same if same[k] == most), key=lambda k: (self._wildcards(k), -k), default=None)
         if best is None:
             return self.put(tokens, line, -1 if part is None else part)
-        known = self.templates[best]
-        for place, token in enumerate(tokens):
-            if known[place] not in (token, WILDCARD):
-                self.at[place, known[place]].discard(best)
-                known[place] = WILDCARD
+        merged = merge_tokens(self.texts[best].split(" "), tokens)
+        self.texts[best] = " ".join(merged)
+        for place, token in enumerate(merged):
+            if token == WILDCARD:
+                self.token[best * self.width + place] = 0
         if part is not None:
             self.part[best] = part
         return best
 
+    def _wildcards(self, k: int) -> int:
+        return self.token[k * self.width:(k + 1) * self.width].count(0)
+
+
+#: Rows that a task gives at once.
+_ROWS = 10_000
+
+
+def _in_pieces(rows: Iterator[tuple], frame: Callable) -> Iterator[pd.DataFrame]:
+    while piece := list(islice(rows, _ROWS)):
+        yield frame(piece)
+
 
 def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     """Rows (leaf, part, fresh, first_line, tokens, line): patterns, and before them the templates known in an
@@ -173,16 +237,15 @@ def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaf, first, line = None, None, [], []
 
-        def done() -> list[tuple]:
-            if now is None:
-                return []
-            return [("template", *now, leaf.line[k], line[k], first[k], " ".join(t)) for k, t in enumerate(leaf.templates)]
+        def done() -> Iterator[tuple]:
+            for k in range(len(line)):
+                yield "template", *now, leaf.line[k], line[k], first[k], leaf.texts[k]
 
         for batch in batches:
             out = []
             for key, part, fresh, at, tokens, known in zip(*(batch[c] for c in ("leaf", "part", "fresh", "first_line", "tokens", "line"))):
                 if (key, part) != now:
-                    out.extend(done())
+                    yield from _in_pieces(done(), frame)
                     now, leaf, first, line = (key, part), _Leaf(similarity), [], []
                 split = tokens.split(" ")
                 k = leaf.add(split, at) if fresh else leaf.put(split, at)
@@ -192,7 +255,7 @@ def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
                 if fresh:
                     out.append(("member", key, part, leaf.line[k], None, None, tokens))
             yield frame(out)
-        yield frame(done())
+        yield from _in_pieces(done(), frame)
 
     def frame(out: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame(out, columns=["kind", "leaf", "part", "founder", "line", "first", "tokens"])
@@ -209,34 +272,33 @@ def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaf, final, at = None, None, [], {}
 
-        def done() -> list[tuple]:
-            if now is None:
-                return []
-            return [("template", now, leaf.part[k], None, leaf.line[k], " ".join(t), " ".join(final[k])) for k, t in enumerate(leaf.templates)]
+        def done() -> Iterator[tuple]:
+            for k in range(len(final)):
+                yield "template", now, leaf.part[k], None, leaf.line[k], leaf.texts[k], final[k]
 
         for batch in batches:
             out = []
             for key, fresh, part, founder, line, first, tokens, template in zip(
                     *(batch[c] for c in ("leaf", "fresh", "part", "founder", "line", "first", "tokens", "template"))):
                 if key != now:
-                    out.extend(done())
+                    yield from _in_pieces(done(), frame)
                     now, leaf, final, at = key, _Leaf(similarity), [], {}
                 if not fresh:  # a template of the table
                     at[line] = leaf.put(tokens.split(" "), line, part)
-                    final.append(template.split(" "))
+                    final.append(template)
                     continue
-                summary = tokens.split(" ")
                 if first is None:  # known to be in a template, and perhaps more general now
                     k = at[line]
                 else:
                     k = leaf.add(first.split(" "), founder, part)
                     if k == len(final):
-                        final.append(summary)
+                        final.append(tokens)
                         at[founder] = k
                     out.append(("founder", key, None, founder, leaf.line[k], None, None))
-                final[k] = merge_tokens(final[k], summary)
+                if final[k] != tokens:
+                    final[k] = " ".join(merge_tokens(final[k].split(" "), tokens.split(" ")))
             yield frame(out)
-        yield frame(done())
+        yield from _in_pieces(done(), frame)
 
     def frame(out: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame(out, columns=["kind", "leaf", "part", "founder", "line", "tokens", "template"])
@@ -260,16 +322,17 @@ def _extended(known: Mined, patterns: DataFrame, similarity: float, max_children
     split = stage(new.join(numbered, "first_line").withColumn("words", text.tokens(F.col("pattern"))).select(
         "pattern", "first_line", F.floor(F.col("rank") / part_size).alias("part"), F.size("words").alias("width"), F.col("words")[0].alias("head")), "numbered")
     heads = stage(_heads(split, known.heads, max_children), "heads")
+    none = F.lit(-1).cast("bigint")  # a null would make all numbers of a batch floating-point ones
     fresh = _leaves(split, heads).select(
-        "leaf", "part", F.lit(True).alias("fresh"), "first_line", F.col("pattern").alias("tokens"), F.lit(None).cast("bigint").alias("line"))
+        "leaf", "part", F.lit(True).alias("fresh"), "first_line", F.col("pattern").alias("tokens"), none.alias("line"))
     held = known.open.select("leaf", "part", F.lit(False).alias("fresh"), F.col("founder").alias("first_line"), "tokens", "line")
     parts = stage(_mine_parts(fresh.unionByName(held), similarity, width), "parts")
     made = parts.where("kind = 'template'")
     table = known.templates.select(
         "leaf", F.lit(False).alias("fresh"), F.col("line").alias("first_line"), F.col("last_part").alias("part"),
-        F.lit(None).cast("bigint").alias("founder"), "line", F.lit(None).cast("string").alias("first"), "tokens", "template")
+        none.alias("founder"), "line", F.lit(None).cast("string").alias("first"), "tokens", "template")
     added = made.select(
-        "leaf", F.lit(True).alias("fresh"), F.col("founder").alias("first_line"), "part", "founder", "line", "first", "tokens",
+        "leaf", F.lit(True).alias("fresh"), F.col("founder").alias("first_line"), "part", "founder", F.coalesce("line", none).alias("line"), "first", "tokens",
         F.lit(None).cast("string").alias("template"))
     merged = stage(_merge_parts(table.unionByName(added), similarity, width), "merged")
     founders = merged.where("kind = 'founder'").select("founder", "line").unionByName(known.open.select("founder", "line"))
