@@ -183,17 +183,17 @@ class _Leaf:
         rare = len(held) - least + 1
         if rare <= 0:
             return {}
-        same: Counter = Counter()
+        met = []
         for _, place, slot in held[:rare]:
             at, token = self.first[slot], numbers[place]
             while at >= 0:
                 if known[at] == token and at % width == place:  # others share the chain or became wildcards
-                    same[at // width] += 1
+                    met.append(at // width)
                 at = after[at]
-        for _, place, _ in held[rare:]:
-            for k in same:
-                if known[k * width + place] == numbers[place]:
-                    same[k] += 1
+        same: dict[int, int] = Counter(met)
+        for asked, (_, place, _) in enumerate(held[rare:], start=1):
+            token, enough = numbers[place], asked + 1  # what a template must have, as the places left may all be equal
+            same = {k: more for k, n in same.items() if (more := n + (known[k * width + place] == token)) >= enough}
         enough = [k for k, n in same.items() if n >= least]
         exact = {k: sum(a == b != WILDCARD for a, b in zip(tokens, self.texts[k].split(" "))) for k in enough}
         return {k: n for k, n in exact.items() if n >= least}
