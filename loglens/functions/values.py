@@ -22,6 +22,12 @@ def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise(part.cast("double") / F.nullif(whole, F.lit(0)))
 
 
+def round_half(value: Column, digits: int) -> Column:
+    """Rounded as SQL engines round a double: the nearest whole multiple, halves away from zero, of what the double holds.
+    ``F.round`` goes by its decimal digits instead, so 57 / 800 (a little less than 0.07125) would become 0.0713."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def reduction_pct(groups: Column, total: Column) -> Column:
     """How much smaller ``groups`` is than ``total``, in percent with one digit."""
     kept = groups.cast("double") / F.nullif(total, F.lit(0))

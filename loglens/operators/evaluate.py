@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.functions.values import ratio, truth_text
+from loglens.functions.values import ratio, round_half, truth_text
 from loglens.operators import quantiles as exact_quantiles
 from loglens.operators.ranking import running_sums
 
@@ -123,12 +123,12 @@ def metrics_document(scores: DataFrame, dataset: str) -> DataFrame:
         "total_windows",
         (F.col("false_negative") + F.col("true_positive")).alias("anomalous_windows"),
         (F.col("true_negative") + F.col("false_positive")).alias("normal_windows"),
-        *[F.round(c, 4).alias(c) for c in rounded],
-        F.round("a.roc_auc", 4).alias("roc_auc"),
-        F.round("macro_avg_f1", 4).alias("macro_avg_f1"),
-        F.round("t.best_threshold", 4).alias("best_threshold"),
+        *[round_half(F.col(c), 4).alias(c) for c in rounded],
+        round_half(F.col("a.roc_auc"), 4).alias("roc_auc"),
+        round_half(F.col("macro_avg_f1"), 4).alias("macro_avg_f1"),
+        round_half(F.col("t.best_threshold"), 4).alias("best_threshold"),
         F.struct(*cells).alias("confusion_matrix"),
-        *[F.round(f"p.{c}", 4).alias(c) for c in profile],
+        *[round_half(F.col(f"p.{c}"), 4).alias(c) for c in profile],
     )
 
 

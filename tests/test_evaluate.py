@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglens.operators import evaluate
 
@@ -21,3 +22,13 @@ def test_document_of_one_class(spark):
     scores = spark.createDataFrame([(0.2, 1, 0), (0.7, 1, 1)], _COLUMNS)
     row = evaluate.metrics_document(scores, "logs").first()
     assert math.isnan(row.roc_auc) and row.normal_windows == 0 and row.recall_anomaly == 0.5
+
+
+def test_document_rounds_like_its_sql(spark):
+    """57 of 800 is a little less than 0.07125 as a double; its decimal digits would be rounded up."""
+    duckdb = pytest.importorskip("duckdb")
+    scores = spark.range(800).select(
+        (F.col("id") / 800).alias("anomaly_score"), (F.col("id") % 2).cast("int").alias("is_anomaly"),
+        F.when(F.col("id") < 57, F.col("id") % 2).otherwise(1 - F.col("id") % 2).cast("int").alias("predicted"))
+    want = duckdb.connect().execute("SELECT round(57 / 800, 4)").fetchone()[0]
+    assert evaluate.metrics_document(scores, "logs").first()["accuracy"] == want == 0.0712
