@@ -1,8 +1,10 @@
+import os
 import random
 
 import numpy as np
 import pytest
 
+from loglens import session
 from loglens.operators import celltree, cluster, neighbours, vectors
 
 
@@ -111,3 +113,32 @@ def test_no_vocabulary_at_all(spark):
     found, points, model = cluster.cluster_texts(rows, "id", "text")
     assert sorted((r.id, r.cluster_id) for r in found.collect()) == [(1, -1), (2, -1), (3, -1)]
     assert cluster.silhouette(points, model.weights).first().silhouette == 0.0
+
+
+def test_texts_are_neither_moved_nor_written(spark, monkeypatch):
+    """Long texts of rare words: what clustering writes is their few vocabulary words, a small part of the texts."""
+    rnd = random.Random(8)
+    common = ["disk", "read", "error", "retry", "link", "down", "port", "cache"]
+    texts = [" ".join(rnd.sample(common, 3) * 40 + ["".join(rnd.choices("abcdefghij", k=9)) for _ in range(400)]) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    written = []
+
+    def staged(df, label):
+        made = session.stage(df, label)
+        written.append(sum(os.path.getsize(f.removeprefix("file:")) for f in made.inputFiles()))
+        return made
+
+    for module in (vectors, celltree, neighbours, cluster):
+        monkeypatch.setattr(module, "stage", staged)
+    found, points, model = cluster.cluster_texts(rows, "id", "text")
+    assert found.count() == 300 and sum(written) < 0.2 * sum(map(len, texts))
+    assert abs(cluster.silhouette(points, model.weights).first()[0] - cluster.silhouette(points, model.weights, model).first()[0]) < 1e-8
+
+
+def test_word_counts_in_portions(spark, monkeypatch):
+    """A task that gives its words out in many portions counts the same."""
+    rows = spark.createDataFrame([(i, f"a b{'cde'[i % 3]} a {chr(102 + i % 11) * 3} X") for i in range(60)], "id bigint, text string")
+    whole = sorted(map(tuple, vectors.word_counts(rows, "text").collect()))
+    monkeypatch.setattr(vectors, "HELD_WORDS", 3)
+    assert sorted(map(tuple, vectors.word_counts(rows, "text").collect())) == whole
+    assert ("a", 120, 60) in whole and ("x", 60, 60) in whole
