@@ -147,3 +147,18 @@ def test_records_are_given_out_once(spark, tmp_path):
     assert commits.put_once(spark, folder, 11, {"a": 2})
     assert commits.numbers(spark, folder) == [3, 11] and commits.get(spark, folder, 3) == {"a": "é"}
     assert commits.last(spark, folder) == (11, {"a": 2})
+
+
+def test_pieces_are_written_in_order_without_a_sample(spark, tmp_path):
+    """A sort by ranges makes every line twice, once for its sample."""
+    from checks.q_stream import _in_order
+
+    lines = spark.range(0, 5000, 3).selectExpr("id AS line_id", "string(id) AS value").orderBy(F.xxhash64("line_id"))
+    whole = []
+    for low, high in ((0, 1250), (1250, 2500), (2500, 3750), (3750, 5001)):
+        piece = _in_order(lines, low, high)
+        assert "rangepartitioning(line_id" not in piece._jdf.queryExecution().executedPlan().toString()
+        piece.write.text(f"{tmp_path}/{low}")
+        for part in sorted((tmp_path / str(low)).glob("part-*")):
+            whole.extend(int(line) for line in part.read_text().split())
+    assert whole == list(range(0, 5000, 3))
