@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loglens.functions.values import ratio, round_half, truth_text
 from loglens.operators import quantiles as exact_quantiles
 from loglens.operators.ranking import running_sums
+from loglens.session import stage
 
 
 def confusion(scores: DataFrame, truth: str = "is_anomaly", predicted: str = "predicted") -> DataFrame:
@@ -80,6 +81,8 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 
 def score_profile(scores: DataFrame) -> DataFrame:
     s = "anomaly_score"
+    # Ranks take several passes: over a written column, not over what made it.
+    scores = stage(scores.select(s), "profile")
     cuts = exact_quantiles.exact(scores, s, [0.85, 0.90, 0.95])
     return scores.agg(
         F.min(s).alias("score_min"),

@@ -32,3 +32,17 @@ def test_document_rounds_like_its_sql(spark):
         F.when(F.col("id") < 57, F.col("id") % 2).otherwise(1 - F.col("id") % 2).cast("int").alias("predicted"))
     want = duckdb.connect().execute("SELECT round(57 / 800, 4)").fetchone()[0]
     assert evaluate.metrics_document(scores, "logs").first()["accuracy"] == want == 0.0712
+
+
+def test_profile_makes_its_scores_once(spark):
+    """Whatever stands behind the scores, often all lines, is computed once and not for every pass over the ranks."""
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    scores = spark.range(200).select((F.col("id") / 200).alias("anomaly_score")).mapInArrow(noted, "anomaly_score double")
+    row = evaluate.score_profile(scores).first()
+    assert (row.score_min, row.score_max, round(row.score_p90, 9)) == (0.0, 0.995, 0.8955) and made.value == 200
