@@ -142,3 +142,32 @@ def test_word_counts_in_portions(spark, monkeypatch):
     monkeypatch.setattr(vectors, "HELD_WORDS", 3)
     assert sorted(map(tuple, vectors.word_counts(rows, "text").collect())) == whole
     assert ("a", 120, 60) in whole and ("x", 60, 60) in whole
+
+
+def _sent(df) -> int:
+    """Bytes that a query wrote to its shuffles."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().get("shuffleBytesWritten").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_vectors_are_sent_in_packs(spark):
+    """Every vector is sent once for each block, in a compressed pack; as a row of the shuffle it took twice the room."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, k=90)) for _ in range(1500)]
+    model = vectors.tfidf(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text")
+    groups = neighbours.model_groups(model, 0.4)
+    raw = groups.members.selectExpr("sum(12 * size(w))").first()[0]
+    for found in (neighbours.neighbour_counts(groups, 0.4), neighbours.component_edges(groups, 0.4)):
+        assert 0 < _sent(found) < 0.22 * raw
