@@ -49,6 +49,11 @@ def mask_templates(lines: DataFrame) -> DataFrame:
     return spread_join(masked, ids.drop("n"), ["template"], by="line_id", hot=hot)
 
 
+def _digest(pattern: str) -> Column:
+    """Patterns are told apart by SHA-256, so their texts only move to be mined."""
+    return F.unhex(F.sha2(F.col(pattern), 256)).alias("digest")
+
+
 def _pattern() -> Column:
     """Null contents are empty ones."""
     return text.mask_digits(F.regexp_replace(text.strip(F.coalesce("content", F.lit(""))), text.SPACE + "+", " "))
@@ -58,7 +63,7 @@ def _pattern() -> Column:
 class Mined:
     """Templates of a log, and what it takes to go on with its next lines."""
 
-    #: (pattern, line): every known pattern and the first line of its template.
+    #: (digest, line): every known pattern and the first line of its template.
     patterns: DataFrame
     #: (width, head, first_line): first tokens that have a leaf of their own.
     heads: DataFrame
@@ -68,7 +73,7 @@ class Mined:
     templates: DataFrame
 
     SCHEMAS = {
-        "patterns": "pattern string, line bigint", "heads": "width int, head string, first_line bigint",
+        "patterns": "digest binary, line bigint", "heads": "width int, head string, first_line bigint",
         "open": "leaf string, part bigint, founder bigint, line bigint, tokens string",
         "templates": "leaf string, line bigint, tokens string, last_part bigint, template string"}
 
@@ -106,7 +111,7 @@ def _heads(patterns: DataFrame, known: DataFrame, max_children: int) -> DataFram
 def _leaves(patterns: DataFrame, heads: DataFrame) -> DataFrame:
     """Add ``leaf``: the token count and the first token, if that has a leaf of its own, else a wildcard."""
     own = heads.select("width", "head", F.lit(True).alias("own"))
-    keyed = spread_join(patterns, own, ["width", "head"], by="pattern", how="left")
+    keyed = spread_join(patterns, own, ["width", "head"], by="first_line", how="left")
     head = F.when(F.col("own"), F.col("head")).otherwise(F.lit(WILDCARD))
     return keyed.withColumn("leaf", F.concat_ws(" ", F.col("width").cast("string"), head)).drop("own", "width", "head")
 
@@ -232,14 +237,15 @@ def _in_pieces(rows: Iterator[tuple], frame: Callable) -> Iterator[pd.DataFrame]
 
 def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     """Rows (leaf, part, fresh, first_line, tokens, line): patterns, and before them the templates known in an
-    open part. Gives (kind 'member', tokens, founder) for each pattern and, behind a part, (kind 'template', leaf,
-    part, founder, line, first, tokens): ``first`` is how the founder looked, ``line`` the template it is known to be in."""
+    open part. Gives (kind 'member', line, founder) for each pattern and, behind a part, (kind 'template', leaf,
+    part, founder, line, first, tokens): ``first`` is how the founder looked, ``line`` the template it is known to be in.
+    No ``tokens`` means that they are still those of ``first``."""
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaf, first, line = None, None, [], []
 
         def done() -> Iterator[tuple]:
             for k in range(len(line)):
-                yield "template", *now, leaf.line[k], line[k], first[k], leaf.texts[k]
+                yield "template", *now, leaf.line[k], line[k], first[k], None if leaf.texts[k] == first[k] else leaf.texts[k]
 
         for batch in batches:
             out = []
@@ -253,7 +259,7 @@ def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
                     first.append(tokens if fresh else None)
                     line.append(None if fresh else known)
                 if fresh:
-                    out.append(("member", key, part, leaf.line[k], None, None, tokens))
+                    out.append(("member", None, None, leaf.line[k], at, None, None))
             yield frame(out)
         yield from _in_pieces(done(), frame)
 
@@ -268,13 +274,13 @@ def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
 def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     """Rows (leaf, fresh, order, part, founder, line, first, tokens, template): known templates and then the templates
     of parts in order of their founders. Gives (kind 'founder', founder, line) and, behind a leaf, (kind 'template', leaf,
-    line, tokens, part, template)."""
+    line, tokens, part, template). No ``template`` means that it is ``tokens``."""
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaf, final, at = None, None, [], {}
 
         def done() -> Iterator[tuple]:
             for k in range(len(final)):
-                yield "template", now, leaf.part[k], None, leaf.line[k], leaf.texts[k], final[k]
+                yield "template", now, leaf.part[k], None, leaf.line[k], leaf.texts[k], None if final[k] == leaf.texts[k] else final[k]
 
         for batch in batches:
             out = []
@@ -285,8 +291,9 @@ def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
                     now, leaf, final, at = key, _Leaf(similarity), [], {}
                 if not fresh:  # a template of the table
                     at[line] = leaf.put(tokens.split(" "), line, part)
-                    final.append(template)
+                    final.append(tokens if template is None else template)
                     continue
+                tokens = first if tokens is None else tokens
                 if first is None:  # known to be in a template, and perhaps more general now
                     k = at[line]
                 else:
@@ -294,7 +301,7 @@ def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
                     if k == len(final):
                         final.append(tokens)
                         at[founder] = k
-                    out.append(("founder", key, None, founder, leaf.line[k], None, None))
+                    out.append(("founder", None, None, founder, leaf.line[k], None, None))
                 if final[k] != tokens:
                     final[k] = " ".join(merge_tokens(final[k].split(" "), tokens.split(" ")))
             yield frame(out)
@@ -317,35 +324,40 @@ def _extended(known: Mined, patterns: DataFrame, similarity: float, max_children
     """``known`` with the patterns that are new to it."""
     width = python_width(patterns.sparkSession)
     before = known.patterns.count()
-    new = patterns.select("pattern", "first_line").join(known.patterns, "pattern", "left_anti")
+    words = patterns.withColumn("words", text.tokens(F.col("pattern")))
+    new = words.select(_digest("pattern"), "first_line", F.size("words").alias("width"), F.col("words")[0].alias("head")).join(
+        known.patterns, "digest", "left_anti")
+    new = stage(new, "new")
     numbered = dense_ids(new, "first_line", "rank", start=before).drop("n")
-    split = stage(new.join(numbered, "first_line").withColumn("words", text.tokens(F.col("pattern"))).select(
-        "pattern", "first_line", F.floor(F.col("rank") / part_size).alias("part"), F.size("words").alias("width"), F.col("words")[0].alias("head")), "numbered")
-    heads = stage(_heads(split, known.heads, max_children), "heads")
+    heads = stage(_heads(new, known.heads, max_children), "heads")
+    split = stage(_leaves(new.join(numbered, "first_line"), heads).select(
+        "digest", "first_line", F.floor(F.col("rank") / part_size).alias("part"), "leaf"), "numbered")
     none = F.lit(-1).cast("bigint")  # a null would make all numbers of a batch floating-point ones
-    fresh = _leaves(split, heads).select(
-        "leaf", "part", F.lit(True).alias("fresh"), "first_line", F.col("pattern").alias("tokens"), none.alias("line"))
+    fresh = patterns.select("first_line", F.col("pattern").alias("tokens")).join(split.drop("digest"), "first_line").select(
+        "leaf", "part", F.lit(True).alias("fresh"), "first_line", "tokens", none.alias("line"))
     held = known.open.select("leaf", "part", F.lit(False).alias("fresh"), F.col("founder").alias("first_line"), "tokens", "line")
     parts = stage(_mine_parts(fresh.unionByName(held), similarity, width), "parts")
     made = parts.where("kind = 'template'")
     table = known.templates.select(
         "leaf", F.lit(False).alias("fresh"), F.col("line").alias("first_line"), F.col("last_part").alias("part"),
-        none.alias("founder"), "line", F.lit(None).cast("string").alias("first"), "tokens", "template")
+        none.alias("founder"), "line", F.lit(None).cast("string").alias("first"), "tokens", F.nullif("template", "tokens").alias("template"))
     added = made.select(
         "leaf", F.lit(True).alias("fresh"), F.col("founder").alias("first_line"), "part", "founder", F.coalesce("line", none).alias("line"), "first", "tokens",
         F.lit(None).cast("string").alias("template"))
     merged = stage(_merge_parts(table.unionByName(added), similarity, width), "merged")
     founders = merged.where("kind = 'founder'").select("founder", "line").unionByName(known.open.select("founder", "line"))
-    members = parts.where("kind = 'member'").select(F.col("tokens").alias("pattern"), "founder")
+    members = parts.where("kind = 'member'").select(F.col("line").alias("first_line"), "founder")
     counts = members.groupBy("founder").agg(F.count(F.lit(1)).alias("n"))
-    placed = spread_join(members, founders, ["founder"], by="pattern", hot=hot_keys(counts, ["founder"], "n"))
-    patterns_ = stage(known.patterns.unionByName(placed.select("pattern", "line")), "known")
+    placed = spread_join(members, founders, ["founder"], by="first_line", hot=hot_keys(counts, ["founder"], "n"))
+    named = split.select("digest", "first_line").join(placed.select("first_line", "line"), "first_line").select("digest", "line")
+    patterns_ = stage(known.patterns.unionByName(named), "known")
     # A part is open until it has all its patterns.
     current = patterns_.count() // part_size
-    open_ = made.where(F.col("part") == current).drop("line").join(founders, "founder")
+    open_ = made.where(F.col("part") == current).drop("line").withColumn("tokens", F.coalesce("tokens", "first")).join(founders, "founder")
     return Mined(
         patterns_, heads, stage(open_.select("leaf", "part", "founder", "line", "tokens"), "open"),
-        stage(merged.where("kind = 'template'").select("leaf", "line", "tokens", F.col("part").alias("last_part"), "template"), "templates"))
+        merged.where("kind = 'template'").select(
+            "leaf", "line", "tokens", F.col("part").alias("last_part"), F.coalesce("template", "tokens").alias("template")))
 
 
 def extend(known: Mined, lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN,
@@ -356,22 +368,25 @@ def extend(known: Mined, lines: DataFrame, similarity: float = SIMILARITY, max_c
     keyed = lines.withColumn("_pattern", _pattern())
     patterns = _patterns(keyed)
     grown = _extended(known, patterns, similarity, max_children, part_size)
-    return _named(keyed, patterns, grown), grown
+    return _named(keyed, patterns.select(_digest("pattern"), "n"), grown), grown
 
 
-def _named(keyed: DataFrame, patterns: DataFrame, known: Mined) -> DataFrame:
-    held = known.patterns.join(patterns.select("pattern", "n"), "pattern")
-    counts = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    table = spread_join(held, known.event_ids(), ["line"], by="pattern", hot=hot_keys(counts, ["line"], "n")).select(
-        F.col("pattern").alias("_pattern"), "event_id", "template")
-    hot = hot_keys(patterns, ["pattern"], "n").select(F.col("pattern").alias("_pattern"))
-    return spread_join(keyed, table, ["_pattern"], by="line_id", how="left", hot=hot).drop("_pattern")
+def _named(keyed: DataFrame, counts: DataFrame, known: Mined) -> DataFrame:
+    held = known.patterns.join(counts, "digest")
+    crowded = hot_keys(held.groupBy("line").agg(F.count(F.lit(1)).alias("n")), ["line"], "n")
+    numbers = dense_ids(known.templates.select("line"), "line", "event_id", start=1).drop("n")
+    numbered = spread_join(held.select("digest", "line"), numbers, ["line"], by="digest", hot=crowded)
+    table = spread_join(numbered, known.templates.select("line", "template"), ["line"], by="digest", hot=crowded).drop("line")
+    lines = keyed.withColumn("_digest", _digest("_pattern")).drop("_pattern")
+    hot = hot_keys(counts, ["digest"], "n").withColumnRenamed("digest", "_digest")
+    return spread_join(lines, table.withColumnRenamed("digest", "_digest"), ["_digest"], by="line_id", how="left", hot=hot).drop("_digest")
 
 
 def with_stored_templates(known: Mined, lines: DataFrame) -> DataFrame:
     """Add ``event_id`` and ``template`` from the table; null where a line's pattern is new to it."""
     keyed = lines.withColumn("_pattern", _pattern())
-    return _named(keyed, _patterns(keyed), known)
+    counts = stage(keyed.groupBy(_digest("_pattern")).agg(F.count(F.lit(1)).alias("n")), "digests")
+    return _named(keyed, counts, known)
 
 
 def with_mined_templates(lines: DataFrame, similarity: float = SIMILARITY, max_children: int = MAX_CHILDREN,
