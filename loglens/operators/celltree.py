@@ -7,7 +7,8 @@ goes down from cell to cell and enters only those in which the lower of both bou
 asks for, so cells without a chance are left before any product is formed.
 
 Each step is a meeting: the few rows of a cell are held by a task, and the queries stream past them. Cells with
-many queries are repeated over several tasks. A vector is (id, a, idx, w): sparse with its dimensions in
+many queries are repeated over several tasks. Where only the leaves are wanted, the pivots go to the vectors instead,
+so that no vector moves and each is written once (``place``). A vector is (id, a, idx, w): sparse with its dimensions in
 ``idx``, or dense with an empty one; ``a`` is a whole number that the caller needs later.
 """
 
@@ -28,6 +29,8 @@ from loglens.session import python_width, stage
 LEAF, FAN, VISITORS, DEEPEST = 4096, 32, 20_000, 24
 #: Queries that meet a cell together.
 TOGETHER = 1024
+#: Bytes of pivots that ``place`` sends to every task; cells that would need more are split by meetings.
+PIVOTS = 32 << 20
 _SLACK = 1e-6
 _VECTOR = "id bigint, a bigint, low double, idx array<int>, w array<double>"
 _BOUND = "cell string, r double, hi array<double>, lo array<double>"
@@ -121,37 +124,24 @@ class Tree:
     width: int | np.ndarray
 
 
+def _extent(items: DataFrame, scale: np.ndarray | None) -> tuple[int | np.ndarray, int]:
+    """What ``matrix`` makes vectors of the items with, and how many there are."""
+    width, many = items.agg(
+        F.coalesce(F.max(F.greatest(F.array_max("idx") + 1, F.size("w"))), F.lit(1)), F.count(F.lit(1))).first()
+    return (int(width) if scale is None else scale), many
+
+
 def build(items: DataFrame, leaf: int | None = None, scale: np.ndarray | None = None) -> Tree:
     """A tree over vectors (id, a, idx, w); a written table. With a ``scale``, ``w`` holds counts (see ``matrix``)."""
     leaf = leaf or LEAF
-    width, many = items.agg(
-        F.coalesce(F.max(F.greatest(F.array_max("idx") + 1, F.size("w"))), F.lit(1)), F.count(F.lit(1))).first()
-    width = int(width) if scale is None else scale
+    width, many = _extent(items, scale)
     current = items.select(F.lit("").alias("cell"), "id", "a", F.lit(0.0).alias("low"), "idx", "w")
     raw: list[DataFrame] = []
     if many > leaf:
         counts = stage(current.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell_counts")
-        big = counts.where(F.col("n") > leaf).select("cell")
-        while not big.isEmpty():
-            # A row for each cell is broadcast, so vectors move only to meet the pivots.
-            crowded = current.join(F.broadcast(big), "cell", "left_semi")
-            small = current.join(F.broadcast(big), "cell", "left_anti")
-            place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(len(raw))), "id"))
-            pivots = stage(crowded.withColumn("place", place).where(F.col("place") <= FAN).drop("place"), "pivots")
-            dealt = stage(_deal(pivots, crowded, width), "dealt")
-            moved = dealt.where("r IS NULL").select("cell", "id", "a", "low", "idx", "w")
-            raw.append(stage(_bounds(dealt.where("r IS NOT NULL"), pivots), "bounds"))
-            current = small.unionByName(moved)  # of written tables
-            parents = counts.select(F.col("cell").alias("parent"), F.col("n").alias("before"))
-            counts = stage(current.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell_counts")
-            # A cell whose vectors all went to one pivot can't be split by distance.
-            grown = counts.withColumn("parent", F.regexp_replace("cell", "/[^/]*$", "")).join(parents, "parent")
-            big = stage(grown.where((F.col("n") > leaf) & (F.col("n") < F.col("before"))).select("cell"), "big")
-            if len(raw) == DEEPEST:
-                break
+        current, raw = _split(current, counts, counts.where(F.col("n") > leaf).select("cell"), leaf, width, 0)
     pieces = stage(current.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("pieces")), "pieces")
-    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("string")
-    leaves = stage(current.join(F.broadcast(pieces), "cell").select(F.concat("cell", F.lit("#"), piece).alias("cell"), "id", "a", "idx", "w"), "leaves")
+    leaves = stage(_in_pieces(current, pieces), "leaves")
     levels = []
     for k, rows in enumerate(raw):
         split = raw[k + 1].select(F.col("cell").alias("child")).distinct() if k + 1 < len(raw) else rows.select("child").limit(0)
@@ -160,6 +150,105 @@ def build(items: DataFrame, leaf: int | None = None, scale: np.ndarray | None =
     return Tree(leaves, levels, pieces, width)
 
 
+def _in_pieces(current: DataFrame, pieces: DataFrame) -> DataFrame:
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("string")
+    return current.join(F.broadcast(pieces), "cell").select(F.concat("cell", F.lit("#"), piece).alias("cell"), "id", "a", "idx", "w")
+
+
+def _chosen(members: DataFrame, depth: int) -> DataFrame:
+    """The pivots of every cell among its members (cell, id, ..)."""
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(depth)), "id"))
+    return members.withColumn("place", place).where(F.col("place") <= FAN).drop("place")
+
+
+def _split(current: DataFrame, counts: DataFrame, big: DataFrame, leaf: int, width: int | np.ndarray, depth: int
+           ) -> tuple[DataFrame, list[DataFrame]]:
+    """``current`` with the ``big`` cells split until all are small, and the bounds of each level. Every level sends the
+    vectors of its cells to meet the pivots. ``counts`` has the size of each cell, ``depth`` is the level of the big ones."""
+    raw: list[DataFrame] = []
+    while depth < DEEPEST and not big.isEmpty():
+        # A row for each cell is broadcast, so vectors move only to meet the pivots.
+        crowded = current.join(F.broadcast(big), "cell", "left_semi")
+        small = current.join(F.broadcast(big), "cell", "left_anti")
+        pivots = stage(_chosen(crowded, depth), "pivots")
+        dealt = stage(_deal(pivots, crowded, width), "dealt")
+        moved = dealt.where("r IS NULL").select("cell", "id", "a", "low", "idx", "w")
+        raw.append(stage(_bounds(dealt.where("r IS NOT NULL"), pivots), "bounds"))
+        current, depth = small.unionByName(moved), depth + 1  # of written tables
+        parents = counts.select(F.col("cell").alias("parent"), F.col("n").alias("before"))
+        counts = stage(current.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell_counts")
+        # A cell whose vectors all went to one pivot can't be split by distance.
+        grown = counts.withColumn("parent", F.regexp_replace("cell", "/[^/]*$", "")).join(parents, "parent")
+        big = stage(grown.where((F.col("n") > leaf) & (F.col("n") < F.col("before"))).select("cell"), "big")
+    return current, raw
+
+
+def place(items: DataFrame, leaf: int | None = None, scale: np.ndarray | None = None) -> tuple[DataFrame, int | np.ndarray]:
+    """The leaves of ``build`` (cell, id, a, idx, w) and its width, without the bounds of its cells.
+
+    Vectors walk down the tree in the tasks that read them: a level writes only the ids and cells of what it has split,
+    and ``items``, which should be a written table, is written once more, as leaves. Deep levels of large data, whose
+    pivots together would take more than ``PIVOTS`` bytes, are split as ``build`` does it."""
+    leaf = leaf or LEAF
+    width, many = _extent(items, scale)
+    walked = items.select(F.lit("").alias("cell"), "id", "a", F.lit(0.0).alias("low"), "idx", "w")
+    held: list[pa.RecordBatch] = []
+    narrow, before, size = walked.select("cell", "id"), {"": many} if many > leaf else {}, 0
+    while before and len(held) < DEEPEST:
+        ids = stage(_chosen(narrow.where(F.col("cell").isin(*before)), len(held)), "pivot_ids")
+        pivots = stage(items.join(F.broadcast(ids), "id").select("cell", "id", "idx", "w"), "pivots")
+        size += pivots.agg(F.sum(12 * F.size("w") + 64)).first()[0]
+        if size > PIVOTS:
+            break
+        held.append(pa.Table.from_batches(pivots.toArrow().to_batches()).sort_by([("cell", "ascending"), ("id", "ascending")]).combine_chunks().to_batches()[0])
+        walked = _walk(items, held, width)
+        fresh = F.size(F.split("cell", "/")) == len(held) + 1
+        narrow = stage(walked.where(fresh).select("cell", "id"), "dealt")
+        grown = narrow.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).collect()  # at most rows / leaf
+        # A cell whose vectors all went to one pivot can't be split by distance.
+        before = {r["cell"]: r["n"] for r in grown if r["n"] < before[r["cell"].rpartition("/")[0]]}
+    whole = stage(walked, "leaves")
+    if before and len(held) < DEEPEST:
+        counts = stage(whole.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell_counts")
+        whole, _ = _split(whole, counts, counts.where(F.col("cell").isin(*before)).select("cell"), leaf, width, len(held))
+    pieces = stage(whole.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("pieces")), "pieces")
+    return _in_pieces(whole, pieces), width
+
+
+def _walk(items: DataFrame, held: list[pa.RecordBatch], width: int | np.ndarray) -> DataFrame:
+    """(cell, id, a, low, idx, w): every vector with the cell that it reaches by the pivots ``held``, a batch for each level."""
+    schema = f"cell string, {_VECTOR}"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots: dict[str, pa.RecordBatch] = {}
+        for level in held:
+            cells = np.array(level["cell"].to_pylist(), dtype=object)
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            pivots |= {cells[a]: level.slice(a, b - a) for a, b in zip(cuts, cuts[1:])}
+        for whole in batches:
+            for c in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(c, min(TOGETHER, whole.num_rows - c))
+                x, ids, cell = matrix(batch, width), batch["id"].to_numpy(), np.full(batch.num_rows, "", dtype=object)
+                todo = [("", np.arange(batch.num_rows))]
+                while todo:
+                    name, at = todo.pop()
+                    cell[at] = name
+                    if name in pivots:
+                        home, _ = _home(x[at], ids[at], matrix(pivots[name], width), pivots[name]["id"].to_numpy())
+                        todo += [(f"{name}/{k}", at[home == k]) for k in np.unique(home).tolist()]
+                yield record(schema, cell.tolist(), *(batch[k] for k in ("id", "a", "low", "idx", "w")))
+
+    return items.select("id", "a", F.lit(0.0).alias("low"), "idx", "w").mapInArrow(walk, schema)
+
+
+def _home(x: np.ndarray, ids: np.ndarray, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of the pivots ``at`` for each vector, and its squared distance. A pivot is in its own cell."""
+    square = (x * x).sum(axis=1)[:, None] + (at * at).sum(axis=1)[None, :] - 2 * (x @ at.T)
+    square[names[None, :] == ids[:, None]] = -1.0
+    home = square.argmin(axis=1)
+    return home, square[np.arange(len(home)), home]
+
+
 _DEALT = f"cell string, {_VECTOR}, r double, hi array<double>, lo array<double>"
 
 
@@ -171,11 +260,8 @@ def _deal(pivots: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
         def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = matrix(batch, width)
-            square = (x * x).sum(axis=1)[:, None] + (at * at).sum(axis=1)[None, :] - 2 * (x @ at.T)
-            mine = names[None, :] == batch["id"].to_numpy()[:, None]
-            square[mine] = -1.0  # a pivot is in its own cell
-            home = square.argmin(axis=1)
-            far = np.sqrt(np.maximum(square[np.arange(len(home)), home], 0.0))
+            home, square = _home(x, batch["id"].to_numpy(), at, names)
+            far = np.sqrt(np.maximum(square, 0.0))
             for k in np.unique(home).tolist():
                 own = home == k
                 r, hi, lo = far[own].max(), x[own].max(axis=0), x[own].min(axis=0)

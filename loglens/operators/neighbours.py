@@ -4,7 +4,7 @@ Unit vectors are kept in a tree of cells (``celltree``) and its leaves are dealt
 size. Each pair of blocks is a task: one block is held, the other one streams past it, and bounds on the largest
 weights and the extent of a leaf leave out the vectors that have no partner there; what is left meets in one matrix
 product per batch. So a vector is sent once for each block, not once for each leaf, and the number of blocks only grows
-where a block would not fit a task. Vectors are sent in compressed packs, which take less than half the room of rows.
+where a block would not fit a task. Vectors are sent in compressed packs, which take a quarter of the room of rows.
 What leaves a task is a count, a label or a link for each vector, never the pairs.
 """
 
@@ -32,15 +32,17 @@ BLOCKS, HELD = 8, 128 << 20
 class Groups:
     """Where vectors meet. ``members`` (cell, id, a, idx, w) has each vector in its leaf, ``a`` its copies."""
 
-    tree: celltree.Tree
+    items: DataFrame
     members: DataFrame
+    width: int | np.ndarray
     low: float
     #: (cell, block) of all leaves, and how many blocks there are; groups of fewer points keep them.
     placed: tuple[DataFrame, int]
 
-    @property
-    def width(self) -> int | np.ndarray:
-        return self.tree.width
+    @cached_property
+    def tree(self) -> celltree.Tree:
+        """The tree of the cells with its bounds, which only ``visits`` needs."""
+        return celltree.build(self.items, scale=self.width if isinstance(self.width, np.ndarray) else None)
 
     @property
     def points(self) -> DataFrame:
@@ -63,14 +65,14 @@ class Groups:
 
     def pairs_computed(self) -> int:
         """Products that the visits stand for."""
-        sizes = self.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        sizes = self.tree.leaves.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         return self.visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).join(sizes, "cell").agg(
             F.coalesce(F.sum(F.col("n") * F.col("v")), F.lit(0))).first()[0]
 
 
 def _groups(items: DataFrame, eps: float, scale: np.ndarray | None = None) -> Groups:
-    tree = celltree.build(items, scale=scale)
-    return Groups(tree, tree.leaves, round(1.0 - eps, _DIGITS), _blocks(tree.leaves))
+    leaves, width = celltree.place(items, scale=scale)
+    return Groups(items, leaves, width, round(1.0 - eps, _DIGITS), _blocks(leaves))
 
 
 def text_groups(weights: DataFrame, points: DataFrame, eps: float) -> Groups:
@@ -167,15 +169,50 @@ def _packed(members: DataFrame) -> DataFrame:
     return members.sortWithinPartitions("block", "cell", "id").mapInArrow(pack, "block int, pack binary")
 
 
+_PACK = pa.schema([("cell", pa.list_(pa.string())), ("whole", pa.bool_()), *((c, pa.binary()) for c in ("n", "id", "a", "length", "idx", "w"))])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: high bytes are nearly all equal."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(planes: pa.Scalar, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _pack(batch: pa.RecordBatch) -> bytes:
+    """The vectors (cell, id, a, idx, w) as steps from dimension to dimension and numbers, both in planes; ``n`` rows follow each
+    other in a cell, and numbers are whole where all are."""
+    cells = batch["cell"].to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    idx, w = batch["idx"], batch["w"]
+    at, numbers = idx.flatten().to_numpy(), w.flatten().to_numpy(zero_copy_only=False)
+    steps, first = np.diff(at, prepend=0).astype(np.int32), idx.offsets.to_numpy()[:-1][np.diff(idx.offsets.to_numpy()) > 0] - idx.offsets[0].as_py()
+    steps[first] = at[first]
+    whole = bool((numbers == np.rint(numbers)).all() and (np.abs(numbers) < 2**31).all() and not np.signbit(numbers[numbers == 0]).any())
+    row = [cells[cuts].tolist(), whole, *map(_planes, (
+        np.diff(np.r_[cuts, len(cells)]).astype(np.int64), batch["id"].to_numpy(), batch["a"].to_numpy(),
+        np.diff(w.offsets.to_numpy()).astype(np.int32), steps, numbers.astype(np.int32) if whole else numbers))]
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(batch)
+    with pa.ipc.new_stream(out, _PACK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PACK)], schema=_PACK))
     return out.getvalue().to_pybytes()
 
 
 def _unpack(pack: pa.BinaryScalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(pack.as_buffer()).read_next_batch()
+    row = pa.ipc.open_stream(pack.as_buffer()).read_next_batch()
+    n, ids, a = (_values(row[c][0], "<i8") for c in ("n", "id", "a"))
+    length, steps, w = _values(row["length"][0], "<i4"), _values(row["idx"][0], "<i4"), _values(row["w"][0], "<i4" if row["whole"][0].as_py() else "<f8")
+    ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+    idx_ends = ends if len(steps) else np.zeros_like(ends)
+    total = np.cumsum(steps, dtype=np.int64)
+    before = np.r_[0, total][idx_ends[:-1]]  # a vector's first step is its first dimension
+    idx = total - np.repeat(before, np.diff(idx_ends))
+    return celltree.record(
+        "cell string, id bigint, a bigint, idx array<int>, w array<double>", np.repeat(np.array(row["cell"][0].as_py(), dtype=object), n).tolist(), ids, a,
+        pa.ListArray.from_arrays(pa.array(idx_ends, pa.int32()), pa.array(idx.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(w.astype(float))))
 
 
 def _meet(groups: Groups, held: DataFrame, visitors: DataFrame | None, schema: str, start: Callable) -> DataFrame:

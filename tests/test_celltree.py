@@ -64,6 +64,20 @@ def test_equal_vectors_are_cut_into_pieces(spark, monkeypatch):
     assert len({r.cell for r in celltree.visits(tree, queries).collect()}) == len(sizes)
 
 
+@pytest.mark.parametrize("pivots", [32 << 20, 30_000])
+def test_placing_gives_the_leaves_of_the_tree(spark, monkeypatch, pivots):
+    """Also where the pivots of deep levels are too many to be sent; else no vector is sent to meet them."""
+    monkeypatch.setattr(celltree, "LEAF", 16)
+    monkeypatch.setattr(celltree, "PIVOTS", pivots)
+    items = stage(spark.createDataFrame(rows_of(topics(900, 30, 80, np.random.default_rng(7)), True), SCHEMA), "items")
+    want = {r.id: r.cell for r in celltree.build(items).leaves.collect()}
+    met, meet = [], celltree.meet
+    monkeypatch.setattr(celltree, "meet", lambda *a, **b: met.append(1) or meet(*a, **b))
+    leaves, width = celltree.place(items)
+    assert {r.id: r.cell for r in leaves.collect()} == want and width == 80
+    assert bool(met) == (pivots < 32 << 20) and max(c.count("/") for c in want.values()) > 1
+
+
 def test_pairs_grow_with_near_pairs(spark, monkeypatch):
     """Texts of common words: four times the texts on four times the topics take little over four times the products."""
     monkeypatch.setattr(celltree, "LEAF", 40)

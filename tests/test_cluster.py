@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loglens import session
@@ -171,3 +172,51 @@ def test_vectors_are_sent_in_packs(spark):
     raw = groups.members.selectExpr("sum(12 * size(w))").first()[0]
     for found in (neighbours.neighbour_counts(groups, 0.4), neighbours.component_edges(groups, 0.4)):
         assert 0 < _sent(found) < 0.22 * raw
+
+
+def test_little_is_written_for_each_level_and_block(spark, monkeypatch):
+    """The tree writes a vector once, whatever its levels, and a vector's trip to a block takes a few bits for each number."""
+    monkeypatch.setattr(celltree, "LEAF", 40)
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words[(i % 50) * 5:(i % 50) * 5 + 50], k=90)) for i in range(2500)]
+    model = vectors.tfidf(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text")
+    written = []
+
+    def staged(df, label):
+        made = session.stage(df, label)
+        if "w" in made.columns:
+            written.append(made.count())
+        return made
+
+    monkeypatch.setattr(celltree, "stage", staged)
+    groups = neighbours.model_groups(model, 0.4)
+    assert sum(written) < 1.8 * 2500 and groups.members.select("cell").distinct().count() > 60
+    monkeypatch.undo()
+    groups = neighbours.model_groups(model, 0.4)
+    raw = groups.members.selectExpr("sum(12 * size(w))").first()[0]
+    assert 0 < _sent(neighbours.component_edges(groups, 0.4)) < 0.1 * raw
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("sparse", [True, False])
+def test_packs_give_back_their_vectors(whole, sparse):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(50):
+        idx = np.sort(rng.choice(700, rng.integers(0, 9), replace=False)).tolist() if sparse else []
+        w = rng.integers(-3, 70_000, len(idx) if sparse else 6).astype(float) + (0.0 if whole else 0.25)
+        rows.append((f"/{i // 7}#0", int(rng.integers(-2**60, 2**60)), i, idx, w.tolist()))
+    batch = celltree.record("cell string, id bigint, a bigint, idx array<int>, w array<double>", *zip(*rows))
+    for part in (batch, batch.slice(13, 20), batch.slice(49, 1)):
+        assert neighbours._unpack(pa.scalar(neighbours._pack(part))).to_pylist() == part.to_pylist()
+
+
+def test_words_are_sent_in_packs(spark):
+    """New words are most of what is sent to count; as rows they took 12.7 bytes each."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60_000)]
+    rows = spark.createDataFrame([(" ".join(words[i:i + 400]),) for i in range(0, 60_000, 200)], "text string")
+    counts = vectors.word_counts(rows, "text")
+    assert 0 < _sent(counts) < 10 * 60_000
+    assert counts.selectExpr("sum(n)", "sum(df)", "count(word)", "count(distinct word)").first() == (119_800, 119_800, 60_000, 60_000)
