@@ -502,7 +502,7 @@ def _(x: Inputs):
     """Prose in parts of 4,096 patterns: what mining must keep whatever it merges, and the same result in two steps."""
     lines = _prose(x)
     cut = F.lit(lines.agg(F.max("line_id")).first()[0] // 2)
-    squeezed = text.mask_digits(F.regexp_replace(text.strip(F.col("content")), text.SPACE + "+", " "))
+    squeezed = text.mask_digits(text.squeeze(text.strip(F.col("content"))))
     fits = F.forall(F.zip_with(F.split(squeezed, " "), F.split("template", " "), lambda p, t: (t == "<*>") | p.eqNullSafe(t)), lambda same: same)
     whole = stage(_told(templates.with_mined_templates(lines, part_size=4096), fits.alias("fits")), "mined")
     half = templates.extend(templates.Mined.nothing(x.spark), lines.where(F.col("line_id") <= cut), part_size=4096)[1]

@@ -19,6 +19,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
+#: A blank that isn't a single space.
+_LOOSE = SPACE.replace(r"\x20", r"\x1f") + "|  "
+
+
+def squeeze(text: Column) -> Column:
+    """Every run of white space as one space. Few texts have to be rewritten, and asking is cheaper."""
+    return F.when(text.rlike(_LOOSE), F.regexp_replace(text, SPACE + "+", " ")).otherwise(text)
+
+
 def truncate(text: Column, length: int) -> Column:
     return F.substring(text, 1, length)
 
@@ -40,9 +49,9 @@ def words(text: Column) -> Column:
 
 
 def mask_digits(text: Column) -> Column:
-    """Replace every blank-separated token that holds a digit by a wildcard. Matching starts
-    at token starts only, so a long token without digits is scanned once."""
-    return F.regexp_replace(text, r"(?<!\S)\S*?[0-9]\S*", "<*>")
+    """Replace every blank-separated token that holds a digit by a wildcard. Matching starts at token
+    starts only, so a long token without digits is scanned once, and a text without digits isn't rewritten."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<!\S)\S*?[0-9]\S*", "<*>")).otherwise(text)
 
 
 def tokens(text: Column) -> Column:

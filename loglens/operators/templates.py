@@ -15,18 +15,20 @@ new lines together would give, without reading the old lines.
 
 from __future__ import annotations
 
-import math
 from array import array
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglens.functions import text
+from loglens.operators.celltree import record
 from loglens.operators.joins import hot_keys, spread_join
 from loglens.operators.ranking import dense_ids
 from loglens.session import python_width, stage
@@ -56,7 +58,7 @@ def _digest(pattern: str) -> Column:
 
 def _pattern() -> Column:
     """Null contents are empty ones."""
-    return text.mask_digits(F.regexp_replace(text.strip(F.coalesce("content", F.lit(""))), text.SPACE + "+", " "))
+    return text.mask_digits(text.squeeze(text.strip(F.coalesce("content", F.lit("")))))
 
 
 @dataclass(frozen=True)
@@ -120,119 +122,267 @@ def merge_tokens(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else WILDCARD for x, y in zip(a, b)]
 
 
+#: Rows of one leaf that are searched together, pairs and tokens that are compared at once.
+_PIECE, _AT_ONCE = 1024, 1 << 21
+
+
+def _least(similarity: float, width: np.ndarray | int) -> np.ndarray:
+    """Equal tokens that a template of so many must have."""
+    return np.ceil(similarity * np.asarray(width) - 1e-12).astype(np.int64)
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The tokens of all texts as numbers, where each text ends in them, and the tokens that the numbers stand for."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))]
+    return coded.indices.to_numpy().astype(np.int64), ends, coded.dictionary
+
+
+def _slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of about ``_AT_ONCE`` in all, or of one element."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _AT_ONCE, "right")))
+        yield slice(start, end)
+        start = end
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _alike(texts: list[str], piece: np.ndarray, part: np.ndarray | None, similarity: float) -> dict[int, list[int]]:
+    """For each text the earlier ones of its ``piece`` with enough equal tokens, less those of its ``part``.
+
+    All pieces are searched at once. Most tokens of prose are in one text only, so texts with too few shared ones are left
+    out first. Two texts with enough equal tokens share one of those that each has besides its most common ones."""
+    code, ends, words = _tokens(texts)
+    n, width = len(texts), np.diff(ends)
+    least, row = _least(similarity, width), np.repeat(np.arange(len(texts)), width)
+    wild = words.index(WILDCARD).as_py()
+    place = np.arange(len(code)) - np.repeat(ends[:-1], width)
+    key = (np.repeat(piece, width) * max(width.max(initial=1), 1) + place) * max(len(words), 1) + code
+    kept = np.flatnonzero((code != wild) & (least > 0)[row])
+    kept = kept[np.argsort(key[kept], kind="stable")]
+    while True:
+        first = np.flatnonzero(np.diff(key[kept], prepend=-1))
+        sizes = np.diff(np.r_[first, len(kept)])
+        shared = np.repeat(sizes, sizes)
+        many = np.bincount(row[kept[shared > 1]], minlength=n)
+        left = (shared > 1) & (many >= least)[row[kept]]
+        if left.all():
+            break
+        kept = kept[left]
+    if not len(kept):
+        return {}
+    by_row = np.lexsort((key[kept], shared, row[kept]))
+    rows = row[kept][by_row]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rare = kept[np.sort(by_row[rank <= (many - least)[rows]])]
+    starts = np.flatnonzero(np.diff(key[rare], prepend=-1))
+    sizes = np.diff(np.r_[starts, len(rare)])
+    start = np.repeat(starts, sizes)
+    before, rows = np.arange(len(rare)) - start, row[rare]
+    pairs = []
+    for at in _slices(before):
+        one, other = np.repeat(rows[at], before[at]), rows[_ranges(start[at], before[at])]
+        if part is not None:
+            apart = part[one] != part[other]
+            one, other = one[apart], other[apart]
+        both = np.unique(one * n + other)
+        one, other = both // n, both % n
+        for some in _slices(width[one]):
+            w = width[one[some]]
+            if not len(w):
+                continue
+            x, y = code[_ranges(ends[one[some]], w)], code[_ranges(ends[other[some]], w)]
+            same = np.add.reduceat((x == y) & (x != wild), np.cumsum(w) - w, dtype=np.int64)
+            pairs.append(both[some][same >= least[one[some]]])
+    found: dict[int, list[int]] = {}
+    if pairs:
+        for pair in np.unique(np.concatenate(pairs)).tolist():
+            found.setdefault(pair // n, []).append(pair % n)
+    return found
+
+
 class _Leaf:
     """Templates of one token count, found by the rare tokens that they have at a place.
 
     Prose has millions of templates in a leaf, hardly any of them alike, so nothing here is an object for each template
-    or token but its text: tokens are compared by a number of 64 bits and then by text, and the templates with a token
-    at a place are a chain through ``after``, which starts in one of ``first``."""
+    or token but its text. Templates are put without being indexed; a search first indexes those that aren't yet, as sorted
+    arrays of tokens with their templates, of which there are few, as arrays of about the same size are merged."""
 
     def __init__(self, similarity: float):
         self.similarity = similarity
-        self.width = 0
-        self.salt: list[int] = []
         self.texts: list[str] = []
         self.line = array("q")
         self.part = array("q")
-        #: At template * width + place: the token, 0 for a wildcard, and the next of the chain.
-        self.token, self.after = array("q"), array("i")
-        self.first, self.length = array("i", [-1]) * 64, array("i", [0]) * 64
+        #: Tokens of the indexed templates as numbers of 64 bits, 0 for a wildcard; room for more behind them.
+        self.number, self.known = np.empty((0, 0), dtype=np.int64), 0
+        #: Sorted tokens, and the template of each.
+        self.index: list[tuple[np.ndarray, np.ndarray]] = []
 
     @property
     def templates(self) -> list[list[str]]:
         return [t.split(" ") for t in self.texts]
 
     @staticmethod
-    def _numbers(tokens: list[str]) -> list[int]:
-        return [0 if t == WILDCARD else hash(t) or 1 for t in tokens]
+    def _numbers(texts: list[str]) -> np.ndarray:
+        """A row for each text, all of which have as many tokens. Equal tokens have equal numbers."""
+        code, _, words = _tokens(texts)
+        words = words.to_numpy(zero_copy_only=False)
+        number = pd.util.hash_array(words, categorize=False).view(np.int64)
+        number[number == 0] = 1
+        number[words == WILDCARD] = 0
+        return number[code].reshape(len(texts), -1)
+
+    @staticmethod
+    def _keys(number: np.ndarray) -> np.ndarray:
+        """The numbers of tokens, told apart by place."""
+        return number ^ (np.arange(number.shape[1]) * 0x1E3779B97F4A7C15)
 
-    def put(self, tokens: list[str], line: int, part: int = -1) -> int:
-        k, self.width = len(self.texts), len(tokens)
-        self.texts.append(" ".join(tokens))
+    def put(self, text: str, line: int, part: int = -1) -> int:
+        self.texts.append(text if isinstance(text, str) else " ".join(text))
         self.line.append(line)
         self.part.append(part)
-        self.token.extend(self._numbers(tokens))
-        self.after.extend([-1] * self.width)
-        if len(self.salt) < self.width:
-            self.salt = [place * 0x9E3779B97F4A7C15 & (1 << 62) - 1 for place in range(self.width)]
-        if len(self.token) > len(self.first):  # chains are short as long as there are more of them than tokens
-            size = 2 * len(self.first)
-            while size < 2 * len(self.token):
-                size *= 2
-            self.first, self.length = array("i", [-1]) * size, array("i", [0]) * size
-            here = range(k + 1)
-        else:
-            here = range(k, k + 1)
-        first, length, after, mask = self.first, self.length, self.after, len(self.first) - 1
-        for one in here:
-            at = one * self.width
-            for token, salt in zip(self.token[at:at + self.width], self.salt):
-                if token:
-                    slot = (token ^ salt) & mask
-                    after[at] = first[slot]
-                    first[slot] = at
-                    length[slot] += 1
-                at += 1
-        return k
+        return len(self.texts) - 1
+
+    def _indexed(self) -> None:
+        if self.known == len(self.texts):
+            return
+        number = self._numbers(self.texts[self.known:])
+        if len(self.texts) > len(self.number):
+            room = np.empty((max(len(self.texts), len(self.number) * 3 // 2), number.shape[1]), dtype=np.int64)
+            room[:self.known] = self.number[:self.known].reshape(self.known, number.shape[1])
+            self.number = room
+        self.number[self.known:len(self.texts)] = number
+        some = number.ravel() != 0
+        key = self._keys(number).ravel()[some]
+        at = np.repeat(np.arange(self.known, len(self.texts), dtype=np.int32), number.shape[1])[some]
+        while True:
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            if not self.index or len(self.index[-1][0]) > 2 * len(key):
+                break
+            more = self.index.pop()
+            key, at = np.r_[more[0], key], np.r_[more[1], at]
+        self.index.append((key, at))
+        self.known = len(self.texts)
+
+    def near(self, texts: list[str]) -> dict[int, list[int]]:
+        """For each text, by its place, the templates that may have enough equal tokens."""
+        self._indexed()
+        if not self.known or not texts:
+            return {}
+        number = self._numbers(texts)
+        least, key = int(_least(self.similarity, number.shape[1])), self._keys(number)
+        held = (number != 0).sum(axis=1)
+        bounds = [(np.searchsorted(k, key, "left"), np.searchsorted(k, key, "right")) for k, _ in self.index]
+        size = sum(right - left for left, right in bounds)
+        # A template with enough equal tokens has one of these; the most common ones are only compared.
+        order = np.argsort(np.where(number != 0, size, np.iinfo(np.int64).max), axis=1, kind="stable")
+        row, rank = np.nonzero(np.arange(number.shape[1])[None, :] < (held - least + 1)[:, None])
+        place = order[row, rank]
+        row, place = row[size[row, place] > 0], place[size[row, place] > 0]
+        found: dict[int, list[int]] = {}
+        for at in _slices(size[row, place]):
+            here, where = row[at], place[at]
+            met = []
+            for (left, right), (_, template) in zip(bounds, self.index):
+                low, many = left[here, where], right[here, where] - left[here, where]
+                met.append(np.repeat(here, many) * self.known + template[_ranges(low, many)])
+            both = np.unique(np.concatenate(met))
+            for some in _slices(np.full(len(both), number.shape[1])):
+                one, other = both[some] // self.known, both[some] % self.known
+                x = number[one]
+                enough = ((x == self.number[other]) & (x != 0)).sum(axis=1) >= least
+                for r, k in zip(one[enough].tolist(), other[enough].tolist()):
+                    found.setdefault(r, []).append(k)
+        return found
+
+    def _exact(self, tokens: list[str], among: Iterable[int]) -> dict[int, int]:
+        """Equal tokens of those templates that have enough of them."""
+        least = int(_least(self.similarity, len(tokens)))
+        same = {k: sum(a == b != WILDCARD for a, b in zip(tokens, self.texts[k].split(" "))) for k in (
+            among if least > 0 else range(len(self.texts)))}
+        return {k: n for k, n in same.items() if n >= least}
 
     def _equal(self, tokens: list[str]) -> dict[int, int]:
         """Equal tokens of every template that has enough of them."""
-        least, width = math.ceil(self.similarity * len(tokens) - 1e-12), len(tokens)
-        if least <= 0:
-            return {k: sum(a == b != WILDCARD for a, b in zip(tokens, t.split(" "))) for k, t in enumerate(self.texts)}
-        numbers, known, after = self._numbers(tokens), self.token, self.after
-        length, mask = self.length, len(self.first) - 1
-        slots = [(token ^ salt) & mask for token, salt in zip(numbers, self.salt)]
-        held = sorted([(length[slot], place, slot) for place, slot in enumerate(slots) if numbers[place]])
-        # A template with enough equal tokens has one of these; the most common ones are only asked.
-        rare = len(held) - least + 1
-        if rare <= 0:
-            return {}
-        met = []
-        for _, place, slot in held[:rare]:
-            at, token = self.first[slot], numbers[place]
-            while at >= 0:
-                if known[at] == token and at % width == place:  # others share the chain or became wildcards
-                    met.append(at // width)
-                at = after[at]
-        same: dict[int, int] = Counter(met)
-        for asked, (_, place, _) in enumerate(held[rare:], start=1):
-            token, enough = numbers[place], asked + 1  # what a template must have, as the places left may all be equal
-            same = {k: more for k, n in same.items() if (more := n + (known[k * width + place] == token)) >= enough}
-        enough = [k for k, n in same.items() if n >= least]
-        exact = {k: sum(a == b != WILDCARD for a, b in zip(tokens, self.texts[k].split(" "))) for k in enough}
-        return {k: n for k, n in exact.items() if n >= least}
+        return self._exact(tokens, self.near([" ".join(tokens)]).get(0, ()))
 
     def add(self, tokens: list[str], line: int, part: int | None = None) -> int:
+        """The template that the tokens join, see ``_join``."""
+        return self._join(tokens, self._equal(tokens), line, part)
+
+    def _join(self, tokens: list[str], same: dict[int, int], line: int, part: int | None) -> int:
         """The template that the tokens join: the one with most equal tokens, then most wildcards, then the
         oldest, but none of the same ``part``; a new one if too few are equal."""
-        same = self._equal(tokens)
         if part is not None:
             same = {k: n for k, n in same.items() if self.part[k] != part}
         most = max(same.values(), default=0)
         best = max((k for k in same if same[k] == most), key=lambda k: (self._wildcards(k), -k), default=None)
         if best is None:
-            return self.put(tokens, line, -1 if part is None else part)
+            return self.put(" ".join(tokens), line, -1 if part is None else part)
         merged = merge_tokens(self.texts[best].split(" "), tokens)
         self.texts[best] = " ".join(merged)
-        for place, token in enumerate(merged):
-            if token == WILDCARD:
-                self.token[best * self.width + place] = 0
+        if best < self.known:
+            self.number[best, [t == WILDCARD for t in merged]] = 0
         if part is not None:
             self.part[best] = part
         return best
 
     def _wildcards(self, k: int) -> int:
-        return self.token[k * self.width:(k + 1) * self.width].count(0)
+        return self.texts[k].split(" ").count(WILDCARD)
 
 
 #: Rows that a task gives at once.
 _ROWS = 10_000
 
 
-def _in_pieces(rows: Iterator[tuple], frame: Callable) -> Iterator[pd.DataFrame]:
+def _in_pieces(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
     while piece := list(islice(rows, _ROWS)):
-        yield frame(piece)
+        yield record(schema, *zip(*piece))
+
+
+class _Search:
+    """The rows of a batch, sorted by leaf, on their way into templates. ``text`` is what a row is compared by, ``key`` its leaf;
+    a row of the same ``part`` isn't compared, if there are parts."""
+
+    def __init__(self, text: list[str], key: list, part: list[int] | None, similarity: float):
+        self.text, self.part, self.similarity = text, part, similarity
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        #: (start, end) of what is searched together, at most ``_PIECE`` rows of one leaf.
+        self.pieces = [(c, min(c + _PIECE, end)) for start, end in zip(cuts, cuts[1:]) for c in range(start, end, _PIECE)]
+        piece = np.repeat(np.arange(len(self.pieces)), [b - a for a, b in self.pieces])
+        self.alike = _alike(text, piece, None if part is None else np.array(part, dtype=np.int64), similarity)
+
+    def open(self, leaf: _Leaf, a: int, b: int) -> None:
+        """The rows of a piece go into ``leaf``, which has the earlier ones of theirs."""
+        self.leaf, self.founded = leaf, {}
+        self.near = {a + r: ks for r, ks in leaf.near(self.text[a:b]).items()} if leaf.texts else {}
+
+    def put(self, i: int, line: int, part: int = -1) -> int:
+        k = self.founded[i] = self.leaf.put(self.text[i], line, part)
+        return k
+
+    def add(self, i: int, line: int) -> int:
+        """What ``_Leaf.add`` does with row ``i``."""
+        part, many = None if self.part is None else self.part[i], len(self.leaf.texts)
+        if i not in self.alike and i not in self.near and self.similarity > 1e-12:
+            return self.put(i, line, -1 if part is None else part)
+        among = dict.fromkeys([*self.near.get(i, ()), *(self.founded[j] for j in self.alike.get(i, ()) if j in self.founded)])
+        tokens = self.text[i].split(" ")
+        k = self.leaf._join(tokens, self.leaf._exact(tokens, among), line, part)
+        if k == many:
+            self.founded[i] = k
+        return k
+
+
+_MINED = "kind string, leaf string, part bigint, founder bigint, line bigint, first string, tokens string"
+_MERGED = "kind string, leaf string, part bigint, founder bigint, line bigint, tokens string, template string"
 
 
 def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -240,7 +390,7 @@ def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     open part. Gives (kind 'member', line, founder) for each pattern and, behind a part, (kind 'template', leaf,
     part, founder, line, first, tokens): ``first`` is how the founder looked, ``line`` the template it is known to be in.
     No ``tokens`` means that they are still those of ``first``."""
-    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, leaf, first, line = None, None, [], []
 
         def done() -> Iterator[tuple]:
@@ -248,34 +398,32 @@ def _mine_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
                 yield "template", *now, leaf.line[k], line[k], first[k], None if leaf.texts[k] == first[k] else leaf.texts[k]
 
         for batch in batches:
-            out = []
-            for key, part, fresh, at, tokens, known in zip(*(batch[c] for c in ("leaf", "part", "fresh", "first_line", "tokens", "line"))):
-                if (key, part) != now:
-                    yield from _in_pieces(done(), frame)
-                    now, leaf, first, line = (key, part), _Leaf(similarity), [], []
-                split = tokens.split(" ")
-                k = leaf.add(split, at) if fresh else leaf.put(split, at)
-                if k == len(first):
-                    first.append(tokens if fresh else None)
-                    line.append(None if fresh else known)
-                if fresh:
-                    out.append(("member", None, None, leaf.line[k], at, None, None))
-            yield frame(out)
-        yield from _in_pieces(done(), frame)
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["kind", "leaf", "part", "founder", "line", "first", "tokens"])
-        return made.astype({"part": "Int64", "founder": "Int64", "line": "Int64"})
-
-    return rows.repartition(width, "leaf", "part").sortWithinPartitions("leaf", "part", "fresh", "first_line").mapInPandas(
-        mine, "kind string, leaf string, part bigint, founder bigint, line bigint, first string, tokens string")
+            names, parts, fresh, at, tokens, known = (batch[c].to_pylist() for c in ("leaf", "part", "fresh", "first_line", "tokens", "line"))
+            keys = list(zip(names, parts))
+            search = _Search(tokens, keys, None, similarity)
+            for a, b in search.pieces:
+                if keys[a] != now:
+                    yield from done()
+                    now, leaf, first, line = keys[a], _Leaf(similarity), [], []
+                search.open(leaf, a, b)
+                for i in range(a, b):
+                    k = search.add(i, at[i]) if fresh[i] else search.put(i, at[i])
+                    if k == len(first):
+                        first.append(tokens[i] if fresh[i] else None)
+                        line.append(None if fresh[i] else known[i])
+                    if fresh[i]:
+                        yield "member", None, None, leaf.line[k], at[i], None, None
+        yield from done()
+
+    return rows.repartition(width, "leaf", "part").sortWithinPartitions("leaf", "part", "fresh", "first_line").mapInArrow(
+        lambda batches: _in_pieces(mined(batches), _MINED), _MINED)
 
 
 def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     """Rows (leaf, fresh, order, part, founder, line, first, tokens, template): known templates and then the templates
     of parts in order of their founders. Gives (kind 'founder', founder, line) and, behind a leaf, (kind 'template', leaf,
     line, tokens, part, template). No ``template`` means that it is ``tokens``."""
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, leaf, final, at = None, None, [], {}
 
         def done() -> Iterator[tuple]:
@@ -283,36 +431,34 @@ def _merge_parts(rows: DataFrame, similarity: float, width: int) -> DataFrame:
                 yield "template", now, leaf.part[k], None, leaf.line[k], leaf.texts[k], None if final[k] == leaf.texts[k] else final[k]
 
         for batch in batches:
-            out = []
-            for key, fresh, part, founder, line, first, tokens, template in zip(
-                    *(batch[c] for c in ("leaf", "fresh", "part", "founder", "line", "first", "tokens", "template"))):
-                if key != now:
-                    yield from _in_pieces(done(), frame)
-                    now, leaf, final, at = key, _Leaf(similarity), [], {}
-                if not fresh:  # a template of the table
-                    at[line] = leaf.put(tokens.split(" "), line, part)
-                    final.append(tokens if template is None else template)
-                    continue
-                tokens = first if tokens is None else tokens
-                if first is None:  # known to be in a template, and perhaps more general now
-                    k = at[line]
-                else:
-                    k = leaf.add(first.split(" "), founder, part)
-                    if k == len(final):
-                        final.append(tokens)
-                        at[founder] = k
-                    out.append(("founder", None, None, founder, leaf.line[k], None, None))
-                if final[k] != tokens:
-                    final[k] = " ".join(merge_tokens(final[k].split(" "), tokens.split(" ")))
-            yield frame(out)
-        yield from _in_pieces(done(), frame)
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["kind", "leaf", "part", "founder", "line", "tokens", "template"])
-        return made.astype({"part": "Int64", "founder": "Int64", "line": "Int64"})
-
-    return rows.repartition(width, "leaf").sortWithinPartitions("leaf", "fresh", "first_line").mapInPandas(
-        merge, "kind string, leaf string, part bigint, founder bigint, line bigint, tokens string, template string")
+            names, fresh, part, founder, line, first, tokens, template = (batch[c].to_pylist() for c in (
+                "leaf", "fresh", "part", "founder", "line", "first", "tokens", "template"))
+            search = _Search([t if f is None else f for f, t in zip(first, tokens)], names, part, similarity)
+            for a, b in search.pieces:
+                if names[a] != now:
+                    yield from done()
+                    now, leaf, final, at = names[a], _Leaf(similarity), [], {}
+                search.open(leaf, a, b)
+                for i in range(a, b):
+                    if not fresh[i]:  # a template of the table
+                        at[line[i]] = search.put(i, line[i], part[i])
+                        final.append(tokens[i] if template[i] is None else template[i])
+                        continue
+                    now_ = first[i] if tokens[i] is None else tokens[i]
+                    if first[i] is None:  # known to be in a template, and perhaps more general now
+                        k = at[line[i]]
+                    else:
+                        k = search.add(i, founder[i])
+                        if k == len(final):
+                            final.append(now_)
+                            at[founder[i]] = k
+                        yield "founder", None, None, founder[i], leaf.line[k], None, None
+                    if final[k] != now_:
+                        final[k] = " ".join(merge_tokens(final[k].split(" "), now_.split(" ")))
+        yield from done()
+
+    return rows.repartition(width, "leaf").sortWithinPartitions("leaf", "fresh", "first_line").mapInArrow(
+        lambda batches: _in_pieces(merged(batches), _MERGED), _MERGED)
 
 
 def _patterns(keyed: DataFrame) -> DataFrame:

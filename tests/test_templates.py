@@ -196,3 +196,53 @@ def test_prose_is_moved_to_be_mined_only(spark, monkeypatch):
     mined = templates.mine_templates(lines, part_size=500)
     assert sorted((r.line_id, r.event_id, r.template) for r in mined.collect()) == [(i, i + 1, row) for i, row in rows]
     assert sum(written) < 4 * sum(len(row) for _, row in rows)
+
+
+def test_prose_is_mined_without_a_step_for_each_token(monkeypatch):
+    """A task over prose with some alike lines: what the rule gives line by line, in fewer Python calls than tokens (before: several a token)."""
+    import random
+    import sys
+
+    import pyarrow as pa
+
+    class Rows:
+        """A partition that is here already."""
+        repartition = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, function, schema: function
+
+    draw = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join(draw.choice(common) if draw.random() < 0.3 else f"x{draw.randrange(10**9)}" for _ in range(50)) for _ in range(900)]
+    for k in range(0, 900, 30):  # near copies
+        words = texts[draw.randrange(k + 1)].split(" ")
+        texts[k] = " ".join(w if draw.random() < 0.6 else f"y{draw.randrange(10**9)}" for w in words)
+    want, founders = [], []
+    for at, line in enumerate(texts):
+        words = line.split(" ")
+        same = [(sum(a == b for a, b in zip(words, t)), t.count(templates.WILDCARD), -k) for k, (t, _) in enumerate(founders)]
+        n, _, k = max(same, default=(0, 0, 0))
+        if n < 15:
+            founders.append((words, at))
+        else:
+            founders[-k] = (templates.merge_tokens(founders[-k][0], words), founders[-k][1])
+        want.append(founders[-k][1] if n >= 15 else at)
+    assert 10 < 900 - len(founders) < 40
+    batches = pa.table({"leaf": ["50 <*>"] * 900, "part": [0] * 900, "fresh": [True] * 900, "first_line": list(range(900)), "tokens": texts,
+                        "line": [-1] * 900}).to_batches(max_chunksize=300)
+    monkeypatch.setattr(templates, "_PIECE", 128)
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    task = templates._mine_parts(Rows(), 0.3, 1)
+    sys.setprofile(count)
+    try:
+        made = list(task(iter(batches)))
+    finally:
+        sys.setprofile(None)
+    rows = [r for batch in made for r in batch.to_pylist()]
+    assert {r["line"]: r["founder"] for r in rows if r["kind"] == "member"} == dict(enumerate(want))
+    assert {r["founder"]: r["tokens"] or r["first"] for r in rows if r["kind"] == "template"} == {at: " ".join(t) for t, at in founders}
+    assert calls < 900 * 50, calls
