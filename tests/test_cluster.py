@@ -220,3 +220,34 @@ def test_words_are_sent_in_packs(spark):
     counts = vectors.word_counts(rows, "text")
     assert 0 < _sent(counts) < 10 * 60_000
     assert counts.selectExpr("sum(n)", "sum(df)", "count(word)", "count(distinct word)").first() == (119_800, 119_800, 60_000, 60_000)
+
+
+def test_what_hubs_settle_is_not_sent_to_be_compared(spark, monkeypatch):
+    """A crowd, a ring, small groups and lone vectors: links and core points are those of all pairs, and a vector goes to a fraction of the blocks."""
+    rng = np.random.default_rng(6)
+    middle = np.eye(12)[0] + 0.16 * rng.normal(size=(1500, 12))
+    turns = np.linspace(0, 2 * np.pi, 60)
+    ring = np.zeros((60, 12))
+    ring[:, 5], ring[:, 6] = np.cos(turns), np.sin(turns)
+    x = np.vstack([middle, ring, rng.normal(size=(140, 12))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    copies = rng.integers(1, 4, len(x))
+    points = spark.createDataFrame([(10 * i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(copies, x))], "point bigint, copies bigint, vec array<double>")
+    near = np.round(x @ x.T, 9) >= 0.7
+    want = [int((near[i] * copies).sum()) for i in range(len(x))]
+    label = np.arange(len(x))
+    while (least := np.where(near, label[None, :], len(x)).min(axis=1)).tolist() != label.tolist():
+        label = least
+    monkeypatch.setattr(celltree, "LEAF", 64)
+    groups = neighbours.dense_groups(points, 0.3)
+    whole = neighbours.component_edges(groups, 0.3)
+    for hubs in (1, 100):
+        monkeypatch.setattr(neighbours, "MANY", 0)
+        monkeypatch.setattr(neighbours, "HUBS", hubs)
+        links = neighbours.component_edges(groups, 0.3)
+        found = {r.point: r.root for r in cluster.connected_components(links).collect()}
+        assert [found.get(10 * i, 10 * i) // 10 for i in range(len(x))] == label.tolist()
+        for least in (4, 30, 300):
+            core = {r.point for r in neighbours.core_points(groups, 0.3, least).collect()}
+            assert core == {10 * i for i, n in enumerate(want) if n >= least}
+    assert 0 < _sent(links) < 0.5 * _sent(whole)
